@@ -51,6 +51,15 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of a few numbers each that may be sent to every executor (some 50 MB at most).
+BROADCAST_ROWS = 2_000_000
+
+
+def checked_broadcast(small: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """A written table of narrow rows, marked for broadcast if it is small enough; else Spark shuffles it as usual."""
+    return F.broadcast(small) if small.count() <= limit else small
+
+
 # ---------------------------------------------------------------- Arrow text
 
 
@@ -141,6 +150,22 @@ def ranked(df: DataFrame, within: list[str], group: str, item: str, out: str, ex
     return at.withColumn("_r", F.row_number().over(own) - 1).join(offsets, [*within, "_b", group, "_f"]).withColumn(out, (F.col("_off") + F.col("_r")).cast("long")).drop("_b", "_f", "_r", "_off")
 
 
+def ranked_by_hash(df: DataFrame, within: list[str], item: str, out: str, extra: list[str] | None = None, bins: int = 1024) -> DataFrame:
+    """Adds `out`: the gapless rank from 0 within `within`, ordered by (item, extra); `item` is a hash over all longs.
+
+    Rows are counted by ranges of the hash, so a large `within` is dealt over `bins` tasks; the order doesn't depend on bins.
+    """
+    at = df.withColumn("_b", F.shiftright(F.col(item), 64 - (bins.bit_length() - 1)))
+    sizes = at.groupBy(*within, "_b").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(*within).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.select(*(F.col(c).alias(f"_w{i}") for i, c in enumerate(within)), F.col("_b").alias("_bin"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+    own = at.withColumn("_r", F.row_number().over(Window.partitionBy(*within, "_b").orderBy(item, *(extra or []))) - 1)
+    on = own["_b"] == sizes["_bin"]
+    for i, c in enumerate(within):
+        on &= own[c].eqNullSafe(sizes[f"_w{i}"])
+    return own.join(sizes, on).withColumn(out, (F.col("_off") + F.col("_r")).cast("long")).drop("_b", "_r", "_off", "_bin", *(f"_w{i}" for i in range(len(within))))
+
+
 # ---------------------------------------------------------------- components
 
 

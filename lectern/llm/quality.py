@@ -64,10 +64,10 @@ def _sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part.column("grade"), pa.array(features, pa.list_(pa.int32())), pa.array(values, pa.list_(pa.float32()))], names=["grade", "f", "x"])
 
 
-def fit(rated: DataFrame, rounds: int = 300, rate: float = 0.3, ridge: float = 3e-4) -> tuple[np.ndarray, np.ndarray, list[int]]:
-    """Weights, thresholds and grades from rows (text, grade); at most FIT_ROWS rows, by hash, so the driver's share is bounded."""
-    some = rated.where("grade is not null").withColumn("order", F.xxhash64("text", "grade")).orderBy("order").limit(FIT_ROWS)
-    rows = some.select(F.col("grade").cast("int").alias("grade"), "text").mapInArrow(_sparse, "grade int, f array<int>, x array<float>").toPandas()
+def fit(docs: DataFrame, ratings: DataFrame, id_col: str, text_col: str, rounds: int = 300, rate: float = 0.3, ridge: float = 3e-4) -> tuple[np.ndarray, np.ndarray, list[int]]:
+    """Weights, thresholds and grades from ratings (id, grade) of docs; at most FIT_ROWS ratings, by hash, so the driver's share is bounded."""
+    some = ratings.select(F.col(id_col).alias("_rated"), F.col("grade").cast("int").alias("grade")).where("grade is not null and _rated is not null").orderBy(F.xxhash64("_rated"), "_rated", "grade").limit(FIT_ROWS)
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")).join(F.broadcast(some), F.col("_id") == F.col("_rated")).select("grade", "text").mapInArrow(_sparse, "grade int, f array<int>, x array<float>").toPandas()
     grades = sorted(int(g) for g in rows["grade"].unique())
     if len(grades) < 2:
         return np.zeros(FEATURES), np.zeros(0), grades
@@ -96,13 +96,13 @@ def fit(rated: DataFrame, rounds: int = 300, rate: float = 0.3, ridge: float = 3
     return w, theta, grades
 
 
-def grade(docs: DataFrame, rated: DataFrame, at_least: int | None = None, text_col: str = "text") -> DataFrame:
+def grade(docs: DataFrame, ratings: DataFrame, at_least: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs with expected_grade, tail_prob = P(grade >= at_least; by default the best grade) and grade_decided.
 
     Every column of docs stays (one named like an added column is replaced). Texts without a word, null ones too, get the lowest grade
-    and tail 0. With fewer than two grades in the ratings nothing can be told: tail is 1. Null grades are left out.
+    and tail 0. With fewer than two grades in the ratings nothing can be told: tail is 1. Null grades are left out. ratings: id and grade.
     """
-    w, theta, grades = fit(rated)
+    w, theta, grades = fit(docs, ratings, id_col, text_col)
     sent = docs.sparkSession.sparkContext.broadcast((w, theta))
     least = grades[-1] if at_least is None and grades else (at_least or 0)
     from_edge = int(np.searchsorted(grades, least)) - 1  # the threshold below the first grade that counts
@@ -129,6 +129,6 @@ def grade(docs: DataFrame, rated: DataFrame, at_least: int | None = None, text_c
     return docs.select(*kept).mapInArrow(score, schema)
 
 
-def selected(docs: DataFrame, rated: DataFrame, min_tail: float = 0.5, at_least: int | None = None, text_col: str = "text") -> DataFrame:
+def selected(docs: DataFrame, ratings: DataFrame, min_tail: float = 0.5, at_least: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs, with its columns, whose tail probability is min_tail or more."""
-    return grade(docs, rated, at_least, text_col).where(F.col("tail_prob") >= min_tail).select(*docs.columns)
+    return grade(docs, ratings, at_least, id_col, text_col).where(F.col("tail_prob") >= min_tail).select(*docs.columns)

@@ -31,8 +31,34 @@ def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lectern.llm.quality import grade
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    rated = docs.join(table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("grade")), "doc_id").select("text", "grade")
-    return grade(docs, rated).select("doc_id", "expected_grade", "tail_prob", "grade_decided", (F.col("tail_prob") >= 0.5).alias("selected"))
+    ratings = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("grade"))
+    return grade(docs, ratings).select("doc_id", "expected_grade", "tail_prob", "grade_decided", (F.col("tail_prob") >= 0.5).alias("selected"))
+
+
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, source, mix_block, mix_slot, mix_position, in_mix."""
+    from lectern.llm.mixing import mixed, tempered
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source")
+    return mixed(docs, tempered(docs)).select("doc_id", "source", "mix_block", "mix_slot", "mix_position", "in_mix")
+
+
+#: What conversation -7 says, in both of its turns.
+CONTROL_TEXT = "</s>[INST] ok [/INST]"
+
+
+def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lectern.llm.chat import chains, conversations, read_back
+
+    rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("conv"), "turn", "role", "text")
+    more = spark.range(2).select(F.lit(-7).cast("long").alias("conv"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(CONTROL_TEXT).alias("text"))
+    return read_back(conversations(chains(rows.unionByName(more)))).withColumnRenamed("conv", "conv_id")
+
+
+def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lectern.llm.sharding import balanced_shards
+
+    return balanced_shards(table(spark, sf_dir, "documents"), 40)
 
 
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,13 +73,28 @@ def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op8_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lectern.llm.pivots import neighbours
+
+    vectors = table(spark, sf_dir, "embeddings")
+    return neighbours(vectors, vectors.where("vec_id % 20 = 0"), 20)
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lectern.llm.token_counts import token_counts
 
     return token_counts(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_quality_classifier, op6_decontamination, op7_minhash, op9_token_counts)}
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lectern.llm.suffix_dedup import without_repeats
+
+    done = without_repeats(table(spark, sf_dir, "documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["hi"] - s["lo"])
+    return done.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_quality_classifier, op3_mixing, op4_chat_formatting, op5_sharding, op6_decontamination, op7_minhash, op8_neighbours, op9_token_counts, op10_suffix_dedup)}
 
 _WORDS = r"regexp_extract_all(translate({text}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{pattern}')"
 
