@@ -2,8 +2,9 @@
 
 Documents with equal shingle sets are one class. Classes that share a band of minima are candidates; their packed low bits
 give a collision-corrected similarity that drops hopeless candidates, and full sets confirm the rest. In a band's bucket
-every class is compared with the bucket's smallest and largest first; only classes that these links leave in different
-components are compared with one another, so large groups of near copies cost links in proportion to their size.
+every class is compared with the bucket's leader first; only classes that these links leave in different components are
+compared with one another, unless what they share with the leader rules a link out, so large groups of near copies
+make pairs in proportion to their size.
 """
 
 from __future__ import annotations
@@ -15,15 +16,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import components, hashed, mixed, slices, split_words, word_codes, written
+from lectern.llm.common import checked_broadcast, components, hashed, mixed, slices, split_words, word_codes, written
 
 SHINGLE = 5
 #: Bands of ROWS minima: two sets of similarity 0.75 share none with probability (1 - 0.75 ** 4) ** 32 = 5e-6.
 BANDS, ROWS = 32, 4
 #: Low bits kept of each minimum; 128 of them make two packed words of 64 bits for each of the BITS.
-BITS = 2
-#: Candidates go on when their corrected estimate is this near the threshold: over six standard errors of 128 minima.
-SLACK = 0.27
+BITS = 4
+#: Candidates go on when their corrected estimate is this near the threshold: five standard errors of 128 minima.
+SLACK = 0.2
+#: Places of the map of what a class has beyond its leader.
+MAP_BITS = 1024
 
 _K = BANDS * ROWS
 _rng = np.random.default_rng(20240607)
@@ -125,14 +128,42 @@ def _sets(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(make, "id long, s array<long>")
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, percent: int, id_col: str, text_col: str) -> DataFrame:
-    """The pairs (a, b) whose full sets have the similarity. Pairs are few for each class, so sets travel once for each pair."""
+def _compared(pairs: DataFrame, docs: DataFrame, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """The pairs (a, b) with what their full sets share (i), whether that links them, and a map of b's shingles that a lacks."""
     ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+    ids = checked_broadcast(written(ids))
     sets = written(_sets(docs.join(ids, docs[id_col] == ids["id"], "left_semi"), id_col, text_col))
     left = pairs.join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a")
-    both = left.join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
-    shared = F.size(F.array_intersect("sa", "sb"))
-    return both.select("a", "b", shared.alias("i"), (F.size("sa") + F.size("sb") - shared).alias("u")).where(F.col("i") * 100 >= F.lit(percent) * F.col("u")).select("a", "b")
+    both = left.join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b").select("a", "b", "sa", "sb")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            shared, linked, maps = [], [], []
+            for sa, sb in zip(batch.column("sa"), batch.column("sb"), strict=True):
+                x, y = (v.values.to_numpy(zero_copy_only=False).view(np.uint64) for v in (sa, sb))
+                own = x[np.minimum(np.searchsorted(x, y), len(x) - 1)] != y
+                i = len(y) - int(own.sum())
+                shared.append(i)
+                linked.append(100 * i >= percent * (len(x) + len(y) - i))
+                bits = np.zeros(MAP_BITS, np.uint8)
+                bits[(y[own] % np.uint64(MAP_BITS)).astype(np.int64)] = 1
+                maps.append(np.packbits(bits).view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(shared, pa.int64()), pa.array(linked, pa.bool_()), pa.array(maps, pa.list_(pa.int64()))], names=["a", "b", "i", "linked", "map"])
+
+    return both.mapInArrow(compare, "a long, b long, i long, linked boolean, map array<long>")
+
+
+def _possible(percent: int):
+    """Whether rows x and y of one bucket can be similar enough, by what each shares with the bucket's leader.
+
+    They share no more than the lesser of those counts and, beyond the leader, no more than the one's own shingles less
+    those whose place in its map is empty in the other's. Rows that weren't compared with the leader aren't ruled out.
+    """
+    width = MAP_BITS // 64
+    lacks = lambda p, q: sum((F.bit_count(F.element_at(p, w).bitwiseAND(F.bitwise_not(F.element_at(q, w)))) for w in range(1, width + 1)), F.lit(0))
+    beyond = F.least(F.col("na") - F.col("ia") - lacks("ma", "mb"), F.col("nb") - F.col("ib") - lacks("mb", "ma"))
+    most = F.least(F.col("ia"), F.col("ib")) + beyond
+    return F.coalesce(most * 100 >= F.lit(percent) * (F.col("na") + F.col("nb") - most), F.lit(True))
 
 
 def near_duplicates(docs: DataFrame, similarity: float = 0.75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -149,34 +180,35 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.75, id_col: str = "do
     classes = filled.groupBy("d0", "d1", "n_shingles").agg(F.min("id").alias("rep"))
     member = written(filled.select("id", "d0", "d1", "n_shingles").join(classes, ["d0", "d1", "n_shingles"]).select("id", "rep"))
     reps = member.where("id = rep").select("id")
-    own = filled.where("n_shingles > 1").join(reps, "id", "left_semi")
-    near = lambda x, y: (F.least(x, y) * 100 >= F.lit(percent) * F.greatest(x, y))
-
-    posted = own.select("id", F.explode("bands").alias("key"))
-    shared = posted.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi")
-    posts = written(posted.join(shared, "key").select("key", "id", "lo", "hi"))
-    star = posts.where("id > lo").select(F.col("lo").alias("a"), F.col("id").alias("b")).union(posts.where("id > lo and id < hi").select(F.col("id").alias("a"), F.col("hi").alias("b"))).distinct()
-
-    facts = own.select("id", F.col("n_shingles").alias("n"), "bits")
-
-    def likely(pairs: DataFrame) -> DataFrame:
-        a = facts.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("bits").alias("ba"))
-        b = facts.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("bb"))
-        return pairs.join(a, "a").join(b, "b").where(near("na", "nb") & (estimate("ba", "bb") >= similarity - SLACK)).select("a", "b")
-
-    first = written(likely(star))
-    links = written(_confirmed(first, docs, percent, id_col, text_col))
+    facts = written(filled.join(reps, "id", "left_semi").select("id", F.col("n_shingles").alias("n"), "bands", "bits"))
+    near = lambda x, y: F.least(x, y) * 100 >= F.lit(percent) * F.greatest(x, y)
+
+    # buckets of a band; the leader is the member with the most company in all its bands
+    posted = facts.where("n > 1").select("id", F.explode("bands").alias("key"))
+    shared = posted.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
+    posts = written(posted.join(shared, "key"))
+    company = posts.groupBy("id").agg(F.sum("m").alias("m"))
+    leaders = posts.select("key", "id").join(company, "id").groupBy("key").agg(F.max(F.struct("m", (-F.col("id")).alias("id"))).alias("l")).select("key", (-F.col("l.id")).alias("leader"))
+    posts = written(posts.select("key", "id").join(leaders, "key"))
+    star = posts.where("id <> leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct()
+    a = facts.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("bits").alias("ba"))
+    b = facts.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("bb"))
+    first = star.join(a, "a").join(b, "b").where(near(F.col("na"), F.col("nb")) & (estimate("ba", "bb") >= similarity - SLACK)).select("a", "b")
+    told = written(_compared(written(first), docs, percent, id_col, text_col))
+    links = told.where("linked").select("a", "b")
     joined = written(components(reps, links))
 
     # what the stars left apart: classes of one bucket in different components, compared with one another
-    placed = posts.select("key", "id").join(joined, "id")
+    placed = posts.join(joined, "id")
     mixed_keys = placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("key")
-    apart = written(placed.join(mixed_keys, "key", "left_semi").join(facts, "id"))
-    x = apart.select("key", F.col("id").alias("a"), F.col("component").alias("ca"), F.col("n").alias("na"), F.col("bits").alias("ba"))
-    y = apart.select("key", F.col("id").alias("b"), F.col("component").alias("cb"), F.col("n").alias("nb"), F.col("bits").alias("bb"))
-    rest = x.join(y, (x["key"] == y["key"]) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & near("na", "nb") & (estimate("ba", "bb") >= similarity - SLACK)).select("a", "b").distinct()
-    rest = written(rest.join(first, ["a", "b"], "left_anti"))
-    late = _confirmed(rest, docs, percent, id_col, text_col)
+    apart = placed.join(mixed_keys, "key", "left_semi").join(facts.select("id", "n", "bits"), "id")
+    apart = apart.join(told.select(F.col("a").alias("leader"), F.col("b").alias("id"), "i", "map"), ["leader", "id"], "left")
+    own = F.col("id") == F.col("leader")
+    apart = written(apart.withColumns({"i": F.when(own, F.col("n")).otherwise(F.col("i")), "map": F.when(own, F.array_repeat(F.lit(0).cast("long"), MAP_BITS // 64)).otherwise(F.col("map"))}))
+    side = lambda z, key: apart.select(F.col("key").alias(key), F.col("id").alias(z), *(F.col(c).alias(t + z) for c, t in (("component", "c"), ("n", "n"), ("bits", "b"), ("i", "i"), ("map", "m"))))
+    rest = side("a", "key").join(side("b", "other"), (F.col("key") == F.col("other")) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & near(F.col("na"), F.col("nb")) & (estimate("ba", "bb") >= similarity - SLACK) & _possible(percent)).select("a", "b").distinct()
+    done = told.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    late = _compared(written(rest.join(done, ["a", "b"], "left_anti")), docs, percent, id_col, text_col).where("linked").select("a", "b")
     joined = components(reps, links.unionByName(late))
 
     classed = member.join(joined.select(F.col("id").alias("rep"), "component"), "rep").select("id", "component")
@@ -187,4 +219,5 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.75, id_col: str = "do
 def deduplicated(docs: DataFrame, similarity: float = 0.75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs, with its columns, that stand for their group: those with the smallest id of it."""
     gone = near_duplicates(docs, similarity, id_col, text_col).where("not kept").select(F.col(id_col).alias("_gone"))
+    gone = checked_broadcast(written(gone))
     return docs.join(gone, docs[id_col] == gone["_gone"], "left_anti")
