@@ -20,7 +20,7 @@ from lectern.llm.common import hashed, slices, split_words, word_codes
 #: Buckets of word shapes, of words, and two of structure (a word repeated at once; no words).
 SHAPES, WORDS = 1 << 12, 1 << 13
 FEATURES = SHAPES + WORDS + 2
-#: At most so many rated rows fit the model.
+#: At most so many rated rows fit the model. They are chosen among the ratings, before any text is read or moved.
 FIT_ROWS = 6_000
 
 _RUNS = re.compile(r"([Aa0])\1+")
