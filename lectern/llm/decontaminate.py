@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import slices, split_words, word_codes, written
+from lectern.llm.common import checked_broadcast, slices, split_words, word_codes, written
 
 #: Words of items in one automaton, so a broadcast is some 30 MB at most.
 BLOCK_WORDS = 1 << 17
@@ -235,14 +235,16 @@ def cleaned(docs: DataFrame, items: DataFrame, window: int = 10, max_coverage: f
     Documents without a match stay as they are. n_chars follows the text where there is such a column. Ids must be distinct.
     """
     found = written(matches(docs, items, window, id_col, text_col=text_col).where(F.size("runs") > 0).select(F.col(id_col).alias("_id"), F.col("runs").alias("_runs"), F.col("n_words").alias("_words")))
+    names = docs.columns
     covered = F.aggregate("_runs", F.lit(0).cast("long"), lambda n, r: n + r["hi"] - r["lo"])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [cut_spans(t, [(r["lo"], r["hi"]) for r in runs]) for t, runs in zip(batch.column(text_col).to_pylist(), batch.column("_runs").to_pylist(), strict=True)]
-            own = [pa.array(texts, pa.string()) if c == text_col else batch.column(c) for c in docs.columns]
-            yield pa.RecordBatch.from_arrays(own, names=docs.columns)
+            own = [pa.array(texts, pa.string()) if c == text_col else batch.column(c) for c in names]
+            yield pa.RecordBatch.from_arrays(own, names=names)
 
+    found = checked_broadcast(found, 100_000)  # runs are some hundred bytes
     whole = docs.join(found.select("_id"), docs[id_col].eqNullSafe(F.col("_id")), "left_anti")
     part = found.where(covered <= max_coverage * F.col("_words"))
     dirty = docs.join(part, docs[id_col].eqNullSafe(F.col("_id"))).select(*docs.columns, "_runs").mapInArrow(cut, docs.schema)
