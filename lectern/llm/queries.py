@@ -96,11 +96,28 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_toxicity, op2_quality_classifier, op3_mixing, op4_chat_formatting, op5_sharding, op6_decontamination, op7_minhash, op8_neighbours, op9_token_counts, op10_suffix_dedup)}
 
-_WORDS = r"regexp_extract_all(translate({text}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{pattern}')"
-
-
 def _words(text: str, pattern: str) -> str:
-    return _WORDS.format(text=f"coalesce({text}, '')", pattern=pattern)
-
-
-ORACLE_SQL: dict[str, str] = {}
+    return f"regexp_extract_all(translate(coalesce({text}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{pattern}')"
+
+
+_ITEM_WORDS = _words("text", r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+_SHINGLE_WORDS = _words("text", r"[^\x20\x09-\x0D]+")
+
+#: SQL for the queries that it can express. The others are fitted (1, 2), approximate (8), need a tokenizer (9) or bytes (10), or
+#: are one of many equally good arrangements (3, 5, the pipeline); tests compare them with brute force or a law.
+ORACLE_SQL: dict[str, str] = {
+    "op4_chat_formatting": f"""WITH m AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL UNION ALL SELECT -7, 0, 'user', '{CONTROL_TEXT}' UNION ALL SELECT -7, 1, 'assistant', '{CONTROL_TEXT}'),
+e AS (SELECT *, length(text) + length(text) - length(replace(text, '\\', '')) + len(regexp_extract_all(text, '</?s>|\\[/?INST\\]')) AS escaped FROM m)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256, coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256, sum(escaped + CASE WHEN role = 'assistant' THEN 7 ELSE 14 + length(role) END)::BIGINT AS formatted_chars FROM e GROUP BY conv_id""",
+    "op6_decontamination": f"""WITH i AS (SELECT item_id::VARCHAR AS item, {_ITEM_WORDS} AS w FROM benchmark), iw AS (SELECT DISTINCT item, least(len(w), {BENCHMARK_WINDOW}) AS n, array_to_string(w[k:k + least(len(w), {BENCHMARK_WINDOW}) - 1], ' ') AS g FROM (SELECT item, w, unnest(range(1, len(w) - least(len(w), {BENCHMARK_WINDOW}) + 2)) AS k FROM i WHERE len(w) > 0)),
+d AS (SELECT doc_id, {_ITEM_WORDS} AS w FROM documents), sizes AS (SELECT DISTINCT n FROM iw), dw AS (SELECT doc_id, n, k, array_to_string(w[k:k + n - 1], ' ') AS g FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS k FROM d, sizes WHERE len(w) >= n)),
+h AS (SELECT doc_id, item, k, dw.n FROM dw JOIN iw ON dw.n = iw.n AND dw.g = iw.g), hits AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(k, k + n)) AS p FROM h) GROUP BY 1),
+items AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS names FROM (SELECT DISTINCT doc_id, item FROM h) GROUP BY 1)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated FROM d LEFT JOIN hits USING (doc_id) LEFT JOIN items USING (doc_id)""",
+    "op7_minhash": f"""WITH RECURSIVE w AS (SELECT doc_id, {_SHINGLE_WORDS} AS w FROM documents), s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM w WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1), p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS i FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * i >= 75 * (x.n + y.n - i)), e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r(id, c) AS (SELECT doc_id, doc_id FROM documents UNION SELECT e.b, r.c FROM r JOIN e ON e.a = r.id WHERE r.c < e.b), c AS (SELECT id, min(c) AS component_id FROM r GROUP BY 1)
+SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id, d.doc_id = component_id AS kept FROM documents d LEFT JOIN n USING (doc_id) JOIN c ON c.id = d.doc_id""",
+}
