@@ -16,7 +16,7 @@ from pyspark.sql.window import Window
 from lectern.llm.common import written
 
 #: Pivots, drawn from at most SAMPLE vectors; places kept of each order; share of a shard that is ranked by inner product.
-PIVOTS, SAMPLE, PLACES, SHARE = 256, 4096, 96, 0.1
+PIVOTS, SAMPLE, PLACES, SHARE = 256, 4096, 64, 0.08
 #: At least so many rows of a shard are ranked, so small tables are searched whole.
 LEAST = 400
 #: Vectors of a shard and queries of a block: what a task holds.
@@ -42,20 +42,16 @@ def _lifted(x: np.ndarray, bound: float) -> np.ndarray:
 def _search(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q: np.ndarray, pivots: np.ndarray, bound: float, k: int, share: float, places: int):
     """(query id, vector id, score) of the best k of one shard for each query."""
     orders = _orders(_lifted(x, bound), pivots, places)
-    flat = orders.ravel()
-    by = np.argsort(flat, kind="stable")
-    rows, place = (by // orders.shape[1]).astype(np.int32), (by % orders.shape[1]).astype(np.int32)
-    ends = np.searchsorted(flat[by], np.arange(len(pivots) + 1))
-    files = [(rows[a:b], place[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)]
+    # a pivot's file tells of each vector how much a match with it may save, 0 where it isn't among the vector's pivots
+    files = np.zeros((len(pivots), len(ids)), np.int16)
+    files[orders.ravel(), np.repeat(np.arange(len(ids)), orders.shape[1])] = np.tile(places - np.arange(orders.shape[1], dtype=np.int16), len(ids))
+    saving = (places - np.arange(places, dtype=np.int16))[:, None]
     unit = q * (bound / np.sqrt((q * q).sum(axis=1, keepdims=True)))
     asked = _orders(np.column_stack([unit, np.zeros(len(unit))]), pivots, places)
     most = min(len(ids), max(LEAST, int(np.ceil(share * len(ids)))) + 1)
     out_q, out_v, out_s = [], [], []
     for i in range(len(q)):
-        near = np.zeros(len(ids), np.int32)
-        for at, p in enumerate(asked[i]):
-            r, there = files[p]
-            near[r] += places - np.maximum(there, at)
+        near = np.minimum(files[asked[i]], saving).sum(axis=0, dtype=np.int16)
         cut = np.partition(near, len(ids) - most)[len(ids) - most]
         some = np.flatnonzero(near >= cut)  # ties at the edge are all ranked
         some = some[ids[some] != query_ids[i]]
