@@ -69,14 +69,18 @@ def jumps(nodes: DataFrame) -> tuple[list[DataFrame], DataFrame]:
     A parent that isn't there makes a root. Nodes on cycles, or that lead to one, have no root and are left out.
     """
     keys = nodes.select("conv", F.col("node").alias("parent"), F.lit(True).alias("there"))
+    columns = ["conv", "node", "to", "depth", "total"]
     state = written(nodes.join(keys, ["conv", "parent"], "left").select("conv", "node", F.when(F.col("there"), F.col("parent")).alias("to"), F.lit(1).cast("long").alias("depth"), F.coalesce("score", F.lit(0.0)).alias("total")))
-    levels, left = [], max(1, math.ceil(math.log2(max(2, state.count()))) + 1)
-    while left and not state.where("to is not null").isEmpty():
-        levels.append(state.where("to is not null").select("conv", "node", "to"))
-        up = state.select("conv", F.col("node").alias("to"), F.col("to").alias("next"), F.col("depth").alias("d"), F.col("total").alias("s"))
-        state = written(state.join(up, ["conv", "to"], "left").select("conv", "node", F.col("next").alias("to"), (F.col("depth") + F.coalesce("d", F.lit(0))).alias("depth"), (F.col("total") + F.coalesce("s", F.lit(0.0))).alias("total")))
+    levels, done = [], state.where("to is null")
+    active, left = state.where("to is not null"), max(1, math.ceil(math.log2(max(2, state.count()))) + 1)
+    while left and not active.isEmpty():
+        levels.append(active.select("conv", "node", "to"))
+        # nodes that have met their root only answer; so rounds handle the nodes that are deeper than they reach
+        up = done.unionByName(active).select("conv", F.col("node").alias("to"), F.col("to").alias("next"), F.col("depth").alias("d"), F.col("total").alias("s"))
+        step = written(active.join(up, ["conv", "to"]).select("conv", "node", F.col("next").alias("to"), (F.col("depth") + F.col("d")).alias("depth"), (F.col("total") + F.col("s")).alias("total")).select(*columns))
+        done, active = done.unionByName(step.where("to is null")), step.where("to is not null")
         left -= 1
-    return levels, state.where("to is null").select("conv", "node", "depth", "total")
+    return levels, done.select("conv", "node", "depth", "total")
 
 
 def conversations(messages: DataFrame, paths: int = 1) -> DataFrame:
