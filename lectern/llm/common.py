@@ -137,17 +137,18 @@ def ranked(df: DataFrame, within: list[str], group: str, item: str, out: str, ex
     `item`, so neither a large `within` nor a large `group` meets in one task; only sizes of ranges go through the
     small windows.
     """
+    # one key for all of `within`: plain equality then lets the join use the partitioning of the window
     b, f = F.shiftright(F.col(group), 64 - (bins.bit_length() - 1)), F.shiftright(F.col(item), 64 - (fine.bit_length() - 1))
-    at = df.withColumns({"_b": b, "_f": f})
-    sizes = at.groupBy(*within, "_b", group, "_f").agg(F.count(F.lit(1)).alias("_n"))
-    coarse = sizes.groupBy(*within, "_b").agg(F.sum("_n").alias("_m"))
-    before = Window.partitionBy(*within).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    coarse = coarse.select(*within, "_b", F.coalesce(F.sum("_m").over(before), F.lit(0)).alias("_above"))
-    inner = Window.partitionBy(*within, "_b").orderBy(group, "_f").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = sizes.withColumn("_in", F.coalesce(F.sum("_n").over(inner), F.lit(0))).join(coarse, [*within, "_b"])
-    offsets = sizes.select(*within, "_b", group, "_f", (F.col("_above") + F.col("_in")).alias("_off"))
-    own = Window.partitionBy(*within, "_b", group, "_f").orderBy(item, *(extra or []))
-    return at.withColumn("_r", F.row_number().over(own) - 1).join(offsets, [*within, "_b", group, "_f"]).withColumn(out, (F.col("_off") + F.col("_r")).cast("long")).drop("_b", "_f", "_r", "_off")
+    at = df.withColumns({"_k": F.xxhash64(*within), "_b": b, "_f": f})
+    sizes = at.groupBy("_k", "_b", group, "_f").agg(F.count(F.lit(1)).alias("_n"))
+    coarse = sizes.groupBy("_k", "_b").agg(F.sum("_n").alias("_m"))
+    before = Window.partitionBy("_k").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    coarse = coarse.select("_k", "_b", F.coalesce(F.sum("_m").over(before), F.lit(0)).alias("_above"))
+    inner = Window.partitionBy("_k", "_b").orderBy(group, "_f").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.withColumn("_in", F.coalesce(F.sum("_n").over(inner), F.lit(0))).join(coarse, ["_k", "_b"])
+    offsets = sizes.select("_k", "_b", group, "_f", (F.col("_above") + F.col("_in")).alias("_off"))
+    own = Window.partitionBy("_k", "_b", group, "_f").orderBy(item, *(extra or []))
+    return at.withColumn("_r", F.row_number().over(own) - 1).join(offsets, ["_k", "_b", group, "_f"]).withColumn(out, (F.col("_off") + F.col("_r")).cast("long")).drop("_k", "_b", "_f", "_r", "_off")
 
 
 def ranked_by_hash(df: DataFrame, within: list[str], item: str, out: str, extra: list[str] | None = None, bins: int = 1024) -> DataFrame:
@@ -155,15 +156,12 @@ def ranked_by_hash(df: DataFrame, within: list[str], item: str, out: str, extra:
 
     Rows are counted by ranges of the hash, so a large `within` is dealt over `bins` tasks; the order doesn't depend on bins.
     """
-    at = df.withColumn("_b", F.shiftright(F.col(item), 64 - (bins.bit_length() - 1)))
-    sizes = at.groupBy(*within, "_b").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy(*within).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = sizes.select(*(F.col(c).alias(f"_w{i}") for i, c in enumerate(within)), F.col("_b").alias("_bin"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
-    own = at.withColumn("_r", F.row_number().over(Window.partitionBy(*within, "_b").orderBy(item, *(extra or []))) - 1)
-    on = own["_b"] == sizes["_bin"]
-    for i, c in enumerate(within):
-        on &= own[c].eqNullSafe(sizes[f"_w{i}"])
-    return own.join(sizes, on).withColumn(out, (F.col("_off") + F.col("_r")).cast("long")).drop("_b", "_r", "_off", "_bin", *(f"_w{i}" for i in range(len(within))))
+    at = df.withColumns({"_k": F.xxhash64(*within), "_b": F.shiftright(F.col(item), 64 - (bins.bit_length() - 1))})
+    sizes = at.groupBy("_k", "_b").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy("_k").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.select("_k", "_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+    own = at.withColumn("_r", F.row_number().over(Window.partitionBy("_k", "_b").orderBy(item, *(extra or []))) - 1)
+    return own.join(sizes, ["_k", "_b"]).withColumn(out, (F.col("_off") + F.col("_r")).cast("long")).drop("_k", "_b", "_r", "_off")
 
 
 # ---------------------------------------------------------------- components
