@@ -232,9 +232,10 @@ def cut_spans(text: str | None, runs: list[tuple[int, int]]) -> str | None:
 def cleaned(docs: DataFrame, items: DataFrame, window: int = 10, max_coverage: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs, with its columns, without matched spans; documents of which more than max_coverage matches go altogether.
 
-    Documents without a match stay as they are. n_chars follows the text where there is such a column. Ids must be distinct.
+    Documents without a match stay as they are, and so do rows with a null id. n_chars follows the text where there is
+    such a column. Repeated rows of one id must have one text.
     """
-    found = written(matches(docs, items, window, id_col, text_col=text_col).where(F.size("runs") > 0).select(F.col(id_col).alias("_id"), F.col("runs").alias("_runs"), F.col("n_words").alias("_words")))
+    found = written(matches(docs, items, window, id_col, text_col=text_col).where((F.size("runs") > 0) & F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id"), F.col("runs").alias("_runs"), F.col("n_words").alias("_words")).dropDuplicates(["_id"]))
     names = docs.columns
     covered = F.aggregate("_runs", F.lit(0).cast("long"), lambda n, r: n + r["hi"] - r["lo"])
 

@@ -170,17 +170,18 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.75, id_col: str = "do
     """Per document: id, n_shingles, component_id (smallest id reachable over links, itself included), kept (id = component_id).
 
     Texts are lower-cased (A-Z) and split at ASCII white space; the set holds the distinct shingles of five words, or
-    the whole sequence of fewer. Null, empty and blank texts have an empty set and no links. Ids must be distinct
-    integers; other columns are left out; an empty table gives no rows.
+    the whole sequence of fewer. Null, empty and blank texts have an empty set and no links. Ids are integers; repeated rows
+    of one id share its result; a row with a null id has no links, and null component_id and kept. Other columns are
+    left out; an empty table gives no rows.
     """
     percent = round(similarity * 100)
     signed = written(signatures(docs, id_col, text_col))
     # exact classes: the smallest id stands for all with the same set
-    filled = signed.where("n_shingles > 0")
+    filled = signed.where("n_shingles > 0 and id is not null")
     classes = filled.groupBy("d0", "d1", "n_shingles").agg(F.min("id").alias("rep"))
-    member = written(filled.select("id", "d0", "d1", "n_shingles").join(classes, ["d0", "d1", "n_shingles"]).select("id", "rep"))
+    member = written(filled.select("id", "d0", "d1", "n_shingles").join(classes, ["d0", "d1", "n_shingles"]).select("id", "rep").dropDuplicates(["id"]))
     reps = member.where("id = rep").select("id")
-    facts = written(filled.join(reps, "id", "left_semi").select("id", F.col("n_shingles").alias("n"), "bands", "bits"))
+    facts = written(filled.join(reps, "id", "left_semi").select("id", F.col("n_shingles").alias("n"), "bands", "bits").dropDuplicates(["id"]))
     near = lambda x, y: F.least(x, y) * 100 >= F.lit(percent) * F.greatest(x, y)
 
     # buckets of a band; the leader is the member with the most company in all its bands

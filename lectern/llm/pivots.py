@@ -68,7 +68,7 @@ def neighbours(vectors: DataFrame, queries: DataFrame, k: int = 20, share: float
     """Per query its k nearest: query_id, rank (from 1), vec_id, score; largest inner product first, then the smaller id.
 
     Vectors that are null, zero, of another length than most, or hold null or non-finite components take no part, nor do
-    rows with a null id. The query's own row isn't a candidate; repeated vectors are candidates each. Other columns are
+    rows with a null id. The query's own id isn't a candidate; repeated vectors are candidates each, repeated queries are one. Other columns are
     left out; empty tables give no rows. All rows are indexed; pivots come from a sample of SAMPLE rows by hash.
     """
     spark = vectors.sparkSession
@@ -79,7 +79,7 @@ def neighbours(vectors: DataFrame, queries: DataFrame, k: int = 20, share: float
         return spark.createDataFrame([], schema)
     dim = mode["n"]
     sound = (F.size("x") == dim) & F.col("id").isNotNull() & F.forall("x", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))) & F.exists("x", lambda c: c != 0)
-    rows, asked = named(vectors).where(sound), named(queries).where(sound)
+    rows, asked = named(vectors).where(sound), named(queries).where(sound).dropDuplicates(["id"])
     norm = F.sqrt(F.aggregate("x", F.lit(0.0), lambda s, c: s + c.cast("double") * c.cast("double")))
     known = rows.agg(F.count(F.lit(1)).alias("n"), F.max(norm).alias("bound")).first()
     if not known["n"]:

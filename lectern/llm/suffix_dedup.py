@@ -98,14 +98,14 @@ def _rows(part: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, int]]:
         yield part.column("id")[i].as_py(), np.frombuffer(t, np.uint8) if t is not None and t.size else np.zeros(0, np.uint8), i
 
 
-def _first(*keys: np.ndarray) -> np.ndarray:
-    """Whether no row before has the same keys."""
+def _settled(name: np.ndarray, at: np.ndarray, *keys: np.ndarray) -> np.ndarray:
+    """Whether a row before, of another place, has the same keys; rows are in order of (name, at)."""
     mark = keys[0].copy()
     for k in keys[1:]:
         mark = mixed(mark + _SALT) + k
-    out = np.zeros(len(mark), bool)
-    out[np.unique(mark, return_index=True)[1]] = True
-    return out
+    _, index, inverse = np.unique(mark, return_index=True, return_inverse=True)
+    first = index[inverse]
+    return (first != np.arange(len(mark))) & ((name[first] != name) | (at[first] != at))
 
 
 def _signed(x: np.ndarray) -> pa.Array:
@@ -124,7 +124,7 @@ def _stretches(length: int, gram: int):
                             out.append(y)
                 if got[0]:
                     v, whole, name, s, p, n = map(np.concatenate, got)
-                    known = ~_first(v, whole)
+                    known = _settled(name, s, v, whole)
                     # what an earlier row of this slice settles is only passed on, spread over all tasks
                     v = np.where(known, mixed(name.astype(np.uint64) * _SALT + s.astype(np.uint64)), v)
                     yield pa.RecordBatch.from_arrays([_signed(v), _signed(whole), pa.array(name), pa.array(s.astype(np.int32)), pa.array(((p << 12) | (n << 1) | known).astype(np.int32))], names=["bucket", "whole", "id", "at", "facts"])
@@ -135,7 +135,7 @@ def _stretches(length: int, gram: int):
 def _windows(length: int):
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text", 4 << 20):
+            for part in slices(batch, "text"):
                 open_ = part.column("open")
                 got: list[list[np.ndarray]] = [[] for _ in range(5)]
                 for name, x, i in _rows(part):
@@ -164,7 +164,7 @@ def _windows(length: int):
                 edge = np.flatnonzero(np.concatenate([[True], (core[1:] != core[:-1]) | (name[1:] != name[:-1]) | (gram[1:] != gram[:-1]) | (t[1:] != t[:-1] + 1)]))
                 ends = np.append(edge[1:], len(t))
                 sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed(window + (np.arange(len(t)) - np.repeat(edge, ends - edge)).astype(np.uint64)))])
-                known = ~_first(core[edge], sums[ends] - sums[edge], (ends - edge).astype(np.uint64))
+                known = _settled(name[edge], t[edge], core[edge], sums[ends] - sums[edge], (ends - edge).astype(np.uint64))
                 offsets = np.concatenate([[0], np.cumsum(np.where(known, 0, ends - edge))]).astype(np.int32)
                 kept = window[np.repeat(~known, ends - edge)]
                 bucket = np.where(known, mixed(name[edge].astype(np.uint64) * _SALT + t[edge].astype(np.uint64)), core[edge])
@@ -175,10 +175,10 @@ def _windows(length: int):
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, spans): per document with any, the byte spans (lo, hi) that earlier strings repeat; they may overlap."""
-    narrow = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text")).where(F.octet_length("text") >= length)
+    narrow = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text")).where((F.octet_length("text") >= length) & F.col("id").isNotNull())
     posts = narrow.mapInArrow(_stretches(length, gram), "bucket long, whole long, id long, at int, facts int").repartition("bucket")
     kind, bucket = Window.partitionBy("bucket", "whole"), Window.partitionBy("bucket")
-    told = posts.withColumn("nth", F.row_number().over(kind.orderBy("id", "at"))).withColumn("split", F.min("whole").over(bucket) != F.max("whole").over(bucket))
+    told = posts.withColumn("nth", F.rank().over(kind.orderBy("id", "at"))).withColumn("split", F.min("whole").over(bucket) != F.max("whole").over(bucket))
     known = (F.col("facts").bitwiseAND(1) == 1) | (F.col("nth") > 1)
     told = written(told.where(known | F.col("split")).select("id", "at", "facts", known.alias("repeats")))
     number = F.shiftright("facts", 1).bitwiseAND(2047)
@@ -199,8 +199,9 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_
     """Per document: id, n_bytes, spans (maximal removed byte runs lo, hi) and kept (the remaining bytes, binary).
 
     Texts count as UTF-8 bytes, null as empty; texts shorter than `length` stay whole. A string repeats if it starts earlier: in a
-    document of smaller id, or earlier in the same one. Removed bytes may cut characters, so kept is binary. Ids must be
-    distinct integers; other columns are left out; an empty table gives no rows.
+    document of smaller id, or earlier in the same one. Removed bytes may cut characters, so kept is binary. Ids are
+    integers. Repeated rows of one id are one document, and don't repeat each other; a row with a null id stays whole and
+    others aren't compared with it. Other columns are left out; an empty table gives no rows.
     """
     spans = repeated_spans(docs, length, gram, id_col, text_col)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
