@@ -209,12 +209,13 @@ def citations_grouped(spark: SparkSession, sf: str) -> DataFrame:
     return N.citations(_edges(spark, sf), table(spark, sf, "documents"))
 
 
-@query(f"""{_SCORED}, {_themes_sql()}, i AS (SELECT doc_id AS id FROM documents WHERE source IN ('src1', 'src2')), f AS (SELECT least(a, b) AS a, greatest(a, b) AS b, score AS strength, 'quotation' AS kind, 0 AS fam FROM q WHERE score >= 0.3
-UNION ALL SELECT x.id, y.id, least(x.score, y.score), 'theme', 1 FROM scores x JOIN scores y ON x.theme = y.theme AND x.id < y.id WHERE x.source IN ('src1', 'src2') AND y.source IN ('src1', 'src2') AND x.rank <= 5 AND y.rank <= 5),
+@query(f"""{_SCORED}, {_themes_sql()}, i AS (SELECT doc_id AS id FROM documents WHERE source IN ('src1', 'src2') ORDER BY doc_id LIMIT 80), f AS (SELECT least(a, b) AS a, greatest(a, b) AS b, score AS strength, 'quotation' AS kind, 0 AS fam FROM q WHERE score >= 0.3
+UNION ALL SELECT x.id, y.id, least(x.score, y.score), 'theme', 1 FROM scores x JOIN scores y ON x.theme = y.theme AND x.id < y.id WHERE x.id IN (SELECT id FROM i) AND y.id IN (SELECT id FROM i) AND x.rank <= 5 AND y.rank <= 5),
 o AS (SELECT *, row_number() OVER (PARTITION BY a, b ORDER BY fam, strength DESC) AS n FROM f WHERE a IN (SELECT id FROM i) AND b IN (SELECT id FROM i))
 SELECT a, b, round(strength, 6) AS strength, kind FROM o WHERE n = 1 ORDER BY strength DESC, a, b LIMIT 120""")
 def journey_graph_edges(spark: SparkSession, sf: str) -> DataFrame:
-    nodes = table(spark, sf, "documents").where("source in ('src1', 'src2')").select(F.col("doc_id").alias("id"))
+    # a journey has 80 nodes at most, so its pairs are few
+    nodes = table(spark, sf, "documents").where("source in ('src1', 'src2')").select(F.col("doc_id").alias("id")).orderBy("id").limit(80)
     own = scores(spark, sf).join(nodes, "id", "left_semi")
     themes = R.pairs_within(own, "theme", "id", ["score"]).select(F.col("a").alias("source"), F.col("b").alias("target"), F.least("score_a", "score_b").alias("strength"))
     return N.journey_edges([("quotation", _edges(spark, sf).where("strength >= 0.3")), ("theme", themes)], nodes).withColumn("strength", F.round("strength", 6))
