@@ -189,7 +189,7 @@ def theme_indexing(spark: SparkSession, sf: str) -> DataFrame:
     return C.indexed(own, T.needs_judgement(own, passages(spark, sf))).withColumn("top", F.round("top", 6))
 
 
-@query(f"""WITH f AS ({_exact_sql(['that'])}), r AS (SELECT id, row_number() OVER (ORDER BY relevance DESC, id) AS place FROM f) SELECT lang AS language, count(*) AS queries, count_if(place <= 20) AS on_page, count_if(place > 20 AND place <= 200) AS behind, round(count_if(place <= 200) / count(*)::DOUBLE, 6) AS recall FROM documents LEFT JOIN r ON id = doc_id GROUP BY lang""")
+@query(f"""WITH f AS ({_exact_sql(['that'])}), r AS (SELECT id, row_number() OVER (ORDER BY relevance DESC, id) AS place FROM f) SELECT lang AS language, count(*) AS queries, count(*) FILTER (WHERE place <= 20) AS on_page, count(*) FILTER (WHERE place > 20 AND place <= 200) AS behind, round(count(*) FILTER (WHERE place <= 200) / count(*)::DOUBLE, 6) AS recall FROM documents LEFT JOIN r ON id = doc_id GROUP BY lang""")
 def recall_tiers(spark: SparkSession, sf: str) -> DataFrame:
     top = FT.exact(posts(spark, sf), "that").orderBy(F.desc("relevance"), "id").limit(200)
     placed = top.withColumn("place", F.row_number().over(Window.orderBy(F.desc("relevance"), "id")))  # the page, 200 rows
@@ -205,7 +205,7 @@ def user_weights(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(f"""WITH {_CENTRES}, best AS (SELECT id, label FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY round(score, 9) DESC, label) AS r FROM pred SEMI JOIN lab USING (id)) WHERE r = 1),
-c AS (SELECT coalesce(a.label, b.label) AS label, count_if(a.id IS NOT NULL AND b.id IS NOT NULL) AS tp, count_if(a.id IS NULL) AS fp, count_if(b.id IS NULL) AS fn FROM lab a FULL JOIN best b ON a.id = b.id AND a.label = b.label GROUP BY 1)
+c AS (SELECT coalesce(a.label, b.label) AS label, count(*) FILTER (WHERE a.id IS NOT NULL AND b.id IS NOT NULL) AS tp, count(*) FILTER (WHERE a.id IS NULL) AS fp, count(*) FILTER (WHERE b.id IS NULL) AS fn FROM lab a FULL JOIN best b ON a.id = b.id AND a.label = b.label GROUP BY 1)
 SELECT label, tp + fn AS support, round(2 * tp / (2 * tp + fp + fn)::DOUBLE, 6) AS f1, 2 * tp / (2 * tp + fp + fn)::DOUBLE >= 0.55 AND tp + fn >= 100 AS reliable FROM c""")
 def reliable_labels(spark: SparkSession, sf: str) -> DataFrame:
     truth = _labels(spark, sf)
@@ -213,7 +213,7 @@ def reliable_labels(spark: SparkSession, sf: str) -> DataFrame:
     return M.reliable(M.confusion(truth, best)).select("label", "support", F.round("f1", 6).alias("f1"), "reliable")
 
 
-@query(f"""WITH {_CENTRES}, x AS (SELECT (lab.label = pred.label)::INT AS truth, round(score, 9) AS score, unnest([0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]::DOUBLE[]) AS cut FROM pred JOIN lab USING (id)), g AS (SELECT cut, count_if(score >= cut AND truth = 1) AS tp, count_if(score >= cut AND truth = 0) AS fp, count_if(score < cut AND truth = 1) AS fn FROM x GROUP BY 1)
+@query(f"""WITH {_CENTRES}, x AS (SELECT (lab.label = pred.label)::INT AS truth, round(score, 9) AS score, unnest([0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]::DOUBLE[]) AS cut FROM pred JOIN lab USING (id)), g AS (SELECT cut, count(*) FILTER (WHERE score >= cut AND truth = 1) AS tp, count(*) FILTER (WHERE score >= cut AND truth = 0) AS fp, count(*) FILTER (WHERE score < cut AND truth = 1) AS fn FROM x GROUP BY 1)
 SELECT cut, tp, fp, fn, round(2 * tp / (2 * tp + fp + fn)::DOUBLE, 6) AS f1 FROM g""")
 def threshold_sweep(spark: SparkSession, sf: str) -> DataFrame:
     own = _labels(spark, sf).withColumnRenamed("label", "own")
@@ -243,7 +243,7 @@ def judge_chain(spark: SparkSession, sf: str) -> DataFrame:
     return C.first_answer(engines, ["first", "second", "local"]).select("doc_id", "answer", "source")
 
 
-@query("SELECT event_type, count(*) AS requests, count_if(spent > 10000) AS refused FROM (SELECT event_type, sum(value) OVER (PARTITION BY event_type ORDER BY event_id) AS spent FROM events) GROUP BY 1")
+@query("SELECT event_type, count(*) AS requests, count(*) FILTER (WHERE spent > 10000) AS refused FROM (SELECT event_type, sum(value) OVER (PARTITION BY event_type ORDER BY event_id) AS spent FROM events) GROUP BY 1")
 def spend_cap(spark: SparkSession, sf: str) -> DataFrame:
     told = C.within_cap(table(spark, sf, "events").select("event_type", "event_id", F.col("value").alias("cost")), F.col("event_id"), 10_000, "event_type")
     return told.groupBy("event_type").agg(F.count(F.lit(1)).alias("requests"), F.count_if("refused").alias("refused"))

@@ -55,7 +55,7 @@ def label_selection(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(f"""WITH {_CENTRES},
-g AS (SELECT p_label AS label, cut, count_if(score >= cut AND truth = 1) AS tp, count_if(score >= cut AND truth = 0) AS fp, count_if(score < cut AND truth = 1) AS fn FROM (SELECT pred.label AS p_label, round(score, 9) AS score, (lab.label = pred.label)::INT AS truth, unnest([0.1, 0.2, 0.3, 0.4, 0.5, 0.6]::DOUBLE[]) AS cut FROM pred JOIN lab USING (id)) GROUP BY 1, 2),
+g AS (SELECT p_label AS label, cut, count(*) FILTER (WHERE score >= cut AND truth = 1) AS tp, count(*) FILTER (WHERE score >= cut AND truth = 0) AS fp, count(*) FILTER (WHERE score < cut AND truth = 1) AS fn FROM (SELECT pred.label AS p_label, round(score, 9) AS score, (lab.label = pred.label)::INT AS truth, unnest([0.1, 0.2, 0.3, 0.4, 0.5, 0.6]::DOUBLE[]) AS cut FROM pred JOIN lab USING (id)) GROUP BY 1, 2),
 f AS (SELECT *, round(CASE WHEN 2 * tp + fp + fn > 0 THEN 2 * tp / (2 * tp + fp + fn)::DOUBLE ELSE 0 END, 6) AS f1 FROM g) SELECT label, cut, tp, fp, fn, f1 FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY f1 DESC, cut) AS n FROM f) WHERE n = 1""")
 def threshold_grid(spark: SparkSession, sf: str) -> DataFrame:
     own = _labels(spark, sf).withColumnRenamed("label", "own")
@@ -64,7 +64,7 @@ def threshold_grid(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(f"""WITH {_CENTRES}, best AS (SELECT id, label FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY round(score, 9) DESC, label) AS r FROM pred SEMI JOIN lab USING (id)) WHERE r = 1),
-c AS (SELECT coalesce(a.label, b.label) AS label, count_if(a.id IS NOT NULL AND b.id IS NOT NULL) AS tp, count_if(a.id IS NULL) AS fp, count_if(b.id IS NULL) AS fn FROM lab a FULL JOIN best b ON a.id = b.id AND a.label = b.label GROUP BY 1)
+c AS (SELECT coalesce(a.label, b.label) AS label, count(*) FILTER (WHERE a.id IS NOT NULL AND b.id IS NOT NULL) AS tp, count(*) FILTER (WHERE a.id IS NULL) AS fp, count(*) FILTER (WHERE b.id IS NULL) AS fn FROM lab a FULL JOIN best b ON a.id = b.id AND a.label = b.label GROUP BY 1)
 SELECT round(sum(tp) / sum(tp + fp)::DOUBLE, 6) AS precision, round(sum(tp) / sum(tp + fn)::DOUBLE, 6) AS recall, round(2 * sum(tp) / sum(2 * tp + fp + fn)::DOUBLE, 6) AS micro_f1, round(avg(2 * tp / (2 * tp + fp + fn)::DOUBLE) FILTER (tp + fn > 0), 6) AS macro_f1 FROM c""")
 def micro_macro_f1(spark: SparkSession, sf: str) -> DataFrame:
     truth = _labels(spark, sf)
@@ -72,7 +72,7 @@ def micro_macro_f1(spark: SparkSession, sf: str) -> DataFrame:
     return M.measures(M.confusion(truth, best)).select(*(F.round(c, 6).alias(c) for c in ("precision", "recall", "micro_f1", "macro_f1")))
 
 
-@query("""WITH lab AS (SELECT doc_id AS id, quality::VARCHAR || toxic::VARCHAR AS label FROM labels), m AS (SELECT label FROM lab GROUP BY label ORDER BY count(*) DESC, label LIMIT 1), c AS (SELECT coalesce(a.label, b.label) AS label, count_if(a.id IS NOT NULL AND b.id IS NOT NULL) AS tp, count_if(a.id IS NULL) AS fp, count_if(b.id IS NULL) AS fn FROM lab a FULL JOIN (SELECT id, m.label FROM lab, m) b ON a.id = b.id AND a.label = b.label GROUP BY 1)
+@query("""WITH lab AS (SELECT doc_id AS id, quality::VARCHAR || toxic::VARCHAR AS label FROM labels), m AS (SELECT label FROM lab GROUP BY label ORDER BY count(*) DESC, label LIMIT 1), c AS (SELECT coalesce(a.label, b.label) AS label, count(*) FILTER (WHERE a.id IS NOT NULL AND b.id IS NOT NULL) AS tp, count(*) FILTER (WHERE a.id IS NULL) AS fp, count(*) FILTER (WHERE b.id IS NULL) AS fn FROM lab a FULL JOIN (SELECT id, m.label FROM lab, m) b ON a.id = b.id AND a.label = b.label GROUP BY 1)
 SELECT round(2 * sum(tp) / sum(2 * tp + fp + fn)::DOUBLE, 6) AS micro_f1 FROM c""")
 def majority_baseline(spark: SparkSession, sf: str) -> DataFrame:
     truth = _labels(spark, sf)
@@ -81,7 +81,7 @@ def majority_baseline(spark: SparkSession, sf: str) -> DataFrame:
     return M.measures(M.confusion(truth, said)).select(F.round("micro_f1", 6).alias("micro_f1"))
 
 
-@query("SELECT 'quality' AS label, greatest(1, count_if(quality = 0) / count_if(quality = 1)::DOUBLE) AS positive_weight FROM labels UNION ALL SELECT 'toxic', greatest(1, count_if(toxic = 0) / count_if(toxic = 1)::DOUBLE) FROM labels")
+@query("SELECT 'quality' AS label, greatest(1, count(*) FILTER (WHERE quality = 0) / count(*) FILTER (WHERE quality = 1)::DOUBLE) AS positive_weight FROM labels UNION ALL SELECT 'toxic', greatest(1, count(*) FILTER (WHERE toxic = 0) / count(*) FILTER (WHERE toxic = 1)::DOUBLE) FROM labels")
 def class_balance(spark: SparkSession, sf: str) -> DataFrame:
     rows = table(spark, sf, "labels").select(F.explode(F.array(F.struct(F.lit("quality").alias("label"), F.col("quality").alias("v")), F.struct(F.lit("toxic").alias("label"), F.col("toxic").alias("v")))).alias("x")).select("x.*")
     return rows.groupBy("label").agg(F.greatest(F.lit(1.0), F.count_if(F.col("v") == 0) / F.count_if(F.col("v") == 1)).alias("positive_weight"))

@@ -59,7 +59,7 @@ def chapter_counts(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "conversations").groupBy("conv_id").agg(F.count(F.lit(1)).alias("verses"), F.max("turn").alias("last_turn"))
 
 
-@query("""SELECT d.source AS text_id, count(*) AS passages, count(DISTINCT d.lang) AS languages, count(l.doc_id) AS judged, count_if(l.toxic = 1) AS toxic, count(*) - count(l.doc_id) AS unindexed
+@query("""SELECT d.source AS text_id, count(*) AS passages, count(DISTINCT d.lang) AS languages, count(l.doc_id) AS judged, count(*) FILTER (WHERE l.toxic = 1) AS toxic, count(*) - count(l.doc_id) AS unindexed
 FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id GROUP BY d.source""")
 def text_stats(spark: SparkSession, sf: str) -> DataFrame:
     both = table(spark, sf, "documents").select("doc_id", "source", "lang").join(table(spark, sf, "labels").select("doc_id", "toxic", F.lit(True).alias("has")), "doc_id", "left")
@@ -210,7 +210,7 @@ def delete_by_key(spark: SparkSession, sf: str) -> DataFrame:
     return R.deleted(table(spark, sf, "customer").select("c_custkey", "c_name"), gone, ["c_custkey"])
 
 
-@query("""SELECT count_if(old <> new) AS applied, count_if(old = new) AS already_correct, count_if(old IS NULL) AS missing FROM (SELECT p.k, p.new, c.c_mktsegment AS old FROM (SELECT c_custkey + 10 AS k, upper(c_mktsegment) AS new FROM customer) p LEFT JOIN customer c ON c.c_custkey = p.k)""")
+@query("""SELECT count(*) FILTER (WHERE old <> new) AS applied, count(*) FILTER (WHERE old = new) AS already_correct, count(*) FILTER (WHERE old IS NULL) AS missing FROM (SELECT p.k, p.new, c.c_mktsegment AS old FROM (SELECT c_custkey + 10 AS k, upper(c_mktsegment) AS new FROM customer) p LEFT JOIN customer c ON c.c_custkey = p.k)""")
 def corrections_report(spark: SparkSession, sf: str) -> DataFrame:
     from lectern.sources.sinks import corrected
 
@@ -231,7 +231,7 @@ def null_or_empty_vectors(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "embeddings").select("vec_id", "label", (F.col("embedding").isNull() | (F.size("embedding") == 0)).alias("missing"))
 
 
-@query("SELECT label, count(*) AS vectors, count_if(len(embedding) > 0) AS embedded FROM embeddings GROUP BY label")
+@query("SELECT label, count(*) AS vectors, count(*) FILTER (WHERE len(embedding) > 0) AS embedded FROM embeddings GROUP BY label")
 def embedded_counts(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "embeddings").groupBy("label").agg(F.count(F.lit(1)).alias("vectors"), F.count_if(F.size("embedding") > 0).alias("embedded"))
 
