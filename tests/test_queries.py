@@ -22,7 +22,7 @@ def db():
 
 def plain(frame: pd.DataFrame) -> list[tuple]:
     frame = frame[sorted(frame.columns)]
-    rows = [tuple(None if v is None or v is pd.NaT or v != v else (float(v) if isinstance(v, (int, float)) or hasattr(v, "dtype") and v.dtype.kind in "iuf" else str(v)) for v in r) for r in frame.itertuples(index=False)]
+    rows = [tuple(None if pd.isna(v) else (float(v) if isinstance(v, (int, float)) or hasattr(v, "dtype") and v.dtype.kind in "iuf" else str(v)) for v in r) for r in frame.itertuples(index=False)]
     return sorted(rows, key=lambda r: tuple((v is None, str(v)) for v in r))
 
 
