@@ -1,24 +1,37 @@
 """Mixing sources to target weights by Pfair scheduling.
 
-Block j of a source with weight w is released in slot floor((j - 1) / w) and due by slot ceil(j / w). Earliest deadline
-first then serves one block a slot, and at every slot each source has had its weight's share within less than a block.
-Weights are fractions of a period, so the schedule of one period, a table of PERIOD rows, tells the slot of every block.
+A source of weight w has had w * v blocks by virtual time v, until it has no more; slot T(v) is the sum over all sources, so that
+a source that is used up leaves and the others' weights are renormalised. Block j (from 0) is released in slot floor(T(j / w))
+and due by slot ceil(T((j + 1) / w)). Earliest deadline first then serves one block a slot, and at every slot each source has had
+its share within less than a block. Weights are taken as they are, as exact integer ratios. What a source has been served tells
+how the schedule goes on, so the driver notes that every STRIDE slots, and tasks replay the slots in between.
 """
 
 from __future__ import annotations
 
 import heapq
-from collections.abc import Mapping
-
+from bisect import bisect_right
+from collections.abc import Iterator, Mapping
+from fractions import Fraction
+from itertools import accumulate
+from math import lcm
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lectern.llm.common import ranked_by_hash
 
-PERIOD = 2000
+#: Slots that one task replays at a time, at least.
+STRIDE = 1 << 16
+
+
+def _by_name(source: str | None) -> tuple[bool, str]:
+    return source is not None, source or ""
 
 
-def shares(weights: Mapping[str | None, float], period: int = PERIOD) -> dict[str | None, int]:
+def shares(weights: Mapping[str | None, float], period: int = 2000) -> dict[str | None, int]:
     """Slots of a period for each source, by largest remainder; each source of positive weight gets one at least."""
     positive = {s: float(w) for s, w in weights.items() if w and w > 0}
     if len(positive) > period:
@@ -26,32 +39,72 @@ def shares(weights: Mapping[str | None, float], period: int = PERIOD) -> dict[st
     total = sum(positive.values())
     exact = {s: w / total * period for s, w in positive.items()}
     out = {s: max(1, int(x)) for s, x in exact.items()}
-    name = lambda s: (s is not None, s or "")
-    for s in sorted(exact, key=lambda s: (-(exact[s] - out[s]), name(s)))[: max(0, period - sum(out.values()))]:
+    for s in sorted(exact, key=lambda s: (-(exact[s] - out[s]), _by_name(s)))[: max(0, period - sum(out.values()))]:
         out[s] += 1
     while sum(out.values()) > period:
-        out[max(out, key=lambda s: (out[s], name(s)))] -= 1
+        out[max(out, key=lambda s: (out[s], _by_name(s)))] -= 1
     return out
 
 
+class Schedule:
+    """Sources of positive weight in `names`, each with a number of blocks; `total` slots hold them all."""
+
+    def __init__(self, weights: Mapping[str | None, float], blocks: Mapping[str | None, int]):
+        self.names = sorted((s for s, w in weights.items() if w and w > 0), key=_by_name)
+        exact = [Fraction(weights[s]) for s in self.names]
+        scale = lcm(*(w.denominator for w in exact))
+        self.weight = [int(w * scale) for w in exact]
+        self.blocks = [blocks.get(s, 0) for s in self.names]
+        self.total = sum(self.blocks)
+        # in the order in which sources are used up: when, the blocks of those that are, and the weight of the others
+        order = sorted(range(len(self.names)), key=lambda i: self.blocks[i] / self.weight[i])
+        self.ends = [self.blocks[i] / self.weight[i] for i in order]
+        self.gone = list(accumulate((self.blocks[i] for i in order), initial=0))
+        self.left = list(accumulate((-self.weight[i] for i in order), initial=sum(self.weight)))
+
+    def window(self, i: int, j: int) -> tuple[int, int]:
+        """The slots in which block j of source i is released, and by which it is due."""
+        w = self.weight[i]
+        a, b = bisect_right(self.ends, j / w), bisect_right(self.ends, (j + 1) / w)
+        return self.gone[a] + j * self.left[a] // w, self.gone[b] - (-(j + 1) * self.left[b] // w)
+
+    def replay(self, start: int, stop: int, served: list[int]) -> list[int]:
+        """The source that each slot serves, earliest deadline first among released blocks; `served`, the blocks that each has had before, is brought up to date."""
+        waiting = [(*self.window(i, n), i) for i, n in enumerate(served) if n < self.blocks[i]]
+        heapq.heapify(waiting)
+        ready: list[tuple[int, int]] = []
+        out = []
+        for slot in range(start, stop):
+            while waiting and (waiting[0][0] <= slot or not ready):
+                _, due, i = heapq.heappop(waiting)
+                heapq.heappush(ready, (due, i))
+            _, i = heapq.heappop(ready)
+            out.append(i)
+            served[i] += 1
+            if served[i] < self.blocks[i]:
+                heapq.heappush(waiting, (*self.window(i, served[i]), i))
+        return out
+
+    def starts(self, stride: int = STRIDE) -> Iterator[tuple[int, int, bytes]]:
+        """Slots from and to, and what each source has been served before, for the whole schedule."""
+        stride, served = max(stride, 64 * len(self.names)), [0] * len(self.names)
+        for start in range(0, self.total, stride):
+            stop = min(start + stride, self.total)
+            yield start, stop, np.array(served, np.int64).tobytes()
+            if stop < self.total:
+                self.replay(start, stop, served)
+
+    def kept_until(self, full: Mapping[str | None, int]) -> int:
+        """The first slot that a source with so many full blocks can't fill any more at its weight."""
+        return min((full.get(s, 0) * self.left[0] // w for s, w in zip(self.names, self.weight)), default=0)
+
+
 def schedule(slots: Mapping[str | None, int]) -> dict[str | None, list[int]]:
-    """The slots of a period that each source's blocks get, earliest deadline first among released blocks."""
-    period = sum(slots.values())
-    names = sorted(slots, key=lambda s: (s is not None, s or ""))
-    out: dict[str | None, list[int]] = {s: [] for s in names}
-    waiting = [(0, -(-period // slots[s]), i) for i, s in enumerate(names)]
-    heapq.heapify(waiting)
-    ready: list[tuple[int, int]] = []
-    for slot in range(period):
-        while waiting and waiting[0][0] <= slot:
-            _, due, i = heapq.heappop(waiting)
-            heapq.heappush(ready, (due, i))
-        due, i = heapq.heappop(ready)
-        s = names[i]
-        out[s].append(slot)
-        j = len(out[s])
-        if j < slots[s]:
-            heapq.heappush(waiting, (j * period // slots[s], -(-(j + 1) * period // slots[s]), i))
+    """The slots that each source's blocks get if its weight is their number."""
+    own = Schedule(slots, slots)
+    out: dict[str | None, list[int]] = {s: [] for s in own.names}
+    for slot, i in enumerate(own.replay(0, own.total, [0] * len(own.names))):
+        out[own.names[i]].append(slot)
     return out
 
 
@@ -61,31 +114,34 @@ def tempered(docs: DataFrame, power: float = 0.9, source_col: str = "source") ->
     return {r[0]: r[1] ** power for r in rows}
 
 
-def mixed(docs: DataFrame, weights: Mapping[str | None, float], block_rows: int = 1, id_col: str = "doc_id", source_col: str = "source", period: int = PERIOD) -> DataFrame:
+def mixed(docs: DataFrame, weights: Mapping[str | None, float], block_rows: int = 1, id_col: str = "doc_id", source_col: str = "source", stride: int = STRIDE) -> DataFrame:
     """The rows of docs with mix_block (number of the row's block in its source), mix_slot, mix_position and in_mix.
 
-    Sources are read in an order by hash of the id. Sorting by mix_position interleaves them. in_mix holds until the first slot
-    that its source can't fill any more: so far the weights hold within less than a block. Rows of sources without a
-    positive weight stay, with null slots and in_mix false; a null source is a source like others. Equal ids of one source
-    follow each other. Columns of docs named like an added one are replaced; an empty table gives no rows.
+    Sources are read in an order by hash of the id. Sorting by mix_position interleaves them: at every slot each source that has
+    blocks left is served by weight within less than a block; one that is used up leaves, and the others' weights are renormalised.
+    in_mix holds until the first slot that a source can't fill any more: so far these are the weights given. Rows of sources
+    without a positive weight stay, with null slots and in_mix false; a null source is a source like others. Equal ids of one
+    source follow each other. Columns of docs named like an added one are replaced; an empty table gives no rows.
     """
-    slots = shares(weights, period)
-    at = schedule(slots)
-    every = sum(slots.values())
     counts = {r[0]: r[1] for r in docs.groupBy(source_col).count().collect()}  # a row for each source
+    plan = Schedule(weights, {s: -(-n // block_rows) for s, n in counts.items()})
+    end = plan.kept_until({s: n // block_rows for s, n in counts.items()})
+
+    def slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                before = np.frombuffer(row["served"], np.int64)
+                own = np.array(plan.replay(row["start"], row["stop"], before.tolist()), np.int64)
+                order = np.argsort(own, kind="stable")
+                n = np.bincount(own, minlength=len(before))
+                block = np.arange(len(own)) - np.repeat(np.cumsum(n) - n - before, n)
+                yield pa.RecordBatch.from_arrays([pa.array(own[order].astype(np.int32)), pa.array(block), pa.array(row["start"] + order)], names=["_i", "_j", "_slot"])
 
-    def slot(source: str | None, block: int) -> int:
-        return block // slots[source] * every + at[source][block % slots[source]]
-
-    end = min((slot(s, counts.get(s, 0) // block_rows) for s in slots), default=0)
     spark = docs.sparkSession
-    rows = [(s, slots[s], i, x) for s, own in at.items() for i, x in enumerate(own)]
-    plan = spark.createDataFrame(rows, "_source string, _share int, _i int, _slot int")  # PERIOD rows
+    placed = spark.createDataFrame(list(plan.starts(stride)), "start long, stop long, served binary").mapInArrow(slots, "_i int, _j long, _slot long")
     added = ["mix_block", "mix_slot", "mix_position", "in_mix"]
     numbered = ranked_by_hash(docs.drop(*added).withColumn("_h", F.xxhash64(F.lit("mix"), id_col)), [source_col], "_h", "_rank", [id_col])
-    share = F.broadcast(spark.createDataFrame([(s, n) for s, n in slots.items()], "_s string, _n int"))
-    known = numbered.join(share, numbered[source_col].eqNullSafe(F.col("_s")), "left").withColumn("mix_block", F.floor(F.col("_rank") / block_rows))
-    known = known.withColumn("_k", (F.col("mix_block") % F.col("_n")).cast("int"))
-    placed = known.join(F.broadcast(plan), known[source_col].eqNullSafe(F.col("_source")) & (F.col("_k") == F.col("_i")), "left")
-    when = F.floor(F.col("mix_block") / F.col("_n")) * every + F.col("_slot")
-    return placed.withColumn("mix_slot", when).withColumns({"mix_position": F.col("mix_slot") * block_rows + F.col("_rank") % block_rows, "in_mix": F.coalesce(F.col("mix_slot") < end, F.lit(False))}).drop("_h", "_rank", "_s", "_n", "_k", "_source", "_share", "_i", "_slot")
+    number = F.broadcast(spark.createDataFrame([(s, i) for i, s in enumerate(plan.names)], "_s string, _n int"))
+    known = numbered.join(number, numbered[source_col].eqNullSafe(F.col("_s")), "left").withColumn("mix_block", F.floor(F.col("_rank") / block_rows))
+    known = known.join(placed, (F.col("_n") == F.col("_i")) & (F.col("mix_block") == F.col("_j")), "left").withColumn("mix_slot", F.col("_slot"))
+    return known.withColumns({"mix_position": F.col("mix_slot") * block_rows + F.col("_rank") % block_rows, "in_mix": F.coalesce(F.col("mix_slot") < end, F.lit(False))}).drop("_h", "_rank", "_s", "_n", "_i", "_j", "_slot")

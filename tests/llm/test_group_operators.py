@@ -47,6 +47,42 @@ def test_mix_of_documents(spark):
     assert mixing.mixed(docs.limit(0), weights).count() == 0
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.tuples(st.floats(0.001, 10), st.integers(0, 60)), min_size=1, max_size=8), st.integers(1, 100))
+def test_schedule_keeps_the_weights_given(sources, stride):
+    plan = mixing.Schedule({f"{i}": w for i, (w, _) in enumerate(sources)}, {f"{i}": n for i, (_, n) in enumerate(sources)})
+    whole = plan.replay(0, plan.total, [0] * len(sources))
+    parts = [plan.replay(a, b, np.frombuffer(served, np.int64).tolist()) for a, b, served in plan.starts(stride)]
+    assert [i for part in parts for i in part] == whole
+    w, n = (np.array(x, float) for x in zip(*sources))
+    served, low = np.zeros(len(sources)), 0.0
+    for slot, i in enumerate(whole, 1):
+        served[i] += 1
+        high = (n / w).max()
+        for _ in range(80):  # the virtual time at which so many blocks are due in all
+            mid = (low + high) / 2
+            low, high = (mid, high) if np.minimum(w * mid, n).sum() < slot else (low, mid)
+        assert (np.abs(served - np.minimum(w * high, n)) < 1 + 1e-6).all()
+    assert (served == n).all()
+
+
+def test_error_of_weights_doesnt_grow():
+    rows = {"a": 199_001, "b": 150_007, None: 50_003, "rare": 97}
+    weights = {s: n**0.9 for s, n in rows.items()}
+    plan = mixing.Schedule(weights, rows)
+    slots = np.array(plan.replay(0, plan.kept_until(rows), [0] * 4))
+    assert len(slots) > 30_000
+    for i, s in enumerate(plan.names):
+        served = np.cumsum(slots == i)
+        assert np.abs(served - weights[s] / sum(weights.values()) * np.arange(1, len(slots) + 1)).max() < 1 + 1e-6
+
+
+def test_many_sources_are_mixed(spark):
+    docs = spark.createDataFrame([(i, f"s{i % 2500}") for i in range(3000)], "doc_id long, source string")
+    got = mixing.mixed(docs, mixing.tempered(docs)).toPandas()
+    assert sorted(got.mix_position) == list(range(3000))
+
+
 # ---------------------------------------------------------------- chats
 
 said = st.lists(st.sampled_from(["a", "\\", "<s>", "</s>", "[INST]", "[/INST]", "<", "/", "\n", "s>", "é", "\0", "[", "n"]), max_size=12).map("".join)
