@@ -3,9 +3,9 @@
 Spark counts, over every labelled training row, how often each class writes a byte after the five before it in the word.
 A class's probability is its own discounted count and, for the rest, the Kneser-Ney probability of both classes together,
 which backs off to shorter contexts by continuation counts. So rare words, and forms of a word never seen, lean on
-shared counts and on parts of words. What tasks receive are two tables of SLOTS entries, whatever the corpus holds:
-the difference of the two log-probabilities of each frequent six-byte string, and of an unseen byte by context (there
-the shared part cancels). A document's evidence is that difference, summed in words and normalised by length, over
+shared counts and on parts of words. What tasks receive are two sorted tables that grow with the counted strings:
+the difference of the two log-probabilities of each six-byte string, and of an unseen byte by context (there the
+shared part cancels). No counted string is left out, and none takes another's value. A document's evidence is that difference, summed in words and normalised by length, over
 the text and over its most toxic stretch; a logistic regression on other labelled rows turns it into a score.
 """
 
@@ -17,16 +17,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from lectern.llm.common import checked_broadcast, mixed, slices, split_words, word_codes, written
+from lectern.llm.common import checked_broadcast, slices, split_words, word_codes, written
 
 ORDER = 6
 DISCOUNT = 0.75
-#: Entries of a table that is sent to tasks, in buckets of WAYS; a bucket keeps the strings that tell most, by difference times count (50 at most).
-SLOT_BITS = 21
-WAYS = 4
-CHUNK_BITS = 15
 #: Words of the stretch whose mean is the second piece of evidence.
 STRETCH = 8
 #: A word speaks against toxicity by so much at most: what only the larger class has written is weak evidence.
@@ -70,46 +65,32 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int64)), *(pa.array(x.astype(np.int64)) for x in n)], names=["k", "n0", "n1"])
 
 
-def _slot(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The first entry of a string's bucket, and a mark that tells it from others there."""
-    h = mixed(keys)
-    return (h >> np.uint64(64 - SLOT_BITS)).astype(np.int64) // WAYS * WAYS, ((h & np.uint64(0x7FFF)) + np.uint64(1)).astype(np.int16)
-
-
-def _looked_up(keys: np.ndarray, marks: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _looked_up(keys: np.ndarray, known: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Whether the table has each string, and its value or 0."""
-    slot, mark = _slot(keys)
-    there, out = np.zeros(len(keys), bool), np.zeros(len(keys), np.float32)
-    for way in range(WAYS):
-        own = marks[slot + way] == mark
-        out = np.where(own, value[slot + way], out)
-        there |= own
-    return there, out
+    if not len(known):
+        return np.zeros(len(keys), bool), np.zeros(len(keys), np.float32)
+    at = np.minimum(np.searchsorted(known, keys.astype(np.int64)), len(known) - 1)
+    there = known[at] == keys.astype(np.int64)
+    return there, np.where(there, value[at], np.float32(0))
 
 
 def _table(values: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Rows (k, weight, value) as marks and values by slot; Spark fills the table in chunks, which are all that the driver gets."""
+    """Rows (k, value) as sorted strings and their values; the driver gets them in packed batches."""
 
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            slot, mark = _slot(batch.column("k").to_numpy().astype(np.uint64))
-            yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array(mark), batch.column("weight"), batch.column("value")], names=["slot", "mark", "weight", "value"])
-
-    def fill(rows: pa.Table) -> pa.Table:
-        slot = rows.column("slot").to_numpy()
-        chunk, at = int(slot[0]) >> CHUNK_BITS, slot & ((1 << CHUNK_BITS) - 1)
-        marks, value = np.zeros(1 << CHUNK_BITS, np.int16), np.zeros(1 << CHUNK_BITS, np.float32)
-        marks[at], value[at] = rows.column("mark").to_numpy(), rows.column("value").to_numpy()
-        return pa.table({"chunk": pa.array([chunk], pa.int64()), "marks": pa.array([marks.tobytes()], pa.binary()), "vals": pa.array([value.tobytes()], pa.binary())})
-
-    weighed = values.select("k", (F.least(F.col("n"), F.lit(50)) * F.abs("value")).cast("float").alias("weight"), "value").mapInArrow(place, "slot long, mark short, weight float, value float")
-    best = weighed.withColumn("way", F.row_number().over(Window.partitionBy("slot").orderBy(F.desc("weight"), "mark", "value"))).where(F.col("way") <= WAYS)
-    best = best.select((F.col("slot") + F.col("way") - 1).alias("slot"), "mark", "value", F.shiftright("slot", CHUNK_BITS).alias("chunk"))
-    marks, value = np.zeros(1 << SLOT_BITS, np.int16), np.zeros(1 << SLOT_BITS, np.float32)
-    for r in best.groupBy("chunk").applyInArrow(fill, "chunk long, marks binary, vals binary").toLocalIterator():
-        own = slice(r["chunk"] << CHUNK_BITS, (r["chunk"] + 1) << CHUNK_BITS)
-        marks[own], value[own] = np.frombuffer(r["marks"], np.int16), np.frombuffer(r["vals"], np.float32)
-    return marks, value
+            k, value = batch.column("k").to_numpy(), batch.column("value").to_numpy()
+            yield pa.RecordBatch.from_arrays([pa.array([k.tobytes()], pa.binary()), pa.array([value.tobytes()], pa.binary())], names=["k", "vals"])
+
+    rows = written(values.select("k", "value"))
+    n, at = rows.count(), 0
+    known, value = np.zeros(n, np.int64), np.zeros(n, np.float32)
+    for r in rows.mapInArrow(packed, "k binary, vals binary").toLocalIterator():
+        k = np.frombuffer(r["k"], np.int64)
+        known[at : at + len(k)], value[at : at + len(k)] = k, np.frombuffer(r["vals"], np.float32)
+        at += len(k)
+    order = np.argsort(known)
+    return known[order], value[order]
 
 
 def fit(train: DataFrame) -> list[np.ndarray] | None:
@@ -138,8 +119,8 @@ def fit(train: DataFrame) -> list[np.ndarray] | None:
     context = written(context.select("h", "all0", "all1", left(0).alias("left0"), left(1).alias("left1")))
     own = lambda c: less(F.col(f"n{c}")) / F.greatest(F.col(f"all{c}"), F.lit(1)) + F.col(f"left{c}") * F.col("p")
     told = grams.join(shared, "k").withColumn("h", F.shiftright("k", 8)).join(context, "h")
-    strings = told.select("k", (F.col("n0") + F.col("n1")).alias("n"), F.log(own(1) / own(0)).cast("float").alias("value"))
-    unseen = context.select(F.col("h").alias("k"), (F.col("all0") + F.col("all1")).alias("n"), F.log(F.col("left1") / F.col("left0")).cast("float").alias("value"))
+    strings = told.select("k", F.log(own(1) / own(0)).cast("float").alias("value"))
+    unseen = context.select(F.col("h").alias("k"), F.log(F.col("left1") / F.col("left0")).cast("float").alias("value"))
     return [*_table(strings), *_table(unseen)]
 
 
@@ -154,10 +135,10 @@ def _evidence(model: list[np.ndarray] | None, texts: pa.Array) -> np.ndarray:
     codes, distinct = word_codes(words)
     if not len(codes):
         return out
-    marks, value, context_marks, context_value = model
+    known, value, contexts, context_value = model
     keys, owner = _strings(distinct)
-    there, each = _looked_up(keys, marks, value)
-    each = np.where(there, each, _looked_up(keys >> np.uint64(8), context_marks, context_value)[1])
+    there, each = _looked_up(keys, known, value)
+    each = np.where(there, each, _looked_up(keys >> np.uint64(8), contexts, context_value)[1])
     diff = np.maximum(np.bincount(owner, each, len(distinct)), FLOOR)[codes]
     sums = np.concatenate([[0.0], np.cumsum(diff)])
     start = np.searchsorted(rows, np.arange(n + 1))

@@ -189,6 +189,15 @@ def test_toxicity_of_held_out_documents(spark):
     assert toxicity.toxicity(docs.limit(0), labels).count() == 0
 
 
+def test_no_counted_string_is_lost(spark):
+    keys = np.arange(300_000, dtype=np.int64) * 1_000_003
+    values = spark.range(300_000).selectExpr("id * 1000003 AS k", "1L AS n", "cast(id % 1000 + 1 AS float) AS value")
+    known, value = toxicity._table(values)
+    there, got = toxicity._looked_up(keys.astype(np.uint64), known, value)
+    assert there.all() and (got == np.arange(300_000) % 1000 + 1).all()
+    assert not toxicity._looked_up((keys + 1).astype(np.uint64), known, value)[0].any()
+
+
 def test_quality_grades(spark):
     rows = corpus(600, 2)
     docs = spark.createDataFrame([(i, t, "x") for i, t, *_ in rows] + [(7000, None, "x"), (7001, " \n", "x")], "doc_id long, text string, tail_prob string")
