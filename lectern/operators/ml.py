@@ -17,9 +17,10 @@ def term_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return words.groupBy("id", "term").agg(F.count(F.lit(1)).alias("n"))
 
 
-def vocabulary(counts: DataFrame, min_df: int = 3, most: int = 40_000) -> DataFrame:
-    """(term, df) of the most frequent terms, equal ones by name."""
-    return counts.groupBy("term").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") >= min_df).orderBy(F.desc("df"), "term").limit(most)
+def vocabulary(counts: DataFrame, min_df: int = 3, most: int | None = 40_000) -> DataFrame:
+    """(term, df) of the most frequent terms, equal ones by name; of all terms if `most` is None."""
+    terms = counts.groupBy("term").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") >= min_df)
+    return terms if most is None else terms.orderBy(F.desc("df"), "term").limit(most)
 
 
 def tfidf(counts: DataFrame, terms: DataFrame, documents: int) -> DataFrame:

@@ -22,7 +22,7 @@ def _counts(spark: SparkSession, sf: str) -> DataFrame:
 
 def _vectors(spark: SparkSession, sf: str) -> DataFrame:
     counts = _counts(spark, sf)
-    return M.tfidf(counts, M.vocabulary(counts, 5, 1_000_000), table(spark, sf, "documents").count())
+    return M.tfidf(counts, M.vocabulary(counts, 5, None), table(spark, sf, "documents").count())
 
 
 def _labels(spark: SparkSession, sf: str) -> DataFrame:
@@ -36,7 +36,7 @@ def _scores(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"WITH {_COUNTS} SELECT term, df FROM vocab")
 def doc_frequency(spark: SparkSession, sf: str) -> DataFrame:
-    return M.vocabulary(_counts(spark, sf), 5, 1_000_000)
+    return M.vocabulary(_counts(spark, sf), 5, None)
 
 
 @query(f"WITH {_TFIDF} SELECT id, term, round(weight, 6) AS weight FROM vec")

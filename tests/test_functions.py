@@ -115,3 +115,10 @@ def test_weights():
     assert S.normalised_weights(None)["thematic"] == 0.3 and S.normalised_weights({"thematic": 0})["thematic"] == 0.3
     own = S.normalised_weights({"thematic": 2, "narrative": 0.5})
     assert own["thematic"] == pytest.approx(2 / 3) and sum(own.values()) == pytest.approx(1)
+
+
+def test_vocabulary_has_all_terms_without_a_limit(spark):
+    from lectern.operators import ml
+
+    counts = spark.range(1_000_002).selectExpr("id", "cast(id AS string) AS term", "1L AS n")
+    assert ml.vocabulary(counts, 1, None).count() == 1_000_002 and ml.vocabulary(counts, 1, 10).count() == 10
