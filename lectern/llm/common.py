@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterable
 
 import numpy as np
 import pandas as pd
@@ -32,14 +33,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or a temporary one where that is unset (tests)."""
-    place = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that all executors share: spark.checkpoint.dir. Where that is unset a local master gets a temporary one (tests)."""
+    place = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not place:
-        found = spark.sparkContext.getCheckpointDir()
-        if found is None:
-            spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
-            found = spark.sparkContext.getCheckpointDir()
-        place = found
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors and the driver share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+        place = spark.sparkContext.getCheckpointDir()
     return place.rstrip("/")
 
 
@@ -51,6 +51,27 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Deletes the files of written() tables that nothing reads any more."""
+    for df in tables:
+        spark = df.sparkSession
+        for path in {f.rpartition("/")[0] for f in df.inputFiles()}:
+            if path.rpartition("/")[2].startswith("lectern-"):
+                place = spark._jvm.org.apache.hadoop.fs.Path(path)
+                place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def unused(columns: Iterable[str], *names: str) -> list[str]:
+    """The names, with underscores before those that a column has already, in whatever case."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 #: Rows of a few numbers each that may be sent to every executor (some 50 MB at most).
 BROADCAST_ROWS = 2_000_000
 
@@ -60,6 +81,24 @@ def checked_broadcast(small: DataFrame, limit: int = BROADCAST_ROWS) -> DataFram
     return F.broadcast(small) if small.count() <= limit else small
 
 
+#: A key of more rows than this is joined without a shuffle of its rows.
+HOT_ROWS = 1000
+
+
+def joined_back(rows: DataFrame, facts: DataFrame, on: list[str], count: str = "n") -> DataFrame:
+    """rows joined with facts, a written table with one row for each key `on` and the number of the key's rows in `count`.
+
+    Facts of keys with more than HOT_ROWS rows are few against the rows, so they are broadcast and their rows stay where
+    they are, however many one key has; the rest is joined as usual. The column `count` goes.
+    """
+    hot = facts.where(F.col(count) > HOT_ROWS)
+    if hot.isEmpty():
+        return rows.join(facts.drop(count), on)
+    hot = checked_broadcast(written(hot.drop(count)))
+    cold = rows.join(hot.select(*on), on, "left_anti").join(facts.where(F.col(count) <= HOT_ROWS).drop(count), on)
+    return rows.join(hot, on).unionByName(cold)
+
+
 # ---------------------------------------------------------------- Arrow text
 
 
@@ -138,17 +177,24 @@ def ranked(df: DataFrame, within: list[str], group: str, item: str, out: str, ex
     small windows.
     """
     # one key for all of `within`: plain equality then lets the join use the partitioning of the window
-    b, f = F.shiftright(F.col(group), 64 - (bins.bit_length() - 1)), F.shiftright(F.col(item), 64 - (fine.bit_length() - 1))
-    at = df.withColumns({"_k": F.xxhash64(*within), "_b": b, "_f": f})
-    sizes = at.groupBy("_k", "_b", group, "_f").agg(F.count(F.lit(1)).alias("_n"))
-    coarse = sizes.groupBy("_k", "_b").agg(F.sum("_n").alias("_m"))
-    before = Window.partitionBy("_k").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    coarse = coarse.select("_k", "_b", F.coalesce(F.sum("_m").over(before), F.lit(0)).alias("_above"))
-    inner = Window.partitionBy("_k", "_b").orderBy(group, "_f").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = sizes.withColumn("_in", F.coalesce(F.sum("_n").over(inner), F.lit(0))).join(coarse, ["_k", "_b"])
-    offsets = sizes.select("_k", "_b", group, "_f", (F.col("_above") + F.col("_in")).alias("_off"))
-    own = Window.partitionBy("_k", "_b", group, "_f").orderBy(item, *(extra or []))
-    return at.withColumn("_r", F.row_number().over(own) - 1).join(offsets, ["_k", "_b", group, "_f"]).withColumn(out, (F.col("_off") + F.col("_r")).cast("long")).drop("_k", "_b", "_f", "_r", "_off")
+    k, b, f, r, off, n, m = unused([*df.columns, out], "k", "b", "f", "r", "off", "n", "m")
+    at = df.withColumns(
+        {
+            k: F.xxhash64(*within),
+            b: F.shiftright(F.col(group), 64 - (bins.bit_length() - 1)),
+            f: F.shiftright(F.col(item), 64 - (fine.bit_length() - 1)),
+        }
+    )
+    sizes = at.groupBy(k, b, group, f).agg(F.count(F.lit(1)).alias(n))
+    coarse = sizes.groupBy(k, b).agg(F.sum(n).alias(m))
+    before = Window.partitionBy(k).orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
+    coarse = coarse.select(k, b, F.coalesce(F.sum(m).over(before), F.lit(0)).alias(m))
+    inner = Window.partitionBy(k, b).orderBy(group, f).rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.withColumn(n, F.coalesce(F.sum(n).over(inner), F.lit(0))).join(coarse, [k, b])
+    offsets = sizes.select(k, b, group, f, (F.col(m) + F.col(n)).alias(off))
+    own = Window.partitionBy(k, b, group, f).orderBy(item, *(extra or []))
+    numbered = at.withColumn(r, F.row_number().over(own) - 1).join(offsets, [k, b, group, f])
+    return numbered.withColumn(out, (F.col(off) + F.col(r)).cast("long")).select(*df.columns, out)
 
 
 def ranked_by_hash(df: DataFrame, within: list[str], item: str, out: str, extra: list[str] | None = None, bins: int = 1024) -> DataFrame:
@@ -156,12 +202,13 @@ def ranked_by_hash(df: DataFrame, within: list[str], item: str, out: str, extra:
 
     Rows are counted by ranges of the hash, so a large `within` is dealt over `bins` tasks; the order doesn't depend on bins.
     """
-    at = df.withColumns({"_k": F.xxhash64(*within), "_b": F.shiftright(F.col(item), 64 - (bins.bit_length() - 1))})
-    sizes = at.groupBy("_k", "_b").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy("_k").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = sizes.select("_k", "_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
-    own = at.withColumn("_r", F.row_number().over(Window.partitionBy("_k", "_b").orderBy(item, *(extra or []))) - 1)
-    return own.join(sizes, ["_k", "_b"]).withColumn(out, (F.col("_off") + F.col("_r")).cast("long")).drop("_k", "_b", "_r", "_off")
+    k, b, r, off, n = unused([*df.columns, out], "k", "b", "r", "off", "n")
+    at = df.withColumns({k: F.xxhash64(*within), b: F.shiftright(F.col(item), 64 - (bins.bit_length() - 1))})
+    sizes = at.groupBy(k, b).agg(F.count(F.lit(1)).alias(n))
+    before = Window.partitionBy(k).orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.select(k, b, F.coalesce(F.sum(n).over(before), F.lit(0)).alias(off))
+    own = at.withColumn(r, F.row_number().over(Window.partitionBy(k, b).orderBy(item, *(extra or []))) - 1)
+    return own.join(sizes, [k, b]).withColumn(out, (F.col(off) + F.col(r)).cast("long")).select(*df.columns, out)
 
 
 # ---------------------------------------------------------------- components
@@ -170,21 +217,29 @@ def ranked_by_hash(df: DataFrame, within: list[str], item: str, out: str, extra:
 def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
     """(id, component): the smallest id that each node reaches over links (a, b), by alternating large-star and small-star steps.
 
-    Each step replaces links by links to the smallest neighbour, so chains halve and no neighbourhood is gathered in
-    one task: minima are aggregated before the shuffle. Ends when a step changes nothing.
+    Each step replaces links by links to the smallest neighbour, so chains halve. Minima are aggregated before the shuffle, and
+    the links of a hub stay where they are (joined_back), so no neighbourhood is gathered in one task. Ends when a step
+    changes nothing.
     """
     links = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
     links = written(links)
     before = None
     while True:
         both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        links = written(small)
-        state = links.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
+        least = both.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n"))
+        least = written(least.select("a", F.least("a", "m").alias("m"), "n"))
+        large = joined_back(both.where("b > a"), least, ["a"]).select(F.col("b").alias("a"), F.col("m").alias("b"))
+        large = written(large.where("a <> b").distinct())
+        low = written(large.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n")))
+        own = F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b"))
+        small = joined_back(large, low, ["a"]).select(own.alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        after = written(small)
+        discard(links, least, large, low)
+        links = after
+        told = F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))
+        state = links.agg(F.count(F.lit(1)).alias("n"), told.alias("h")).first()
         if state == before:
             break
         before = state
-    return nodes.join(links.select(F.col("a").alias("id"), F.col("b").alias("component")), "id", "left").select("id", F.coalesce("component", "id").alias("component"))
+    found = links.select(F.col("a").alias("id"), F.col("b").alias("component"))
+    return nodes.join(found, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
