@@ -1,7 +1,7 @@
 """Benchmark decontamination: training tokens stream through a generalised suffix automaton of the test items.
 
-Items go in blocks of a bounded number of words, each block one automaton that tasks receive; documents pass by each block
-and what the blocks find is joined. A match is a run of `window` words of an item, or a whole item that is shorter.
+Items go in blocks of a bounded number of words, each block one automaton that tasks receive, one after another; documents
+pass by each block, and what the blocks find is added to the document's row. A match is a run of `window` words of an item, or a whole item that is shorter.
 """
 
 from __future__ import annotations
@@ -14,10 +14,11 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import checked_broadcast, slices, split_words, word_codes, written
+from lectern.llm.common import checked_broadcast, slices, split_words, unused, word_codes, written
 
 #: Words of items in one automaton, so a broadcast is some 30 MB at most.
 BLOCK_WORDS = 1 << 17
@@ -162,52 +163,101 @@ def _found(own: Automaton, texts: pa.Array, vocabulary: pa.Array) -> tuple[np.nd
     return np.diff(start), runs, names
 
 
-def _blocks(items: DataFrame, item_id: str, text_col: str, block_words: int):
-    """The items in blocks of about block_words words, one after another."""
-    spaced = items.select(F.col(item_id).cast("string").alias("item"), F.col(text_col).alias("text"), (F.octet_length(text_col) / 2 + 1).alias("most")).where("item is not null and text is not null")
-    total = spaced.agg(F.sum("most")).first()[0] or 0
-    n = max(1, int(-(-total // block_words)))
-    for b in range(n):
-        rows = spaced.where(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == b).select("item", "text").orderBy("item", "text").collect()  # bounded by block_words
-        yield [(r["item"], [w.decode() for w in _WORD.findall(_lower(r["text"]))]) for r in rows]
+#: Windows of an item that stay in one block; longer items are cut, with the words that both parts need in each.
+PIECE_WINDOWS = 4096
 
 
 def _lower(text: str) -> bytes:
     return text.encode().translate(bytes(b + 32 if 65 <= b <= 90 else b for b in range(256)))
 
 
+def _pieces(items: DataFrame, window: int, item_id: str, text_col: str, block_words: int) -> tuple[DataFrame, int]:
+    """A written table (item, words, block) of distinct items, the long ones in parts, and the number of blocks.
+
+    Every window of an item is in one of its parts, so a block holds about block_words words whatever the items are.
+    """
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    words = F.regexp_extract_all(F.translate(text_col, upper, lower), F.lit(r"([^\x00-\x2F\x3A-\x60\x7B-\x7F]+)"), F.lit(1))
+    own = items.select(F.col(item_id).cast("string").alias("item"), words.alias("words")).where("item is not null and size(words) > 0")
+    step = min(PIECE_WINDOWS, max(1, block_words - window + 1))
+    starts = F.sequence(F.lit(0), F.greatest(F.size("words") - window, F.lit(0)), F.lit(step))
+    cut = own.distinct().select("item", "words", F.explode(starts).alias("start"))
+    cut = cut.select("item", F.slice("words", F.col("start") + 1, F.lit(step + window - 1)).alias("words")).distinct()
+    cut = written(cut)
+    total = cut.agg(F.sum(F.size("words"))).first()[0] or 0
+    n = max(1, -(-total // block_words))
+    return cut.withColumn("block", F.pmod(F.xxhash64("item", "words"), F.lit(n))), n
+
+
+def _passing(docs: DataFrame, block: list[tuple[str, list[str]]], window: int) -> tuple[DataFrame, Broadcast]:
+    """docs (its columns, and text) with n_words, runs and items instead of the text, by one automaton, which is sent to tasks."""
+    sent = docs.sparkSession.sparkContext.broadcast(Automaton.of(block, window))
+    kept = [c for c in docs.columns if c != "text"]
+    span = pa.list_(pa.struct([("lo", pa.int32()), ("hi", pa.int32())]))
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = sent.value
+        vocabulary = pa.array(own.vocabulary, pa.large_string())
+        for batch in batches:
+            for part in slices(batch, "text"):
+                n, runs, names = _found(own, part.column("text"), vocabulary)
+                spans = pa.array([[{"lo": a, "hi": b} for a, b in r] for r in runs], span)
+                found = [pa.array(n, pa.int64()), spans, pa.array(names, pa.list_(pa.string()))]
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), *found], names=[*kept, "n_words", "runs", "items"])
+
+    kinds = [f"{c} {docs.schema[c].dataType.simpleString()}" for c in kept]
+    return docs.mapInArrow(scan, ", ".join([*kinds, "n_words long, runs array<struct<lo:int,hi:int>>, items array<string>"])), sent
+
+
+def _matched(docs: DataFrame, items: DataFrame, window: int, id_col: str, item_id: str, text_col: str, block_words: int) -> DataFrame:
+    """Rows (id, h, n_words, runs, items), one for each document; h is a hash of the text, so equal (id, h) have equal runs."""
+    keyed = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("text"))
+    pieces, blocks = _pieces(items, window, item_id, text_col, block_words)
+
+    def block(b: int) -> list[tuple[str, list[str]]]:
+        rows = pieces.where(F.col("block") == b).select("item", "words").orderBy("item", "words").collect()  # about block_words
+        return [(r["item"], r["words"]) for r in rows]
+
+    first, _ = _passing(keyed, block(0), window)
+    if blocks == 1:
+        return first
+    # the other blocks' finds, of documents with any, are added by (id, h): rows of one id and text have the same
+    found = None
+    for b in range(1, blocks):
+        passed, sent = _passing(keyed, block(b), window)
+        some = passed.where(F.size("runs") > 0).groupBy("id", "h")
+        some = written(some.agg(F.first("runs").alias("runs"), F.first("items").alias("items")))
+        sent.destroy()
+        found = some if found is None else found.unionByName(some)
+    lists = lambda c: F.flatten(F.collect_list(c))
+    found = found.groupBy("id", "h").agg(lists("runs").alias("more_runs"), lists("items").alias("more_items"))
+    found = checked_broadcast(written(found.select(F.col("id").alias("i"), F.col("h").alias("g"), "more_runs", "more_items")), 100_000)
+    both = first.join(found, F.col("id").eqNullSafe(F.col("i")) & (F.col("h") == F.col("g")), "left")
+    spans = F.array_sort(F.concat("runs", F.coalesce("more_runs", F.array().cast("array<struct<lo:int,hi:int>>"))))
+    names = F.array_sort(F.array_distinct(F.concat("items", F.coalesce("more_items", F.array().cast("array<string>")))))
+    return both.select("id", "h", "n_words", _united(spans).alias("runs"), names.alias("items"))
+
+
+def _united(spans: Column) -> Column:
+    """Sorted runs without overlaps: those that touch become one."""
+
+    def add(done: Column, r: Column) -> Column:
+        last = F.element_at(done, -1)
+        longer = F.struct(last["lo"].alias("lo"), F.greatest(last["hi"], r["hi"]).alias("hi"))
+        united = F.concat(F.slice(done, F.lit(1), F.size(done) - 1), F.array(longer))
+        return F.when((F.size(done) > 0) & (r["lo"] <= last["hi"]), united).otherwise(F.concat(done, F.array(r)))
+
+    return F.when(F.size(spans) == 0, spans).otherwise(F.aggregate(spans, F.array().cast("array<struct<lo:int,hi:int>>"), add))
+
+
 def matches(docs: DataFrame, items: DataFrame, window: int = 10, id_col: str = "doc_id", item_id: str = "item_id", text_col: str = "text", block_words: int = BLOCK_WORDS) -> DataFrame:
-    """Per document: id, n_words, runs (maximal matched runs of words, as lo and hi), items (ids of the items found, sorted as strings).
+    """Per row of docs: id, n_words, runs (maximal matched runs of words, as lo and hi), items (ids of the items found, sorted as strings).
 
-    Null and empty texts have no words and no runs. Items without words match nothing; repeated items count once. Ids
-    of documents must be distinct where there is more than one block. Other columns are left out.
+    Null and empty texts have no words and no runs. Items without an id or words match nothing; repeated items count once.
+    Rows stay rows: ids may repeat, with equal or other texts, or be null. Other columns are left out; an empty
+    table gives no rows. Results don't depend on block_words, the words of items that one pass over docs looks for.
     """
-    spark, kind = docs.sparkSession, docs.schema[id_col].dataType.simpleString()
-    narrow = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    schema = f"id {kind}, n_words long, runs array<struct<lo:int,hi:int>>, items array<string>"
-
-    def passing(block: list[tuple[str, list[str]]]) -> DataFrame:
-        sent = spark.sparkContext.broadcast(Automaton.of(block, window))
-
-        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            own = sent.value
-            vocabulary = pa.array(own.vocabulary, pa.large_string())
-            for batch in batches:
-                for part in slices(batch, "text"):
-                    n, runs, names = _found(own, part.column("text"), vocabulary)
-                    yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(n, pa.int64()), pa.array([[{"lo": a, "hi": b} for a, b in r] for r in runs], pa.list_(pa.struct([("lo", pa.int32()), ("hi", pa.int32())]))), pa.array(names, pa.list_(pa.string()))], names=["id", "n_words", "runs", "items"])
-
-        return narrow.mapInArrow(scan, schema)
-
-    found = [passing(block) for block in _blocks(items, item_id, text_col, block_words)]
-    out = found[0]
-    if len(found) > 1:
-        for more in found[1:]:
-            out = out.unionByName(more)
-        out = out.groupBy("id").agg(F.max("n_words").alias("n_words"), F.array_sort(F.flatten(F.collect_list("runs"))).alias("runs"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-        joined = F.aggregate("runs", F.array().cast("array<struct<lo:int,hi:int>>"), lambda acc, r: F.when(F.size(acc) == 0, F.array(r)).when(r["lo"] <= F.element_at(acc, -1)["hi"], F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(F.struct(F.element_at(acc, -1)["lo"].alias("lo"), F.greatest(F.element_at(acc, -1)["hi"], r["hi"]).alias("hi"))))).otherwise(F.concat(acc, F.array(r))))
-        out = out.withColumn("runs", F.when(F.size("runs") == 0, F.col("runs")).otherwise(joined))
-    return out.withColumnRenamed("id", id_col)
+    return _matched(docs, items, window, id_col, item_id, text_col, block_words).drop("h").withColumnRenamed("id", id_col)
 
 
 def digest(found: DataFrame) -> DataFrame:
@@ -229,27 +279,32 @@ def cut_spans(text: str | None, runs: list[tuple[int, int]]) -> str | None:
     return b"".join(out).decode()
 
 
-def cleaned(docs: DataFrame, items: DataFrame, window: int = 10, max_coverage: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def cleaned(docs: DataFrame, items: DataFrame, window: int = 10, max_coverage: float = 0.5, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", block_words: int = BLOCK_WORDS) -> DataFrame:
     """docs, with its columns, without matched spans; documents of which more than max_coverage matches go altogether.
 
-    Documents without a match stay as they are, and so do rows with a null id. n_chars follows the text where there is
-    such a column. Repeated rows of one id must have one text.
+    Documents without a match stay as they are, null and empty texts among them. n_chars follows the text where there is such
+    a column. Rows are judged by their own texts: ids may repeat or be null, and columns may have any names. An empty
+    table of documents or of items changes nothing.
     """
-    found = written(matches(docs, items, window, id_col, text_col=text_col).where((F.size("runs") > 0) & F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id"), F.col("runs").alias("_runs"), F.col("n_words").alias("_words")).dropDuplicates(["_id"]))
     names = docs.columns
-    covered = F.aggregate("_runs", F.lit(0).cast("long"), lambda n, r: n + r["hi"] - r["lo"])
+    ident, text_hash, runs, words = unused(names, "id", "h", "runs", "n_words")
+    found = _matched(docs, items, window, id_col, item_id, text_col, block_words).where(F.size("runs") > 0)
+    found = found.dropDuplicates(["id", "h"]).select(F.col("id").alias(ident), F.col("h").alias(text_hash), F.col("runs").alias(runs), F.col("n_words").alias(words))
+    found = checked_broadcast(written(found), 100_000)  # runs are some hundred bytes
+    covered = F.aggregate(runs, F.lit(0).cast("long"), lambda n, r: n + r["hi"] - r["lo"])
+    same = F.col(f"`{id_col}`").eqNullSafe(F.col(ident)) & (F.xxhash64(text_col) == F.col(text_hash))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [cut_spans(t, [(r["lo"], r["hi"]) for r in runs]) for t, runs in zip(batch.column(text_col).to_pylist(), batch.column("_runs").to_pylist(), strict=True)]
-            own = [pa.array(texts, pa.string()) if c == text_col else batch.column(c) for c in names]
-            yield pa.RecordBatch.from_arrays(own, names=names)
-
-    found = checked_broadcast(found, 100_000)  # runs are some hundred bytes
-    whole = docs.join(found.select("_id"), docs[id_col].eqNullSafe(F.col("_id")), "left_anti")
-    part = found.where(covered <= max_coverage * F.col("_words"))
-    dirty = docs.join(part, docs[id_col].eqNullSafe(F.col("_id"))).select(*docs.columns, "_runs").mapInArrow(cut, docs.schema)
-    if "n_chars" in docs.columns:
+            for part in slices(batch, text_col):
+                texts = [cut_spans(t, [(r["lo"], r["hi"]) for r in own]) for t, own in zip(part.column(text_col).to_pylist(), part.column(runs).to_pylist(), strict=True)]
+                own = [pa.array(texts, pa.string()) if c == text_col else part.column(c) for c in names]
+                yield pa.RecordBatch.from_arrays(own, names=names)
+
+    whole = docs.join(found, same, "left_anti")
+    part = found.where(covered <= max_coverage * F.col(words))
+    dirty = docs.join(part, same).select(*(F.col(f"`{c}`") for c in names), runs).mapInArrow(cut, docs.schema)
+    if "n_chars" in names:
         dirty = dirty.withColumn("n_chars", F.char_length(text_col).cast(docs.schema["n_chars"].dataType))
     return whole.unionByName(dirty)
 
