@@ -7,7 +7,9 @@ share the posted q-gram, which settles all copies of a stretch at once; then, fo
 split, of the bytes that STEP neighbouring windows have in common; and last of single windows. An identifier is a
 64-bit hash that depends on the bytes only, so refining is sorting in Spark on (bucket, identifier), buckets left
 with one member are done with, and each round uses the identifiers of the one before. Members are equal in two or three
-independent identifiers. Copies within one slice are settled before the shuffle.
+independent identifiers. Copies within one slice are settled before the shuffle, and those of strings that a task meets
+often before they leave the task. A first count of q-grams finds the hot ones, whose buckets would be too large for a
+task: their members are dealt by the whole stretch, and all kinds of it go on to the next round.
 """
 
 from __future__ import annotations
@@ -17,18 +19,21 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lectern.llm.common import mixed, slices, written
+from lectern.llm.common import BROADCAST_ROWS, joined_back, mixed, slices, written
 
 LENGTH, GRAM = 100, 32
 #: Neighbouring windows that one identifier of the second round stands for; a power of two.
 STEP = 8
 #: Window starts that are handled together: long texts go in parts.
 PART = 1 << 18
+#: A q-gram that is posted more often than this is hot; one that a slice posts fewer times than this isn't counted.
+HOT_POSTS, LEAST_POSTS = 10_000, 8
+#: Strings that a task remembers because it has met them before; when there are more it starts anew.
+REMEMBERED = 200_000
 
 _POWER = 0x9E3779B97F4A7C15
 _SALT = np.uint64(0xD6E8FEB86659FD93)
@@ -67,17 +72,27 @@ def _least(v: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(v[:n], v[width - size : width - size + n])
 
 
-def _posted(x: np.ndarray, length: int, gram: int):
-    """Stretches of windows that share their least q-gram: hashes of gram and stretch, first window, place of the gram in it, windows."""
-    n = len(x) - length + 1
-    h = _Hashes(x)
-    lo = np.arange(len(x) - gram + 1)
+def _places(h: _Hashes, size: int, length: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the q-grams, and where the least one of each window stands."""
+    lo = np.arange(size - gram + 1)
     v = h.of(lo, lo + gram)
     at = np.uint64(24)
     key = _least((v >> at << at) | lo.astype(np.uint64), length - gram + 1)
-    p = (key & np.uint64((1 << 24) - 1)).astype(np.int64)
+    return v, (key & np.uint64((1 << 24) - 1)).astype(np.int64)
+
+
+def _grams(x: np.ndarray, length: int, gram: int) -> np.ndarray:
+    """The q-grams that are posted."""
+    v, p = _places(_Hashes(x), len(x), length, gram)
+    return v[p[np.flatnonzero(np.concatenate([[True], p[1:] != p[:-1]]))]]
+
+
+def _posted(x: np.ndarray, length: int, gram: int):
+    """Stretches of windows that share their least q-gram: hashes of gram and stretch, first window, place of the gram in it, windows."""
+    h = _Hashes(x)
+    v, p = _places(h, len(x), length, gram)
     s = np.flatnonzero(np.concatenate([[True], p[1:] != p[:-1]]))
-    e = np.append(s[1:], n)
+    e = np.append(s[1:], len(x) - length + 1)
     p = p[s]
     whole = mixed(h.of(s, e - 1 + length) + _SALT * ((p - s) * 1024 + (e - s)).astype(np.uint64))
     return v[p], whole, s, p - s, e - s
@@ -89,56 +104,114 @@ def _parts(n: int, length: int):
         yield a, min(n, a + PART + length - 1)
 
 
-def _rows(part: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, int]]:
-    """id, bytes and row of each text, by id."""
-    order = pc.sort_indices(part.column("id")).to_pylist()
-    texts = part.column("text")
-    for i in order:
+def _rows(part: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray, int]]:
+    """id, tag, bytes and row of each text, by id and tag."""
+    ids, tags, texts = (part.column(c) for c in ("id", "tag", "text"))
+    order = np.lexsort((tags.to_numpy(zero_copy_only=False), ids.to_numpy(zero_copy_only=False)))
+    for i in order.tolist():
         t = texts[i].as_buffer() if texts[i].is_valid else None
-        yield part.column("id")[i].as_py(), np.frombuffer(t, np.uint8) if t is not None and t.size else np.zeros(0, np.uint8), i
+        x = np.frombuffer(t, np.uint8) if t is not None and t.size else np.zeros(0, np.uint8)
+        yield ids[i].as_py(), tags[i].as_py(), x, i
+
+
+def _named(ids: np.ndarray, tags: np.ndarray) -> np.ndarray:
+    """One number for each text."""
+    return mixed(ids.astype(np.int64).view(np.uint64) * _SALT + tags.astype(np.int64).view(np.uint64))
 
 
-def _settled(name: np.ndarray, at: np.ndarray, *keys: np.ndarray) -> np.ndarray:
-    """Whether a row before, of another place, has the same keys; rows are in order of (name, at)."""
+def _marks(*keys: np.ndarray) -> np.ndarray:
     mark = keys[0].copy()
     for k in keys[1:]:
         mark = mixed(mark + _SALT) + k
+    return mark
+
+
+def _settled(name: np.ndarray, at: np.ndarray, mark: np.ndarray) -> np.ndarray:
+    """Whether a row before, of another place, has the same mark; rows are in order of texts, then of `at`."""
     _, index, inverse = np.unique(mark, return_index=True, return_inverse=True)
     first = index[inverse]
     return (first != np.arange(len(mark))) & ((name[first] != name) | (at[first] != at))
 
 
+class _Met:
+    """The earliest place, as far as this task knows, of marks that it has met before. It forgets rather than grow, and what is forgotten is only sent again."""
+
+    def __init__(self):
+        self.seen = np.zeros(1 << 24, bool)
+        self.first: dict[int, tuple[int, int, int]] = {}
+
+    def settled(self, mark: np.ndarray, ids: np.ndarray, tags: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Whether an earlier place is known; the places of this call are noted."""
+        slot = (mark >> np.uint64(40)).astype(np.int64)
+        again = np.flatnonzero(self.seen[slot])
+        self.seen[slot] = True
+        out = np.zeros(len(mark), bool)
+        if len(self.first) > REMEMBERED:
+            self.first.clear()
+            self.seen[:] = False
+        for i in again.tolist():
+            own, key = (int(ids[i]), int(tags[i]), int(at[i])), int(mark[i])
+            known = self.first.get(key)
+            if known is None or own < known:
+                self.first[key] = own
+            elif known < own:
+                out[i] = True
+        return out
+
+
 def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(np.ascontiguousarray(x).view(np.int64))
 
 
-def _stretches(length: int, gram: int):
+def _counted(length: int, gram: int):
+    """Posts of each q-gram that a slice posts LEAST_POSTS times or more: a hot one is, in most slices."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text"):
+                posted = [_grams(x[a:b], length, gram) for _, _, x, _ in _rows(part) for a, b in _parts(len(x), length)]
+                if posted:
+                    v, n = np.unique(np.concatenate(posted), return_counts=True)
+                    often = n >= LEAST_POSTS
+                    yield pa.RecordBatch.from_arrays([_signed(v[often]), pa.array(n[often].astype(np.int64))], names=["gram", "n"])
+
+    return count
+
+
+def _stretches(length: int, gram: int, hot: np.ndarray):
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        met = _Met()
         for batch in batches:
             for part in slices(batch, "text"):
-                got: list[list[np.ndarray]] = [[] for _ in range(6)]
-                for name, x, _ in _rows(part):
+                got: list[list[np.ndarray]] = [[] for _ in range(7)]
+                for name, tag, x, _ in _rows(part):
                     for a, b in _parts(len(x), length):
                         v, whole, s, p, n = _posted(x[a:b], length, gram)
-                        for out, y in zip(got, (v, whole, np.full(len(s), name), s + a, p, n), strict=True):
+                        for out, y in zip(got, (v, whole, np.full(len(s), name), np.full(len(s), tag), s + a, p, n), strict=True):
                             out.append(y)
                 if got[0]:
-                    v, whole, name, s, p, n = map(np.concatenate, got)
-                    known = _settled(name, s, v, whole)
-                    # what an earlier row of this slice settles is only passed on, spread over all tasks
-                    v = np.where(known, mixed(name.astype(np.uint64) * _SALT + s.astype(np.uint64)), v)
-                    yield pa.RecordBatch.from_arrays([_signed(v), _signed(whole), pa.array(name), pa.array(s.astype(np.int32)), pa.array(((p << 12) | (n << 1) | known).astype(np.int32))], names=["bucket", "whole", "id", "at", "facts"])
+                    v, whole, name, tag, s, p, n = map(np.concatenate, got)
+                    text, mark = _named(name, tag), _marks(v, whole)
+                    known = _settled(text, s, mark)
+                    known[~known] = met.settled(mark[~known], name[~known], tag[~known], s[~known])
+                    at = np.minimum(np.searchsorted(hot, v), len(hot) - 1)
+                    many = hot[at] == v if len(hot) else np.zeros(len(v), bool)
+                    # kinds of a hot gram go to tasks of their own; what an earlier row settles is only passed on, spread over all tasks
+                    v = np.where(known, mixed(text + s.astype(np.uint64)), np.where(many, mark, v))
+                    facts = (p << 13) | (n << 2) | (many << 1) | known
+                    yield pa.RecordBatch.from_arrays([_signed(v), _signed(whole), pa.array(name), pa.array(tag.astype(np.int32)), pa.array(s.astype(np.int32)), pa.array(facts.astype(np.int32))], names=["bucket", "whole", "id", "tag", "at", "facts"])
 
     return post
 
 
 def _windows(length: int):
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        met, told = _Met(), set()
         for batch in batches:
             for part in slices(batch, "text"):
                 open_ = part.column("open")
-                got: list[list[np.ndarray]] = [[] for _ in range(5)]
-                for name, x, i in _rows(part):
+                got: list[list[np.ndarray]] = [[] for _ in range(6)]
+                for name, tag, x, i in _rows(part):
                     own = open_[i].values
                     at, facts = (own.field(f).to_numpy(zero_copy_only=False).astype(np.int64) for f in ("at", "facts"))
                     order = np.argsort(at)
@@ -148,7 +221,7 @@ def _windows(length: int):
                         if not here.any():
                             continue
                         h = _Hashes(x[a:b])
-                        s, p, n = at[here] - a, facts[here] >> 12, (facts[here] >> 1) & 2047
+                        s, p, n = at[here] - a, facts[here] >> 13, (facts[here] >> 2) & 2047
                         t = np.repeat(s - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
                         gram = np.repeat(s + p, n)
                         group = (gram - t) // STEP
@@ -156,43 +229,87 @@ def _windows(length: int):
                         got[0].append(mixed(h.of(core, core + length - STEP + 1) + _SALT * group.astype(np.uint64)))
                         got[1].append(h.of(t, t + length))
                         got[2].append(np.full(len(t), name))
-                        got[3].append(t + a)
-                        got[4].append(gram + a)
+                        got[3].append(np.full(len(t), tag))
+                        got[4].append(t + a)
+                        got[5].append(gram + a)
                 if not got[0]:
                     continue
-                core, window, name, t, gram = map(np.concatenate, got)
-                edge = np.flatnonzero(np.concatenate([[True], (core[1:] != core[:-1]) | (name[1:] != name[:-1]) | (gram[1:] != gram[:-1]) | (t[1:] != t[:-1] + 1)]))
+                core, window, name, tag, t, gram = map(np.concatenate, got)
+                text = _named(name, tag)
+                edge = np.flatnonzero(np.concatenate([[True], (core[1:] != core[:-1]) | (text[1:] != text[:-1]) | (gram[1:] != gram[:-1]) | (t[1:] != t[:-1] + 1)]))
                 ends = np.append(edge[1:], len(t))
                 sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed(window + (np.arange(len(t)) - np.repeat(edge, ends - edge)).astype(np.uint64)))])
-                known = _settled(name[edge], t[edge], core[edge], sums[ends] - sums[edge], (ends - edge).astype(np.uint64))
-                offsets = np.concatenate([[0], np.cumsum(np.where(known, 0, ends - edge))]).astype(np.int32)
-                kept = window[np.repeat(~known, ends - edge)]
-                bucket = np.where(known, mixed(name[edge].astype(np.uint64) * _SALT + t[edge].astype(np.uint64)), core[edge])
-                yield pa.RecordBatch.from_arrays([_signed(bucket), pa.array(name[edge]), pa.array(t[edge].astype(np.int32)), pa.array(np.where(known, ends - edge, 0).astype(np.int32)), pa.ListArray.from_arrays(pa.array(offsets), _signed(kept))], names=["bucket", "id", "at", "known", "windows"])
+                size = ends - edge
+                core, name, tag, t, text = core[edge], name[edge], tag[edge], t[edge], text[edge]
+                mark = _marks(core, sums[ends] - sums[edge], size.astype(np.uint64))
+                known = _settled(text, t, mark)
+                known[~known] = met.settled(mark[~known], name[~known], tag[~known], t[~known])
+                # several kinds of one bucket here: all are open, so only the first has to meet those of other tasks
+                place, n = np.unique(core[~known], return_counts=True)
+                often = place[n > 1]
+                spread = np.isin(core, often)
+                if len(told) > REMEMBERED:
+                    told.clear()
+                for i in np.flatnonzero(spread & ~known).tolist():
+                    if int(core[i]) not in told:
+                        told.add(int(core[i]))
+                        spread[i] = False
+                sure = np.isin(core, often)
+                offsets = np.concatenate([[0], np.cumsum(np.where(known, 0, size))]).astype(np.int32)
+                kept = window[np.repeat(~known, size)]
+                bucket = np.where(known | spread, mixed(text + t.astype(np.uint64)), core)
+                yield pa.RecordBatch.from_arrays(
+                    [_signed(bucket), _signed(core), pa.array(name), pa.array(tag.astype(np.int32)), pa.array(t.astype(np.int32)), pa.array(np.where(known, size, 0).astype(np.int32)), pa.array(sure | known), pa.ListArray.from_arrays(pa.array(offsets), _signed(kept))],
+                    names=["bucket", "core", "id", "tag", "at", "known", "open", "windows"],
+                )
 
     return split
 
 
+def _narrow(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, tag, text as bytes); the tag tells texts of one id apart."""
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.hash(text_col).alias("tag"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
+
+
+def _hot_grams(narrow: DataFrame, length: int, gram: int) -> np.ndarray:
+    """q-grams of more than HOT_POSTS posts, sorted; there are fewer than posts / HOT_POSTS, and of those at most BROADCAST_ROWS, the most frequent."""
+    counted = narrow.mapInArrow(_counted(length, gram), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    rows = counted.where(F.col("n") > HOT_POSTS).orderBy(F.desc("n"), "gram").limit(BROADCAST_ROWS).select("gram").toPandas()
+    return np.sort(rows["gram"].to_numpy(np.int64).view(np.uint64))
+
+
 def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, spans): per document with any, the byte spans (lo, hi) that earlier strings repeat; they may overlap."""
-    narrow = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text")).where((F.octet_length("text") >= length) & F.col("id").isNotNull())
-    posts = narrow.mapInArrow(_stretches(length, gram), "bucket long, whole long, id long, at int, facts int").repartition("bucket")
+    """(id, tag, spans): per text with any, the byte spans (lo, hi) that earlier strings repeat; they may overlap."""
+    if not gram <= length <= 1024:
+        raise ValueError("length must be between gram and 1024")
+    narrow = _narrow(docs, id_col, text_col).where((F.octet_length("text") >= length) & F.col("id").isNotNull())
+    hot = docs.sparkSession.sparkContext.broadcast(_hot_grams(narrow, length, gram))
+
+    def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _stretches(length, gram, hot.value)(batches)
+
+    posts = narrow.mapInArrow(post, "bucket long, whole long, id long, tag int, at int, facts int").repartition("bucket")
     kind, bucket = Window.partitionBy("bucket", "whole"), Window.partitionBy("bucket")
-    told = posts.withColumn("nth", F.rank().over(kind.orderBy("id", "at"))).withColumn("split", F.min("whole").over(bucket) != F.max("whole").over(bucket))
+    told = posts.withColumn("nth", F.rank().over(kind.orderBy("id", "tag", "at")))
+    told = told.withColumn("split", (F.min("whole").over(bucket) != F.max("whole").over(bucket)) | (F.col("facts").bitwiseAND(2) == 2))
     known = (F.col("facts").bitwiseAND(1) == 1) | (F.col("nth") > 1)
-    told = written(told.where(known | F.col("split")).select("id", "at", "facts", known.alias("repeats")))
-    number = F.shiftright("facts", 1).bitwiseAND(2047)
-    first = told.where("repeats").select("id", F.col("at").alias("lo"), (F.col("at") + number + (length - 1)).alias("hi"))
-
-    opened = told.where("not repeats").groupBy("id").agg(F.collect_list(F.struct("at", "facts")).alias("open"))
-    finer = narrow.join(opened, "id").select("id", "text", "open").mapInArrow(_windows(length), "bucket long, id long, at int, known int, windows array<long>").repartition("bucket")
-    finer = finer.withColumn("n", F.count(F.lit(1)).over(bucket)).where("known > 0 or n > 1")
-    finer = written(finer.drop("n"))
-    second = finer.where("known > 0").select("id", F.col("at").alias("lo"), (F.col("at") + F.col("known") + (length - 1)).alias("hi"))
-    single = finer.where("known = 0").select("bucket", "id", "at", F.posexplode("windows").alias("i", "window")).select("bucket", "window", "id", (F.col("at") + F.col("i")).alias("at"))
-    least = single.groupBy("bucket", "window").agg(F.min(F.struct("id", "at")).alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    third = single.join(least, ["bucket", "window"]).where(F.struct("id", "at") > F.col("least")).select("id", F.col("at").alias("lo"), (F.col("at") + length).alias("hi"))
-    return first.union(second).union(third).groupBy("id").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
+    told = written(told.where(known | F.col("split")).select("id", "tag", "at", "facts", known.alias("repeats")))
+    number = F.shiftright("facts", 2).bitwiseAND(2047)
+    span = lambda lo, hi: ("id", "tag", lo.alias("lo"), hi.alias("hi"))
+    first = told.where("repeats").select(*span(F.col("at"), F.col("at") + number + (length - 1)))
+
+    opened = told.where("not repeats").groupBy("id", "tag").agg(F.collect_set(F.struct("at", "facts")).alias("open"))
+    finer = narrow.join(opened, ["id", "tag"]).select("id", "tag", "text", "open")
+    finer = finer.mapInArrow(_windows(length), "bucket long, core long, id long, tag int, at int, known int, open boolean, windows array<long>")
+    finer = finer.repartition("bucket").withColumn("n", F.count(F.lit(1)).over(bucket)).where("open or n > 1")
+    finer = written(finer.drop("n", "bucket", "open"))
+    second = finer.where("known > 0").select(*span(F.col("at"), F.col("at") + F.col("known") + (length - 1)))
+    single = finer.where("known = 0").select("core", "id", "tag", "at", F.posexplode("windows").alias("i", "window"))
+    single = single.select("core", "window", "id", "tag", (F.col("at") + F.col("i")).alias("at"))
+    place = F.struct("id", "tag", "at")
+    least = single.groupBy("core", "window").agg(F.min(place).alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    third = joined_back(single, written(least), ["core", "window"]).where(place > F.col("least")).select(*span(F.col("at"), F.col("at") + length))
+    return first.union(second).union(third).groupBy("id", "tag").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
 
 
 def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -200,11 +317,12 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_
 
     Texts count as UTF-8 bytes, null as empty; texts shorter than `length` stay whole. A string repeats if it starts earlier: in a
     document of smaller id, or earlier in the same one. Removed bytes may cut characters, so kept is binary. Ids are
-    integers. Repeated rows of one id are one document, and don't repeat each other; a row with a null id stays whole and
-    others aren't compared with it. Other columns are left out; an empty table gives no rows.
+    integers. Rows of one id with the same text are one document, and don't repeat each other; different texts of one id are
+    documents of their own, in an order by hash. A row with a null id stays whole and others aren't compared with it. Other
+    columns are left out; an empty table gives no rows.
     """
     spans = repeated_spans(docs, length, gram, id_col, text_col)
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
+    texts = _narrow(docs, id_col, text_col)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -230,4 +348,4 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_
                     kept.append(b"".join(out))
                 yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(sizes, pa.int64()), pa.array(removed, pa.list_(pa.struct([("lo", pa.int64()), ("hi", pa.int64())]))), pa.array(kept, pa.binary())], names=["id", "n_bytes", "spans", "kept"])
 
-    return texts.join(spans, "id", "left").mapInArrow(cut, "id long, n_bytes long, spans array<struct<lo:bigint,hi:bigint>>, kept binary").withColumnRenamed("id", id_col)
+    return texts.join(spans, ["id", "tag"], "left").mapInArrow(cut, "id long, n_bytes long, spans array<struct<lo:bigint,hi:bigint>>, kept binary").withColumnRenamed("id", id_col)
