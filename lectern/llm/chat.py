@@ -83,15 +83,26 @@ def jumps(nodes: DataFrame) -> tuple[list[DataFrame], DataFrame]:
     return levels, done.select("conv", "node", "depth", "total")
 
 
+def _few(batches: Iterator[pa.RecordBatch], rows: int = 32) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of few conversations, so that a task holds no more as Python objects."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, rows):
+            yield batch.slice(i, rows)
+
+
 def conversations(messages: DataFrame, paths: int = 1) -> DataFrame:
     """Each chosen path as conv, leaf, rank (from 1), score (mean on the path), turns (array of role and text), formatted and mask.
 
     messages: conv, node (unique in conv), parent (null for a root), role, text, score. Branches rank by the mean score of their
     path, then depth, the deeper first, then the smaller leaf. Null roles and texts are empty, null scores 0; rows with a
-    null conv or node are left out. Other columns are left out; an empty table gives no rows. A path is one row, so
-    it has to fit in one task.
+    null conv or node are left out; of rows with one conv and node the least stays, by parent (null first), role, text and
+    score. Other columns are left out; an empty table gives no rows. A path is one row, so it has to fit in one task.
     """
-    nodes = written(messages.where("conv is not null and node is not null").select("conv", "node", "parent", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"), F.col("score").cast("double").alias("score")).dropDuplicates(["conv", "node"]))
+    kept = messages.where("conv is not null and node is not null")
+    empty = lambda c: F.coalesce(c, F.lit("")).alias(c)
+    rows = kept.select("conv", "node", "parent", empty("role"), empty("text"), F.col("score").cast("double").alias("score"))
+    least = rows.groupBy("conv", "node").agg(F.min(F.struct("parent", "role", "text", "score")).alias("m"))
+    nodes = written(least.select("conv", "node", "m.*"))
     levels, reach = jumps(nodes.select("conv", "node", "parent", "score"))
     leaves = reach.join(nodes.select("conv", F.col("parent").alias("node")).where("node is not null").distinct(), ["conv", "node"], "left_anti")
     leaves = leaves.withColumn("mean", F.col("total") / F.col("depth"))
@@ -107,20 +118,25 @@ def conversations(messages: DataFrame, paths: int = 1) -> DataFrame:
     whole = whole.withColumn("turns", F.transform("turns", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))))
 
     def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            done = [formatted([(t["role"], t["text"]) for t in turns]) for turns in batch.column("turns").to_pylist()]
-            mask = pa.array([[{"lo": a, "hi": b} for a, b in spans] for _, spans in done], pa.list_(pa.struct([("lo", pa.int64()), ("hi", pa.int64())])))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([t for t, _ in done], pa.string()), mask], names=[*batch.schema.names, "formatted", "mask"])
+        span = pa.list_(pa.struct([("lo", pa.int64()), ("hi", pa.int64())]))
+        for part in _few(batches):
+            done = [formatted([(t["role"], t["text"]) for t in turns]) for turns in part.column("turns").to_pylist()]
+            mask = pa.array([[{"lo": a, "hi": b} for a, b in spans] for _, spans in done], span)
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array([t for t, _ in done], pa.string()), mask], names=[*part.schema.names, "formatted", "mask"])
 
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in whole.schema)
     return whole.mapInArrow(put, f"{kinds}, formatted string, mask array<struct<lo:bigint,hi:bigint>>")
 
 
 def read_back(chats: DataFrame) -> DataFrame:
-    """Per formatted conversation: conv, n_turns, turns_sha256, loss_chars, loss_sha256 and formatted_chars, from the string and its mask."""
+    """Per formatted conversation: conv, n_turns, turns_sha256, loss_chars, loss_sha256 and formatted_chars, from the string and its mask.
+
+    Rows stay rows, repeated ones too; other columns are left out; an empty table gives no rows. formatted and mask are never null,
+    as conversations() makes them; empty texts and roles are turns like others.
+    """
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _few(batches):
             rows = []
             for text, mask in zip(batch.column("formatted").to_pylist(), batch.column("mask").to_pylist(), strict=True):
                 turns = parsed(text)
@@ -135,6 +151,10 @@ def read_back(chats: DataFrame) -> DataFrame:
 
 
 def chains(rows: DataFrame) -> DataFrame:
-    """Rows (conv, turn, role, text) as messages that each reply to the one before, by turn, then role and text."""
+    """Rows (conv, turn, role, text) as messages that each reply to the one before, by turn, then role and text.
+
+    Null turns, roles and texts come first; a null conv is one conversation here, which conversations() leaves out. Repeated
+    rows are turns of their own; other columns are left out; an empty table gives no rows.
+    """
     by = Window.partitionBy("conv").orderBy("turn", "role", "text")
     return rows.withColumn("node", F.row_number().over(by).cast("long")).select("conv", "node", F.when(F.col("node") > 1, F.col("node") - 1).alias("parent"), "role", "text", F.lit(0.0).alias("score"))

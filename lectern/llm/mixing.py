@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import ranked_by_hash
+from lectern.llm.common import ranked_by_hash, unused
 
 #: Slots that one task replays at a time, at least.
 STRIDE = 1 << 16
@@ -31,21 +31,6 @@ def _by_name(source: str | None) -> tuple[bool, str]:
     return source is not None, source or ""
 
 
-def shares(weights: Mapping[str | None, float], period: int = 2000) -> dict[str | None, int]:
-    """Slots of a period for each source, by largest remainder; each source of positive weight gets one at least."""
-    positive = {s: float(w) for s, w in weights.items() if w and w > 0}
-    if len(positive) > period:
-        raise ValueError(f"{len(positive)} sources don't fit a period of {period} slots")
-    total = sum(positive.values())
-    exact = {s: w / total * period for s, w in positive.items()}
-    out = {s: max(1, int(x)) for s, x in exact.items()}
-    for s in sorted(exact, key=lambda s: (-(exact[s] - out[s]), _by_name(s)))[: max(0, period - sum(out.values()))]:
-        out[s] += 1
-    while sum(out.values()) > period:
-        out[max(out, key=lambda s: (out[s], _by_name(s)))] -= 1
-    return out
-
-
 class Schedule:
     """Sources of positive weight in `names`, each with a number of blocks; `total` slots hold them all."""
 
@@ -99,15 +84,6 @@ class Schedule:
         return min((full.get(s, 0) * self.left[0] // w for s, w in zip(self.names, self.weight)), default=0)
 
 
-def schedule(slots: Mapping[str | None, int]) -> dict[str | None, list[int]]:
-    """The slots that each source's blocks get if its weight is their number."""
-    own = Schedule(slots, slots)
-    out: dict[str | None, list[int]] = {s: [] for s in own.names}
-    for slot, i in enumerate(own.replay(0, own.total, [0] * len(own.names))):
-        out[own.names[i]].append(slot)
-    return out
-
-
 def tempered(docs: DataFrame, power: float = 0.9, source_col: str = "source") -> dict[str | None, float]:
     """Target weights: each source's share of rows to a power, which evens out sources a little."""
     rows = docs.groupBy(source_col).count().collect()  # a row for each source
@@ -127,6 +103,10 @@ def mixed(docs: DataFrame, weights: Mapping[str | None, float], block_rows: int
     plan = Schedule(weights, {s: -(-n // block_rows) for s, n in counts.items()})
     end = plan.kept_until({s: n // block_rows for s, n in counts.items()})
 
+    added = ["mix_block", "mix_slot", "mix_position", "in_mix"]
+    kept = docs.drop(*added)
+    hash_, rank, name, number, source, block, slot = unused([*kept.columns, *added], "h", "rank", "name", "number", "i", "j", "slot")
+
     def slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
@@ -134,14 +114,15 @@ def mixed(docs: DataFrame, weights: Mapping[str | None, float], block_rows: int
                 own = np.array(plan.replay(row["start"], row["stop"], before.tolist()), np.int64)
                 order = np.argsort(own, kind="stable")
                 n = np.bincount(own, minlength=len(before))
-                block = np.arange(len(own)) - np.repeat(np.cumsum(n) - n - before, n)
-                yield pa.RecordBatch.from_arrays([pa.array(own[order].astype(np.int32)), pa.array(block), pa.array(row["start"] + order)], names=["_i", "_j", "_slot"])
+                at = np.arange(len(own)) - np.repeat(np.cumsum(n) - n - before, n)
+                yield pa.RecordBatch.from_arrays([pa.array(own[order].astype(np.int32)), pa.array(at), pa.array(row["start"] + order)], names=[source, block, slot])
 
     spark = docs.sparkSession
-    placed = spark.createDataFrame(list(plan.starts(stride)), "start long, stop long, served binary").mapInArrow(slots, "_i int, _j long, _slot long")
-    added = ["mix_block", "mix_slot", "mix_position", "in_mix"]
-    numbered = ranked_by_hash(docs.drop(*added).withColumn("_h", F.xxhash64(F.lit("mix"), id_col)), [source_col], "_h", "_rank", [id_col])
-    number = F.broadcast(spark.createDataFrame([(s, i) for i, s in enumerate(plan.names)], "_s string, _n int"))
-    known = numbered.join(number, numbered[source_col].eqNullSafe(F.col("_s")), "left").withColumn("mix_block", F.floor(F.col("_rank") / block_rows))
-    known = known.join(placed, (F.col("_n") == F.col("_i")) & (F.col("mix_block") == F.col("_j")), "left").withColumn("mix_slot", F.col("_slot"))
-    return known.withColumns({"mix_position": F.col("mix_slot") * block_rows + F.col("_rank") % block_rows, "in_mix": F.coalesce(F.col("mix_slot") < end, F.lit(False))}).drop("_h", "_rank", "_s", "_n", "_i", "_j", "_slot")
+    placed = spark.createDataFrame(list(plan.starts(stride)), "start long, stop long, served binary").mapInArrow(slots, f"{source} int, {block} long, {slot} long")
+    numbered = ranked_by_hash(kept.withColumn(hash_, F.xxhash64(F.lit("mix"), id_col)), [source_col], hash_, rank, [id_col])
+    numbers = F.broadcast(spark.createDataFrame([(s, i) for i, s in enumerate(plan.names)], f"{name} string, {number} int"))
+    known = numbered.join(numbers, F.col(source_col).eqNullSafe(F.col(name)), "left").withColumn("mix_block", F.floor(F.col(rank) / block_rows))
+    known = known.join(placed, (F.col(number) == F.col(source)) & (F.col("mix_block") == F.col(block)), "left").withColumn("mix_slot", F.col(slot))
+    position = F.col("mix_slot") * block_rows + F.col(rank) % block_rows
+    in_mix = F.coalesce(F.col("mix_slot") < end, F.lit(False))
+    return known.withColumns({"mix_position": position, "in_mix": in_mix}).select(*kept.columns, *added)

@@ -29,7 +29,7 @@ _CLASS = {c: "A" for c in map(chr, range(65, 91))} | {c: "a" for c in map(chr, r
 
 def _shape(word: str) -> str:
     """'Hello!!' -> 'Aa!!': runs of a kind of letter become one; letters beyond ASCII count by case."""
-    return _RUNS.sub(r"\1", "".join(_CLASS.get(c) or (("A" if c.isupper() else "a") if c.isalnum() else c) for c in word[:64]))
+    return _RUNS.sub(r"\1", "".join(_CLASS.get(c) or (("A" if c.isupper() else "a") if c.isalnum() else c) for c in word))
 
 
 def _features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -66,8 +66,12 @@ def _sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def fit(docs: DataFrame, ratings: DataFrame, id_col: str, text_col: str, rounds: int = 300, rate: float = 0.3, ridge: float = 3e-4) -> tuple[np.ndarray, np.ndarray, list[int]]:
     """Weights, thresholds and grades from ratings (id, grade) of docs; at most FIT_ROWS ratings, by hash, so the driver's share is bounded."""
-    some = ratings.select(F.col(id_col).alias("_rated"), F.col("grade").cast("int").alias("grade")).where("grade is not null and _rated is not null").orderBy(F.xxhash64("_rated"), "_rated", "grade").limit(FIT_ROWS)
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")).join(F.broadcast(some), F.col("_id") == F.col("_rated")).select("grade", "text").mapInArrow(_sparse, "grade int, f array<int>, x array<float>").toPandas()
+    some = ratings.select(F.col(id_col).alias("rated"), F.col("grade").cast("int").alias("grade")).where("grade is not null and rated is not null")
+    some = some.orderBy(F.xxhash64("rated"), "rated", "grade").limit(FIT_ROWS)
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    # an id may have several texts: the bound holds behind the join, too
+    joined = texts.join(F.broadcast(some), F.col("id") == F.col("rated")).orderBy(F.xxhash64("rated"), "rated", "grade", F.xxhash64("text")).limit(FIT_ROWS)
+    rows = joined.select("grade", "text").mapInArrow(_sparse, "grade int, f array<int>, x array<float>").toPandas()
     grades = sorted(int(g) for g in rows["grade"].unique())
     if len(grades) < 2:
         return np.zeros(FEATURES), np.zeros(0), grades
@@ -100,7 +104,8 @@ def grade(docs: DataFrame, ratings: DataFrame, at_least: int | None = None, id_c
     """The rows of docs with expected_grade, tail_prob = P(grade >= at_least; by default the best grade) and grade_decided.
 
     Every column of docs stays (one named like an added column is replaced). Texts without a word, null ones too, get the lowest grade
-    and tail 0. With fewer than two grades in the ratings nothing can be told: tail is 1. Null grades are left out. ratings: id and grade.
+    and tail 0. With fewer than two grades in the ratings nothing can be told: tail is 1. ratings: id and grade; null ids and
+    grades are left out, repeated ratings count again. Rows stay rows, with repeated or null ids too; an empty table gives no rows.
     """
     w, theta, grades = fit(docs, ratings, id_col, text_col)
     sent = docs.sparkSession.sparkContext.broadcast((w, theta))

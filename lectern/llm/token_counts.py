@@ -7,7 +7,11 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from lectern.llm.common import slices
 
 #: Bytes of text that one call of the encoder gets.
 BATCH_BYTES = 256 << 10
@@ -70,15 +74,20 @@ def _counted(model, texts: list[str]) -> list[int]:
 def token_counts(docs: DataFrame, model_path: str, limit: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: id, n_bytes, n_tokens and over_limit (n_tokens > limit), without special tokens or truncation.
 
-    Null texts count as empty: 0 bytes, 0 tokens. Ids may repeat; other columns are left out; an empty table gives no rows.
+    Null texts count as empty: 0 bytes, 0 tokens. Ids may repeat or be null; other columns, whatever their names, are left out;
+    an empty table gives no rows. A task holds the texts of one slice at a time.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = _model(model_path)
         for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            counts = _counted(model, texts)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(t.encode()) for t in texts], pa.int64()), pa.array(counts, pa.int64()), pa.array([n > limit for n in counts], pa.bool_())], names=[id_col, "n_bytes", "n_tokens", "over_limit"])
+            for part in slices(batch, "text"):
+                texts = part.column("text").fill_null("")
+                counts = _counted(model, texts.to_pylist())
+                sizes = pc.binary_length(texts).cast(pa.int64())
+                over = pa.array([n > limit for n in counts], pa.bool_())
+                yield pa.RecordBatch.from_arrays([part.column("id"), sizes, pa.array(counts, pa.int64()), over], names=["id", "n_bytes", "n_tokens", "over_limit"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(count, f"{id_col} {kind}, n_bytes long, n_tokens long, over_limit boolean")
+    told = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(count, f"id {kind}, n_bytes long, n_tokens long, over_limit boolean")
+    return told.withColumnRenamed("id", id_col)

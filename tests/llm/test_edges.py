@@ -11,7 +11,7 @@ rng = random.Random(4)
 LONG = " ".join(rng.choice(["one", "two", "three", "four", "five", "six", "seven"]) + str(rng.randrange(30)) for _ in range(80))
 OTHER = " ".join(str(rng.random()) for _ in range(60))
 ROWS = [(None, LONG), (None, None), (1, LONG), (1, LONG), (2, OTHER), (3, LONG + " more"), (4, None), (4, None), (5, "")]
-CLASHES = "score, shard, slot, rank, key, n, id, text_crc32, component_id, kept, spans, runs, items, n_tokens, held_out, mix_slot, source".split(", ")
+CLASHES = "score, shard, slot, rank, key, n, k, b, f, r, h, j, _h, _k, _id, _runs, _rank, off, tag, at, id, text_crc32, component_id, kept, spans, runs, items, n_words, n_tokens, held_out, mix_slot, source".split(", ")
 
 
 @pytest.fixture(scope="module")

@@ -15,20 +15,6 @@ from lectern.llm import chat, minhash, mixing, pivots, sharding
 # ---------------------------------------------------------------- mixing
 
 
-@settings(max_examples=60, deadline=None)
-@given(st.dictionaries(st.sampled_from("abcdefgh"), st.floats(0.01, 10), min_size=1))
-def test_schedule_deviates_by_less_than_a_block(weights):
-    slots = mixing.shares(weights, 100)
-    at = mixing.schedule(slots)
-    assert sorted(x for own in at.values() for x in own) == list(range(sum(slots.values())))
-    for s, own in at.items():
-        w = slots[s] / sum(slots.values())
-        served = 0
-        for t in range(sum(slots.values()) + 1):
-            served = sum(x < t for x in own)
-            assert abs(served - w * t) < 1
-
-
 def test_mix_of_documents(spark):
     rows = [(i, "hot" if i % 3 else ("b" if i % 2 else None), "x") for i in range(600)] + [(9999, "none", "x")]
     docs = spark.createDataFrame(rows, "doc_id long, source string, in_mix string")
