@@ -1,9 +1,7 @@
-"""Pieces that several operators share: Arrow text helpers, written tables, ranks without hot tasks."""
+"""Pieces that several operators share: Arrow text helpers, joins and ranks without hot tasks, components."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterable
 
 import numpy as np
@@ -14,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lectern.sources.shared import discard, written
+
 #: Bytes of text that one vectorised step holds at once.
 SLICE_BYTES = 2 << 20
 
@@ -29,36 +29,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-# ---------------------------------------------------------------- written tables
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir. Where that is unset a local master gets a temporary one (tests)."""
-    place = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not place:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors and the driver share")
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
-        place = spark.sparkContext.getCheckpointDir()
-    return place.rstrip("/")
-
-
-def written(df: DataFrame) -> DataFrame:
-    """The same rows, read back from Parquet in the shared folder: the lineage ends there."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/lectern-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def discard(*tables: DataFrame) -> None:
-    """Deletes the files of written() tables that nothing reads any more."""
-    for df in tables:
-        spark = df.sparkSession
-        for path in {f.rpartition("/")[0] for f in df.inputFiles()}:
-            if path.rpartition("/")[2].startswith("lectern-"):
-                place = spark._jvm.org.apache.hadoop.fs.Path(path)
-                place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+# ---------------------------------------------------------------- tables
 
 
 def unused(columns: Iterable[str], *names: str) -> list[str]:
