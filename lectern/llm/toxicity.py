@@ -1,35 +1,42 @@
-"""Toxicity: class-conditional Kneser-Ney models over the letters of words, compared and calibrated to a probability.
+"""Toxicity: class-conditional Kneser-Ney models over the letters of words, compared by their log-likelihoods.
 
 Spark counts, over every labelled training row, how often each class writes a byte after the five before it in the word.
 A class's probability is its own discounted count and, for the rest, the Kneser-Ney probability of both classes together,
 which backs off to shorter contexts by continuation counts. So rare words, and forms of a word never seen, lean on
-shared counts and on parts of words. What tasks receive are two sorted tables that grow with the counted strings:
-the difference of the two log-probabilities of each six-byte string, and of an unseen byte by context (there the
-shared part cancels). No counted string is left out, and none takes another's value. A document's evidence is that difference, summed in words and normalised by length, over
-the text and over its most toxic stretch; a logistic regression on other labelled rows turns it into a score.
+shared counts and on parts of words. A word's evidence is the difference of its two log-likelihoods; a document's is the
+mean over its words and, as a few clear expressions drown in a long neutral text, the mean and the sum of what words
+have beyond each of MARGINS. A logistic regression turns that into a score. It is cross-fitted: a model of one half of
+the training rows is measured on rows of the other half, and the model that scores counts both.
+
+The model is two tables that grow with the counted strings: the difference of the log-probabilities of each six-byte
+string, and of an unseen byte by context (there the shared part cancels). Tables of MODEL_STRINGS rows or fewer are sent
+to the tasks; beyond that the distinct words of the documents are joined with them. Both give the same evidence: no
+counted string is left out, and none takes another's value.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import checked_broadcast, slices, split_words, word_codes, written
+from lectern.llm.common import checked_broadcast, joined_back, slices, split_words, word_codes, written
 
 ORDER = 6
 DISCOUNT = 0.75
-#: Words of the stretch whose mean is the second piece of evidence.
-STRETCH = 8
-#: A word speaks against toxicity by so much at most: what only the larger class has written is weak evidence.
-FLOOR = -0.5
-MARGINS = (1.0, 2.0, 3.0, 5.0)
-EVIDENCE = 4 + 2 * len(MARGINS)
+#: How far a word's difference goes beyond neutral: 1 is 2.7 times as likely in toxic texts, 4 is 55 times.
+MARGINS = (1.0, 2.0, 4.0)
 #: At most so many labelled rows calibrate the score.
 CALIBRATION_ROWS = 20_000
+#: Rows of the tables that are sent to every executor, 12 bytes each.
+MODEL_STRINGS = 8_000_000
+
+_SUMS = ["words", "total", *(f"over{i}" for i in range(len(MARGINS)))]
 
 
 def _strings(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -52,17 +59,18 @@ def _strings(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per slice its strings, and how often rows of each half and class write them."""
     for batch in batches:
         for part in slices(batch, "text"):
             words, rows = split_words(part.column("text"), alnum=True)
             codes, distinct = word_codes(words)
             if not len(distinct):
                 continue
-            toxic = part.column("toxic").to_numpy(zero_copy_only=False)[rows] == 1
+            own = (part.column("half").to_numpy(zero_copy_only=False) * 2 + part.column("toxic").to_numpy(zero_copy_only=False))[rows]
             keys, owner = _strings(distinct)
             some, place = np.unique(keys, return_inverse=True)
-            n = [np.bincount(place, np.bincount(codes[own], minlength=len(distinct))[owner], len(some)) for own in (~toxic, toxic)]
-            yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int64)), *(pa.array(x.astype(np.int64)) for x in n)], names=["k", "n0", "n1"])
+            n = [np.bincount(place, np.bincount(codes[own == c], minlength=len(distinct))[owner], len(some)) for c in range(4)]
+            yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int64)), *(pa.array(x.astype(np.int64)) for x in n)], names=["k", "a0", "a1", "b0", "b1"])
 
 
 def _looked_up(keys: np.ndarray, known: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -74,18 +82,17 @@ def _looked_up(keys: np.ndarray, known: np.ndarray, value: np.ndarray) -> tuple[
     return there, np.where(there, value[at], np.float32(0))
 
 
-def _table(values: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Rows (k, value) as sorted strings and their values; the driver gets them in packed batches."""
+def _table(rows: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """n rows (k, value) as sorted strings and their values; the driver gets them in packed batches."""
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            k, value = batch.column("k").to_numpy(), batch.column("value").to_numpy()
+            k, value = batch.column("k").to_numpy(), batch.column("value").to_numpy().astype(np.float32)
             yield pa.RecordBatch.from_arrays([pa.array([k.tobytes()], pa.binary()), pa.array([value.tobytes()], pa.binary())], names=["k", "vals"])
 
-    rows = written(values.select("k", "value"))
-    n, at = rows.count(), 0
+    at = 0
     known, value = np.zeros(n, np.int64), np.zeros(n, np.float32)
-    for r in rows.mapInArrow(packed, "k binary, vals binary").toLocalIterator():
+    for r in rows.select("k", "value").mapInArrow(packed, "k binary, vals binary").toLocalIterator():
         k = np.frombuffer(r["k"], np.int64)
         known[at : at + len(k)], value[at : at + len(k)] = k, np.frombuffer(r["vals"], np.float32)
         at += len(k)
@@ -93,9 +100,24 @@ def _table(values: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return known[order], value[order]
 
 
-def fit(train: DataFrame) -> list[np.ndarray] | None:
-    """Tables of strings and of contexts, from rows (text, toxic 0 or 1); None unless both classes have words."""
-    grams = written(train.select("text", "toxic").mapInArrow(_counted, "k long, n0 long, n1 long").groupBy("k").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")))
+@dataclass
+class Model:
+    """Log-probability differences (k, value) of strings and, for unseen bytes, of contexts; `sent` has them for tasks, if they are few enough."""
+
+    strings: DataFrame
+    unseen: DataFrame
+    sent: Broadcast | None
+
+
+def counts(train: DataFrame) -> DataFrame:
+    """A written table (k, a0, a1, b0, b1): how often each string is in rows (text, toxic 0 or 1, half 0 or 1) of half a and b, and class 0 and 1."""
+    rows = train.select("text", "toxic", "half").mapInArrow(_counted, "k long, a0 long, a1 long, b0 long, b1 long")
+    return written(rows.groupBy("k").agg(*(F.sum(c).alias(c) for c in ("a0", "a1", "b0", "b1"))))
+
+
+def fit(grams: DataFrame, most: int = MODEL_STRINGS) -> Model | None:
+    """The model of strings (k, n0, n1), counted in class 0 and 1; None unless both classes have some."""
+    grams = grams.where("n0 + n1 > 0")
     seen = grams.agg(F.sum("n0").alias("a"), F.sum("n1").alias("b")).first()
     if not seen["a"] or not seen["b"]:
         return None
@@ -110,50 +132,101 @@ def fit(train: DataFrame) -> list[np.ndarray] | None:
         """Rows (k, n) with the probability p of k's last byte after the ones before."""
         context = rows.groupBy(F.shiftright("k", 8).alias("h")).agg(F.sum("n").alias("all"), F.sum(less(F.col("n"))).alias("mass"))
         out = rows.withColumn("h", F.shiftright("k", 8)).join(context, "h")
-        out = out.withColumn("q", F.lit(1 / 256)) if lower is None else out.withColumn("s", tail(size - 2)).join(lower.select(F.col("k").alias("s"), F.col("p").alias("q")), "s")
+        if lower is None:
+            out = out.withColumn("q", F.lit(1 / 256))
+        else:
+            out = out.withColumn("s", tail(size - 2)).join(lower.select(F.col("k").alias("s"), F.col("p").alias("q")), "s")
         return out.select("k", ((less(F.col("n")) + (F.col("all") - F.col("mass")) * F.col("q")) / F.col("all")).alias("p"))
 
     shared = backed(grams.select("k", (F.col("n0") + F.col("n1")).alias("n")), backed(four, backed(two, None, 2), 4), 6)
-    context = grams.groupBy(F.shiftright("k", 8).alias("h")).agg(*(f(F.col(f"n{c}")).alias(f"{t}{c}") for c in (0, 1) for f, t in ((F.sum, "all"), (lambda n: F.sum(less(n)), "mass"))))
+    both = [f(F.col(f"n{c}")).alias(f"{t}{c}") for c in (0, 1) for f, t in ((F.sum, "all"), (lambda n: F.sum(less(n)), "mass"))]
+    context = grams.groupBy(F.shiftright("k", 8).alias("h")).agg(*both)
     left = lambda c: F.when(F.col(f"all{c}") > 0, (F.col(f"all{c}") - F.col(f"mass{c}")) / F.col(f"all{c}")).otherwise(F.lit(1.0))
     context = written(context.select("h", "all0", "all1", left(0).alias("left0"), left(1).alias("left1")))
     own = lambda c: less(F.col(f"n{c}")) / F.greatest(F.col(f"all{c}"), F.lit(1)) + F.col(f"left{c}") * F.col("p")
     told = grams.join(shared, "k").withColumn("h", F.shiftright("k", 8)).join(context, "h")
-    strings = told.select("k", F.log(own(1) / own(0)).cast("float").alias("value"))
-    unseen = context.select(F.col("h").alias("k"), F.log(F.col("left1") / F.col("left0")).cast("float").alias("value"))
-    return [*_table(strings), *_table(unseen)]
+    strings = written(told.select("k", F.log(own(1) / own(0)).alias("value")))
+    unseen = written(context.select(F.col("h").alias("k"), F.log(F.col("left1") / F.col("left0")).alias("value")))
+    n, m = strings.count(), unseen.count()
+    sent = grams.sparkSession.sparkContext.broadcast([*_table(strings, n), *_table(unseen, m)]) if n + m <= most else None
+    return Model(strings, unseen, sent)
 
 
-def _evidence(model: list[np.ndarray] | None, texts: pa.Array) -> np.ndarray:
-    """Per row: mean difference by word over the text, over its most toxic stretch, log of the words, whether it has any, and
-    roots of means, and logs of sums, of what words have over each of MARGINS, so that a few clear expressions aren't lost among many neutral words."""
+def _sums(tables: list[np.ndarray], texts: pa.Array) -> list[np.ndarray]:
+    """Per row the number of its words, the sum of their differences, and the sums of what is over each margin."""
     n = len(texts)
-    out = np.zeros((n, EVIDENCE))
-    if model is None:
-        return out
     words, rows = split_words(texts, alnum=True)
     codes, distinct = word_codes(words)
     if not len(codes):
-        return out
-    known, value, contexts, context_value = model
+        return [np.zeros(n)] * len(_SUMS)
+    known, value, contexts, context_value = tables
     keys, owner = _strings(distinct)
     there, each = _looked_up(keys, known, value)
     each = np.where(there, each, _looked_up(keys >> np.uint64(8), contexts, context_value)[1])
-    diff = np.maximum(np.bincount(owner, each, len(distinct)), FLOOR)[codes]
-    sums = np.concatenate([[0.0], np.cumsum(diff)])
-    start = np.searchsorted(rows, np.arange(n + 1))
-    size = np.diff(start)
-    some = size > 0
-    out[:, 0] = np.where(some, (sums[start[1:]] - sums[start[:-1]]) / np.maximum(size, 1), 0)
-    ends = np.minimum(np.arange(len(codes)) + STRETCH, start[rows + 1])
-    stretch = (sums[ends] - sums[:-1]) / STRETCH
-    out[some, 1] = np.maximum.reduceat(stretch, start[:-1][some])
-    out[:, 2] = np.log1p(size)
-    out[:, 3] = some
-    for i, margin in enumerate(MARGINS):
-        over = np.bincount(rows, np.maximum(diff - margin, 0), n)
-        out[:, 4 + 2 * i], out[:, 5 + 2 * i] = np.sqrt(over / np.maximum(size, 1)), np.log1p(over)
-    return out
+    diff = np.bincount(owner, each, len(distinct))[codes]
+    return [np.bincount(rows, x, n) for x in (np.ones(len(rows)), diff, *(np.maximum(diff - m, 0) for m in MARGINS))]
+
+
+def _by_tables(model: Model, docs: DataFrame) -> DataFrame:
+    kept, sent = [c for c in docs.columns if c != "text"], model.sent
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text"):
+                sums = _sums(sent.value, part.column("text"))
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), *map(pa.array, sums)], names=[*kept, *_SUMS])
+
+    kinds = [f"{c} {docs.schema[c].dataType.simpleString()}" for c in kept]
+    return docs.mapInArrow(add, ", ".join([*kinds, *(f"{c} double" for c in _SUMS)]))
+
+
+def _by_join(model: Model, docs: DataFrame) -> DataFrame:
+    """As _by_tables, for tables of any size: words get their differences by joins, documents by sums over their words."""
+
+    def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text"):
+                words, rows = split_words(part.column("text"), alnum=True)
+                codes, distinct = word_codes(words)
+                pair, times = np.unique(rows * max(1, len(distinct)) + codes, return_counts=True)
+                row, word = (pa.array(x) for x in np.divmod(pair, max(1, len(distinct))))
+                columns = [part.column("id").take(row), part.column("h").take(row), distinct.take(word).cast(pa.string())]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(times)], names=["id", "h", "word", "times"])
+
+    def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "word"):
+                keys, owner = _strings(part.column("word"))
+                yield pa.RecordBatch.from_arrays([part.column("word").take(pa.array(owner)), pa.array(keys.astype(np.int64))], names=["word", "k"])
+
+    rows = docs.withColumn("h", F.xxhash64("text"))
+    kind = docs.schema["id"].dataType.simpleString()
+    # rows of one id and text have the same words
+    told = written(rows.select("id", "h", "text").mapInArrow(tell, f"id {kind}, h long, word string, times long").dropDuplicates(["id", "h", "word"]))
+    words = told.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    letters = words.select("word").mapInArrow(spell, "word string, k long").withColumn("c", F.shiftright("k", 8))
+    context = model.unseen.select(F.col("k").alias("c"), F.col("value").alias("unseen"))
+    spelt = letters.join(model.strings, "k", "left").join(context, "c", "left")
+    value = spelt.groupBy("word").agg(F.sum(F.coalesce("value", "unseen", F.lit(0.0))).alias("diff"))
+    each = joined_back(told, written(words.join(value, "word")), ["word"])
+    over = [F.sum(F.col("times") * F.greatest(F.col("diff") - m, F.lit(0.0))) for m in MARGINS]
+    sums = [F.sum("times").cast("double"), F.sum(F.col("times") * F.col("diff")), *over]
+    found = each.groupBy(F.col("id").alias("i"), F.col("h").alias("g")).agg(*(x.alias(c) for x, c in zip(sums, _SUMS, strict=True)))
+    whole = rows.drop("text").join(found, F.col("id").eqNullSafe(F.col("i")) & (F.col("h") == F.col("g")), "left")
+    return whole.select(*(c for c in docs.columns if c != "text"), *(F.coalesce(c, F.lit(0.0)).alias(c) for c in _SUMS))
+
+
+def evidence(model: Model | None, docs: DataFrame) -> DataFrame:
+    """docs (id, text and others) with `words`, `total` and the sums over MARGINS in the place of the text; zeros without a model."""
+    if model is None:
+        return docs.drop("text").withColumns({c: F.lit(0.0) for c in _SUMS})
+    return (_by_tables if model.sent else _by_join)(model, docs)
+
+
+def _features() -> list[Column]:
+    words = F.greatest(F.col("words"), F.lit(1.0))
+    over = [F.col(c) for c in _SUMS[2:]]
+    return [F.col("total") / words, *(F.sqrt(x / words) for x in over), *(F.log1p(x) for x in over), F.log1p("words")]
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, rounds: int = 30, ridge: float = 1e-2) -> np.ndarray:
@@ -170,41 +243,35 @@ def _logistic(x: np.ndarray, y: np.ndarray, rounds: int = 30, ridge: float = 1e-
     return beta
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, id_col: str = "doc_id", text_col: str = "text", most: int = MODEL_STRINGS) -> DataFrame:
     """Per document: id, held_out, score (0 to 1) and predicted (1 if score >= threshold).
 
-    Rows with crc32(id as text) mod 3 = 1 are held out; of the labelled others, remainder 0 counts the models and
-    remainder 2 calibrates. Only the text is scored. Null and empty texts get the score of no evidence; null or other
-    labels are left out; repeated labels count again; with labels of one class only every score is 0.5. Other columns
-    are left out; ids may repeat, and a null id isn't held out.
+    Rows with crc32(id as text) mod 3 = 1 are held out. The labelled others, all of them, count the model that scores; the
+    calibration measures rows of remainder 2 with a model of remainder 0. Only the text is scored. Null and empty texts get the
+    score of no evidence; null or other labels are left out; repeated labels count again; with labels of one class only every
+    score is 0.5. Other columns are left out; ids may repeat, and a null id isn't held out. An empty table gives no rows.
     """
-    spark = docs.sparkSession
     fold = F.crc32(F.col(id_col).cast("string")) % 3
-    marked = labels.select(F.col(id_col).alias("id"), F.col("toxic").cast("long"), (F.crc32(F.col(id_col).cast("string")) % 3).alias("fold")).where("toxic in (0, 1) and fold <> 1 and id is not null")
+    marked = labels.select(F.col(id_col).alias("id"), F.col("toxic").cast("long"), fold.alias("fold"))
+    marked = marked.where("toxic in (0, 1) and fold <> 1 and id is not null")
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    known = texts.join(checked_broadcast(written(marked)), "id")
-    model = fit(known.where("fold = 0"))
-    sent = spark.sparkContext.broadcast(model)
-
-    names = [f"e{i}" for i in range(EVIDENCE)]
-
-    def evidence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch, "text"):
-                x = _evidence(sent.value, part.column("text"))
-                yield pa.RecordBatch.from_arrays([part.column("toxic"), *(pa.array(np.ascontiguousarray(c)) for c in x.T)], names=["toxic", *names])
-
-    some = marked.where("fold = 2").orderBy(F.xxhash64("id"), "id", "toxic").limit(CALIBRATION_ROWS)
-    seen = texts.join(F.broadcast(some), "id").select("text", "toxic").mapInArrow(evidence, "toxic long, " + ", ".join(f"{c} double" for c in names)).toPandas()
-    beta = _logistic(seen[names].to_numpy(), seen["toxic"].to_numpy()) if model is not None and seen["toxic"].nunique() == 2 else np.zeros(EVIDENCE + 1)
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch, "text"):
-                x = _evidence(sent.value, part.column("text")) @ beta[:-1] + beta[-1]
-                p = 1 / (1 + np.exp(-np.clip(x, -30, 30)))
-                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("held_out"), pa.array(p), pa.array((p >= threshold).astype(np.int32))], names=["id", "held_out", "score", "predicted"])
-
-    kind = docs.schema[id_col].dataType.simpleString()
-    scored = docs.select(F.col(id_col).alias("id"), F.coalesce(fold == 1, F.lit(False)).alias("held_out"), F.col(text_col).alias("text")).mapInArrow(score, f"id {kind}, held_out boolean, score double, predicted int")
-    return scored.withColumnRenamed("id", id_col)
+    known = texts.join(checked_broadcast(written(marked)), "id").withColumn("half", (F.col("fold") == 2).cast("long"))
+    grams = counts(known)
+    half = fit(grams.select("k", F.col("a0").alias("n0"), F.col("a1").alias("n1")), most)
+    whole = fit(grams.select("k", (F.col("a0") + F.col("b0")).alias("n0"), (F.col("a1") + F.col("b1")).alias("n1")), most)
+
+    order = (F.xxhash64("id"), "id", "toxic")
+    some = marked.where("fold = 2").select("id", "toxic").orderBy(*order).limit(CALIBRATION_ROWS)
+    names = [f"x{i}" for i in range(len(_features()))]
+    told = evidence(half, texts.join(F.broadcast(some), "id")).select("id", "toxic", *(x.alias(c) for x, c in zip(_features(), names, strict=True)))
+    seen = told.orderBy(*order, *names).limit(CALIBRATION_ROWS).toPandas()  # an id may have several texts
+    if half is None or whole is None or seen["toxic"].nunique() < 2:
+        beta = [0.0] * (len(names) + 1)
+    else:
+        beta = _logistic(seen[names].to_numpy(), seen["toxic"].to_numpy()).tolist()
+    z = F.lit(beta[-1])
+    for b, x in zip(beta, _features(), strict=False):
+        z = z + b * x
+    scored = evidence(whole, texts.withColumn("held_out", F.coalesce(F.crc32(F.col("id").cast("string")) % 3 == 1, F.lit(False))))
+    scored = scored.select(F.col("id").alias(id_col), "held_out", (1 / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), z))))).alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))

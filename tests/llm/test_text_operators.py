@@ -1,7 +1,9 @@
 """Toxicity, quality, decontamination, token counts and repeated passages against brute force."""
 
 import hashlib
+import math
 import random
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -191,13 +193,63 @@ def test_toxicity_of_held_out_documents(spark):
 
 def test_no_counted_string_is_lost(spark):
     keys = np.arange(300_000, dtype=np.int64) * 1_000_003
-    values = spark.range(300_000).selectExpr("id * 1000003 AS k", "1L AS n", "cast(id % 1000 + 1 AS float) AS value")
-    known, value = toxicity._table(values)
+    values = spark.range(300_000).selectExpr("id * 1000003 AS k", "1L AS n", "cast(id % 1000 + 1 AS double) AS value")
+    known, value = toxicity._table(values, 300_000)
     there, got = toxicity._looked_up(keys.astype(np.uint64), known, value)
     assert there.all() and (got == np.arange(300_000) % 1000 + 1).all()
     assert not toxicity._looked_up((keys + 1).astype(np.uint64), known, value)[0].any()
 
 
+def strings_of(text):
+    """Six-byte strings of each word: four zeros and a start before it, an end behind."""
+    for word in "".join(c.lower() if c.isascii() and c.isalnum() else " " for c in text).split():
+        b = bytes(4) + b"\x01" + word.encode() + b"\x02"
+        yield from (b[i : i + 6] for i in range(len(b) - 5))
+
+
+def brute_kneser_ney(rows, d=0.75):
+    """The difference of log-probabilities of each string, and of unseen bytes by context, from definitions."""
+    n = [Counter(k for text, toxic in rows if toxic == c for k in strings_of(text)) for c in (0, 1)]
+    seen = set(n[0]) | set(n[1])
+    four = Counter(k[2:] for k in seen)
+    two = Counter(k[2:] for k in four)
+
+    def shared(k, counts, lower):
+        kin = [counts[x] for x in counts if x[:-1] == k[:-1]]
+        return (max(counts[k] - d, 0) + sum(min(d, x) for x in kin) * lower) / sum(kin)
+
+    def own(k, c, p):
+        kin = [n[c][x] for x in seen if x[:-1] == k[:-1]]
+        total = sum(kin)
+        return max(n[c][k] - d, 0) / total + sum(min(d, x) for x in kin) / total * p if total else p
+
+    whole = n[0] + n[1]
+    strings = {}
+    for k in seen:
+        p = shared(k, whole, shared(k[2:], four, shared(k[4:], two, 1 / 256)))
+        strings[k] = math.log(own(k, 1, p) / own(k, 0, p))
+    rest = lambda h, c: (lambda kin: sum(min(d, x) for x in kin) / sum(kin) if sum(kin) else 1.0)([n[c][x] for x in seen if x[:-1] == h])
+    return strings, {h: math.log(rest(h, 1) / rest(h, 0)) for h in {k[:-1] for k in seen}}
+
+
+def test_kneser_ney_is_brute_force(spark):
+    rows = [("The grok said no", 1), ("the gro said yes yes", 0), ("a groks' tail, the tail", 1), ("", 0), ("said the tale", 0)]
+    train = spark.createDataFrame([(t, x, i % 2) for i, (t, x) in enumerate(rows)], "text string, toxic long, half long")
+    grams = toxicity.counts(train).select("k", (F.col("a0") + F.col("b0")).alias("n0"), (F.col("a1") + F.col("b1")).alias("n1"))
+    model = toxicity.fit(grams)
+    for table, expected, size in zip((model.strings, model.unseen), brute_kneser_ney(rows), (6, 5), strict=True):
+        got = {r["k"].to_bytes(size, "big"): r["value"] for r in table.collect()}
+        assert set(got) == set(expected) and all(abs(got[k] - v) < 1e-9 for k, v in expected.items())
+
+
+def test_large_models_score_alike(spark):
+    rows = corpus(200, 3) + [(5000, None, 0, 1), (5001, " ", 0, 1), (5002, "lalo " * 3000 + "grokix " * 20, 1, 1)]
+    docs = spark.createDataFrame([(i, t) for i, t, *_ in rows] + [(3, rows[3][1]), (3, rows[4][1]), (None, rows[5][1])], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, x) for i, _, x, _ in rows], "doc_id long, toxic int")
+    told = [sorted((r["doc_id"] is None, r["doc_id"] or 0, round(r["score"], 4)) for r in toxicity.toxicity(docs, labels, most=m).collect()) for m in (toxicity.MODEL_STRINGS, 10)]
+    assert told[0] == told[1] and len(told[0]) == len(rows) + 3
+
+
 def test_quality_grades(spark):
     rows = corpus(600, 2)
     docs = spark.createDataFrame([(i, t, "x") for i, t, *_ in rows] + [(7000, None, "x"), (7001, " \n", "x")], "doc_id long, text string, tail_prob string")
