@@ -2,9 +2,9 @@
 
 Documents with equal shingle sets are one class. Classes that share a band of minima are candidates; their packed low bits
 give a collision-corrected similarity that drops hopeless candidates, and full sets confirm the rest. In a band's bucket
-every class is compared with the bucket's leader first; only classes that these links leave in different components are
-compared with one another, unless what they share with the leader rules a link out, so large groups of near copies
-make pairs in proportion to their size.
+every class is compared with the bucket's leader, so large groups of near copies make pairs in proportion to their
+size. Classes of one bucket that these links leave apart are compared with one another by their rarest shingles: sets of
+that similarity share one of the first quarter of each, so members that only a template has in common never meet.
 """
 
 from __future__ import annotations
@@ -15,8 +15,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from lectern.llm.common import checked_broadcast, components, hashed, mixed, slices, split_words, word_codes, written
+from lectern.llm.common import HOT_ROWS, checked_broadcast, components, hashed, joined_back, mixed, slices, split_words, unused, word_codes, written
 
 SHINGLE = 5
 #: Bands of ROWS minima: two sets of similarity 0.75 share none with probability (1 - 0.75 ** 4) ** 32 = 5e-6.
@@ -25,8 +26,8 @@ BANDS, ROWS = 32, 4
 BITS = 4
 #: Candidates go on when their corrected estimate is this near the threshold: five standard errors of 128 minima.
 SLACK = 0.2
-#: Places of the map of what a class has beyond its leader.
-MAP_BITS = 1024
+#: Bytes of the sets of hot leaders that may be sent to every executor.
+BROADCAST_BYTES = 64 << 20
 
 _K = BANDS * ROWS
 _rng = np.random.default_rng(20240607)
@@ -73,6 +74,10 @@ def _signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
+def _digest(s: np.ndarray) -> list[np.uint64]:
+    return [mixed(s).sum(), mixed(s * _TURN + np.uint64(len(s))).sum()]
+
+
 def _described(sets: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray | None], list[np.ndarray | None], np.ndarray]:
     """Per set its size, the keys of its bands, its packed bits and a 128-bit digest of the whole set."""
     sizes = np.array([len(s) for s in sets], np.int64)
@@ -84,7 +89,7 @@ def _described(sets: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray | No
             bits.append(None)
             continue
         with np.errstate(over="ignore"):
-            digest[i] = [mixed(s).sum(), mixed(s * _TURN + np.uint64(len(s))).sum()]
+            digest[i] = _digest(s)
             low = _minima(s)
             top = mixed(low >> np.uint64(16))
             bands.append(_signed(mixed((top.reshape(BANDS, ROWS) * _BAND).sum(axis=1) + np.arange(BANDS, dtype=np.uint64))))
@@ -119,51 +124,70 @@ def estimate(a: str, b: str):
     return ((_K - differ) / F.lit(float(_K)) - chance) / (1 - chance)
 
 
-def _sets(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def _sets(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str, repeats: bool) -> DataFrame:
+    """(id, s): the set of each of the ids; where ids of docs repeat, that with the least digest."""
+
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
-                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array([_signed(s) for s in _shingles(part.column("text"))], pa.list_(pa.int64()))], names=["id", "s"])
-
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(make, "id long, s array<long>")
-
-
-def _compared(pairs: DataFrame, docs: DataFrame, percent: int, id_col: str, text_col: str) -> DataFrame:
-    """The pairs (a, b) with what their full sets share (i), whether that links them, and a map of b's shingles that a lacks."""
-    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    ids = checked_broadcast(written(ids))
-    sets = written(_sets(docs.join(ids, docs[id_col] == ids["id"], "left_semi"), id_col, text_col))
-    left = pairs.join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a")
-    both = left.join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b").select("a", "b", "sa", "sb")
+                sets = _shingles(part.column("text"))
+                digest = np.array([_digest(s) for s in sets], np.uint64).reshape(-1, 2)
+                columns = [pa.array([_signed(s) for s in sets], pa.list_(pa.int64())), *(pa.array(_signed(c.copy())) for c in digest.T)]
+                yield pa.RecordBatch.from_arrays([part.column("id"), *columns], names=["id", "s", "d0", "d1"])
+
+    ids = checked_broadcast(ids)
+    wanted = docs.join(ids, docs[id_col] == ids["id"], "left_semi").select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    sets = wanted.mapInArrow(make, "id long, s array<long>, d0 long, d1 long").where(F.size("s") > 0)
+    if repeats:
+        return sets.groupBy("id").agg(F.min_by("s", F.struct("d0", "d1", F.size("s"))).alias("s"))
+    return sets.select("id", "s")
+
+
+def _compared(pairs: DataFrame, docs: DataFrame, percent: int, id_col: str, text_col: str, repeats: bool) -> DataFrame:
+    """The pairs (a, b) of a written table, with whether what their full sets share links them."""
+    ids = written(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct())
+    sets = written(_sets(docs, ids, id_col, text_col, repeats))
+    both = pairs.join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
+    first = sets.select(F.col("id").alias("a"), F.col("s").alias("sa"))
+    # the set of a leader with many members is sent to them, if all such sets are small enough
+    hot = written(pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT_ROWS).select("a").join(first, "a"))
+    size = hot.agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("sa") * 8).alias("bytes")).first()
+    if size["n"] and size["bytes"] <= BROADCAST_BYTES:
+        few = F.broadcast(hot)
+        both = both.join(few, "a").unionByName(both.join(few.select("a"), "a", "left_anti").join(first, "a"))
+    else:
+        both = both.join(first, "a")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            shared, linked, maps = [], [], []
+            linked = []
             for sa, sb in zip(batch.column("sa"), batch.column("sb"), strict=True):
                 x, y = (v.values.to_numpy(zero_copy_only=False).view(np.uint64) for v in (sa, sb))
-                own = x[np.minimum(np.searchsorted(x, y), len(x) - 1)] != y
-                i = len(y) - int(own.sum())
-                shared.append(i)
+                i = int((x[np.minimum(np.searchsorted(x, y), len(x) - 1)] == y).sum())
                 linked.append(100 * i >= percent * (len(x) + len(y) - i))
-                bits = np.zeros(MAP_BITS, np.uint8)
-                bits[(y[own] % np.uint64(MAP_BITS)).astype(np.int64)] = 1
-                maps.append(np.packbits(bits).view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(shared, pa.int64()), pa.array(linked, pa.bool_()), pa.array(maps, pa.list_(pa.int64()))], names=["a", "b", "i", "linked", "map"])
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(linked, pa.bool_())], names=["a", "b", "linked"])
 
-    return both.mapInArrow(compare, "a long, b long, i long, linked boolean, map array<long>")
+    return both.select("a", "b", "sa", "sb").mapInArrow(compare, "a long, b long, linked boolean")
 
 
-def _possible(percent: int):
-    """Whether rows x and y of one bucket can be similar enough, by what each shares with the bucket's leader.
+def _by_rarest(apart: DataFrame, docs: DataFrame, percent: int, id_col: str, text_col: str, repeats: bool) -> DataFrame:
+    """Pairs (a, b) of a written table (id, component, n, bits) of different components that may be similar enough.
 
-    They share no more than the lesser of those counts and, beyond the leader, no more than the one's own shingles less
-    those whose place in its map is empty in the other's. Rows that weren't compared with the leader aren't ruled out.
+    Of sets that are, each has one of the other's shingles among its own n - ceil(percent * n / 100) + 1 rarest, rarity
+    being the number of sets here that have it. Shingles of one set come first in that order and make no pair.
     """
-    width = MAP_BITS // 64
-    lacks = lambda p, q: sum((F.bit_count(F.element_at(p, w).bitwiseAND(F.bitwise_not(F.element_at(q, w)))) for w in range(1, width + 1)), F.lit(0))
-    beyond = F.least(F.col("na") - F.col("ia") - lacks("ma", "mb"), F.col("nb") - F.col("ib") - lacks("mb", "ma"))
-    most = F.least(F.col("ia"), F.col("ib")) + beyond
-    return F.coalesce(most * 100 >= F.lit(percent) * (F.col("na") + F.col("nb") - most), F.lit(True))
+    sets = _sets(docs, apart.select("id"), id_col, text_col, repeats)
+    shingles = written(sets.select("id", F.explode("s").alias("s")))
+    df = written(shingles.groupBy("s").agg(F.count(F.lit(1)).alias("n")).where("n > 1").withColumn("df", F.col("n")))
+    common = joined_back(shingles, df, ["s"])
+    place = F.row_number().over(Window.partitionBy("id").orderBy("df", "s")) + F.col("n") - F.count(F.lit(1)).over(Window.partitionBy("id"))
+    sized = common.join(apart.select("id", "n"), "id").withColumn("place", place)
+    first = written(sized.where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).select("s", "id"))
+    a = first.join(apart.select("id", *(F.col(c).alias(f"{c}_a") for c in ("component", "n", "bits"))), "id").withColumnRenamed("id", "a")
+    b = first.join(apart.select("id", *(F.col(c).alias(f"{c}_b") for c in ("component", "n", "bits"))), "id").withColumnRenamed("id", "b")
+    close = F.least("n_a", "n_b") * 100 >= F.lit(percent) * F.greatest("n_a", "n_b")
+    may = close & (F.col("component_a") != F.col("component_b")) & (estimate("bits_a", "bits_b") >= percent / 100 - SLACK)
+    return a.join(b, "s").where((F.col("a") < F.col("b")) & may).select("a", "b").distinct()
 
 
 def near_duplicates(docs: DataFrame, similarity: float = 0.75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -172,53 +196,74 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.75, id_col: str = "do
     Texts are lower-cased (A-Z) and split at ASCII white space; the set holds the distinct shingles of five words, or
     the whole sequence of fewer. Null, empty and blank texts have an empty set and no links. Ids are integers; repeated rows
     of one id share its result; a row with a null id has no links, and null component_id and kept. Other columns are
-    left out; an empty table gives no rows.
+    left out; an empty table gives no rows. An id with different texts is judged by one of them, that with the least digest.
     """
     percent = round(similarity * 100)
     signed = written(signatures(docs, id_col, text_col))
-    # exact classes: the smallest id stands for all with the same set
     filled = signed.where("n_shingles > 0 and id is not null")
-    classes = filled.groupBy("d0", "d1", "n_shingles").agg(F.min("id").alias("rep"))
-    member = written(filled.select("id", "d0", "d1", "n_shingles").join(classes, ["d0", "d1", "n_shingles"]).select("id", "rep").dropDuplicates(["id"]))
+    alike = ["d0", "d1", "n_shingles"]
+    # of an id's different sets the one with the least digest stands for the id
+    several = written(filled.groupBy("id").agg(F.min(F.struct(*alike)).alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1"))
+    repeats = not several.isEmpty()
+    if repeats:
+        own = F.col("least").isNull() | (F.struct(*alike) == F.col("least"))
+        filled = filled.join(checked_broadcast(several.select("id", "least")), "id", "left").where(own).drop("least")
+    # exact classes: the smallest id stands for all with the same set
+    classes = written(filled.groupBy(*alike).agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n")))
+    member = written(joined_back(filled.select("id", *alike), classes, alike).select("id", "rep").distinct())
     reps = member.where("id = rep").select("id")
     facts = written(filled.join(reps, "id", "left_semi").select("id", F.col("n_shingles").alias("n"), "bands", "bits").dropDuplicates(["id"]))
-    near = lambda x, y: F.least(x, y) * 100 >= F.lit(percent) * F.greatest(x, y)
 
     # buckets of a band; the leader is the member with the most company in all its bands
     posted = facts.where("n > 1").select("id", F.explode("bands").alias("key"))
-    shared = posted.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
-    posts = written(posted.join(shared, "key"))
-    company = posts.groupBy("id").agg(F.sum("m").alias("m"))
-    leaders = posts.select("key", "id").join(company, "id").groupBy("key").agg(F.max(F.struct("m", (-F.col("id")).alias("id"))).alias("l")).select("key", (-F.col("l.id")).alias("leader"))
-    posts = written(posts.select("key", "id").join(leaders, "key"))
-    star = posts.where("id <> leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct()
-    a = facts.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("bits").alias("ba"))
+    shared = written(posted.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").withColumn("m", F.col("n")))
+    posts = written(joined_back(posted, shared, ["key"]))
+    company = posts.groupBy("id").agg(F.sum("m").alias("all"))
+    most = F.max(F.struct("all", (-F.col("id")).alias("id")))
+    leaders = posts.select("key", "id", "m").join(company, "id").groupBy("key").agg(most.alias("l"), F.first("m").alias("n"))
+    posts = written(joined_back(posts.select("key", "id"), written(leaders.select("key", (-F.col("l.id")).alias("leader"), "n")), ["key"]))
+    star = written(posts.where("id <> leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct())
+    led = star.groupBy("a").agg(F.count(F.lit(1)).alias("n"))
+    a = written(facts.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("bits").alias("ba")).join(led, "a"))
     b = facts.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("bb"))
-    first = star.join(a, "a").join(b, "b").where(near(F.col("na"), F.col("nb")) & (estimate("ba", "bb") >= similarity - SLACK)).select("a", "b")
-    told = written(_compared(written(first), docs, percent, id_col, text_col))
+    close = F.least("na", "nb") * 100 >= F.lit(percent) * F.greatest("na", "nb")
+    first = joined_back(star, a, ["a"]).join(b, "b").where(close & (estimate("ba", "bb") >= similarity - SLACK)).select("a", "b")
+    told = written(_compared(written(first), docs, percent, id_col, text_col, repeats))
     links = told.where("linked").select("a", "b")
     joined = written(components(reps, links))
 
-    # what the stars left apart: classes of one bucket in different components, compared with one another
-    placed = posts.join(joined, "id")
-    mixed_keys = placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("key")
-    apart = placed.join(mixed_keys, "key", "left_semi").join(facts.select("id", "n", "bits"), "id")
-    apart = apart.join(told.select(F.col("a").alias("leader"), F.col("b").alias("id"), "i", "map"), ["leader", "id"], "left")
-    own = F.col("id") == F.col("leader")
-    apart = written(apart.withColumns({"i": F.when(own, F.col("n")).otherwise(F.col("i")), "map": F.when(own, F.array_repeat(F.lit(0).cast("long"), MAP_BITS // 64)).otherwise(F.col("map"))}))
-    side = lambda z, key: apart.select(F.col("key").alias(key), F.col("id").alias(z), *(F.col(c).alias(t + z) for c, t in (("component", "c"), ("n", "n"), ("bits", "b"), ("i", "i"), ("map", "m"))))
-    rest = side("a", "key").join(side("b", "other"), (F.col("key") == F.col("other")) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & near(F.col("na"), F.col("nb")) & (estimate("ba", "bb") >= similarity - SLACK) & _possible(percent)).select("a", "b").distinct()
+    # what the stars left apart: classes of buckets with several components
+    placed = posts.select("key", "id").join(joined, "id")
+    several = placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count(F.lit(1)).alias("n"))
+    apart = joined_back(placed, written(several.where("x < y").select("key", "n")), ["key"]).select("id", "component").distinct()
+    apart = written(apart.join(facts.select("id", "n", "bits"), "id"))
+    rest = _by_rarest(apart, docs, percent, id_col, text_col, repeats)
     done = told.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    late = _compared(written(rest.join(done, ["a", "b"], "left_anti")), docs, percent, id_col, text_col).where("linked").select("a", "b")
+    late = _compared(written(rest.join(done, ["a", "b"], "left_anti")), docs, percent, id_col, text_col, repeats).where("linked").select("a", "b")
     joined = components(reps, links.unionByName(late))
 
-    classed = member.join(joined.select(F.col("id").alias("rep"), "component"), "rep").select("id", "component")
-    out = signed.select("id", "n_shingles").join(classed, "id", "left").select(F.col("id").alias(id_col), "n_shingles", F.coalesce("component", "id").alias("component_id"))
+    placed = joined.join(member.groupBy("rep").agg(F.count(F.lit(1)).alias("n")), F.col("id") == F.col("rep")).select("rep", "component", "n")
+    classed = joined_back(member, written(placed), ["rep"]).select("id", "component")
+    out = signed.select("id", "n_shingles").join(classed, "id", "left")
+    out = out.select(F.col("id").alias(id_col), "n_shingles", F.coalesce("component", "id").alias("component_id"))
     return out.withColumn("kept", F.col(id_col) == F.col("component_id"))
 
 
 def deduplicated(docs: DataFrame, similarity: float = 0.75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs, with its columns, that stand for their group: those with the smallest id of it."""
-    gone = near_duplicates(docs, similarity, id_col, text_col).where("not kept").select(F.col(id_col).alias("_gone"))
-    gone = checked_broadcast(written(gone))
-    return docs.join(gone, docs[id_col] == gone["_gone"], "left_anti")
+    """The rows of docs, with its columns, that stand for their group: those with the smallest id of it.
+
+    Of several rows with one id, the one with the least text stays (null first); rows with a null id all stay, and so does
+    every text without words. Columns may have any names; an empty table gives no rows.
+    """
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    told = written(near_duplicates(docs, similarity, id_col, text_col).select(F.col(id_col).alias("id"), "kept"))
+    ident, = unused(docs.columns, "gone")
+    gone = checked_broadcast(written(told.where("not kept").select(F.col("id").alias(ident)).distinct()))
+    left = docs.join(gone, docs[id_col] == gone[ident], "left_anti")
+    again = written(told.where("kept").groupBy(F.col("id").alias(ident)).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(ident))
+    if again.isEmpty():
+        return left
+    again = checked_broadcast(again)
+    several = left.join(again, left[id_col] == again[ident], "left_semi")
+    one = several.groupBy(F.col(f"`{id_col}`").alias(ident)).agg(F.min_by(F.struct(*names), F.struct(F.col(f"`{text_col}`"))).alias("row")).select("row.*")
+    return left.join(again, left[id_col] == again[ident], "left_anti").unionByName(one)
