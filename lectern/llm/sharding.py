@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import ranked, ranked_by_hash, written
+from lectern.llm.common import discard, joined_back, ranked, ranked_by_hash, written
 
 ROUNDS = 24
 
@@ -35,13 +35,15 @@ def _propagated(linked: DataFrame, capacity: list[int], rounds: int) -> DataFram
         room = [c - held.get(t, 0) for t, c in enumerate(capacity)]
         free = F.array(*map(F.lit, room))
         best = votes.where(F.element_at(free, F.col("shard") + 1) > 0).groupBy("g").agg(F.max(F.struct("n", (-F.col("shard")).alias("t"))).alias("b")).select("g", (-F.col("b.t")).alias("to"), F.col("b.n").alias("most"))
-        wish = votes.join(best, "g").where((F.col("to") != F.col("shard")) & ((F.col("most") > F.col("n")) | ((F.col("most") == F.col("n")) & (F.col("to") < F.col("shard"))))).select("g", "shard", "to")
+        wish = votes.join(best, "g").where((F.col("to") != F.col("shard")) & ((F.col("most") > F.col("n")) | ((F.col("most") == F.col("n")) & (F.col("to") < F.col("shard"))))).select("g", "shard", "to", "n")
         wish = written(wish)
         if wish.isEmpty():
             break
-        asking = ranked(labelled.join(wish, ["g", "shard"]), ["to"], "g", "h", "_rank", ["uid"])
+        asking = ranked(joined_back(labelled, wish, ["g", "shard"]), ["to"], "g", "h", "_rank", ["uid"])
         moved = asking.where(F.col("_rank") < F.element_at(free, F.col("to") + 1)).select("uid", "to")
-        labelled = written(labelled.join(moved, "uid", "left").withColumn("shard", F.coalesce("to", "shard")).drop("to"))
+        after = written(labelled.join(moved, "uid", "left").withColumn("shard", F.coalesce("to", "shard")).drop("to"))
+        discard(labelled, votes, wish)
+        labelled = after
     return labelled
 
 
@@ -58,8 +60,8 @@ def balanced_shards(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", t
     facts = written(facts.withColumn("uid", F.monotonically_increasing_id()).withColumn("h", F.xxhash64(F.lit("shard"), "id")))
     rows = facts.count()
     capacity = capacities(rows, shards)
-    many = facts.where("g is not null").groupBy("g").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("g")
-    linked = _propagated(facts.join(many, "g", "left_semi").select("uid", "g", "h"), capacity, rounds)
+    many = written(facts.where("g is not null").groupBy("g").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+    linked = _propagated(joined_back(facts, many, ["g"]).select("uid", "g", "h"), capacity, rounds)
     held = {r["shard"]: r["n"] for r in linked.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row for each shard
     ends, total = [], 0
     for t, c in enumerate(capacity):
