@@ -37,7 +37,7 @@ def test_near_duplicates(docs):
     assert [(i, r["component_id"], r["kept"]) for i, r in got if i is not None] == [(1, 1, True), (1, 1, True), (2, 2, True), (3, 1, False), (4, 4, True), (4, 4, True), (5, 5, True)]
     assert all(r["component_id"] is None and r["kept"] is None for i, r in got if i is None)
     left = minhash.deduplicated(docs)
-    assert left.columns == docs.columns and left.count() == len(ROWS) - 1
+    assert left.columns == docs.columns and sorted(str(r["doc_id"]) for r in left.collect()) == ["1", "2", "4", "5", "None", "None"]
 
 
 def test_rows_stay_rows(spark, docs):

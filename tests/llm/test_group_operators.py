@@ -6,6 +6,7 @@ import re
 import zlib
 
 import numpy as np
+import pandas as pd
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -200,3 +201,21 @@ def test_neighbours_recall_and_ties(spark):
     few = pivots.neighbours(vectors.where("vec_id < 5"), vectors.where("vec_id < 2"), 20).toPandas()
     assert len(few) == 8
     assert pivots.neighbours(vectors.limit(0), vectors.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("spread", [None, 0.3], ids=["one cloud", "clusters"])
+def test_neighbours_of_many_vectors(spark, spread):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(50_000, 24)) if spread is None else rng.normal(size=(200, 24))[rng.integers(0, 200, 50_000)] + spread * rng.normal(size=(50_000, 24))
+    x = x.astype(np.float32)
+    pandas = pd.DataFrame({"vec_id": np.arange(len(x)), "embedding": x.tolist()})
+    vectors = spark.createDataFrame(pandas, "vec_id long, embedding array<float>").repartition(4)
+    got = pivots.neighbours(vectors, vectors.where("vec_id % 500 = 0"), 20).toPandas()
+    y = x.astype(np.float64)
+    hit = 0
+    for q, own in got.groupby("query_id"):
+        score = y @ y[q]
+        score[q] = -np.inf
+        hit += len(set(np.argsort(-score)[:20]) & set(own.vec_id))
+        assert np.allclose(own.sort_values("rank").score, score[own.sort_values("rank").vec_id])
+    assert len(got) == 2000 and hit / 2000 >= 0.9
