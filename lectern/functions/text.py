@@ -55,6 +55,12 @@ def ngrams(words: Column, n: int) -> Column:
     return F.when(F.size(words) >= n, F.transform(F.sequence(F.lit(1), F.size(words) - (n - 1)), lambda i: F.array_join(F.slice(words, i, n), " "))).otherwise(F.array().cast("array<string>"))
 
 
+def gram_hashes(hashes: Column, n: int) -> Column:
+    """From a column of word hashes, a 64-bit hash of each overlapping run of n words; none where there are fewer."""
+    runs = F.transform(F.sequence(F.lit(0), F.size(hashes) - n), lambda i: F.xxhash64(*[F.get(hashes, i + j) for j in range(n)]))
+    return F.when(F.size(hashes) >= n, runs).otherwise(F.array().cast("array<bigint>"))
+
+
 def contains_keyword(text: Column | str, keyword: str) -> Column:
     """Whether the text has the keyword as whole words, in any case; edges count only next to letters and digits."""
     left = r"(?<![A-Za-z0-9_])" if re.match(r"\w", keyword) else ""

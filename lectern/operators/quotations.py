@@ -6,21 +6,39 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lectern.functions.similarity import quotation_score, relation_kind
-from lectern.functions.text import ngrams, quotation_words
+from lectern.functions.text import gram_hashes, quotation_words
 from lectern.operators.relational import islands
 
 
 def postings(passages: DataFrame, n: int = 6, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, gram, at): each n-gram of each passage, at its first word's place from 0."""
-    words = passages.select(F.col(id_col).alias("id"), quotation_words(text_col).alias("words"))  # a column, so that it isn't computed for each gram
-    return words.select("id", F.posexplode(ngrams(F.col("words"), n)).alias("at", "gram")).select("id", "gram", "at")
+    """(id, gram, at): a 64-bit hash of each n-gram of each passage, at its first word's place from 0."""
+    # a column of word hashes, so that they aren't computed for each gram
+    words = passages.select(F.col(id_col).alias("id"), F.transform(quotation_words(text_col), lambda w: F.xxhash64(w)).alias("hashes"))
+    return words.select("id", F.posexplode(gram_hashes(F.col("hashes"), n)).alias("at", "gram")).select("id", "gram", "at")
 
 
 def shared(posts: DataFrame, most: int = 8, occurrences: bool = False) -> DataFrame:
-    """The postings of grams that 2 to `most` passages have (or, with `occurrences`, that occur so often)."""
-    count = F.count(F.lit(1)) if occurrences else F.countDistinct("id")
-    common = posts.groupBy("gram").agg(count.alias("df")).where(F.col("df").between(2, most))
-    return posts.join(common, "gram")
+    """The postings of grams that 2 to `most` passages have (or, with `occurrences`, that occur so often), with their df.
+
+    A gram's least and greatest passage are aggregated before anything is shuffled, so what one passage has alone goes
+    at once, and neither a stock phrase nor a long passage is gathered anywhere.
+    """
+    if occurrences:
+        common = posts.groupBy("gram").agg(F.count(F.lit(1)).alias("df")).where(F.col("df").between(2, most))
+        return posts.join(common, "gram")
+    spread = posts.groupBy("gram").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("gram")
+    met = posts.join(spread, "gram", "left_semi")
+    common = met.groupBy("gram").agg(F.countDistinct("id").alias("df")).where(F.col("df").between(2, most))
+    return met.join(common, "gram")
+
+
+def worded(common: DataFrame, passages: DataFrame, n: int = 6, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Grams of shared() in words: gram, occurrences and passages; the words are read at one place of each."""
+    told = common.groupBy("gram").agg(F.min(F.struct("id", "at")).alias("first"), F.count(F.lit(1)).alias("occurrences"), F.max("df").alias("passages"))
+    places = told.groupBy(F.col("first.id").alias("id")).agg(F.collect_list(F.struct(F.col("first.at").alias("at"), "occurrences", "passages")).alias("g"))
+    words = passages.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(places, "id").select(quotation_words("text").alias("words"), "g")
+    each = words.select("words", F.explode("g").alias("g"))
+    return each.select(F.array_join(F.slice("words", F.col("g.at") + 1, n), " ").alias("gram"), "g.occurrences", "g.passages")
 
 
 def runs(posts: DataFrame, n: int = 6) -> DataFrame:
@@ -38,7 +56,9 @@ def scored(found: DataFrame, passages: DataFrame, id_col: str = "doc_id", text_i
     a = facts.select(F.col("id").alias("a"), F.col("t").alias("text_a"), F.col("p").alias("place_a"))
     b = facts.select(F.col("id").alias("b"), F.col("t").alias("text_b"), F.col("p").alias("place_b"))
     both = pairs.join(a, "a").join(b, "b")
-    return both.select("a", "b", "text_a", "text_b", "longest", "total", "runs", quotation_score(F.col("longest"), F.col("total")).alias("score"), relation_kind(F.col("text_a"), F.col("text_b"), F.col("place_a"), F.col("place_b")).alias("kind"))
+    score = quotation_score(F.col("longest"), F.col("total"))
+    kind = relation_kind(F.col("text_a"), F.col("text_b"), F.col("place_a"), F.col("place_b"))
+    return both.select("a", "b", "text_a", "text_b", "longest", "total", "runs", score.alias("score"), kind.alias("kind"))
 
 
 def quotations(passages: DataFrame, n: int = 6, most: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
