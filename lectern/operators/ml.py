@@ -9,12 +9,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lectern.functions.similarity import idf, sublinear
-from lectern.operators.search import tokens
 
 
-def term_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    words = docs.select(F.col(id_col).alias("id"), F.explode(F.filter(tokens(text_col), lambda w: F.length(w) >= 3)).alias("term"))
-    return words.groupBy("id", "term").agg(F.count(F.lit(1)).alias("n"))
+def term_counts(posts: DataFrame, weight: str = "A", least: int = 3) -> DataFrame:
+    """(id, term, n) of one field of a search index; words of fewer letters than `least` don't count."""
+    return posts.where((F.col("weight") == weight) & (F.length("term") >= least)).select("id", "term", F.col("tf").alias("n"))
 
 
 def vocabulary(counts: DataFrame, min_df: int = 3, most: int | None = 40_000) -> DataFrame:

@@ -8,14 +8,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lectern.functions.similarity import cognate, composite, cosine, cross_reference, dimensions, jaccard, local_affinity
+from lectern.functions.similarity import composite, cosine, cross_reference, dimensions, jaccard, letters, local_affinity
 from lectern.functions.text import cross_lingual_tokens, proper_nouns, significant_terms, strings
 from lectern.operators.relational import both_ways, interleaved, top_n
 
 
 def signals(passages: DataFrame, themes: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", text_id: str = "source", language: str = "lang") -> DataFrame:
-    """(id, text_id, language, terms, names, themes): what passages are compared by. Computed once, reused by every measure."""
-    own = passages.select(F.col(id_col).alias("id"), F.col(text_id).alias("text_id"), F.col(language).alias("language"), F.col(text_col).alias("text"), significant_terms(text_col).alias("terms"), proper_nouns(text_col).alias("names"))
+    """(id, text_id, language, terms, names, letters, themes): what passages are compared by. Computed once, reused by every measure."""
+    own = passages.select(F.col(id_col).alias("id"), F.col(text_id).alias("text_id"), F.col(language).alias("language"), significant_terms(text_col).alias("terms"), proper_nouns(text_col).alias("names"), letters(text_col).alias("letters"))
     if themes is None:
         return own.withColumn("themes", F.array().cast("array<string>"))
     listed = themes.groupBy("id").agg(F.array_sort(F.collect_set("theme")).alias("themes"))
@@ -24,10 +24,13 @@ def signals(passages: DataFrame, themes: DataFrame | None = None, id_col: str =
 
 def against(source: DataFrame, candidates: DataFrame) -> DataFrame:
     """Candidates with their similarity to one source passage (a single row): Jaccards, affinity and the five dimensions."""
-    one = source.limit(1).select(*(F.col(c).alias(f"s_{c}") for c in ("id", "text_id", "language", "text", "terms", "names", "themes")))
+    one = source.limit(1).select(*(F.col(c).alias(f"s_{c}") for c in ("id", "text_id", "language", "letters", "terms", "names", "themes")))
     both = candidates.crossJoin(F.broadcast(one)).where(F.col("id") != F.col("s_id"))  # one row
     same = F.col("text_id") == F.col("s_text_id")
-    both = both.select("id", "text_id", same.alias("same_text"), jaccard("themes", "s_themes").alias("j_themes"), jaccard("terms", "s_terms").alias("j_terms"), jaccard("names", "s_names").alias("j_names"), cognate(F.col("text"), F.col("s_text"), F.col("language"), F.col("s_language")).alias("cognate"), F.size(F.array_intersect("themes", "s_themes")).alias("n_themes"), F.size(F.array_intersect("terms", "s_terms")).alias("n_terms"))
+    cognate = F.when(F.col("language") != F.col("s_language"), jaccard("letters", "s_letters")).otherwise(0.0)
+    jaccards = {f"j_{c}": jaccard(c, f"s_{c}") for c in ("themes", "terms", "names")}
+    shared = {f"n_{c}": F.size(F.array_intersect(c, f"s_{c}")) for c in ("themes", "terms")}
+    both = both.select("id", "text_id", same.alias("same_text"), *(v.alias(k) for k, v in jaccards.items()), cognate.alias("cognate"), *(v.alias(k) for k, v in shared.items()))
     affinity = local_affinity(F.col("j_themes"), F.col("j_terms"), F.col("j_names"), F.col("same_text"))
     return both.withColumns({"affinity": affinity, **dimensions(F.col("j_themes"), F.col("j_terms"), F.col("j_names"), F.col("cognate"), F.col("same_text"))})
 

@@ -86,9 +86,10 @@ def exact(posts: DataFrame, query: str, weights: dict[str, float] = WEIGHTS) ->
     return scored.select("id", "relevance")
 
 
-def relaxed(passages: DataFrame, query: str, least: float = 0.6, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, relevance) of passages with a word whose trigrams are like the query's."""
-    return passages.select(F.col(id_col).alias("id"), word_similarity(query, F.array_distinct(tokens(text_col))).alias("relevance")).where(F.col("relevance") >= least)
+def relaxed(posts: DataFrame, query: str, least: float = 0.6) -> DataFrame:
+    """(id, relevance) of passages with a word whose trigrams are like the query's; each distinct word is compared once."""
+    words = posts.select("term").distinct().withColumn("relevance", word_similarity(query, F.array("term"))).where(F.col("relevance") >= least)
+    return posts.select("id", "term").join(words, "term").groupBy("id").agg(F.max("relevance").alias("relevance"))
 
 
 def search(passages: DataFrame, posts: DataFrame, query: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -97,7 +98,7 @@ def search(passages: DataFrame, posts: DataFrame, query: str, id_col: str = "doc
         return passages.select(F.col(id_col).alias("id"), F.lit(0.0).alias("relevance"), F.lit("filters-only").alias("match_mode"))
     found = exact(posts, query).withColumn("match_mode", F.lit("exact"))
     if len(query) >= 4 and found.isEmpty():
-        return relaxed(passages, query, id_col=id_col, text_col=text_col).withColumn("match_mode", F.lit("relaxed"))
+        return relaxed(posts.where("weight = 'A'"), query).withColumn("match_mode", F.lit("relaxed"))
     return found
 
 

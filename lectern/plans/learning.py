@@ -8,7 +8,9 @@ from pyspark.sql.window import Window
 
 from lectern.operators import ml as M
 from lectern.plans.registry import query, words_sql
+from lectern.plans.retrieval import posts
 from lectern.sources.readers import passages, table
+from lectern.sources.shared import shared
 from lectern.streaming import logs
 
 _COUNTS = f"counts AS (SELECT id, term, count(*) AS n FROM (SELECT doc_id AS id, unnest(list_filter({words_sql('text')}, lambda w: length(w) >= 3)) AS term FROM documents) GROUP BY 1, 2), vocab AS (SELECT term, count(*) AS df FROM counts GROUP BY term HAVING count(*) >= 5)"
@@ -17,12 +19,15 @@ _CENTRES = f"{_TFIDF}, lab AS (SELECT doc_id AS id, quality::VARCHAR || toxic::V
 
 
 def _counts(spark: SparkSession, sf: str) -> DataFrame:
-    return M.term_counts(passages(spark, sf))
+    return M.term_counts(posts(spark, sf))
 
 
 def _vectors(spark: SparkSession, sf: str) -> DataFrame:
-    counts = _counts(spark, sf)
-    return M.tfidf(counts, M.vocabulary(counts, 5, None), table(spark, sf, "documents").count())
+    def build() -> DataFrame:
+        counts = _counts(spark, sf)
+        return M.tfidf(counts, M.vocabulary(counts, 5, None), table(spark, sf, "documents").count())
+
+    return shared(spark, sf, "vectors", build)
 
 
 def _labels(spark: SparkSession, sf: str) -> DataFrame:

@@ -14,11 +14,14 @@ from lectern.operators import search as FT
 from lectern.plans.registry import query, word_list, words_sql
 from lectern.plans.texts import _themes_sql, scores
 from lectern.sources.readers import passages, table
+from lectern.sources.shared import shared, written
 from lectern.vocab import DEFAULT_WEIGHTS, STOP_WORDS
 
 
 def posts(spark: SparkSession, sf: str) -> DataFrame:
-    return FT.index(passages(spark, sf), {"A": "text", "C": F.concat_ws(" ", "source", "lang")})
+    """The index, written once and sorted by term, so that a query's words are read alone."""
+    fields = {"A": "text", "C": F.concat_ws(" ", "source", "lang")}
+    return shared(spark, sf, "index", lambda: FT.index(passages(spark, sf), fields), sort="term")
 
 
 def _exact_sql(words: list[str], any_of: list[str] = (), none: list[str] = ()) -> str:
@@ -63,7 +66,7 @@ SELECT id, round(max(s), 6) AS relevance, 'relaxed' AS match_mode FROM s GROUP B
 
 @query(_trigram_sql("thatt"))
 def search_relaxed_trigram(spark: SparkSession, sf: str) -> DataFrame:
-    return FT.relaxed(passages(spark, sf), "thatt").select("id", F.round("relevance", 6).alias("relevance"), F.lit("relaxed").alias("match_mode"))
+    return FT.relaxed(posts(spark, sf).where("weight = 'A'"), "thatt").select("id", F.round("relevance", 6).alias("relevance"), F.lit("relaxed").alias("match_mode"))
 
 
 @query("""SELECT doc_id, place AS "at", CASE WHEN place > 0 THEN concat(CASE WHEN s > 1 THEN '…' ELSE '' END, substring(text, s, e - s + 1), CASE WHEN e < length(text) THEN '…' ELSE '' END) END AS snippet
@@ -118,7 +121,7 @@ _COMPOSITE = " + ".join(f"{w}::DOUBLE * {k}" for k, w in DEFAULT_WEIGHTS.items()
 
 
 def _compared(spark: SparkSession, sf: str) -> DataFrame:
-    own = N.signals(passages(spark, sf), scores(spark, sf))
+    own = shared(spark, sf, "signals", lambda: N.signals(passages(spark, sf), scores(spark, sf)))
     return N.against(own.where(F.col("id") == _SOURCE), own)
 
 
@@ -173,29 +176,41 @@ _SCORED = f"""{_RUNS}, t AS (SELECT a, b, max(length) AS longest, sum(length)::B
 q AS (SELECT t.*, x.source AS text_a, y.source AS text_b, round(least(1, sqrt(greatest(0, least(1, (longest - 5) / 11.0::DOUBLE))) + least(0.08::DOUBLE, greatest(0, (total - longest) / 80.0::DOUBLE))), 4) AS score, CASE WHEN x.source = y.source THEN 'parallel' WHEN x.lang = y.lang THEN 'duplicate' ELSE 'quotation' END AS kind FROM t JOIN documents x ON x.doc_id = a JOIN documents y ON y.doc_id = b)"""
 
 
+def _common(spark: SparkSession, sf: str) -> DataFrame:
+    return shared(spark, sf, "common grams", lambda: Q.shared(written(Q.postings(passages(spark, sf)))))
+
+
+def _runs(spark: SparkSession, sf: str) -> DataFrame:
+    return shared(spark, sf, "quotation runs", lambda: Q.runs(_common(spark, sf)))
+
+
+def _quotations(spark: SparkSession, sf: str) -> DataFrame:
+    """Quotations are detected in a batch and stored as edges."""
+    return shared(spark, sf, "quotations", lambda: Q.scored(_runs(spark, sf), passages(spark, sf)))
+
+
 @query(f"{_QUOTES} SELECT gram, count(*) AS occurrences, max(df) AS passages FROM s GROUP BY gram")
 def ngram_postings(spark: SparkSession, sf: str) -> DataFrame:
-    return Q.shared(Q.postings(passages(spark, sf))).groupBy("gram").agg(F.count(F.lit(1)).alias("occurrences"), F.max("df").alias("passages"))
+    return Q.worded(_common(spark, sf), passages(spark, sf))
 
 
 @query(f"{_RUNS} SELECT a, b, start_a, start_b, length FROM r")
 def quotation_runs(spark: SparkSession, sf: str) -> DataFrame:
-    found = Q.runs(Q.shared(Q.postings(passages(spark, sf))))
-    return found.select("a", "b", F.col("start_a").cast("long"), F.col("start_b").cast("long"), "length")
+    return _runs(spark, sf).select("a", "b", F.col("start_a").cast("long"), F.col("start_b").cast("long"), "length")
 
 
 @query(f"{_SCORED} SELECT a, b, text_a, text_b, longest, total, runs, score, kind FROM q")
 def quotation_scores(spark: SparkSession, sf: str) -> DataFrame:
-    return Q.quotations(passages(spark, sf))
+    return _quotations(spark, sf)
 
 
 @query(f"{_SCORED} SELECT least(text_a, text_b) AS low, greatest(text_a, text_b) AS high, kind, count(*) AS n FROM q GROUP BY 1, 2, 3")
 def quotation_kind_counts(spark: SparkSession, sf: str) -> DataFrame:
-    return Q.quotations(passages(spark, sf)).groupBy(F.least("text_a", "text_b").alias("low"), F.greatest("text_a", "text_b").alias("high"), "kind").agg(F.count(F.lit(1)).alias("n"))
+    return _quotations(spark, sf).groupBy(F.least("text_a", "text_b").alias("low"), F.greatest("text_a", "text_b").alias("high"), "kind").agg(F.count(F.lit(1)).alias("n"))
 
 
 def _edges(spark: SparkSession, sf: str) -> DataFrame:
-    return Q.quotations(passages(spark, sf)).select(F.col("a").alias("source"), F.col("b").alias("target"), F.col("score").alias("strength"), "kind")
+    return _quotations(spark, sf).select(F.col("a").alias("source"), F.col("b").alias("target"), F.col("score").alias("strength"), "kind")
 
 
 @query(f"{_SCORED} SELECT a AS self, b AS other, score AS strength FROM q UNION ALL SELECT b, a, score FROM q")
@@ -209,13 +224,13 @@ def citations_grouped(spark: SparkSession, sf: str) -> DataFrame:
     return N.citations(_edges(spark, sf), table(spark, sf, "documents"))
 
 
-@query(f"""{_SCORED}, {_themes_sql()}, i AS (SELECT doc_id AS id FROM documents WHERE source IN ('src1', 'src2') ORDER BY doc_id LIMIT 80), f AS (SELECT least(a, b) AS a, greatest(a, b) AS b, score AS strength, 'quotation' AS kind, 0 AS fam FROM q WHERE score >= 0.3
+@query(f"""{_SCORED}, {_themes_sql()}, i AS (SELECT doc_id AS id FROM documents WHERE source IN ('src1', 'src2') ORDER BY doc_id LIMIT 200), f AS (SELECT least(a, b) AS a, greatest(a, b) AS b, score AS strength, 'quotation' AS kind, 0 AS fam FROM q WHERE score >= 0.3
 UNION ALL SELECT x.id, y.id, least(x.score, y.score), 'theme', 1 FROM scores x JOIN scores y ON x.theme = y.theme AND x.id < y.id WHERE x.id IN (SELECT id FROM i) AND y.id IN (SELECT id FROM i) AND x.rank <= 5 AND y.rank <= 5),
 o AS (SELECT *, row_number() OVER (PARTITION BY a, b ORDER BY fam, strength DESC) AS n FROM f WHERE a IN (SELECT id FROM i) AND b IN (SELECT id FROM i))
 SELECT a, b, round(strength, 6) AS strength, kind FROM o WHERE n = 1 ORDER BY strength DESC, a, b LIMIT 120""")
 def journey_graph_edges(spark: SparkSession, sf: str) -> DataFrame:
-    # a journey has 80 nodes at most, so its pairs are few
-    nodes = table(spark, sf, "documents").where("source in ('src1', 'src2')").select(F.col("doc_id").alias("id")).orderBy("id").limit(80)
+    # a journey's graph has 200 nodes at most, so its pairs are few
+    nodes = table(spark, sf, "documents").where("source in ('src1', 'src2')").select(F.col("doc_id").alias("id")).orderBy("id").limit(200)
     own = scores(spark, sf).join(nodes, "id", "left_semi")
     themes = R.pairs_within(own, "theme", "id", ["score"]).select(F.col("a").alias("source"), F.col("b").alias("target"), F.least("score_a", "score_b").alias("strength"))
     return N.journey_edges([("quotation", _edges(spark, sf).where("strength >= 0.3")), ("theme", themes)], nodes).withColumn("strength", F.round("strength", 6))

@@ -10,6 +10,7 @@ from lectern.functions import text as X
 from lectern.operators import themes as T
 from lectern.plans.registry import query, word_list, words_sql
 from lectern.sources.readers import passages, table
+from lectern.sources.shared import shared
 from lectern.vocab import FIXTURE_THEMES, INTENT_KEYWORDS, STOP_WORDS, THEME_CATEGORIES
 
 _TERMS = f"list_distinct(list_filter({words_sql('text')}, lambda w: length(w) > 3 AND NOT list_contains({word_list(STOP_WORDS)}, w)))"
@@ -24,7 +25,8 @@ def _themes_sql() -> str:
 
 
 def scores(spark: SparkSession, sf: str) -> DataFrame:
-    return T.theme_scores(passages(spark, sf), FIXTURE_THEMES, keep=("source", "lang"))
+    """Theme scores of all passages, written once."""
+    return shared(spark, sf, "theme scores", lambda: T.theme_scores(passages(spark, sf), FIXTURE_THEMES, keep=("source", "lang")))
 
 
 @query(f"WITH {_themes_sql()} SELECT source, id, round(score, 6) AS score, k AS rank FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY score DESC, id) AS k, count(*) OVER (PARTITION BY source) AS n FROM scores WHERE theme = 'linking' AND score >= 0.3) WHERE n >= 5 AND k <= 4")
