@@ -3,8 +3,8 @@
 Documents with equal shingle sets are one class. Classes that share a band of minima are candidates; their packed low bits
 give a collision-corrected similarity that drops hopeless candidates, and full sets confirm the rest. In a band's bucket
 every class is compared with the bucket's leader, so large groups of near copies make pairs in proportion to their
-size. Classes of one bucket that these links leave apart are compared with one another by their rarest shingles: sets of
-that similarity share one of the first quarter of each, so members that only a template has in common never meet.
+size. Classes of one bucket that these links leave apart are compared with one another, in blocks, unless what they
+share with the leader rules a link out.
 """
 
 from __future__ import annotations
@@ -15,7 +15,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from lectern.llm.common import HOT_ROWS, checked_broadcast, components, hashed, joined_back, mixed, slices, split_words, unused, word_codes, written
 
@@ -26,6 +25,8 @@ BANDS, ROWS = 32, 4
 BITS = 4
 #: Candidates go on when their corrected estimate is this near the threshold: five standard errors of 128 minima.
 SLACK = 0.2
+#: Places of the map of what a class has beyond its leader; members of a bucket that one task compares with as many others.
+MAP_BITS, BLOCK = 1024, 512
 #: Bytes of the sets of hot leaders that may be sent to every executor.
 BROADCAST_BYTES = 64 << 20
 
@@ -144,7 +145,7 @@ def _sets(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str, repeats:
 
 
 def _compared(pairs: DataFrame, docs: DataFrame, percent: int, id_col: str, text_col: str, repeats: bool) -> DataFrame:
-    """The pairs (a, b) of a written table, with whether what their full sets share links them."""
+    """The pairs (a, b) of a written table with what their full sets share (i), whether that links them, and a map of b's shingles that a lacks."""
     ids = written(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct())
     sets = written(_sets(docs, ids, id_col, text_col, repeats))
     both = pairs.join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
@@ -160,34 +161,52 @@ def _compared(pairs: DataFrame, docs: DataFrame, percent: int, id_col: str, text
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            linked = []
+            shared, linked, maps = [], [], []
             for sa, sb in zip(batch.column("sa"), batch.column("sb"), strict=True):
                 x, y = (v.values.to_numpy(zero_copy_only=False).view(np.uint64) for v in (sa, sb))
-                i = int((x[np.minimum(np.searchsorted(x, y), len(x) - 1)] == y).sum())
+                own = x[np.minimum(np.searchsorted(x, y), len(x) - 1)] != y
+                i = len(y) - int(own.sum())
+                shared.append(i)
                 linked.append(100 * i >= percent * (len(x) + len(y) - i))
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(linked, pa.bool_())], names=["a", "b", "linked"])
+                bits = np.zeros(MAP_BITS, np.uint8)
+                bits[(y[own] % np.uint64(MAP_BITS)).astype(np.int64)] = 1
+                maps.append(np.packbits(bits).view(np.int64))
+            columns = [batch.column("a"), batch.column("b"), pa.array(shared, pa.int64()), pa.array(linked, pa.bool_()), pa.array(maps, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["a", "b", "i", "linked", "map"])
 
-    return both.select("a", "b", "sa", "sb").mapInArrow(compare, "a long, b long, linked boolean")
+    return both.select("a", "b", "sa", "sb").mapInArrow(compare, "a long, b long, i long, linked boolean, map array<long>")
 
 
-def _by_rarest(apart: DataFrame, docs: DataFrame, percent: int, id_col: str, text_col: str, repeats: bool) -> DataFrame:
-    """Pairs (a, b) of a written table (id, component, n, bits) of different components that may be similar enough.
+def _possible(percent: int):
+    """Whether rows x and y of one bucket can be similar enough, by what each shares with the bucket's leader.
 
-    Of sets that are, each has one of the other's shingles among its own n - ceil(percent * n / 100) + 1 rarest, rarity
-    being the number of sets here that have it. Shingles of one set come first in that order and make no pair.
+    They share no more than the lesser of those counts and, beyond the leader, no more than the one's own shingles less
+    those whose place in its map is empty in the other's. Rows that weren't compared with the leader aren't ruled out.
     """
-    sets = _sets(docs, apart.select("id"), id_col, text_col, repeats)
-    shingles = written(sets.select("id", F.explode("s").alias("s")))
-    df = written(shingles.groupBy("s").agg(F.count(F.lit(1)).alias("n")).where("n > 1").withColumn("df", F.col("n")))
-    common = joined_back(shingles, df, ["s"])
-    place = F.row_number().over(Window.partitionBy("id").orderBy("df", "s")) + F.col("n") - F.count(F.lit(1)).over(Window.partitionBy("id"))
-    sized = common.join(apart.select("id", "n"), "id").withColumn("place", place)
-    first = written(sized.where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).select("s", "id"))
-    a = first.join(apart.select("id", *(F.col(c).alias(f"{c}_a") for c in ("component", "n", "bits"))), "id").withColumnRenamed("id", "a")
-    b = first.join(apart.select("id", *(F.col(c).alias(f"{c}_b") for c in ("component", "n", "bits"))), "id").withColumnRenamed("id", "b")
-    close = F.least("n_a", "n_b") * 100 >= F.lit(percent) * F.greatest("n_a", "n_b")
-    may = close & (F.col("component_a") != F.col("component_b")) & (estimate("bits_a", "bits_b") >= percent / 100 - SLACK)
-    return a.join(b, "s").where((F.col("a") < F.col("b")) & may).select("a", "b").distinct()
+    width = MAP_BITS // 64
+    lacks = lambda p, q: sum((F.bit_count(F.element_at(p, w).bitwiseAND(F.bitwise_not(F.element_at(q, w)))) for w in range(1, width + 1)), F.lit(0))
+    beyond = F.least(F.col("na") - F.col("ia") - lacks("ma", "mb"), F.col("nb") - F.col("ib") - lacks("mb", "ma"))
+    most = F.least(F.col("ia"), F.col("ib")) + beyond
+    return F.coalesce(most * 100 >= F.lit(percent) * (F.col("na") + F.col("nb") - most), F.lit(True))
+
+
+def _apart(members: DataFrame, percent: int, similarity: float) -> DataFrame:
+    """Pairs (a, b) of a written table (key, id, component, n, bits, i, map) of one key and different components that may be similar enough.
+
+    A bucket's members are dealt over blocks of BLOCK and every two blocks meet by themselves, so a large bucket is many tasks.
+    """
+    size = members.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    dealt = joined_back(members.withColumnRenamed("n", "size"), written(size), ["key"]).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+
+    def side(z: str, row: str, column: str) -> DataFrame:
+        own = dealt.select("key", "block", "blocks", F.col("id").alias(z), *(F.col(c).alias(t + z) for c, t in (("component", "c"), ("size", "n"), ("bits", "b"), ("i", "i"), ("map", "m"))))
+        return own.withColumn(column, every).withColumnRenamed("block", row).drop("blocks")
+
+    close = F.least("na", "nb") * 100 >= F.lit(percent) * F.greatest("na", "nb")
+    may = (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & close & (estimate("ba", "bb") >= similarity - SLACK) & _possible(percent)
+    right = side("b", "q", "p").withColumnsRenamed({"key": "k", "p": "r", "q": "s"})
+    return side("a", "p", "q").join(right, (F.col("key") == F.col("k")) & (F.col("p") == F.col("r")) & (F.col("q") == F.col("s")) & may).select("a", "b").distinct()
 
 
 def near_duplicates(docs: DataFrame, similarity: float = 0.75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -233,11 +252,14 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.75, id_col: str = "do
     joined = written(components(reps, links))
 
     # what the stars left apart: classes of buckets with several components
-    placed = posts.select("key", "id").join(joined, "id")
+    placed = posts.join(joined, "id")
     several = placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count(F.lit(1)).alias("n"))
-    apart = joined_back(placed, written(several.where("x < y").select("key", "n")), ["key"]).select("id", "component").distinct()
-    apart = written(apart.join(facts.select("id", "n", "bits"), "id"))
-    rest = _by_rarest(apart, docs, percent, id_col, text_col, repeats)
+    apart = joined_back(placed, written(several.where("x < y").select("key", "n")), ["key"]).join(facts.select("id", "n", "bits"), "id")
+    apart = apart.join(told.select(F.col("a").alias("leader"), F.col("b").alias("id"), "i", "map"), ["leader", "id"], "left")
+    own = F.col("id") == F.col("leader")
+    nothing = F.array_repeat(F.lit(0).cast("long"), MAP_BITS // 64)
+    apart = apart.withColumns({"i": F.when(own, F.col("n")).otherwise(F.col("i")), "map": F.when(own, nothing).otherwise(F.col("map"))})
+    rest = _apart(written(apart.drop("leader")), percent, similarity)
     done = told.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     late = _compared(written(rest.join(done, ["a", "b"], "left_anti")), docs, percent, id_col, text_col, repeats).where("linked").select("a", "b")
     joined = components(reps, links.unionByName(late))
