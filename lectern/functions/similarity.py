@@ -93,7 +93,14 @@ def cross_reference(n_themes: Column, n_terms: Column, names: Column, cross_text
 
 def alignment(longest_phrase: Column, names: Column, cognates: Column, n_themes: Column) -> Column:
     """(type, strength) of two passages, the strongest evidence first."""
-    rungs = [(longest_phrase > 30, "direct_quote", 0.85), (names > 0.2, "narrative", 0.6), (cognates > 0.4, "linguistic", 0.55), (n_themes >= 2, "thematic", 0.5), (n_themes == 1, "theological_echo", 0.3), (longest_phrase > 0, "strong_allusion", 0.35)]
+    rungs = [
+        (longest_phrase > 30, "direct_quote", 0.85),
+        (names > 0.2, "narrative_parallel", 0.6),
+        (cognates > 0.4, "linguistic_cognate", 0.55),
+        (n_themes >= 2, "thematic_parallel", 0.5),
+        (n_themes == 1, "theological_echo", 0.3),
+        (longest_phrase > 0, "strong_allusion", 0.35),
+    ]
     kind, strength = F.lit("none"), F.lit(0.0)
     for test, name, value in reversed(rungs):
         kind, strength = F.when(test, name).otherwise(kind), F.when(test, value).otherwise(strength)

@@ -6,6 +6,7 @@ import html
 import re
 import unicodedata
 from collections.abc import Callable, Iterable
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column
@@ -63,15 +64,16 @@ def gram_hashes(hashes: Column, n: int) -> Column:
 
 def contains_keyword(text: Column | str, keyword: str) -> Column:
     """Whether the text has the keyword as whole words, in any case; edges count only next to letters and digits."""
-    left = r"(?<![A-Za-z0-9_])" if re.match(r"\w", keyword) else ""
-    right = r"(?![A-Za-z0-9_])" if re.search(r"\w$", keyword) else ""
+    left = r"(?<![A-Za-z0-9_])" if re.match(r"[A-Za-z0-9]", keyword) else ""
+    right = r"(?![A-Za-z0-9_])" if re.search(r"[A-Za-z0-9]$", keyword) else ""
     return F.lower(text).rlike(left + re.escape(keyword.lower()) + right)
 
 
 def theme_evidence(text: Column | str, keywords: Iterable[str], most: int = 3) -> Column:
-    """The first sentences of more than 20 characters that hold a keyword."""
-    sentences = F.split(text, r"(?<=[.!?])\s+")
-    return F.slice(F.filter(sentences, lambda s: (F.length(s) > 20) & F.exists(strings(keywords), lambda k: F.contains(F.lower(s), k))), 1, most)
+    """The first sentences of more than 20 characters that hold a keyword as whole words."""
+    sentences = F.transform(F.split(text, r"(?<=[.!?])\s+"), lambda s: F.trim(s))
+    held = lambda s: reduce(lambda x, y: x | y, [contains_keyword(s, k) for k in keywords], F.lit(False))
+    return F.slice(F.filter(sentences, lambda s: (F.length(s) > 20) & held(s)), 1, most)
 
 
 def query_key(text: Column | str) -> Column:
@@ -161,20 +163,32 @@ def footnote_strip(text: Column | str) -> Column:
     return _arrow(without_footnotes, "string")(text)
 
 
-# Scripts: letters that are written several ways fold to one.
-_FOLDED = str.maketrans({"آ": "ا", "أ": "ا", "إ": "ا", "ٱ": "ا", "ى": "ي", "ئ": "ي", "ة": "ه", "ؤ": "و", "ך": "כ", "ם": "מ", "ן": "נ", "ף": "פ", "ץ": "צ", "ς": "σ"})
-_DROPPED = re.compile("[\u0591-\u05bd\u05bf\u05c1\u05c2\u05c4\u05c5\u05c7\u0610-\u061a\u0640\u064b-\u065f\u0670\u06d6-\u06ed]")
+# Letters that are written several ways fold to one.
+_ALEF, _YEH, _HEH, _WAW = "\u0627", "\u064a", "\u0647", "\u0648"
+_FOLDED = str.maketrans(
+    {c: _ALEF for c in "\u0622\u0623\u0625\u0671\u0672\u0673\u0675"}
+    | {c: _YEH for c in "\u0649\u0626"}
+    | {"\u0629": _HEH, "\u0624": _WAW}
+    | {"\u05da": "\u05db", "\u05dd": "\u05de", "\u05df": "\u05e0", "\u05e3": "\u05e4", "\u05e5": "\u05e6"}
+)
+_DAGGER, _HAMZA = "\u0670", "\u0621"
+#: Combining marks, Hebrew points and signs, Arabic marks.
+_DROPPED = re.compile("[\u0300-\u036f\u0483-\u0489\u1ab0-\u1aff\u1dc0-\u1dff\u20d0-\u20ff\ufe20-\ufe2f\u0591-\u05c2\u05c4-\u05c7\u05f3\u05f4\u0640\u064b-\u065f\u0670\u06d6-\u06ed]")
 
 
 def folded(text: str) -> str:
-    """The text as search compares it: decomposed, marks and vowel points dropped, letter forms folded, lower case."""
-    bare = "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c))
-    return re.sub(r"\s+", " ", _DROPPED.sub("", bare).translate(_FOLDED)).strip().lower()
+    """The text as search compares it: decomposed, an alif for a carrier with a dagger, no hamza, no marks or points, letter forms folded."""
+    open_ = re.sub(f"[{_WAW}{_YEH}]{_DAGGER}", _ALEF, unicodedata.normalize("NFKD", text)).replace(_HAMZA, "")
+    return re.sub(r"\s+", " ", _DROPPED.sub("", open_).translate(_FOLDED)).strip()
 
 
 def readings(text: str) -> list[str]:
-    """folded() of the text and, where a dagger alif may be read as a letter, of that reading."""
-    return list(dict.fromkeys([folded(text), folded(text.replace("\u0670", "ا"))]))
+    """folded() of the text and, where a dagger alif may be a letter, the words that this reading has and the other hasn't."""
+    plain = folded(text)
+    if not plain:
+        return []
+    other = folded(text.replace(_DAGGER, _ALEF)) if _DAGGER in text else plain
+    return [plain, *dict.fromkeys(w for w in other.split() if w not in plain)]
 
 
 def fold(text: Column | str) -> Column:
@@ -186,7 +200,35 @@ def search_readings(text: Column | str) -> Column:
 
 
 def matches_reading(texts: Column, queries: Column) -> Column:
-    return F.exists(texts, lambda t: F.exists(queries, lambda q: F.contains(t, q)))
+    """Whether any reading of a text holds any of a query, in any case."""
+    return F.exists(texts, lambda t: F.exists(queries, lambda q: F.contains(F.lower(t), F.lower(q)) & (F.length(q) > 0)))
+
+
+#: Inflections that a Greek word loses, by a rule of this library: endings of nouns, adjectives and verbs, final sigma written as sigma.
+GREEK_ENDINGS = (
+    "α ας ασ αν αι αις αισ η ησ ην ης ω ου ον οσ οι ων ουσ οισ ε ει εισ ες εσ εων εωσ ι ιν ισ υσ υν υι "
+    "ομεν ετε ουσι ουσιν ομαι εται ομεθα εσθε ονται σεν σαν σα σασ σατε θη θην θησ θησαν θεισ "
+    "ματοσ ματα ματων μα ματι εντοσ οντοσ οντα οντων ουντεσ αντεσ ειν ησεν ησαν"
+)
+_GREEK = "^(.{2,}?)(?:" + "|".join(sorted({e.replace("ς", "σ") for e in GREEK_ENDINGS.split()}, key=lambda e: (-len(e), e))) + ")$"
+
+
+def greek_stemmed(word: str) -> str:
+    """A folded Greek word without its longest ending that leaves two letters; other words, and shorter ones, as they are."""
+    if len(word) < 3 or not re.search("[\u0370-\u03ff]", word):
+        return word
+    return re.sub(_GREEK, r"\1", word.lower().replace("ς", "σ"))
+
+
+def greek_stem(word: Column) -> Column:
+    """greek_stemmed() of a column."""
+    plain = F.translate(F.lower(word), "ς", "σ")
+    return F.when((F.length(word) >= 3) & word.rlike("[\u0370-\u03ff]"), F.regexp_replace(plain, _GREEK, "$1")).otherwise(word)
+
+
+def stemmed_tokens(words: Column) -> Column:
+    """The Greek words of an array, stemmed."""
+    return F.transform(F.filter(words, lambda w: w.rlike("[\u0370-\u03ff]")), greek_stem)
 
 
 def hebrew_word(word: Column | str) -> Column:
@@ -199,20 +241,38 @@ def lexicon_candidate(word: Column | str) -> Column:
 
 
 def cross_lingual_tokens(text: Column | str, stop: Iterable[str] = ()) -> Column:
-    """Tokens of three letters or more of folded text that aren't stop words and aren't Latin."""
-    tokens = F.split(text, r"[^\p{L}\p{M}]+")
+    """Tokens of three letters or more of the folded text that aren't stop words and aren't Latin."""
+    tokens = F.split(fold(text), r"[^\p{L}\p{M}]+")
     return F.array_except(F.filter(tokens, lambda t: (F.length(t) >= 3) & ~t.rlike(r"\p{IsLatin}")), strings(stop))
 
 
+class Phrases:
+    """Phrases of one text that others may hold: runs of `least` to `most` of its words."""
+
+    def __init__(self, text: str, least: int = 3, most: int = 8):
+        self.text, self.least, self.most = text.lower(), least, most
+        self.words = re.split(r"\s+", self.text)
+
+    def shared(self, other: str, limit: int = 8) -> list[str]:
+        """The longest run at each word that the other text holds, then on behind it; the longest `limit` of them, each once."""
+        theirs, out, i = other.lower(), {}, 0
+        while i <= len(self.words) - self.least:
+            size, held = self.least, None
+            while size <= min(self.most, len(self.words) - i):
+                # a run is held only if its shorter ones are
+                phrase = " ".join(self.words[i : i + size])
+                if phrase not in theirs or phrase not in self.text:
+                    break
+                size, held = size + 1, phrase
+            if held is not None:
+                out[held] = True
+            i += size - 1 if held is not None else 1
+        return sorted(out, key=lambda p: -len(p))[:limit]
+
+
 def shared_phrases(a: str, b: str, least: int = 3, most: int = 8) -> list[str]:
-    """Phrases of a of `most` to `least` words that b holds: the longest at each word, then on behind it; longest first."""
-    words, other, out, i = a.lower().split(), " ".join(b.lower().split()), [], 0
-    while i < len(words):
-        n = next((n for n in range(min(most, len(words) - i), least - 1, -1) if " ".join(words[i : i + n]) in other), 0)
-        if n:
-            out.append(" ".join(words[i : i + n]))
-        i += n or 1
-    return sorted(dict.fromkeys(out), key=lambda p: -len(p))
+    """Phrases of a of `least` to `most` words that b holds, the longest first."""
+    return Phrases(a, least, most).shared(b)
 
 
 def shared_phrases_of(a: Column | str, b: Column | str) -> Column:
@@ -222,6 +282,63 @@ def shared_phrases_of(a: Column | str, b: Column | str) -> Column:
     return F.pandas_udf(each, "array<string>")(a, b)
 
 
+def phrases_with(one: str, text: Column | str) -> Column:
+    """The phrases of one given text that each text holds."""
+    own = Phrases(one)
+
+    def each(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: own.shared(t or ""))
+
+    return F.pandas_udf(each, "array<string>")(text)
+
+
+def lexemes(vector: Column | str) -> Column:
+    """A text vector like "'word':3,7 'other':1" as a map of words to their first places; of a repeated word the last entry counts."""
+    entry = r"'([^']+)':(\d+)"
+    keys, places = (F.regexp_extract_all(vector, F.lit(entry), F.lit(i)) for i in (1, 2))
+    last = lambda k: F.get(F.reverse(places), F.array_position(F.reverse(keys), k).cast("int") - 1).cast("int")
+    return F.map_from_entries(F.transform(F.array_distinct(keys), lambda k: F.struct(k, last(k))))
+
+
+def identity(cookie: Column | str) -> Column:
+    """(user_id, is_new): the cookie where it is a UUID, else a new one."""
+    known = F.coalesce(col(cookie).rlike("(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$"), F.lit(False))
+    return F.struct(F.when(known, col(cookie)).otherwise(F.uuid()).alias("user_id"), (~known).alias("is_new"))
+
+
+# Words of themes that count as doctrine.
+DOCTRINAL = "salvation|redemption|covenant|law|messiah|judgment|forgiveness|mercy|atonement|resurrection|sin"
+
+
+def doctrinal(theme: Column) -> Column:
+    return theme.rlike(DOCTRINAL)
+
+
+def highlighted(text: str, phrases: Iterable[str], least: int = 4) -> list[dict]:
+    """The text in parts, with whether each is one of the phrases, in any case: long phrases first, short ones left out, neighbours of one kind joined."""
+    wanted = sorted({p.strip() for p in phrases if len(p.strip()) >= least}, key=lambda p: (-len(p), p))
+    out: list[dict] = []
+
+    def add(part: str, mark: bool) -> None:
+        if part and out and out[-1]["highlighted"] == mark:
+            out[-1]["text"] += part
+        elif part:
+            out.append({"text": part, "highlighted": mark})
+
+    at = 0
+    for m in re.finditer("|".join(map(re.escape, wanted)), text, re.IGNORECASE) if wanted else ():
+        add(text[at : m.start()], False)
+        add(m[0], True)
+        at = m.end()
+    add(text[at:], False)
+    return out
+
+
+def highlights(text: Column | str, phrases: Iterable[str], least: int = 4) -> Column:
+    own = list(phrases)
+    return _arrow(lambda t: highlighted(t, own, least), "array<struct<text:string,highlighted:boolean>>")(text)
+
+
 def chunks(text: str, limit: int = 220) -> list[str]:
     """The text in parts of at most `limit` characters: cut behind sentences, else commas, else words, else anywhere."""
     out, rest = [], text.strip()

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lectern.functions.similarity import lexicon_rank, normalised_weights
+from lectern.operators.relational import running
 
 
 def clamped(limit: int | None, default: int = 20, least: int = 1, most: int = 100) -> int:
@@ -26,7 +27,7 @@ def chapter(passages: DataFrame, text_id: str, number: float, chapters: int) ->
 
 def random_row(df: DataFrame, key: str, seed: int = 1) -> DataFrame:
     """One row, the same for the same seed."""
-    return df.orderBy(F.xxhash64(F.lit(seed), key), key).limit(1)
+    return df.orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string"))), key).limit(1)
 
 
 def assembled(passages: DataFrame, themes: DataFrame, others: DataFrame) -> DataFrame:
@@ -56,10 +57,9 @@ def lexicon(entries: DataFrame, words: DataFrame, marker: str = "__none__") -> D
     return found.withColumn("rank", F.row_number().over(order))
 
 
-def within_cap(costs: DataFrame, order: Column, cap: float, by: str) -> DataFrame:
-    """Requests that fit under a cap, in order, for each `by`; the others are refused."""
-    spent = F.sum("cost").over(Window.partitionBy(by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
-    return costs.withColumn("spent", spent).withColumn("refused", F.col("spent") > cap)
+def within_cap(costs: DataFrame, order: str, cap: float, by: str) -> DataFrame:
+    """Requests that fit under a cap, in order (a unique key), for each `by`; the others are refused."""
+    return running(costs, [by], [F.col(order)], "cost", "spent").withColumn("refused", F.col("spent") > cap)
 
 
 def recall(hits: DataFrame, page: int = 20, reach: int = 200) -> DataFrame:
@@ -68,6 +68,51 @@ def recall(hits: DataFrame, page: int = 20, reach: int = 200) -> DataFrame:
     return hits.groupBy("language").agg(F.count(F.lit(1)).alias("queries"), on.alias("on_page"), behind.alias("behind"), ((on + behind) / F.count(F.lit(1))).alias("recall"))
 
 
+def recall_tiers(found: DataFrame, page: int = 20, reach: int = 200) -> DataFrame:
+    """Per language of found (lang, term, truth, place): words asked, what a page shows of all that hold them, of those that fit a page, of the others, and within reach.
+
+    `truth` is how many passages hold a word, `place` where a search for it shows one; a passage behind `reach` isn't in found.
+    """
+    term = found.groupBy("lang", "term").agg(F.first("truth").alias("truth"), F.count_if(F.col("place") <= page).alias("page"), F.count_if(F.col("place") <= reach).alias("deep"))
+    total = lambda c, when=None: F.coalesce(F.sum(c if when is None else F.when(when, F.col(c))), F.lit(0)).cast("long")
+    fits, fits_reach = F.col("truth") <= page, F.col("truth") <= reach
+    columns = {"hits": total("page"), "truth": total("truth"), "within_hits": total("page", fits), "within_truth": total("truth", fits), "beyond_hits": total("page", ~fits), "reachable_hits": total("deep", fits_reach)}
+    told = term.groupBy(F.col("lang").alias("language")).agg(F.count(F.lit(1)).alias("terms"), *(v.alias(f"all_{k}") for k, v in columns.items()))
+    return told.select("language", "terms", *(F.col(f"all_{k}").alias(k) for k in columns), (F.col("all_hits") / F.col("all_truth")).alias("recall"))
+
+
+def book_readings(verses: DataFrame, translations: DataFrame, number: float, chapters: int) -> DataFrame:
+    """Every book (text_id, book) opened at a chapter, the nearest to the number: its counts, the books before and behind, translations and verses.
+
+    verses: doc_id, text_id, book, chapter. translations: text_id, name, primary; primary ones come first, then by name.
+    """
+    place = max(1, min(chapters, int(number)))
+    books = verses.groupBy("text_id", "book").agg(F.count(F.lit(1)).alias("verses"), F.countDistinct("chapter").alias("chapters"), F.sort_array(F.collect_list(F.when(F.col("chapter") == place, F.col("doc_id")))).alias("ids"))
+    line = Window.partitionBy("text_id").orderBy("book")  # a text's books, a few dozen
+    named = translations.groupBy("text_id").agg(F.array_sort(F.collect_list(F.struct((~F.col("primary")).alias("later"), "name"))).alias("t"))
+    told = books.withColumns({"previous": F.lag("book").over(line), "next": F.lead("book").over(line)}).join(named, "text_id", "left")
+    names = F.array_join(F.transform(F.coalesce("t", F.array().cast("array<struct<later:boolean,name:string>>")), lambda t: t["name"]), ",")
+    return told.select("text_id", "book", "chapters", "verses", "previous", "next", F.lit(place).alias("chapter"), F.array_join(F.transform("ids", lambda i: i.cast("string")), ",").alias("verse_ids"), names.alias("translations"))
+
+
+def unverified(rows: DataFrame, translations: DataFrame) -> DataFrame:
+    """(text_id, unverified): unverified rows by translation, then by the translation's text."""
+    by_translation = rows.groupBy("translation").agg(F.count(F.lit(1)).alias("n"))
+    return by_translation.join(translations, "translation").groupBy("text_id").agg(F.sum("n").alias("unverified"))
+
+
+def on_ring(nodes: DataFrame, by: str, order: str, size: int = 640, node: int = 17, margin: int = 26, pull: float = 0.42) -> DataFrame:
+    """Nodes of journeys on a ring, its radius by their number, and the control point of the chord to the next node (null for the last)."""
+    line = Window.partitionBy(by).orderBy(order)  # a journey's nodes, 200 at most
+    count = F.count(F.lit(1)).over(Window.partitionBy(by))
+    share = F.when(count <= 2, 0.34).when(count <= 6, 0.58).otherwise(0.82)
+    angle = (F.row_number().over(line) - 1) / count * 2 * F.pi() - F.pi() / 2
+    centre, radius = size / 2, (size / 2 - node - margin) * share
+    placed = nodes.withColumns({"x": centre + F.cos(angle) * radius, "y": centre + F.sin(angle) * radius})
+    middle = lambda c: (F.col(c) + F.lead(c).over(line)) / 2
+    return placed.withColumns({f"c{c}": middle(c) - pull * (middle(c) - centre) for c in ("x", "y")})
+
+
 def stored_weights(preferences: DataFrame, dimensions: Sequence[str]) -> DataFrame:
     """Weights of users, normalised; the defaults where all are 0."""
     default = normalised_weights(None)
@@ -87,11 +132,16 @@ def shared_keys(url: Column | str) -> Column:
     return F.transform(F.split(raw, ","), F.url_decode)
 
 
+def term_pattern(terms: Sequence[str]) -> str:
+    """Any of the terms as whole words, the longest first."""
+    return "|".join(rf"(?<![A-Za-z0-9_]){re.escape(t)}(?![A-Za-z0-9_])" for t in sorted(terms, key=lambda t: (-len(t), t)))
+
+
 def segments(text: str | None, terms: Sequence[str]) -> list[dict]:
     """The text in parts, with whether each is one of the terms as whole words: longest terms first, no overlaps."""
     if not text:
         return []
-    pattern = re.compile("|".join(rf"(?<![A-Za-z0-9_]){re.escape(t)}(?![A-Za-z0-9_])" for t in sorted(terms, key=lambda t: (-len(t), t))), re.IGNORECASE)
+    pattern = re.compile(term_pattern(terms), re.IGNORECASE)
     out, at = [], 0
     for m in pattern.finditer(text):
         if m.start() > at:
@@ -111,9 +161,36 @@ def marked(df: DataFrame, terms: Sequence[str], text_col: str = "text", out: str
     return df.withColumn(out, F.pandas_udf(each, "array<struct<part:string,term:boolean>>")(text_col))
 
 
-def voice_score(language_match: Column, region_match: Column, local: Column, preferred: Column, novelty: Column) -> Column:
-    """How well a voice fits: language and region, where it runs, quality marks, and a small loss for novelty voices."""
-    return F.when(language_match, 40.0).otherwise(0.0) + F.when(region_match, 20.0).otherwise(0.0) + F.when(local, 5.0).otherwise(0.0) + F.when(preferred, 15.0).otherwise(0.0) - F.when(novelty, 0.5).otherwise(0.0)
+def voice_score(language: Column, wanted: Column, local: Column, default: Column) -> Column:
+    """How well a voice fits a wanted language tag: the same tag, else the same language, else as the default voice at most."""
+    voice, want = (F.replace(F.lower(F.coalesce(c, F.lit(""))), F.lit("_"), F.lit("-")) for c in (language, wanted))
+    base = lambda tag: F.split(tag, "-")[0]
+    bonus = lambda on, yes, no: F.when(on, yes).otherwise(no)
+    near = (base(voice) != "") & (base(voice) == base(want))
+    score = F.when(want == "", bonus(default, 1.0, 0.0)).when(voice == want, bonus(local, 40.0, 20.0) + bonus(default, 5.0, 0.0))
+    return score.when(near, bonus(local, 15.0, 8.0) + bonus(default, 2.0, 0.0)).otherwise(bonus(default, 0.5, -1.0))
+
+
+#: Bounds of what a request may ask, as (least, most).
+REQUEST_BOUNDS = {"limit": (1, 100), "query": (1, 500), "batch": (1, 50), "per_group": (1, 20), "bar": (0.0, 1.0), "per": (1, 10)}
+#: The most journeys of a user, nodes of a journey, characters of a name and of a note.
+JOURNEY_LIMITS = {"journeys": 40, "nodes": 200, "name": 80, "note": 2000}
+
+
+def bounded(value: Column, what: str) -> Column:
+    """A request's number within its bounds."""
+    least, most = REQUEST_BOUNDS[what]
+    return F.greatest(F.lit(least), F.least(F.lit(most), value))
+
+
+def journey_faults(nodes: DataFrame, user: str, asking: Column) -> DataFrame:
+    """(journey, faults) of nodes (journey, owner, name, note): what a journey breaks of JOURNEY_LIMITS, and whether `asking` may change it."""
+    own = nodes.groupBy("journey", user).agg(F.count(F.lit(1)).alias("n"), F.max(F.length("name")).alias("name"), F.max(F.length("note")).alias("note"))
+    held = own.groupBy(user).agg(F.countDistinct("journey").alias("journeys"))
+    told = own.join(held, user)
+    most = JOURNEY_LIMITS
+    faults = [F.when(F.col("journeys") > most["journeys"], "journeys"), F.when(F.col("n") > most["nodes"], "nodes"), F.when(F.col("name") > most["name"], "name"), F.when(F.col("note") > most["note"], "note"), F.when(F.col(user) != asking, "owner")]
+    return told.select("journey", user, F.array_compact(F.array(*faults)).alias("faults"))
 
 
 def indexed(scores: DataFrame, needs: DataFrame, density: Mapping[str, float] | None = None) -> DataFrame:

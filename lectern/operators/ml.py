@@ -87,7 +87,8 @@ def reliable(by_label: DataFrame, least_f1: float = 0.55, least_support: int = 1
 
 def held_out(df: DataFrame, id_col: str = "doc_id", percent: int = 20) -> DataFrame:
     """Rows with whether they are held out, by a hash of the id, so a row's side never changes."""
-    return df.withColumn("held_out", F.crc32(F.col(id_col).cast("string")) % 100 < percent)
+    number = F.conv(F.substring(F.md5(F.col(id_col).cast("string")), 1, 4), 16, 10).cast("int")
+    return df.withColumn("held_out", number % 100 < percent)
 
 
 def one_vs_rest(train: DataFrame, labels: Sequence[str], features: str = "features"):
@@ -102,3 +103,26 @@ def one_vs_rest(train: DataFrame, labels: Sequence[str], features: str = "featur
             weighted = train.withColumn("_w", F.when(F.col(label) == 1, ratio).otherwise(1.0))
             models[label] = LogisticRegression(featuresCol=features, labelCol=label, weightCol="_w", regParam=1e-5, maxIter=30).fit(weighted)
     return models
+
+
+def scored_by(fit, rows: DataFrame, labels: Sequence[str], label: str, vector: str, id_col: str) -> DataFrame:
+    """(id, a score for each label, best): one-vs-rest models fitted on rows with a label and a vector, and what they say of each row."""
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+
+    known = rows.where(F.col(label).isNotNull()).select(id_col, array_to_vector(F.col(vector).cast("array<double>")).alias("features"), *((F.col(label).cast("string") == c).cast("double").alias(f"is_{c}") for c in labels))
+    models = fit(known, [f"is_{c}" for c in labels])
+    told = known.select(id_col, "features")
+    for c in labels:
+        model = models.get(f"is_{c}")
+        if model is None:
+            told = told.withColumn(f"score_{c}", F.lit(0.0))
+            continue
+        told = model.transform(told).withColumn(f"score_{c}", vector_to_array("probability")[1]).drop("rawPrediction", "probability", "prediction")
+    best = F.array_max(F.array(*(F.struct(F.col(f"score_{c}").alias("s"), F.lit(c).alias("label")) for c in labels)))["label"]
+    return told.select(id_col, *(f"score_{c}" for c in labels), best.alias("best"))
+
+
+def saved_model(centroids: DataFrame, path: str, places: int = 4) -> DataFrame:
+    """Writes (label, term, weight) with rounded weights, and gives what a reader of the path gets."""
+    centroids.withColumn("weight", F.round("weight", places)).write.mode("overwrite").parquet(path)
+    return centroids.sparkSession.read.parquet(path)

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lectern.sources.shared import written
+
 
 def conjunction(conditions: Sequence[Column | None]) -> Column:
     """All given conditions; missing ones don't filter."""
@@ -45,6 +47,39 @@ def top_n(df: DataFrame, by: Sequence[str], order: Sequence[Column], n: int, ran
     return ranked.where(F.col(rank) <= n)
 
 
+def _placed(df: DataFrame, by: Sequence[str], order: Sequence[Column], bins: int) -> DataFrame:
+    """A written table of df dealt by ranges of (by, order), with the number of a row's range in `_range`."""
+    spark = df.sparkSession
+    n = bins or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return written(df.repartitionByRange(n, *by, *order).withColumn("_range", F.spark_partition_id()))
+
+
+def numbered(df: DataFrame, by: Sequence[str], order: Sequence[Column], out: str, bins: int = 0) -> DataFrame:
+    """Adds `out`, from 1 in each group in order, which ends with a unique key.
+
+    Rows are dealt by ranges of group and order and numbered within ranges, so a large group is numbered by many tasks;
+    only the ranges' sizes are added up in one place.
+    """
+    placed = _placed(df, by, order, bins)
+    size = placed.groupBy(*by, "_range").agg(F.count(F.lit(1)).alias("_size"))
+    before = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = size.select(*(F.col(c).alias(f"_by{i}") for i, c in enumerate(by)), F.col("_range").alias("_r"), F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_before"))
+    own = placed.withColumn(out, F.row_number().over(Window.partitionBy(*by, "_range").orderBy(*order)))
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_by{i}")) for i, c in enumerate(by)], F.col("_range") == F.col("_r"))
+    return own.join(offsets, same).select(*(c for c in df.columns if c != out), (F.col(out) + F.col("_before")).alias(out))
+
+
+def running(df: DataFrame, by: Sequence[str], order: Sequence[Column], value: str, out: str, bins: int = 0) -> DataFrame:
+    """Adds `out`: the sum of value in each group up to the row, in order, which ends with a unique key; dealt as numbered() does."""
+    placed = _placed(df, by, order, bins)
+    total = placed.groupBy(*by, "_range").agg(F.sum(value).alias("_sum"))
+    before = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = total.select(*(F.col(c).alias(f"_by{i}") for i, c in enumerate(by)), F.col("_range").alias("_r"), F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_before"))
+    own = placed.withColumn(out, F.sum(value).over(Window.partitionBy(*by, "_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_by{i}")) for i, c in enumerate(by)], F.col("_range") == F.col("_r"))
+    return own.join(offsets, same).select(*(c for c in df.columns if c != out), (F.col(out) + F.col("_before")).alias(out))
+
+
 def interleaved(df: DataFrame, by: str, order: Sequence[Column], size: int, position: str = "position") -> DataFrame:
     """Rows dealt in rounds, one of each group a round, larger groups first; `size` rows."""
     queue = df.groupBy(by).agg(F.count(F.lit(1)).alias("_queue"))
@@ -129,8 +164,9 @@ def changes(old: DataFrame, new: DataFrame, keys: Sequence[str], value: str) ->
 def repacked(df: DataFrame, by: str, item: str, position: str, asked: DataFrame) -> DataFrame:
     """Positions from 0: asked items first in the order asked (once each), the others behind in their old order."""
     first = asked.groupBy(by, item).agg(F.min("asked").alias("asked"))
-    order = Window.partitionBy(by).orderBy(F.asc_nulls_last("asked"), position, item)
-    return df.join(first, [by, item], "left").withColumn("new_position", F.row_number().over(order) - 1).drop("asked")
+    order = [F.asc_nulls_last("asked"), F.col(position), F.col(item)]
+    placed = numbered(df.join(first, [by, item], "left"), [by], order, "new_position")
+    return placed.withColumn("new_position", F.col("new_position") - 1).drop("asked")
 
 
 def neighbours(df: DataFrame, by: str, order: Sequence[str], item: str) -> DataFrame:

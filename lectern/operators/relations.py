@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lectern.functions.similarity import composite, cosine, cross_reference, dimensions, jaccard, letters, local_affinity
-from lectern.functions.text import cross_lingual_tokens, proper_nouns, significant_terms, strings
+from lectern.functions.similarity import alignment, composite, cosine, cross_reference, dimensions, explanation, jaccard, letters, local_affinity
+from lectern.functions.text import cross_lingual_tokens, doctrinal, fold, folded, proper_nouns, shared_phrases_of, significant_terms, strings
 from lectern.operators.relational import both_ways, interleaved, top_n
+from lectern.vocab import DEFAULT_WEIGHTS
 
 
 def signals(passages: DataFrame, themes: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", text_id: str = "source", language: str = "lang") -> DataFrame:
@@ -96,11 +98,13 @@ def related(kinds: Sequence[tuple[str, DataFrame, int]]) -> DataFrame:
 
 
 def figure_mentions(passages: DataFrame, figures: Mapping[str, Sequence[str]], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, figure, form): figures whose forms a passage holds, under the first form that it has. The figures are an argument, so few."""
-    text = F.lower(text_col)
-    each = [F.struct(F.lit(name).alias("figure"), F.get(F.filter(strings(forms), lambda f: F.contains(text, f)), 0).alias("form")) for name, forms in figures.items()]
-    found = passages.select(F.col(id_col).alias("id"), F.explode(F.filter(F.array(*each), lambda m: m["form"].isNotNull())).alias("m"), *[c for c in passages.columns if c not in (id_col, text_col)])
-    return found.select("id", "m.figure", "m.form", *[c for c in passages.columns if c not in (id_col, text_col)])
+    """(id, figure, form): figures whose folded forms a folded passage holds, under the first form that it has. The figures are an argument, so few."""
+    rest = [c for c in passages.columns if c not in (id_col, text_col)]
+    read = passages.withColumn("_folded", fold(text_col))
+    form = lambda forms: reduce(lambda later, f: F.when(F.contains("_folded", F.lit(folded(f))), f).otherwise(later), reversed(forms), F.lit(None).cast("string"))
+    each = [F.struct(F.lit(name).alias("figure"), form(forms).alias("form")) for name, forms in figures.items()]
+    found = read.select(F.col(id_col).alias("id"), F.explode(F.filter(F.array(*each), lambda m: m["form"].isNotNull())).alias("m"), *rest)
+    return found.select("id", "m.figure", "m.form", *rest)
 
 
 def xlingual_terms(passages: DataFrame, labels: DataFrame, most_labels: int = 150, least_passages: int = 5, least_df: int = 8, least_specificity: float = 0.8, top: int = 3, token: Column | None = None, id_col: str = "doc_id", language: str = "lang") -> DataFrame:
@@ -118,3 +122,123 @@ def xlingual_terms(passages: DataFrame, labels: DataFrame, most_labels: int = 15
     told = counted.join(spread, ["language", "term"]).withColumn("specificity", 1 / F.col("themes")).where(F.col("specificity") >= least_specificity)
     stem = Window.partitionBy("theme", "language", F.substring("term", 1, 4)).orderBy(F.desc("in_passages"), "term")
     return top_n(told.withColumn("_n", F.row_number().over(stem)).where("_n = 1").drop("_n", "themes"), ["theme", "language"], [F.desc("in_passages"), F.col("term")], top)
+
+
+# ---------------------------------------------------------------- around one passage
+
+
+def neighbourhood(scores: DataFrame, source_id, per_text: int, most: int = 4, text: str = "source") -> DataFrame:
+    """(id) of passages that share one of the strongest themes of a passage: the best `per_text` of each text.
+
+    scores: (id, theme, score, rank) and the text. The passage's own themes are a few rows.
+    """
+    seeds = scores.where((F.col("id") == source_id) & (F.col("rank") <= most)).select("theme")
+    near = scores.where(F.col("id") != source_id).join(F.broadcast(seeds), "theme")
+    return top_n(near, [text], [F.desc("score"), F.col("theme"), F.col("id")], per_text).select("id").distinct()
+
+
+def recommendations(compared: DataFrame, candidates: DataFrame, vectors: DataFrame, weights: Mapping[str, float] | None = None, limit: int = 10, shortlist: int = 12, least: float = 0.15) -> DataFrame:
+    """The best of the candidates (id) by the weighted dimensions of against(), from a short list dealt over texts by affinity and vectors."""
+    blend = compared.join(candidates.select("id").distinct(), "id", "left_semi").join(vectors, "id", "left")
+    blend = blend.withColumn("blend", F.round(0.7 * F.col("affinity") + 0.3 * F.coalesce("cosine", F.lit(0.0)), 9)).where("blend > 0")
+    dealt = interleaved(blend, "text_id", [F.desc("blend"), F.col("id")], max(shortlist, 2 * limit))
+    own = dealt.withColumn("composite", F.round(composite({n: n for n in DEFAULT_WEIGHTS}, weights), 9))
+    return own.where(F.col("composite") >= least).orderBy(F.desc("composite"), "id").limit(limit)
+
+
+def evidence(source: DataFrame, other: DataFrame) -> DataFrame:
+    """What two passages of signals(), a row each, have in common by dimension: id and an array for each dimension."""
+    one = source.limit(1).select(*(F.col(c).alias(f"s_{c}") for c in ("text_id", "terms", "names", "themes")))
+    both = other.crossJoin(F.broadcast(one))  # one row
+    shared = lambda c: F.array_sort(F.array_intersect(c, f"s_{c}"))
+    pair = F.concat(F.lit("Corpus pair only: "), F.col("s_text_id"), F.lit(" and "), F.col("text_id"), F.lit(". No claim about these two passages."))
+    told = {
+        "thematic": shared("themes"),
+        "linguistic": F.slice(shared("terms"), 1, 10),
+        "historical": F.when(F.col("text_id") == F.col("s_text_id"), F.array().cast("array<string>")).otherwise(F.array(pair)),
+        "narrative": shared("names"),
+        "theological": F.filter(shared("themes"), doctrinal),
+    }
+    return both.select("id", *(v.alias(k) for k, v in told.items()))
+
+
+def summary(scores: Mapping[str, Column | str], weights: Mapping[str, float] | None = None) -> Column:
+    """One sentence: the composite and the dimensions that contribute most to it."""
+    percent = lambda v: F.concat(F.format_number(v * 100, 1), F.lit("%"))
+    top = F.transform(explanation(scores, weights), lambda e: F.concat(e["dimension"], F.lit(" ("), percent(e["contribution"]), F.lit(")")))
+    led = F.when(F.size(top) > 0, F.concat(F.lit(", led by "), F.array_join(top, ", "))).otherwise("")
+    return F.concat(F.lit("Composite "), percent(composite(scores, weights)), led, F.lit("."))
+
+
+def passage_journey(scores: DataFrame, source_id, most: int = 5, pool: int = 120, members: int = 8, text: str = "source", place: str = "lang") -> DataFrame:
+    """(theme, source_score, id, text, score, rank, corpora, cross_text): where each of a passage's strongest themes leads.
+
+    The pool is the best rows of all its themes together. Of a theme the best passage of each book comes first, those of
+    other texts before the passage's own, and the rest fills up by score.
+    """
+    own = scores.where(F.col("id") == source_id)
+    seeds = own.where(F.col("rank") <= most).select("theme", F.col("score").alias("source_score"), F.col(text).alias("own_text"))
+    n = seeds.count()  # a few themes of one passage
+    near = scores.where(F.col("id") != source_id).join(F.broadcast(seeds), "theme").orderBy(F.desc("score"), "theme", "id").limit(max(1, n) * pool)
+    best = F.row_number().over(Window.partitionBy("theme", text, place).orderBy(F.desc("score"), "id"))
+    same = F.when((F.col("best") == 1) & (F.col(text) == F.col("own_text")), 1).otherwise(0)
+    order = [(F.col("best") > 1).cast("int"), same, F.desc("score"), F.col("id")]
+    chosen = near.withColumn("best", best).withColumn("rank", F.row_number().over(Window.partitionBy("theme").orderBy(*order))).where(F.col("rank") <= members)
+    groups = chosen.groupBy("theme").agg(F.countDistinct(text).alias("corpora"))
+    return chosen.join(groups, "theme").select("theme", "source_score", "id", text, "score", "rank", "corpora", (F.col("corpora") > 1).alias("cross_text"))
+
+
+def alignments(pairs: DataFrame) -> DataFrame:
+    """Pairs with signals of both sides (a_*, b_*) and their shared phrases, with the type and strength of their alignment and notes."""
+    longest = F.coalesce(F.array_max(F.transform("phrases", F.length)), F.lit(0))
+    cognates = F.when(F.col("a_language") != F.col("b_language"), jaccard("a_letters", "b_letters")).otherwise(0.0)
+    themes = F.array_sort(F.array_intersect("a_themes", "b_themes"))
+    found = alignment(longest, jaccard("a_names", "b_names"), cognates, F.size(themes))
+    n = F.size("phrases")
+    notes = F.when(n == 0, "no shared phrasing detected").when(n == 1, "1 shared phrase").otherwise(F.concat(n.cast("string"), F.lit(" shared phrases")))
+    return pairs.withColumns({"found": found, "shared_themes": themes}).select(F.col("a_id").alias("a"), F.col("b_id").alias("b"), "found.type", "found.strength", "phrases", "shared_themes", notes.alias("notes"))
+
+
+def comparison(passages: DataFrame, own: DataFrame, ids: Sequence, id_col: str = "doc_id", text_col: str = "text", least: float = 0.15) -> DataFrame:
+    """All pairs of 2 to 8 passages, in the order asked, that are aligned well enough; `own` are their signals()."""
+    if not 2 <= len(set(ids)) <= 8:
+        raise ValueError("a comparison takes 2 to 8 passages")
+    asked = list(dict.fromkeys(ids))
+    place = F.array_position(F.array(*map(F.lit, asked)), F.col("id"))
+    few = own.where(F.col("id").isin(asked)).join(passages.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "id").withColumn("place", place)
+    side = lambda z: few.select(*(F.col(c).alias(f"{z}_{c}") for c in few.columns))
+    pairs = side("a").join(side("b"), F.col("a_place") < F.col("b_place"))  # 28 pairs at most
+    told = alignments(pairs.withColumn("phrases", shared_phrases_of("a_text", "b_text")))
+    return told.where(F.col("strength") >= least)
+
+
+def related_to(source_id, edges: DataFrame, scores: DataFrame, caps: tuple[int, int, int] = (6, 4, 6), pool: int = 40, text: str = "source", place: str = "lang") -> DataFrame:
+    """(other, kind, strength, rank) around one passage: what quotes it, other relations, and passages of other texts that share a theme.
+
+    edges: (source, target, strength, kind), of which parallels and duplicates are left out; verbatim are quotations. Of
+    themes the best passage of each book counts, of the best three times as many as are shown. Each passage comes once,
+    under the first kind that has it.
+    """
+    near = both_ways(edges).where((F.col("self") == source_id) & ~F.col("kind").isin("parallel", "duplicate")).orderBy(F.desc("strength"), "other").limit(40)
+    own = scores.where(F.col("id") == source_id).select("theme", F.col(text).alias("own_text"))
+    n = own.count()  # a few themes of one passage
+    held = scores.join(F.broadcast(own), "theme").where((F.col("id") != source_id) & (F.col(text) != F.col("own_text"))).orderBy(F.desc("score"), "id", "theme").limit(max(1, n) * pool)
+    best = top_n(held, [text, place], [F.desc("score"), F.col("id"), F.col("theme")], 1).orderBy(F.desc("score"), "id").limit(3 * caps[2])
+    kinds = [("verbatim", near.where("kind = 'quotation'").select("other", "strength"), 0), ("relation", near.where("kind <> 'quotation'").select("other", "strength"), 1), ("theme", best.select(F.col("id").alias("other"), F.col("score").alias("strength")), 2)]
+    whole = None
+    for name, d, i in kinds:
+        d = d.select("other", "strength", F.lit(name).alias("kind"), F.lit(i).alias("family"), F.lit(caps[i]).alias("most"))
+        whole = d if whole is None else whole.unionByName(d)
+    once = whole.withColumn("nth", F.row_number().over(Window.partitionBy("other").orderBy("family", F.desc("strength")))).where("nth = 1")
+    order = Window.partitionBy("kind").orderBy(F.desc("strength"), "other")  # some 60 rows in all
+    return once.withColumn("rank", F.row_number().over(order)).where("rank <= most").select("other", "kind", "strength", "rank")
+
+
+def figure_detail(mentions: DataFrame, stance: Column, order: str = "id", text: str = "source") -> DataFrame:
+    """(figure, text, mentions, forms, stance, total): per figure and text its forms in the order in which they first appear, and the first row's stance."""
+    own = mentions.withColumn("stance", stance)
+    forms = own.groupBy("figure", text, "form").agg(F.min(order).alias("at"), F.count(F.lit(1)).alias("n"))
+    listed = forms.groupBy("figure", text).agg(F.sum("n").alias("mentions"), F.transform(F.array_sort(F.collect_list(F.struct("at", "form"))), lambda f: f["form"]).alias("forms"))
+    first = own.groupBy("figure", text).agg(F.min_by("stance", order).alias("stance"))
+    total = own.groupBy("figure").agg(F.count(F.lit(1)).alias("total"))
+    return listed.join(first, ["figure", text]).join(total, "figure")

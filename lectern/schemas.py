@@ -8,7 +8,10 @@ PASSAGE_TRANSLATIONS = "passage_id string, translation_id string, text string, v
 PASSAGE_THEMES = "passage_id string, theme_id string, score double, confidence double, evidence array<string>, source string"
 EDGES = "source string, target string, type string, strength double, direction string, detected_by string"
 LOGS = "event_id long, ts timestamp, user_id long, event_type string, value double, props string"
-CHAPTERS_JSON = "book string, chapters array<struct<number:int,verses:array<string>>>"
+#: A page of a paged source, with nested translations.
+PAGED_JSON = "chapter long, verses array<struct<verse_number:long,text:string,translations:array<struct<resource_id:long,text:string>>>>, pagination struct<current_page:int,total_pages:int>"
+#: All books of one file, in their order.
+BULK_JSON = "array<struct<abbrev:string,name:string,chapters:array<array<string>>>>"
 #: Chapters with a verse list for the original and one for the translation.
 PARALLEL_JSON = "book string, chapter int, original array<string>, translation array<string>"
 EDITION_JSON = "hadiths array<struct<hadithnumber:int,text:string,reference:struct<book:int,hadith:int>>>"

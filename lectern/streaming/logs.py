@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Sequence
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -51,6 +53,37 @@ def merge_sink(changed: DataFrame, apply, checkpoint: str, every: str | None = N
     return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
 
 
+def budgeted_run(changed: DataFrame, apply, checkpoint: str, seconds: float = 900, rows: int = 30_000, failures: int = 5) -> dict:
+    """Handles what there is in micro-batches until time or rows are used up or apply(rows, batch_id) fails so often in a row; reports what was done.
+
+    apply says whether its batch worked. The run stops between batches, so the next one goes on where it ended.
+    """
+    report = {"batches": 0, "rows": 0, "failed": 0, "truncated": False, "unreachable": False}
+    state = {"row": 0, "end": time.monotonic() + seconds}
+
+    def step(batch: DataFrame, number: int) -> None:
+        if report["unreachable"] or report["rows"] >= rows or time.monotonic() > state["end"]:
+            report["truncated"] = True
+            raise _BudgetSpent
+        done = bool(apply(batch, number))
+        report["batches"], report["rows"] = report["batches"] + 1, report["rows"] + batch.count()
+        state["row"] = 0 if done else state["row"] + 1
+        report["failed"] += not done
+        report["unreachable"] = state["row"] >= failures
+
+    query = merge_sink(changed, step, checkpoint)
+    try:
+        query.awaitTermination()
+    except StreamingQueryException:
+        if not report["truncated"]:
+            raise
+    return report
+
+
+class _BudgetSpent(Exception):
+    pass
+
+
 def refreshed_postings(posts: DataFrame, changed: DataFrame, ids: Sequence[str] = ("id",)) -> DataFrame:
     """Postings with those of changed passages replaced."""
     return posts.join(changed.select(*ids).distinct(), list(ids), "left_anti").unionByName(changed)

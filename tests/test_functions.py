@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 from lectern.functions import similarity as S
 from lectern.functions import text as X
 from lectern.operators.search import Query, parse
-from lectern.sources.readers import parsed_citation
 
 
 def one(spark, column):
@@ -56,17 +55,54 @@ def test_usfm_text(spark):
 
 def test_scripts_fold(spark):
     assert X.folded("שָׁלוֹם") == X.folded("שלום") and X.folded("מֶלֶךְ") == "מלכ"
-    assert X.folded("ٱلرَّحْمَٰنِ") == "الرحمن" and X.folded("λόγος") == "λογοσ"
+    assert X.folded("ٱلرَّحْمَٰنِ") == "الرحمن" and X.folded("λόγος") == "λογος"
+    assert X.folded("ٱلرَّحْمَة") == X.folded("الرحمة") and X.folded("عَلَىٰ") == "علي" and X.folded("مُؤْمِن") == "مومن"
+    assert X.folded("ٱلصَّلَوٰةَ") == "الصلاه" and X.folded("سُؤَال") == X.folded("سوال") and X.folded("ٱلْقُرْءَان") == "القران"
+    assert X.folded("אֶרֶץ") == "ארצ" and X.folded("סֵפֶר") == "ספר" and X.folded("  a\t b ") == "a b"
     assert X.readings("ٱلرَّحْمَٰنِ") == ["الرحمن", "الرحمان"]
     assert one(spark, X.lexicon_candidate(F.lit("אָב"))) and not one(spark, X.lexicon_candidate(F.lit("a א")))
     read = spark.createDataFrame([("ٱلرَّحْمَٰنِ", "رحمان"), ("ٱلرَّحْمَٰنِ", "كتاب")], "t string, q string").select(X.search_readings("t").alias("t"), X.search_readings("q").alias("q"))
     assert [r[0] for r in read.select(X.matches_reading(F.col("t"), F.col("q"))).collect()] == [True, False]
-    assert one(spark, X.cross_lingual_tokens(F.lit("λογοσ ab abc του word"), ["του"])) == ["λογοσ"]
+    assert one(spark, X.cross_lingual_tokens(F.lit("λόγος ab abc του word"), ["του"])) == ["λογος"]
 
 
 def test_shared_phrases():
     assert X.shared_phrases("in the beginning was the word and more", "so in the beginning was light, the word and more") == ["in the beginning was", "the word and more"]
     assert X.shared_phrases("a b", "a b") == []
+    assert X.shared_phrases("one two three four", "One  two three four") == ["two three four"]  # texts are compared as they are written
+
+
+def test_evidence_needs_whole_words(spark):
+    text = "They spoke of reincarnation for many years.  Every nation on the earth has one!"
+    assert one(spark, X.theme_evidence(F.lit(text), ["nation"])) == ["Every nation on the earth has one!"]
+
+
+def test_greek_stems(spark):
+    assert {X.greek_stemmed(X.folded(w)) for w in ("λόγος", "λόγον", "λόγου", "λόγῳ", "λόγοι")} == {"λογ"}
+    assert X.greek_stemmed(X.folded("θεοῦ")) == X.greek_stemmed(X.folded("θεός")) == "θε" and X.greek_stemmed("word") == "word"
+    assert one(spark, X.stemmed_tokens(F.array(F.lit("λογος"), F.lit("word"), F.lit("το")))) == ["λογ", "το"]
+
+
+def test_vectors_of_lexemes(spark):
+    assert one(spark, X.lexemes(F.lit("'merci':3,7 'lord':1 'merci':9"))) == {"merci": 9, "lord": 1}
+    assert one(spark, X.lexemes(F.lit(""))) == {}
+
+
+def test_identities(spark):
+    own = "0a1B2c3d-0000-4000-8000-00000000000f"
+    assert one(spark, X.identity(F.lit(own))).asDict() == {"user_id": own, "is_new": False}
+    for bad in ("x" + own, "", None):
+        got = one(spark, X.identity(F.lit(bad).cast("string")))
+        assert got["is_new"] and len(got["user_id"]) == 36
+
+
+def test_highlights_join_neighbours():
+    assert X.highlighted("The Lord said unto him", ["lord said", "lord", "unto him", "him"]) == [{"text": "The ", "highlighted": False}, {"text": "Lord said", "highlighted": True}, {"text": " ", "highlighted": False}, {"text": "unto him", "highlighted": True}]
+    assert X.highlighted("abcdabcd", ["abcd"]) == [{"text": "abcdabcd", "highlighted": True}] and X.highlighted("x", []) == [{"text": "x", "highlighted": False}] and X.highlighted("", ["abcd"]) == []
+
+
+def test_doctrine(spark):
+    assert one(spark, X.doctrinal(F.lit("divine_mercy"))) and not one(spark, X.doctrinal(F.lit("prayer")))
 
 
 def test_chunks():
@@ -92,11 +128,6 @@ def test_queries_parse():
     assert parse("").terms == []
 
 
-def test_citations_parse():
-    assert parsed_citation("1 Kings 3:5") == ("1 kings", 3, 5) and parsed_citation("Genesis 1") == ("genesis", 1, None)
-    assert parsed_citation("2:255") == ("", 2, 255) and parsed_citation("no numbers") is None and parsed_citation("x" * 90) is None
-
-
 def test_similarity(spark):
     arr = lambda *v: F.array(*map(F.lit, v)).cast("array<string>")
     vec = lambda *v: F.array(*map(F.lit, v)).cast("array<float>")

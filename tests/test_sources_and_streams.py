@@ -3,6 +3,7 @@
 import json
 import zipfile
 
+import pytest
 from pyspark.sql import functions as F
 
 from lectern.operators import relational as R
@@ -13,9 +14,25 @@ SF = "/root/testdata/sf0.001"
 
 
 def test_nested_books(spark, tmp_path):
-    (tmp_path / "books.json").write_text(json.dumps([{"book": "B", "chapters": [{"number": 2, "verses": ["later"]}, {"number": 1, "verses": ["one", " ", "three"]}]}, {"book": "other", "chapters": []}]))
-    got = readers.books(spark, str(tmp_path / "books.json"), ["A", "B"]).orderBy("verse_order").collect()
-    assert [(r["chapter"], r["verse"], r["text"], r["verse_order"], r["position"]) for r in got] == [(1, 1, "one", 1, 1), (1, 3, "three", 2, 1), (2, 1, "later", 3, 1)]
+    (tmp_path / "books.json").write_text(json.dumps([{"abbrev": "x", "name": "X", "chapters": [["skipped"]]}, {"abbrev": "a", "name": "Wrong", "chapters": [["one", " ", "three  words"], ["later"]]}, {"abbrev": "b", "name": "B", "chapters": [["last"]]}]))
+    got = readers.books(spark, str(tmp_path / "books.json"), ["A", "B"], offset=1).orderBy("verse_order").collect()
+    assert [(r["book"], r["chapter"], r["verse"], r["text"], r["verse_order"], r["position"]) for r in got] == [("A", 1, 1, "one", 1, 0), ("A", 1, 3, "three words", 2, 0), ("A", 2, 1, "later", 3, 0), ("B", 1, 1, "last", 4, 1)]
+    with pytest.raises(Exception, match="expected 66 books"):
+        readers.books(spark, str(tmp_path / "books.json"), ["A"], expected=66).collect()
+    (tmp_path / "empty.json").write_text(json.dumps([{"abbrev": "a", "name": "A", "chapters": []}]))
+    with pytest.raises(Exception, match="no chapters for A"):
+        readers.books(spark, str(tmp_path / "empty.json"), ["A"]).collect()
+
+
+def test_pages_of_a_chapter(spark, tmp_path):
+    verse = lambda n, *t: {"verse_number": n, "text": f"o{n}", "translations": [{"resource_id": i, "text": x} for i, x in t]}
+    page = lambda c, p, n, *v: json.dumps({"chapter": c, "verses": v, "pagination": {"current_page": p, "total_pages": n}})
+    (tmp_path / "all.json").write_text("\n".join([page(1, 1, 2, verse(1, (9, "nine"), (2, " two ")), verse(2, (2, " "))), page(1, 2, 2, verse(3, (2, "three"))), page(2, 1, 1, verse(1, (2, "x")))]))
+    got = readers.paged_verses(spark, str(tmp_path / "all.json")).orderBy("chapter", "verse").collect()
+    assert [(r["chapter"], r["verse"], r["original"], [t["text"] for t in r["translations"]]) for r in got] == [(1, 1, "o1", ["two", "nine"]), (1, 3, "o3", ["three"]), (2, 1, "o1", ["x"])]
+    (tmp_path / "some.json").write_text(page(1, 1, 2, verse(1, (2, "x"))))
+    with pytest.raises(Exception, match="a page of a chapter is missing"):
+        readers.paged_verses(spark, str(tmp_path / "some.json")).collect()
 
 
 def test_parallel_arrays_and_editions(spark, tmp_path):
@@ -39,6 +56,8 @@ def test_attach_and_correct(spark, tmp_path):
     new = spark.createDataFrame([("k1", "a"), ("k2", "b"), ("k9", "c")], "passage_key string, original string")
     got = {r["passage_key"]: r["original"] for r in readers.attached(passages, new, ["passage_key"]).collect()}
     assert got == {"k1": "a", "k2": "has", "k3": None}
+    told = readers.attached(passages.withColumn("language", F.lit("english")), new, ["passage_key"], language="hebrew")
+    assert {r["passage_key"]: r["language"] for r in told.collect()} == {"k1": "hebrew", "k2": "english", "k3": "english"}
     (tmp_path / "patch.json").write_text(json.dumps({"k1": "right", "k2": "has", "k7": "gone"}))
     texts = spark.createDataFrame([("k1", "wrong"), ("k2", "has")], "passage_key string, text string")
     fixed, report = sinks.corrected(texts, readers.patches(spark, str(tmp_path / "patch.json")))
@@ -47,10 +66,19 @@ def test_attach_and_correct(spark, tmp_path):
 
 
 def test_citations_resolve_to_every_book_of_an_alias(spark):
-    aliases = spark.createDataFrame([("john", "nt", "john"), ("1 kings", "ot", "1kings"), ("john", "apocrypha", "acts-john")], "alias string, text_id string, book string")
-    asked = spark.createDataFrame([("John 3:16",), ("1 Kings 2",), ("nothing",), ("unknown 1:1",), (None,)], "q string")
-    got = {(r["text_id"], r["book"], r["chapter"], r["verse"]) for r in readers.citations(asked, "q", aliases).collect()}
-    assert got == {("nt", "john", 3, 16), ("apocrypha", "acts-john", 3, 16), ("ot", "1kings", 2, None)}
+    aliases = spark.createDataFrame([("john", "nt", "john"), ("1 kings", "ot", "1kings"), ("john", "apocrypha", "acts-john"), ("an nas", "quran", "114"), ("2", "quran", "2"), ("3", "quran", "3")], "alias string, text_id string, book string")
+    asked = ["John 3:16", "1 Kings 2", "1 Kings 2.7", "nothing", "unknown 1:1", None, "nt john 1:1", "quran 2:255", "2:255", "Surah An-Nas 114:3", "an-nas 5:3", "x" * 90 + " 1:1", "john 0:1"]
+    got = {(r["q"], r["passage_key"]) for r in readers.citations(spark.createDataFrame([(q,) for q in asked], "q string"), "q", aliases).collect()}
+    assert got == {("John 3:16", "nt:john:3:16"), ("John 3:16", "apocrypha:acts-john:3:16"), ("1 Kings 2.7", "ot:1kings:2:7"), ("nt john 1:1", "nt:john:1:1"), ("quran 2:255", "quran:2:1:255"), ("Surah An-Nas 114:3", "quran:114:1:3")}
+
+
+def test_a_large_group_is_numbered_by_ranges(spark):
+    rows = spark.range(4000).select("id", F.when(F.col("id") % 3 == 0, F.lit(None)).otherwise(F.lit("hot")).alias("g"), (F.col("id") * 7919 % 4001).alias("k"))
+    got = R.numbered(rows, ["g"], [F.desc("k")], "place", 8).toPandas()
+    total = R.running(rows.withColumn("v", F.lit(1.0)), ["g"], [F.desc("k")], "v", "sum", 8).toPandas()
+    for part, column in ((got, "place"), (total, "sum")):
+        for _, own in part.groupby(part.g.isna()):
+            assert own.sort_values("k", ascending=False)[column].tolist() == list(range(1, len(own) + 1))
 
 
 def test_upsert_writes_a_new_version(spark, tmp_path):
@@ -87,3 +115,16 @@ def test_postings_refresh(spark):
     old = spark.createDataFrame([(1, "a"), (2, "b")], "id int, term string")
     new = spark.createDataFrame([(2, "c"), (2, "d")], "id int, term string")
     assert {tuple(r) for r in logs.refreshed_postings(old, new).collect()} == {(1, "a"), (2, "c"), (2, "d")}
+
+
+def test_a_run_ends_with_its_budget(spark, tmp_path):
+    events = spark.read.parquet(f"{SF}/events.parquet")
+    events.repartition(5).write.parquet(str(tmp_path / "in"))
+    seen = []
+    stream = logs.log_stream(spark, str(tmp_path / "in"), 1)
+    report = logs.budgeted_run(stream, lambda rows, batch: seen.append(rows.count()) or True, str(tmp_path / "c"), rows=300)
+    assert report["truncated"] and not report["unreachable"] and report["rows"] == sum(seen) and sum(seen) >= 300 > sum(seen[:-1])
+    rest = logs.budgeted_run(stream, lambda rows, batch: seen.append(rows.count()) or True, str(tmp_path / "c"))
+    assert not rest["truncated"] and sum(seen) == events.count()  # it goes on where the first run ended
+    failed = logs.budgeted_run(stream, lambda rows, batch: False, str(tmp_path / "d"), failures=2)
+    assert failed["unreachable"] and failed["truncated"] and failed["batches"] == 2
