@@ -92,7 +92,10 @@ def class_balance(spark: SparkSession, sf: str) -> DataFrame:
     return rows.groupBy("label").agg(F.greatest(F.lit(1.0), F.count_if(F.col("v") == 0) / F.count_if(F.col("v") == 1)).alias("positive_weight"))
 
 
-@query()
+_DIGIT = "strpos('0123456789abcdef', substring(md5(doc_id::VARCHAR), {0}, 1)) - 1"
+
+
+@query(f"SELECT doc_id, (({_DIGIT.format(1)}) * 4096 + ({_DIGIT.format(2)}) * 256 + ({_DIGIT.format(3)}) * 16 + {_DIGIT.format(4)}) % 100 < 20 AS held_out FROM labels")
 def held_out_split(spark: SparkSession, sf: str) -> DataFrame:
     return M.held_out(table(spark, sf, "labels").select("doc_id"))
 

@@ -243,7 +243,8 @@ def journey_summaries(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY lang, doc_id) AS verse_order FROM documents")
 def dense_order(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents").select("source", "doc_id", F.row_number().over(Window.partitionBy("source").orderBy("lang", "doc_id")).cast("long").alias("verse_order"))
+    docs = table(spark, sf, "documents").select("source", "doc_id", "lang")
+    return R.numbered(docs, ["source"], [F.col("lang"), F.col("doc_id")], "verse_order").select("source", "doc_id", F.col("verse_order").cast("long").alias("verse_order"))
 
 
 @query("""SELECT d.doc_id, coalesce(b.text, d.text) AS shown, b.text IS NOT NULL AS chosen FROM documents d LEFT JOIN benchmark b ON b.item_id = d.doc_id""")

@@ -19,9 +19,15 @@ from lectern.vocab import DEFAULT_WEIGHTS, STOP_WORDS
 
 
 def posts(spark: SparkSession, sf: str) -> DataFrame:
-    """The index, written once and sorted by term, so that a query's words are read alone."""
-    fields = {"A": "text", "C": F.concat_ws(" ", "source", "lang")}
-    return shared(spark, sf, "index", lambda: FT.index(passages(spark, sf), fields), sort="term")
+    """The index, written once and sorted by term, so that a query's words are read alone: texts, themes, places."""
+    fields = {"A": "text", "B": F.array_join("themes", " "), "C": F.concat_ws(" ", "source", "lang")}
+
+    def build() -> DataFrame:
+        themes = scores(spark, sf).groupBy(F.col("id").alias("doc_id")).agg(F.sort_array(F.collect_list("theme")).alias("themes"))
+        own = passages(spark, sf).join(themes, "doc_id", "left")
+        return FT.index(own.withColumn("themes", F.coalesce("themes", F.array().cast("array<string>"))), fields)
+
+    return shared(spark, sf, "index", build, sort="term")
 
 
 def _exact_sql(words: list[str], any_of: list[str] = (), none: list[str] = ()) -> str:
@@ -155,9 +161,31 @@ def local_crossrefs(spark: SparkSession, sf: str) -> DataFrame:
     return N.cross_references(_compared(spark, sf)).withColumn("strength", F.round("strength", 6))
 
 
-@query(f"""{_AGAINST} SELECT id, CASE WHEN jn > 0.2 THEN 'narrative' WHEN cg > 0.4 THEN 'linguistic' WHEN nt >= 2 THEN 'thematic' WHEN nt = 1 THEN 'theological_echo' ELSE 'none' END AS type FROM d""")
+def _phrases_sql() -> str:
+    """From pairs pp (a, b, ta, tb) of lower-cased texts, the longest shared phrase of each in characters: pl (a, b, longest)."""
+    run = lambda k: f"array_to_string(x.w[r.i:r.i + {k - 1}], ' ')"
+    held = lambda k: f"(r.i + {k - 1} <= len(x.w) AND contains(x.tb, {run(k)}) AND contains(x.ta, {run(k)}))"
+    size = "CASE " + " ".join(f"WHEN NOT {held(k)} THEN {k - 1 if k > 3 else 0}" for k in range(3, 9)) + " ELSE 8 END"
+    return f"""px AS MATERIALIZED (SELECT a, b, ta, tb, regexp_split_to_array(ta, '\\s+') AS w FROM pp),
+ph(a, b, i, got) AS (SELECT a, b, 1, 0 FROM px UNION ALL
+SELECT a, b, i + greatest(n, 1), CASE WHEN n > 0 THEN length(array_to_string(w[i:i + n - 1], ' ')) ELSE 0 END
+FROM (SELECT r.a, r.b, r.i, x.w, {size} AS n FROM ph r JOIN px x ON x.a = r.a AND x.b = r.b WHERE r.i <= len(x.w) - 2)),
+pl AS (SELECT a, b, max(got) AS longest FROM ph GROUP BY a, b)"""
+
+
+_ALIGNED = """CASE WHEN longest > 30 THEN 'direct_quote' WHEN jn > 0.2 THEN 'narrative_parallel' WHEN cg > 0.4 THEN 'linguistic_cognate'
+WHEN nt >= 2 THEN 'thematic_parallel' WHEN nt = 1 THEN 'theological_echo' WHEN longest > 0 THEN 'strong_allusion' ELSE 'none' END"""
+
+
+@query(f"""{_AGAINST.replace("WITH ", "WITH RECURSIVE ", 1)}, pp AS (SELECT s.doc_id AS a, c.doc_id AS b, lower(s.text) AS ta, lower(c.text) AS tb
+FROM documents s, documents c WHERE s.doc_id = {_SOURCE} AND c.doc_id <> {_SOURCE}), {_phrases_sql()} SELECT id, {_ALIGNED} AS type FROM d JOIN pl ON pl.b = d.id""")
 def local_alignment(spark: SparkSession, sf: str) -> DataFrame:
-    return _compared(spark, sf).select("id", S.alignment(F.lit(0), F.col("j_names"), F.col("cognate"), F.col("n_themes"))["type"].alias("type"))
+    docs = passages(spark, sf)
+    source = docs.where(F.col("doc_id") == _SOURCE).first()["text"]  # one passage
+    phrases = docs.select(F.col("doc_id").alias("id"), X.phrases_with(source, "text").alias("phrases"))
+    longest = F.coalesce(F.array_max(F.transform("phrases", F.length)), F.lit(0))
+    both = _compared(spark, sf).join(phrases, "id")
+    return both.select("id", S.alignment(longest, F.col("j_names"), F.col("cognate"), F.col("n_themes"))["type"].alias("type"))
 
 
 @query("""WITH q AS (SELECT embedding AS e FROM embeddings WHERE vec_id = 7) SELECT vec_id AS id, round(greatest(0, list_cosine_similarity(embedding::DOUBLE[], e::DOUBLE[])), 6) AS cosine FROM embeddings, q WHERE vec_id <> 7 ORDER BY cosine DESC, id LIMIT 20""")
@@ -224,16 +252,22 @@ def citations_grouped(spark: SparkSession, sf: str) -> DataFrame:
     return N.citations(_edges(spark, sf), table(spark, sf, "documents"))
 
 
-@query(f"""{_SCORED}, {_themes_sql()}, i AS (SELECT doc_id AS id FROM documents WHERE source IN ('src1', 'src2') ORDER BY doc_id LIMIT 200), f AS (SELECT least(a, b) AS a, greatest(a, b) AS b, score AS strength, 'quotation' AS kind, 0 AS fam FROM q WHERE score >= 0.3
-UNION ALL SELECT x.id, y.id, least(x.score, y.score), 'theme', 1 FROM scores x JOIN scores y ON x.theme = y.theme AND x.id < y.id WHERE x.id IN (SELECT id FROM i) AND y.id IN (SELECT id FROM i) AND x.rank <= 5 AND y.rank <= 5),
+@query(f"""{_SCORED}, {_themes_sql()}, i AS (SELECT doc_id AS id FROM documents WHERE source IN ('src1', 'src2') ORDER BY doc_id LIMIT 200),
+f AS (SELECT least(a, b) AS a, greatest(a, b) AS b, score AS strength, 'quotation' AS kind, 0 AS fam FROM q WHERE score >= 0.3
+UNION ALL SELECT a, b, 0.6::DOUBLE, 'alignment', 1 FROM q WHERE kind <> 'quotation'
+UNION ALL SELECT x.id, y.id, least(x.score, y.score), 'theme', 2 FROM scores x JOIN scores y ON x.theme = y.theme AND x.id < y.id
+WHERE x.id IN (SELECT id FROM i) AND y.id IN (SELECT id FROM i) AND x.rank <= 5 AND y.rank <= 5 AND least(x.score, y.score) >= 0.1),
 o AS (SELECT *, row_number() OVER (PARTITION BY a, b ORDER BY fam, strength DESC) AS n FROM f WHERE a IN (SELECT id FROM i) AND b IN (SELECT id FROM i))
 SELECT a, b, round(strength, 6) AS strength, kind FROM o WHERE n = 1 ORDER BY strength DESC, a, b LIMIT 120""")
 def journey_graph_edges(spark: SparkSession, sf: str) -> DataFrame:
     # a journey's graph has 200 nodes at most, so its pairs are few
     nodes = table(spark, sf, "documents").where("source in ('src1', 'src2')").select(F.col("doc_id").alias("id")).orderBy("id").limit(200)
+    edges = _edges(spark, sf)
+    aligned = edges.where("kind <> 'quotation'").select("source", "target", F.lit(0.6).alias("strength"))  # stored alignments count alike
     own = scores(spark, sf).join(nodes, "id", "left_semi")
     themes = R.pairs_within(own, "theme", "id", ["score"]).select(F.col("a").alias("source"), F.col("b").alias("target"), F.least("score_a", "score_b").alias("strength"))
-    return N.journey_edges([("quotation", _edges(spark, sf).where("strength >= 0.3")), ("theme", themes)], nodes).withColumn("strength", F.round("strength", 6))
+    families = [("quotation", edges.where("strength >= 0.3")), ("alignment", aligned), ("theme", themes.where("strength >= 0.1"))]
+    return N.journey_edges(families, nodes).withColumn("strength", F.round("strength", 6))
 
 
 @query(f"""{_SCORED}, i AS (SELECT doc_id AS id FROM documents WHERE source = 'src1'), o AS (SELECT a AS s, b AS t, score FROM q WHERE a IN (SELECT id FROM i) ORDER BY score DESC, a, b LIMIT 60)
@@ -245,12 +279,12 @@ def undrawn_suggestions(spark: SparkSession, sf: str) -> DataFrame:
     return N.suggestions(edges, nodes, inside.select(F.least("source", "target").alias("a"), F.greatest("source", "target").alias("b")))
 
 
-_FIGURES = {"person": ["there", "where"], "place": ["under", "over"], "thing": ["stone", "wasser", "der"]}
+_FIGURES = {"person": ["there", "where"], "place": ["under", "over"], "thing": ["stone", "wässer", "der"]}
 
 
 def _figure_sql(name: str, forms: list[str]) -> str:
-    pick = "CASE " + " ".join(f"WHEN contains(lower(text), '{f}') THEN '{f}'" for f in forms) + " END"
-    return f"SELECT source, doc_id, '{name}' AS figure, {pick} AS form FROM documents"
+    pick = "CASE " + " ".join(f"WHEN contains(strip_accents(text), '{X.folded(f)}') THEN '{f}'" for f in forms) + " END"
+    return f"SELECT source, lang, doc_id, '{name}' AS figure, {pick} AS form FROM documents"
 
 
 @query(f"""WITH m AS ({' UNION ALL '.join(_figure_sql(n, f) for n, f in _FIGURES.items())}) SELECT figure, source, count(*) AS mentions, string_agg(DISTINCT form, ',' ORDER BY form) AS forms FROM m WHERE form IS NOT NULL GROUP BY figure, source""")

@@ -129,7 +129,8 @@ def shared_term_sample(spark: SparkSession, sf: str) -> DataFrame:
     return top_n(words.groupBy("doc_id", "word").agg(F.count(F.lit(1)).alias("n")), ["doc_id"], [F.desc("n"), F.length("word").desc(), F.col("word")], 3)
 
 
-@query()
+@query(r"""SELECT doc_id, unnest(list_filter(list_transform(string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda s: trim(s)),
+lambda s: length(s) > 20 AND regexp_matches(lower(s), '\b(that|with|this)\b'))[1:3]) AS sentence FROM documents""")
 def theme_evidence(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select("doc_id", F.explode(X.theme_evidence("text", FIXTURE_THEMES["linking"])).alias("sentence"))
 
@@ -156,7 +157,7 @@ def strip_damage(spark: SparkSession, sf: str) -> DataFrame:
     return both.where("old <> new")
 
 
-@query()
+@query(r"SELECT doc_id, trim(regexp_replace(strip_accents(text), '\s+', ' ', 'g')) AS folded FROM documents")
 def folded_terms(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select("doc_id", X.fold("text").alias("folded"))
 
