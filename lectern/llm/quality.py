@@ -61,38 +61,44 @@ def _sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 f, n = np.unique(np.concatenate([shapes[lo:hi], own[lo:hi]]), return_counts=True)
                 features.append(np.append(f, SHAPES + WORDS))
                 values.append(np.append(n, again[lo:hi].sum()) / (hi - lo))
-            yield pa.RecordBatch.from_arrays([part.column("grade"), pa.array(features, pa.list_(pa.int32())), pa.array(values, pa.list_(pa.float32()))], names=["grade", "f", "x"])
+            columns = [part.column("rated"), part.column("grade"), part.column("h"), pa.array(features, pa.list_(pa.int32())), pa.array(values, pa.list_(pa.float32()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["rated", "grade", "h", "f", "x"])
+
+
+def _gradients(w: np.ndarray, theta: np.ndarray, y: np.ndarray, sparse: tuple[np.ndarray, np.ndarray, np.ndarray], ridge: float) -> tuple[np.ndarray, np.ndarray]:
+    """Of the mean negative log-likelihood of grades y and of ridge / 2 * |w|^2, by the weights and by the thresholds; rows, columns and values are sparse."""
+    row, col, val = sparse
+    k, n = len(theta) + 1, len(y)
+    s = np.bincount(row, w[col] * val, n)
+    edge = np.concatenate([[-np.inf], theta, [np.inf]])
+    hi, lo = (1 / (1 + np.exp(-np.clip(edge[y + d] - s, -40, 40))) for d in (1, 0))
+    hi, lo = np.where(y == k - 1, 1.0, hi), np.where(y == 0, 0.0, lo)
+    p = np.maximum(hi - lo, 1e-9)
+    dhi, dlo = hi * (1 - hi) / p, lo * (1 - lo) / p  # of log p by its upper and lower edge
+    by_weight = np.bincount(col, ((dhi - dlo) / n)[row] * val, len(w)) + ridge * w
+    return by_weight, np.array([(dlo[y == j + 1].sum() - dhi[y == j].sum()) / n for j in range(k - 1)])
 
 
 def fit(docs: DataFrame, ratings: DataFrame, id_col: str, text_col: str, rounds: int = 300, rate: float = 0.3, ridge: float = 3e-4) -> tuple[np.ndarray, np.ndarray, list[int]]:
     """Weights, thresholds and grades from ratings (id, grade) of docs; at most FIT_ROWS ratings, by hash, so the driver's share is bounded."""
-    some = ratings.select(F.col(id_col).alias("rated"), F.col("grade").cast("int").alias("grade")).where("grade is not null and rated is not null")
+    some = ratings.select(F.col(id_col).cast("long").alias("rated"), F.col("grade").cast("int").alias("grade")).where("grade is not null and rated is not null")
     some = some.orderBy(F.xxhash64("rated"), "rated", "grade").limit(FIT_ROWS)
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    features = texts.join(F.broadcast(some), F.col("id") == F.col("rated")).select("rated", "grade", F.xxhash64("text").alias("h"), "text")
     # an id may have several texts: the bound holds behind the join, too
-    joined = texts.join(F.broadcast(some), F.col("id") == F.col("rated")).orderBy(F.xxhash64("rated"), "rated", "grade", F.xxhash64("text")).limit(FIT_ROWS)
-    rows = joined.select("grade", "text").mapInArrow(_sparse, "grade int, f array<int>, x array<float>").toPandas()
+    told = features.mapInArrow(_sparse, "rated long, grade int, h long, f array<int>, x array<float>")
+    rows = told.orderBy(F.xxhash64("rated"), "rated", "grade", "h").limit(FIT_ROWS).toPandas()
     grades = sorted(int(g) for g in rows["grade"].unique())
     if len(grades) < 2:
         return np.zeros(FEATURES), np.zeros(0), grades
     y = np.searchsorted(grades, rows["grade"].to_numpy())
     length = rows["f"].map(len).to_numpy()
-    row, col, val = np.repeat(np.arange(len(rows)), length), np.concatenate(rows["f"].to_list()), np.concatenate(rows["x"].to_list()).astype(np.float64)
-    k, n = len(grades), len(rows)
-    share = np.array([(y <= j).mean() for j in range(k - 1)])
+    sparse = np.repeat(np.arange(len(rows)), length), np.concatenate(rows["f"].to_list()), np.concatenate(rows["x"].to_list()).astype(np.float64)
+    share = np.array([(y <= j).mean() for j in range(len(grades) - 1)])
     w, theta = np.zeros(FEATURES), np.log(share / (1 - share))
-    state = [np.zeros(FEATURES), np.zeros(FEATURES), np.zeros(k - 1), np.zeros(k - 1)]
-    bound = np.concatenate
+    state = [(np.zeros_like(x), np.zeros_like(x)) for x in (w, theta)]
     for t in range(1, rounds + 1):
-        s = np.bincount(row, w[col] * val, n)
-        edge = bound([[-np.inf], theta, [np.inf]])
-        hi, lo = (1 / (1 + np.exp(-np.clip(edge[y + d] - s, -40, 40))) for d in (1, 0))
-        hi, lo = np.where(y == k - 1, 1.0, hi), np.where(y == 0, 0.0, lo)
-        p = np.maximum(hi - lo, 1e-9)
-        dhi, dlo = hi * (1 - hi) / p, lo * (1 - lo) / p  # of log p by its upper and lower edge
-        gw = np.bincount(col, ((dhi - dlo) / n)[row] * val, FEATURES) + ridge * w
-        gt = np.array([(dlo[y == j + 1].sum() - dhi[y == j].sum()) / n for j in range(k - 1)])
-        for x, g, a, b in ((w, gw, state[0], state[1]), (theta, gt, state[2], state[3])):
+        for x, g, (a, b) in zip((w, theta), _gradients(w, theta, y, sparse, ridge), state, strict=True):
             a += 0.1 * (g - a)
             b += 0.001 * (g * g - b)
             x -= rate * (a / (1 - 0.9**t)) / (np.sqrt(b / (1 - 0.999**t)) + 1e-8)
