@@ -126,6 +126,18 @@ def test_shards_are_even_and_keep_groups(spark, n, shards):
         assert len(cut) <= 2 and spans.loc["hot"].shards <= spans.loc["hot"]["rows"] / (rows / shards) + 2
 
 
+def test_propagation_lowers_cut_groups(spark):
+    from lectern.llm.sharding import _propagated, capacities
+
+    linked = spark.range(2100).selectExpr("id AS uid", "xxhash64(id div 7) AS g", "xxhash64('shard', id) AS h")
+    cut = []
+    for rounds in (0, 24):
+        got = _propagated(linked, capacities(2400, 40), rounds).toPandas()
+        cut.append(int((got.groupby("g").shard.nunique() - 1).sum()))
+        assert len(got) == 2100 and got.groupby("shard").size().max() <= 60
+    assert cut[1] < cut[0] / 2
+
+
 # ---------------------------------------------------------------- near duplicates
 
 

@@ -151,6 +151,30 @@ def test_repeated_passages(spark, monkeypatch, part):
             assert (row.n_bytes, sum(s["hi"] - s["lo"] for s in row.spans), len(row.spans), hashlib.sha256(row.kept).hexdigest()) == (n, gone, runs, sha)
 
 
+def long_texts():
+    """Passages that repeat across the parts of long texts, and a common line in ever new company."""
+    rng = random.Random(8)
+    word = lambda: rng.choice("abcdefghij") + rng.choice("klmnopqrst") * rng.randint(1, 4)
+    body = " ".join(word() for _ in range(80_000))
+    passage = " ".join(word() for _ in range(80))
+    line = "all rights of this line are reserved by those who wrote it, and by no one else at all"
+    cut = suffix_dedup.PART - 50
+    texts = [body, body[: cut - 900] + passage + body[cut:], f"{passage} new", " ".join(word() for _ in range(300))]
+    return texts + [f"{' '.join(word() for _ in range(40))} {line} {' '.join(word() for _ in range(40))}" for _ in range(40)]
+
+
+@pytest.mark.parametrize("hot", [suffix_dedup.HOT_POSTS, 2], ids=["as it is", "hot grams"])
+def test_repeats_of_production_length(spark, monkeypatch, hot):
+    monkeypatch.setattr(suffix_dedup, "HOT_POSTS", hot)
+    texts = long_texts()
+    assert len(texts[0]) > suffix_dedup.PART
+    if hot == 2:
+        assert len(suffix_dedup._hot_grams(suffix_dedup._narrow(frame(spark, texts), "doc_id", "text"), 100, 32)) > 0
+    got = suffix_dedup.without_repeats(frame(spark, texts)).toPandas().set_index("doc_id").sort_index()
+    for (n, gone, runs, sha), row in zip(brute_repeats(texts, 100), got.itertuples(), strict=True):
+        assert (row.n_bytes, sum(s["hi"] - s["lo"] for s in row.spans), len(row.spans), hashlib.sha256(row.kept).hexdigest()) == (n, gone, runs, sha)
+
+
 def test_no_documents_have_no_repeats(spark):
     assert suffix_dedup.without_repeats(frame(spark, [])).count() == 0
     assert suffix_dedup.without_repeats(frame(spark, [None, ""])).select("n_bytes").collect() == [(0,), (0,)]
@@ -263,6 +287,47 @@ def test_quality_grades(spark):
     assert quality.grade(docs, labels.where("grade = 1")).where("tail_prob < 1").count() == 0
 
 
+def brute_grades(s, theta, grades):
+    """Probabilities of the grades, the expected grade and the tails, from the definition."""
+    below = [1 / (1 + math.exp(s - t)) for t in theta]
+    p = [hi - lo for hi, lo in zip([*below, 1.0], [0.0, *below], strict=True)]
+    return p, sum(g * x for g, x in zip(grades, p, strict=True)), [sum(p[i:]) for i in range(len(p))]
+
+
+def test_grades_are_brute_force(spark):
+    rows = corpus(200, 5)
+    docs = spark.createDataFrame([(i, t) for i, t, *_ in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, q + 2 * (i % 3 == 0)) for i, _, _, q in rows], "doc_id long, grade int")
+    w, theta, grades = quality.fit(docs, labels, "doc_id", "text")
+    got = quality.grade(docs, labels, at_least=2).toPandas().set_index("doc_id")
+    for i, text, *_ in rows:
+        words = text.split()
+        h = lambda values, n: (common.hashed(pa.array(values)) % np.uint64(n)).astype(int)
+        s = (w[h([quality._shape(x) for x in words], quality.SHAPES)] + w[h(words, quality.WORDS) + quality.SHAPES]).sum() / len(words)
+        s += w[quality.SHAPES + quality.WORDS] * sum(a == b for a, b in zip(words, words[1:], strict=False)) / len(words)
+        p, expected, tails = brute_grades(s, theta, grades)
+        assert abs(got.loc[i].expected_grade - expected) < 1e-9 and abs(got.loc[i].tail_prob - tails[grades.index(2)]) < 1e-9
+
+
+def test_gradients_are_differences():
+    rng = np.random.default_rng(1)
+    n, features = 30, 6
+    sparse = np.repeat(np.arange(n), 3), rng.integers(0, features, 3 * n), rng.random(3 * n)
+    y, w, theta, ridge = rng.integers(0, 3, n), rng.normal(size=features), np.array([-0.4, 0.7]), 0.01
+
+    def loss(w, theta):
+        s = [sum(w[c] * v for r, c, v in zip(*sparse, strict=True) if r == i) for i in range(n)]
+        return -sum(math.log(brute_grades(s[i], theta, [0, 1, 2])[0][y[i]]) for i in range(n)) / n + ridge / 2 * (w @ w)
+
+    by_weight, by_threshold = quality._gradients(w, theta, y, sparse, ridge)
+    for j in range(features):
+        step = np.eye(features)[j] * 1e-6
+        assert abs((loss(w + step, theta) - loss(w - step, theta)) / 2e-6 - by_weight[j]) < 1e-7
+    for j in range(2):
+        step = np.eye(2)[j] * 1e-6
+        assert abs((loss(w, theta + step) - loss(w, theta - step)) / 2e-6 - by_threshold[j]) < 1e-7
+
+
 def test_thresholds_of_three_grades_are_ordered(spark):
     texts = [("fine words here again. " * 5, 2), ("mixed WORDS here. " * 5, 1), ("BAD!! WORDS!! " * 5, 0)]
     rows = [(i, texts[i % 3][0] + f" tail{i}", texts[i % 3][1]) for i in range(150)]
