@@ -62,10 +62,11 @@ def joined_back(rows: DataFrame, facts: DataFrame, on: list[str], count: str = "
     Facts of keys with more than HOT_ROWS rows are few against the rows, so they are broadcast and their rows stay where
     they are, however many one key has; the rest is joined as usual. The column `count` goes.
     """
-    hot = facts.where(F.col(count) > HOT_ROWS)
-    if hot.isEmpty():
+    hot = facts.where(F.col(count) > HOT_ROWS).drop(count)
+    n = hot.count()
+    if not 0 < n <= BROADCAST_ROWS:
         return rows.join(facts.drop(count), on)
-    hot = checked_broadcast(written(hot.drop(count)))
+    hot = F.broadcast(hot)
     cold = rows.join(hot.select(*on), on, "left_anti").join(facts.where(F.col(count) <= HOT_ROWS).drop(count), on)
     return rows.join(hot, on).unionByName(cold)
 
@@ -189,13 +190,16 @@ def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
     """(id, component): the smallest id that each node reaches over links (a, b), by alternating large-star and small-star steps.
 
     Each step replaces links by links to the smallest neighbour, so chains halve. Minima are aggregated before the shuffle, and
-    the links of a hub stay where they are (joined_back), so no neighbourhood is gathered in one task. Ends when a step
-    changes nothing.
+    the links of a hub stay where they are (joined_back), so no neighbourhood is gathered in one task. Ends when every
+    node that isn't a root has one link, to a root.
     """
     links = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
     links = written(links)
-    before = None
     while True:
+        ends = links.select(F.col("a").alias("v"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(links.select(F.col("b").alias("v"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+        open_ = ends.groupBy("v").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 or (up = 1 and down = 1)")
+        if open_.isEmpty():
+            break
         both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n"))
         least = written(least.select("a", F.least("a", "m").alias("m"), "n"))
@@ -207,10 +211,5 @@ def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
         after = written(small)
         discard(links, least, large, low)
         links = after
-        told = F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))
-        state = links.agg(F.count(F.lit(1)).alias("n"), told.alias("h")).first()
-        if state == before:
-            break
-        before = state
     found = links.select(F.col("a").alias("id"), F.col("b").alias("component"))
     return nodes.join(found, "id", "left").select("id", F.coalesce("component", "id").alias("component"))

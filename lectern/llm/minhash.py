@@ -26,7 +26,7 @@ BITS = 4
 #: Candidates go on when their corrected estimate is this near the threshold: five standard errors of 128 minima.
 SLACK = 0.2
 #: Places of the map of what a class has beyond its leader; members of a bucket that one task compares with as many others.
-MAP_BITS, BLOCK = 1024, 512
+MAP_BITS, BLOCK = 1024, 2048
 #: Bytes of the sets of hot leaders that may be sent to every executor.
 BROADCAST_BYTES = 64 << 20
 
@@ -191,17 +191,17 @@ def _possible(percent: int):
 
 
 def _apart(members: DataFrame, percent: int, similarity: float) -> DataFrame:
-    """Pairs (a, b) of a written table (key, id, component, n, bits, i, map) of one key and different components that may be similar enough.
+    """Pairs (a, b) of a written table (key, blocks, id, component, n, bits, i, map) of one key and different components that may be similar enough.
 
-    A bucket's members are dealt over blocks of BLOCK and every two blocks meet by themselves, so a large bucket is many tasks.
+    A key's members are dealt over its blocks and every two blocks meet by themselves, so a large bucket is many tasks.
     """
-    size = members.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    dealt = joined_back(members.withColumnRenamed("n", "size"), written(size), ["key"]).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    dealt = members.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
 
     def side(z: str, row: str, column: str) -> DataFrame:
-        own = dealt.select("key", "block", "blocks", F.col("id").alias(z), *(F.col(c).alias(t + z) for c, t in (("component", "c"), ("size", "n"), ("bits", "b"), ("i", "i"), ("map", "m"))))
-        return own.withColumn(column, every).withColumnRenamed("block", row).drop("blocks")
+        facts = (("component", "c"), ("n", "n"), ("bits", "b"), ("i", "i"), ("map", "m"))
+        own = dealt.select("key", "blocks", F.col("block").alias(row), F.col("id").alias(z), *(F.col(c).alias(t + z) for c, t in facts))
+        return own.withColumn(column, every).drop("blocks")
 
     close = F.least("na", "nb") * 100 >= F.lit(percent) * F.greatest("na", "nb")
     may = (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & close & (estimate("ba", "bb") >= similarity - SLACK) & _possible(percent)
@@ -229,9 +229,10 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.75, id_col: str = "do
         filled = filled.join(checked_broadcast(several.select("id", "least")), "id", "left").where(own).drop("least")
     # exact classes: the smallest id stands for all with the same set
     classes = written(filled.groupBy(*alike).agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n")))
-    member = written(joined_back(filled.select("id", *alike), classes, alike).select("id", "rep").distinct())
+    once = lambda df, by: df.dropDuplicates(by) if repeats else df
+    member = written(once(joined_back(filled.select("id", *alike), classes, alike).select("id", "rep"), ["id"]))
     reps = member.where("id = rep").select("id")
-    facts = written(filled.join(reps, "id", "left_semi").select("id", F.col("n_shingles").alias("n"), "bands", "bits").dropDuplicates(["id"]))
+    facts = written(once(filled.join(reps, "id", "left_semi").select("id", F.col("n_shingles").alias("n"), "bands", "bits"), ["id"]))
 
     # buckets of a band; the leader is the member with the most company in all its bands
     posted = facts.where("n > 1").select("id", F.explode("bands").alias("key"))
@@ -254,18 +255,23 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.75, id_col: str = "do
     # what the stars left apart: classes of buckets with several components
     placed = posts.join(joined, "id")
     several = placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count(F.lit(1)).alias("n"))
-    apart = joined_back(placed, written(several.where("x < y").select("key", "n")), ["key"]).join(facts.select("id", "n", "bits"), "id")
+    several = several.where("x < y").select("key", "n", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    apart = joined_back(placed, written(several), ["key"]).join(facts.select("id", "n", "bits"), "id")
     apart = apart.join(told.select(F.col("a").alias("leader"), F.col("b").alias("id"), "i", "map"), ["leader", "id"], "left")
     own = F.col("id") == F.col("leader")
     nothing = F.array_repeat(F.lit(0).cast("long"), MAP_BITS // 64)
     apart = apart.withColumns({"i": F.when(own, F.col("n")).otherwise(F.col("i")), "map": F.when(own, nothing).otherwise(F.col("map"))})
     rest = _apart(written(apart.drop("leader")), percent, similarity)
     done = told.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    late = _compared(written(rest.join(done, ["a", "b"], "left_anti")), docs, percent, id_col, text_col, repeats).where("linked").select("a", "b")
-    joined = components(reps, links.unionByName(late))
-
-    placed = joined.join(member.groupBy("rep").agg(F.count(F.lit(1)).alias("n")), F.col("id") == F.col("rep")).select("rep", "component", "n")
-    classed = joined_back(member, written(placed), ["rep"]).select("id", "component")
+    rest = written(rest.join(done, ["a", "b"], "left_anti"))
+    if not rest.isEmpty():
+        late = written(_compared(rest, docs, percent, id_col, text_col, repeats).where("linked").select("a", "b"))
+        if not late.isEmpty():
+            stars = joined.where("id <> component").select(F.col("id").alias("a"), F.col("component").alias("b"))
+            joined = components(reps, stars.unionByName(late))
+
+    placed = written(joined.join(classes.select("rep", "n"), F.col("id") == F.col("rep")).select("rep", "component", "n"))
+    classed = joined_back(member, placed, ["rep"]).select("id", "component")
     out = signed.select("id", "n_shingles").join(classed, "id", "left")
     out = out.select(F.col("id").alias(id_col), "n_shingles", F.coalesce("component", "id").alias("component_id"))
     return out.withColumn("kept", F.col(id_col) == F.col("component_id"))
