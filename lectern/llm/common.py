@@ -54,14 +54,18 @@ def checked_broadcast(small: DataFrame, limit: int = BROADCAST_ROWS) -> DataFram
 
 #: A key of more rows than this is joined without a shuffle of its rows.
 HOT_ROWS = 1000
+#: Facts of so few rows in all (some 20 MB at most) are sent whole.
+SMALL_ROWS = 200_000
 
 
 def joined_back(rows: DataFrame, facts: DataFrame, on: list[str], count: str = "n") -> DataFrame:
     """rows joined with facts, a written table with one row for each key `on` and the number of the key's rows in `count`.
 
-    Facts of keys with more than HOT_ROWS rows are few against the rows, so they are broadcast and their rows stay where
-    they are, however many one key has; the rest is joined as usual. The column `count` goes.
+    Facts of keys with more than HOT_ROWS rows are few against the rows, so they are counted and broadcast and their rows stay
+    where they are, however many one key has; the rest is joined as usual. The column `count` goes.
     """
+    if facts.count() <= SMALL_ROWS:
+        return rows.join(F.broadcast(facts.drop(count)), on)
     hot = facts.where(F.col(count) > HOT_ROWS).drop(count)
     n = hot.count()
     if not 0 < n <= BROADCAST_ROWS:

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import HOT_ROWS, checked_broadcast, components, hashed, joined_back, mixed, slices, split_words, unused, word_codes, written
+from lectern.llm.common import HOT_ROWS, SMALL_ROWS, checked_broadcast, components, hashed, joined_back, mixed, slices, split_words, unused, word_codes, written
 
 SHINGLE = 5
 #: Bands of ROWS minima: two sets of similarity 0.75 share none with probability (1 - 0.75 ** 4) ** 32 = 5e-6.
@@ -26,7 +26,7 @@ BITS = 4
 #: Candidates go on when their corrected estimate is this near the threshold: five standard errors of 128 minima.
 SLACK = 0.2
 #: Places of the map of what a class has beyond its leader; members of a bucket that one task compares with as many others.
-MAP_BITS, BLOCK = 1024, 2048
+MAP_BITS, BLOCK = 1024, 4096
 #: Bytes of the sets of hot leaders that may be sent to every executor.
 BROADCAST_BYTES = 64 << 20
 
@@ -247,17 +247,18 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.75, id_col: str = "do
     a = written(facts.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("bits").alias("ba")).join(led, "a"))
     b = facts.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("bb"))
     close = F.least("na", "nb") * 100 >= F.lit(percent) * F.greatest("na", "nb")
-    first = joined_back(star, a, ["a"]).join(b, "b").where(close & (estimate("ba", "bb") >= similarity - SLACK)).select("a", "b")
+    first = joined_back(star, a, ["a"]).join(checked_broadcast(b, SMALL_ROWS), "b").where(close & (estimate("ba", "bb") >= similarity - SLACK)).select("a", "b")
     told = written(_compared(written(first), docs, percent, id_col, text_col, repeats))
     links = told.where("linked").select("a", "b")
     joined = written(components(reps, links))
 
     # what the stars left apart: classes of buckets with several components
-    placed = posts.join(joined, "id")
+    placed = posts.join(checked_broadcast(joined, SMALL_ROWS), "id")
     several = placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count(F.lit(1)).alias("n"))
     several = several.where("x < y").select("key", "n", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    apart = joined_back(placed, written(several), ["key"]).join(facts.select("id", "n", "bits"), "id")
-    apart = apart.join(told.select(F.col("a").alias("leader"), F.col("b").alias("id"), "i", "map"), ["leader", "id"], "left")
+    apart = joined_back(placed, written(several), ["key"]).join(checked_broadcast(facts.select("id", "n", "bits"), SMALL_ROWS), "id")
+    led = checked_broadcast(told.select(F.col("a").alias("leader"), F.col("b").alias("id"), "i", "map"), SMALL_ROWS)
+    apart = apart.join(led, ["leader", "id"], "left")
     own = F.col("id") == F.col("leader")
     nothing = F.array_repeat(F.lit(0).cast("long"), MAP_BITS // 64)
     apart = apart.withColumns({"i": F.when(own, F.col("n")).otherwise(F.col("i")), "map": F.when(own, nothing).otherwise(F.col("map"))})
