@@ -94,7 +94,34 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_quality_classifier, op3_mixing, op4_chat_formatting, op5_sharding, op6_decontamination, op7_minhash, op8_neighbours, op9_token_counts, op10_suffix_dedup)}
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_runs, start, length, period, exponent_milli, runs_sha256, collapsed_sha256; one of ten texts has a periodic tail."""
+    from lectern.llm.periodic import digest, periodic_runs, with_periodic_tails
+
+    return digest(periodic_runs(with_periodic_tails(table(spark, sf_dir, "documents"))))
+
+
+#: (host, path, action)
+URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
+
+
+def op12_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """page_id, host, path, rule, verdict, alias_of; links are what pages declare and their sites' usual redirects."""
+    from lectern.llm.url_filters import declared_links, url_verdicts, usual_redirects
+
+    pages = table(spark, sf_dir, "pages")
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, action string")
+    return url_verdicts(pages, rules, declared_links(pages).unionByName(usual_redirects(pages)))
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_features, weight, score, rank: documents drawn by how much their words are those of benchmark."""
+    from lectern.llm.importance import resampled
+
+    return resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_quality_classifier, op3_mixing, op4_chat_formatting, op5_sharding, op6_decontamination, op7_minhash, op8_neighbours, op9_token_counts, op10_suffix_dedup, op11_periodic_runs, op12_url_filters, op13_importance_resampling)}
 
 def _words(text: str, pattern: str) -> str:
     return f"regexp_extract_all(translate(coalesce({text}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{pattern}')"
