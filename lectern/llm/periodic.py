@@ -247,6 +247,8 @@ def with_periodic_tails(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     n = F.size("_w")
     rows = rows.withColumn("_a", F.when(n > 0, F.col("_g") % n))
     rows = rows.withColumn("_p", 1 + F.floor((n - F.col("_a")) / (3 + F.col("_g") % 8)))
-    at = F.sequence(F.lit(0).cast("long"), (n - 1).cast("long"))
-    tail = F.array_join(F.transform(at, lambda i: F.get(F.col("_w"), F.when(i < F.col("_a"), i).otherwise(F.col("_a") + (i - F.col("_a")) % F.col("_p")).cast("int"))), " ")
+    head = F.slice("_w", F.lit(1), F.col("_a").cast("int"))
+    unit = F.slice("_w", (F.col("_a") + 1).cast("int"), F.col("_p").cast("int"))
+    often = F.ceil((n - F.col("_a")) / F.col("_p")).cast("int")
+    tail = F.array_join(F.slice(F.concat(head, F.flatten(F.array_repeat(unit, often))), F.lit(1), n), " ")
     return rows.select(id_col, F.when(F.col("_a").isNotNull(), tail).otherwise(F.col(text_col)).alias(text_col))

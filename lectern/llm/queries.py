@@ -130,9 +130,57 @@ def _words(text: str, pattern: str) -> str:
 _ITEM_WORDS = _words("text", r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 _SHINGLE_WORDS = _words("text", r"[^\x20\x09-\x0D]+")
 
+#: The table of crc32, and the crc32 of a text by it.
+_CRC_TABLE = "(SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i::BIGINT, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t)"
+
+
+def _crc(text: str) -> str:
+    numbers = f"list_transform(range(octet_length(encode({text}))), lambda k: ('0x' || substr(hex(encode({text})), 2 * k + 1, 2))::BIGINT)"
+    return f"xor(list_reduce(list_prepend(4294967295, {numbers}), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295)"
+
+
+#: Every pair of places in a text where three words are the same; stretches of such pairs are runs.
+_RUNS_SQL = rf"""WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w, {_crc("doc_id::VARCHAR")} AS h FROM documents, {_CRC_TABLE}),
+a AS (SELECT doc_id, w, len(w) AS n, h % 10 = 0 AND len(w) > 0 AS planted, h // 10 % greatest(len(w), 1) AS a, 3 + h // 10 % 8 AS e FROM d),
+p AS (SELECT doc_id, n, CASE WHEN planted THEN list_transform(range(n), lambda i: w[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % (1 + (n - a) // e) END]) ELSE w END AS w FROM a),
+x AS (SELECT doc_id, unnest(w) AS v, unnest(range(n)) AS i FROM p), g AS (SELECT doc_id, i, v || ' ' || lead(v) OVER o || ' ' || lead(v, 2) OVER o AS g FROM x WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+m AS (SELECT a.doc_id, b.i - a.i AS q, a.i AS i, a.i - row_number() OVER (PARTITION BY a.doc_id, b.i - a.i ORDER BY a.i) AS k FROM g a JOIN g b ON a.doc_id = b.doc_id AND a.g = b.g AND a.i < b.i),
+s AS (SELECT doc_id, q, min(i) AS s, count(*) + 2 + q AS l FROM m GROUP BY doc_id, q, k), r AS (SELECT doc_id, s, l, min(q) AS q FROM s WHERE l >= 2 * q AND l >= 12 GROUP BY doc_id, s, l),
+b AS (SELECT doc_id, count(*) AS n_runs, string_agg(s || ',' || l || ',' || q || chr(10), '' ORDER BY s, q) AS told, first(struct_pack(s := s, l := l, q := q) ORDER BY l DESC, s, q) AS b FROM r GROUP BY 1),
+o AS (SELECT DISTINCT doc_id, unnest(range(s + q, s + l)) AS i FROM r), c AS (SELECT doc_id, string_agg(v, ' ' ORDER BY i) AS kept FROM x ANTI JOIN o USING (doc_id, i) GROUP BY 1)
+SELECT doc_id, coalesce(n_runs, 0)::BIGINT AS n_runs, b.s::BIGINT AS start, b.l::BIGINT AS length, b.q::BIGINT AS period, (1000 * b.l // b.q)::BIGINT AS exponent_milli, sha256(coalesce(told, '')) AS runs_sha256, sha256(coalesce(kept, '')) AS collapsed_sha256
+FROM documents LEFT JOIN b USING (doc_id) LEFT JOIN c USING (doc_id)"""
+
+_URL = {"host": r"translate(coalesce(regexp_extract({0}, '(?s)^.*?://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')", "path": r"coalesce(regexp_extract({0}, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '')"}
+_CANONICAL = rf"""CASE WHEN NOT contains(url, '://') THEN url ELSE 'https://' || regexp_replace({_URL["host"].format("url")}, '^(www|m)\.([^.]+\.)', '\2') || regexp_replace({_URL["path"].format("url")}, '(/|\.html?)$', '') ||
+coalesce('?' || nullif(array_to_string(list_sort(list_filter(string_split(regexp_extract(url, '(?s)^.*?://[^?#]*\?([^#]*)', 1), '&'), lambda q: q <> '' AND NOT regexp_matches(q, '^(utm_[a-z]+|ref|fbclid|gclid|msclkid|mc_[a-z]+|igshid)(=|$)'))), '&'), ''), '') END"""
+_RULES = ", ".join(f"('{h}', '{p}', '{a}')" for h, p, a in URL_RULES)
+_FITS = "u.host = r.host OR ends_with(u.host, '.' || r.host)"
+_URLS_SQL = rf"""WITH RECURSIVE rules(host, path, action) AS (VALUES {_RULES}), l AS (SELECT url, unnest([regexp_extract(regexp_extract(html, '(?i)<link\b[^>]*\brel\s*=\s*["'']?canonical\b[^>]*>'), '(?i)\bhref\s*=\s*["'']?([^"''\s>]+)', 1),
+regexp_extract(regexp_extract(html, '(?i)<meta\b[^>]*\bhttp-equiv\s*=\s*["'']?refresh\b[^>]*>'), '(?i)\burl\s*=\s*["'']?([^"''\s>]+)', 1)]) AS link FROM pages),
+f AS (SELECT url AS a, CASE WHEN contains(link, '://') THEN link WHEN starts_with(link, '//') THEN regexp_extract(url, '(?s)^(.*?)://', 1) || ':' || link WHEN starts_with(link, '/') THEN regexp_extract(url, '(?s)^(.*?://[^/?#]*)', 1) || link
+ELSE rtrim(regexp_extract(url, '(?s)^(.*?://[^/?#]*(?:[^?#]*/)?)', 1), '/') || '/' || link END AS b FROM l WHERE link <> '' UNION SELECT url, {_CANONICAL} FROM pages),
+e AS (SELECT a, b FROM f WHERE a <> b UNION SELECT b, a FROM f WHERE a <> b), n AS (SELECT DISTINCT a AS url FROM e UNION SELECT DISTINCT url FROM pages WHERE url IS NOT NULL),
+c(url, c) AS (SELECT url, url FROM n UNION SELECT e.b, c.c FROM c JOIN e ON e.a = c.url WHERE c.c < e.b), k AS (SELECT url, min(c) AS c FROM c GROUP BY 1),
+u AS (SELECT url, {_URL["host"].format("url")} AS host, {_URL["path"].format("url")} AS path FROM n),
+j AS (SELECT url, first(r.host || r.path ORDER BY length(r.host || r.path) DESC, action, length(r.host) DESC) AS rule, first(action ORDER BY length(r.host || r.path) DESC, action, length(r.host) DESC) AS action FROM u JOIN rules r ON ({_FITS}) AND starts_with(u.path, r.path) GROUP BY url),
+v AS (SELECT c, min(action) AS v FROM j JOIN k USING (url) GROUP BY c)
+SELECT page_id, coalesce(host, '') AS host, coalesce(path, '') AS path, rule, coalesce(action, v, 'allow') AS verdict, k.c AS alias_of FROM pages p LEFT JOIN u ON u.url = p.url LEFT JOIN j ON j.url = p.url LEFT JOIN k ON k.url = p.url LEFT JOIN v ON v.c = k.c"""
+
+_RESAMPLED_SQL = rf"""WITH d AS (SELECT doc_id, {_ITEM_WORDS} AS w FROM documents), x AS (SELECT doc_id, unnest(w) AS v FROM d), y AS (SELECT unnest({_ITEM_WORDS}) AS v FROM benchmark),
+h AS (SELECT v, {_crc("v")} % 10000 AS b FROM (SELECT v FROM x UNION SELECT v FROM y), {_CRC_TABLE}), s AS (SELECT b, count(*) AS s FROM x JOIN h USING (v) GROUP BY b), t AS (SELECT b, count(*) AS t FROM y JOIN h USING (v) GROUP BY b),
+n AS (SELECT (SELECT count(*) FROM x) AS s, (SELECT count(*) FROM y) AS t), g AS (SELECT s.b, floor(1000 * ln((coalesce(t.t, 0) + 1)::DOUBLE * (n.s + 10000) / ((s.s + 1)::DOUBLE * (n.t + 10000))))::BIGINT AS g FROM s LEFT JOIN t USING (b), n),
+w AS (SELECT doc_id, count(*) AS n_features, sum(g)::BIGINT AS total FROM x JOIN h USING (v) JOIN g USING (b) GROUP BY doc_id),
+o AS (SELECT doc_id, coalesce(n_features, 0)::BIGINT AS n_features, coalesce(floor(total / n_features), 0)::BIGINT AS weight, ('0x' || substr(sha256('2024:' || doc_id), 1, 8))::BIGINT AS h FROM documents LEFT JOIN w USING (doc_id)),
+z AS (SELECT doc_id, n_features, weight, weight + floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score FROM o), q AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS r FROM z WHERE n_features >= 20)
+SELECT doc_id, n_features, weight, score, r AS rank FROM z LEFT JOIN (SELECT doc_id, r FROM q WHERE r <= (SELECT count(*) * 10 // 100 FROM q)) USING (doc_id)"""
+
 #: SQL for the queries that it can express. The others are fitted (1, 2), approximate (8), need a tokenizer (9) or bytes (10), or
 #: are one of many equally good arrangements (3, 5, the pipeline); tests compare them with brute force or a law.
 ORACLE_SQL: dict[str, str] = {
+    "op11_periodic_runs": _RUNS_SQL,
+    "op12_url_filters": _URLS_SQL,
+    "op13_importance_resampling": _RESAMPLED_SQL,
     "op4_chat_formatting": f"""WITH m AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL UNION ALL SELECT -7, 0, 'user', '{CONTROL_TEXT}' UNION ALL SELECT -7, 1, 'assistant', '{CONTROL_TEXT}'),
 e AS (SELECT *, length(text) + length(text) - length(replace(text, '\\', '')) + len(regexp_extract_all(text, '</?s>|\\[/?INST\\]')) AS escaped FROM m)
 SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256, coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,

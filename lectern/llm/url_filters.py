@@ -34,7 +34,7 @@ def canonical(url: Column) -> Column:
     """
     query = F.regexp_extract(url, r"(?s)^.*?://[^?#]*\?([^#]*)", 1)
     kept = F.array_join(F.array_sort(F.filter(F.split(query, "&"), lambda q: (q != "") & ~q.rlike(rf"^({'|'.join(TRACKING)})(=|$)"))), "&")
-    host = F.regexp_replace(host_of(url), r"^(www|m)\.(?=[^.]+\.)", "")
+    host = F.regexp_replace(host_of(url), r"^(www|m)\.([^.]+\.)", "$2")
     path = F.regexp_replace(path_of(url), r"(/|\.html?)$", "")
     return F.when(F.locate("://", url) > 0, F.concat(F.lit("https://"), host, path, F.when(kept != "", F.concat(F.lit("?"), kept)).otherwise(F.lit("")))).otherwise(url)
 
