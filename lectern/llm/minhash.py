@@ -99,8 +99,8 @@ def _described(sets: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray | No
     return sizes, bands, bits, digest
 
 
-def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, n_shingles, d0 and d1 (digest of the set), bands and bits (null for an empty set)."""
+def signatures(source: DataFrame) -> DataFrame:
+    """Per row (id, text): id, n_shingles, d0 and d1 (digest of the set), bands and bits (null for an empty set)."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -108,7 +108,7 @@ def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                 sizes, bands, bits, digest = _described(_shingles(part.column("text")))
                 yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(sizes), pa.array(_signed(digest[:, 0].copy())), pa.array(_signed(digest[:, 1].copy())), pa.array(bands, pa.list_(pa.int64())), pa.array(bits, pa.list_(pa.int64()))], names=["id", "n_shingles", "d0", "d1", "bands", "bits"])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(sign, "id long, n_shingles long, d0 long, d1 long, bands array<long>, bits array<long>")
+    return source.select("id", "text").mapInArrow(sign, "id long, n_shingles long, d0 long, d1 long, bands array<long>, bits array<long>")
 
 
 def estimate(a: str, b: str):
@@ -125,29 +125,23 @@ def estimate(a: str, b: str):
     return ((_K - differ) / F.lit(float(_K)) - chance) / (1 - chance)
 
 
-def _sets(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str, repeats: bool) -> DataFrame:
-    """(id, s): the set of each of the ids; where ids of docs repeat, that with the least digest."""
+def _sets(source: DataFrame, ids: DataFrame) -> DataFrame:
+    """(id, s): the set of each of the ids of a table of unique ids and their texts."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
-                sets = _shingles(part.column("text"))
-                digest = np.array([_digest(s) for s in sets], np.uint64).reshape(-1, 2)
-                columns = [pa.array([_signed(s) for s in sets], pa.list_(pa.int64())), *(pa.array(_signed(c.copy())) for c in digest.T)]
-                yield pa.RecordBatch.from_arrays([part.column("id"), *columns], names=["id", "s", "d0", "d1"])
+                sets = pa.array([_signed(s) for s in _shingles(part.column("text"))], pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([part.column("id"), sets], names=["id", "s"])
 
-    ids = checked_broadcast(ids)
-    wanted = docs.join(ids, docs[id_col] == ids["id"], "left_semi").select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    sets = wanted.mapInArrow(make, "id long, s array<long>, d0 long, d1 long").where(F.size("s") > 0)
-    if repeats:
-        return sets.groupBy("id").agg(F.min_by("s", F.struct("d0", "d1", F.size("s"))).alias("s"))
-    return sets.select("id", "s")
+    wanted = source.join(checked_broadcast(ids), "id", "left_semi")
+    return wanted.mapInArrow(make, "id long, s array<long>").where(F.size("s") > 0)
 
 
-def _compared(pairs: DataFrame, docs: DataFrame, percent: int, id_col: str, text_col: str, repeats: bool) -> DataFrame:
+def _compared(pairs: DataFrame, source: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) of a written table with what their full sets share (i), whether that links them, and a map of b's shingles that a lacks."""
     ids = written(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct())
-    sets = written(_sets(docs, ids, id_col, text_col, repeats))
+    sets = written(_sets(source, ids))
     both = pairs.join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
     first = sets.select(F.col("id").alias("a"), F.col("s").alias("sa"))
     # the set of a leader with many members is sent to them, if all such sets are small enough
@@ -209,30 +203,19 @@ def _apart(members: DataFrame, percent: int, similarity: float) -> DataFrame:
     return side("a", "p", "q").join(right, (F.col("key") == F.col("k")) & (F.col("p") == F.col("r")) & (F.col("q") == F.col("s")) & may).select("a", "b").distinct()
 
 
-def near_duplicates(docs: DataFrame, similarity: float = 0.75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per document: id, n_shingles, component_id (smallest id reachable over links, itself included), kept (id = component_id).
+def _classed(signed: DataFrame, source: DataFrame, similarity: float) -> DataFrame:
+    """(id, component): the smallest id that each id of a written table of signatures reaches over links; ids with an empty set are left out.
 
-    Texts are lower-cased (A-Z) and split at ASCII white space; the set holds the distinct shingles of five words, or
-    the whole sequence of fewer. Null, empty and blank texts have an empty set and no links. Ids are integers; repeated rows
-    of one id share its result; a row with a null id has no links, and null component_id and kept. Other columns are
-    left out; an empty table gives no rows. An id with different texts is judged by one of them, that with the least digest.
+    source: (id, text) with unique ids, none of them null.
     """
     percent = round(similarity * 100)
-    signed = written(signatures(docs, id_col, text_col))
-    filled = signed.where("n_shingles > 0 and id is not null")
+    filled = signed.where("n_shingles > 0")
     alike = ["d0", "d1", "n_shingles"]
-    # of an id's different sets the one with the least digest stands for the id
-    several = written(filled.groupBy("id").agg(F.min(F.struct(*alike)).alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1"))
-    repeats = not several.isEmpty()
-    if repeats:
-        own = F.col("least").isNull() | (F.struct(*alike) == F.col("least"))
-        filled = filled.join(checked_broadcast(several.select("id", "least")), "id", "left").where(own).drop("least")
     # exact classes: the smallest id stands for all with the same set
     classes = written(filled.groupBy(*alike).agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n")))
-    once = lambda df, by: df.dropDuplicates(by) if repeats else df
-    member = written(once(joined_back(filled.select("id", *alike), classes, alike).select("id", "rep"), ["id"]))
+    member = written(joined_back(filled.select("id", *alike), classes, alike).select("id", "rep"))
     reps = member.where("id = rep").select("id")
-    facts = written(once(filled.join(reps, "id", "left_semi").select("id", F.col("n_shingles").alias("n"), "bands", "bits"), ["id"]))
+    facts = written(filled.join(reps, "id", "left_semi").select("id", F.col("n_shingles").alias("n"), "bands", "bits"))
 
     # buckets of a band; the leader is the member with the most company in all its bands
     posted = facts.where("n > 1").select("id", F.explode("bands").alias("key"))
@@ -248,7 +231,7 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.75, id_col: str = "do
     b = facts.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("bb"))
     close = F.least("na", "nb") * 100 >= F.lit(percent) * F.greatest("na", "nb")
     first = joined_back(star, a, ["a"]).join(checked_broadcast(b, SMALL_ROWS), "b").where(close & (estimate("ba", "bb") >= similarity - SLACK)).select("a", "b")
-    told = written(_compared(written(first), docs, percent, id_col, text_col, repeats))
+    told = written(_compared(written(first), source, percent))
     links = told.where("linked").select("a", "b")
     joined = written(components(reps, links))
 
@@ -266,33 +249,74 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.75, id_col: str = "do
     done = told.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     rest = written(rest.join(done, ["a", "b"], "left_anti"))
     if not rest.isEmpty():
-        late = written(_compared(rest, docs, percent, id_col, text_col, repeats).where("linked").select("a", "b"))
+        late = written(_compared(rest, source, percent).where("linked").select("a", "b"))
         if not late.isEmpty():
             stars = joined.where("id <> component").select(F.col("id").alias("a"), F.col("component").alias("b"))
             joined = components(reps, stars.unionByName(late))
 
     placed = written(joined.join(classes.select("rep", "n"), F.col("id") == F.col("rep")).select("rep", "component", "n"))
-    classed = joined_back(member, placed, ["rep"]).select("id", "component")
-    out = signed.select("id", "n_shingles").join(classed, "id", "left")
-    out = out.select(F.col("id").alias(id_col), "n_shingles", F.coalesce("component", "id").alias("component_id"))
-    return out.withColumn("kept", F.col(id_col) == F.col("component_id"))
+    return joined_back(member, placed, ["rep"]).select("id", "component")
+
+
+def _judged(docs: DataFrame, similarity: float, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """The rows of docs with a number of their own in `_row`, and (row, id, n_shingles, component_id, first) of each.
+
+    Every row is a node of its own, so texts of one id are judged one by one. component_id is the smallest id of a component; first
+    tells the row of it that has that id and, of several such rows, the least number. Equal rows without words have one first.
+    """
+    (number,) = unused(docs.columns, "_row")
+    rows = written(docs.withColumn(number, F.monotonically_increasing_id()))
+    named = rows.select(F.col(number).alias("row"), F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    signed = written(signatures(named.select(F.col("row").alias("id"), "text")))
+    known = written(signed.select(F.col("id").alias("row"), "n_shingles").join(named.select("row", "id", F.xxhash64("text").alias("h")), "row"))
+    node = named.where("id is not null").select(F.col("row").alias("id"), "text")
+    able = signed.join(known.where("id is not null").select(F.col("row").alias("id")), "id", "left_semi")
+    classed = _classed(written(able), node, similarity).withColumnsRenamed({"id": "row", "component": "c"})
+    told = written(known.join(classed, "row", "left"))
+    facts = [F.min(F.struct("id", "row")).alias("f"), F.count(F.lit(1)).alias("n")]
+    linked = told.where("c is not null")
+    linked = joined_back(linked, written(linked.groupBy("c").agg(*facts)), ["c"])
+    # rows without words have no links: those that are equal in id and text are one
+    alone = told.where("c is null and id is not null").drop("c")
+    alone = joined_back(alone, written(alone.groupBy("id", "h").agg(*facts)), ["id", "h"])
+    columns = ["row", "id", "n_shingles", F.col("f.id").alias("component_id"), (F.col("row") == F.col("f.row")).alias("first")]
+    lone = told.where("id is null").select("row", "id", "n_shingles", F.lit(None).cast("long").alias("component_id"), F.lit(True).alias("first"))
+    return rows, linked.select(*columns).unionByName(alone.select(*columns)).unionByName(lone)
+
+
+def _unique(docs: DataFrame, id_col: str) -> bool:
+    return docs.where(F.col(id_col).isNotNull()).groupBy(id_col).count().where("count > 1").isEmpty()
+
+
+def near_duplicates(docs: DataFrame, similarity: float = 0.75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per row: id, n_shingles, component_id (smallest id reachable over links, itself included), kept (id = component_id).
+
+    Texts are lower-cased (A-Z) and split at ASCII white space; the set holds the distinct shingles of five words, or
+    the whole sequence of fewer. Null, empty and blank texts have an empty set and no links. Ids are integers and may repeat: every
+    row is judged by its own text, so different texts of one id may be in different components. A row with a null id has no
+    links, and null component_id and kept. Other columns are left out; an empty table gives no rows.
+    """
+    if _unique(docs, id_col):
+        source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+        signed = written(signatures(source))
+        classed = _classed(signed.where("id is not null"), source.where("id is not null"), similarity)
+        out = signed.select("id", "n_shingles").join(classed, "id", "left").select("id", "n_shingles", F.coalesce("component", "id").alias("component_id"))
+    else:
+        out = _judged(docs, similarity, id_col, text_col)[1].select("id", "n_shingles", "component_id")
+    return out.withColumn("kept", F.col("id") == F.col("component_id")).withColumnRenamed("id", id_col)
 
 
 def deduplicated(docs: DataFrame, similarity: float = 0.75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs, with its columns, that stand for their group: those with the smallest id of it.
+    """The rows of docs, with its columns, that stand for their group: one with the smallest id of each group.
 
-    Of several rows with one id, the one with the least text stays (null first); rows with a null id all stay, and so does
-    every text without words. Columns may have any names; an empty table gives no rows.
+    Only rows with a link go, and all but one of the rows that are equal in id and text. Different texts of one id are judged one
+    by one; rows with a null id have no links and all stay. Columns may have any names; an empty table gives no rows.
     """
-    names = [F.col(f"`{c}`") for c in docs.columns]
-    told = written(near_duplicates(docs, similarity, id_col, text_col).select(F.col(id_col).alias("id"), "kept"))
-    ident, = unused(docs.columns, "gone")
-    gone = checked_broadcast(written(told.where("not kept").select(F.col("id").alias(ident)).distinct()))
-    left = docs.join(gone, docs[id_col] == gone[ident], "left_anti")
-    again = written(told.where("kept").groupBy(F.col("id").alias(ident)).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(ident))
-    if again.isEmpty():
-        return left
-    again = checked_broadcast(again)
-    several = left.join(again, left[id_col] == again[ident], "left_semi")
-    one = several.groupBy(F.col(f"`{id_col}`").alias(ident)).agg(F.min_by(F.struct(*names), F.struct(F.col(f"`{text_col}`"))).alias("row")).select("row.*")
-    return left.join(again, left[id_col] == again[ident], "left_anti").unionByName(one)
+    (ident,) = unused(docs.columns, "gone")
+    if _unique(docs, id_col):
+        told = near_duplicates(docs, similarity, id_col, text_col)
+        gone = checked_broadcast(written(told.where("not kept").select(F.col(id_col).alias(ident))))
+        return docs.join(gone, docs[id_col] == gone[ident], "left_anti")
+    rows, told = _judged(docs, similarity, id_col, text_col)
+    gone = checked_broadcast(written(told.where("not first").select(F.col("row").alias(ident))))
+    return rows.join(gone, rows[rows.columns[-1]] == gone[ident], "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
