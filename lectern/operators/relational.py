@@ -125,28 +125,44 @@ def islands(df: DataFrame, by: Sequence[str], a: str, b: str) -> DataFrame:
     return numbered.groupBy(*by, "_d", "_g").agg(F.min(a).alias(a), F.min(b).alias(b), F.count(F.lit(1)).alias("steps")).drop("_d", "_g")
 
 
-def merged(old: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Upsert: the new rows, and old rows of other keys."""
-    return old.join(new.select(*keys).distinct(), list(keys), "left_anti").unionByName(new.dropDuplicates(list(keys)))
+def last_written(new: DataFrame, keys: Sequence[str], order: Sequence[str] = (), first: bool = False) -> DataFrame:
+    """One whole row for each key: the last in the order of some columns (with `first` the first), nulls before all.
+
+    Rows that the order doesn't tell apart, and all rows without an order, are ordered by their other columns, so the result
+    doesn't depend on partitions. Rows are compared before the shuffle, so a repeated key is one row a partition.
+    """
+    rest = [c for c in new.columns if c not in keys]
+    pick = F.min if first else F.max
+    rank = [*order, *(c for c in rest if c not in order)]
+    if not rank:
+        return new.select(*keys).distinct()
+    one = new.groupBy(*keys).agg(pick(F.struct(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(rank)))).alias("_row"))
+    back = {c: F.col("_row").getField(f"c{i}").alias(c) for i, c in enumerate(rank)}
+    return one.select(*(F.col(c) if c in keys else back[c] for c in new.columns))
+
+
+def merged(old: DataFrame, new: DataFrame, keys: Sequence[str], order: Sequence[str] = ()) -> DataFrame:
+    """Upsert: the last of the new rows of each key, and old rows of other keys."""
+    return old.join(new.select(*keys).distinct(), list(keys), "left_anti").unionByName(last_written(new, keys, order).select(*old.columns))
 
 
-def merged_columns(old: DataFrame, new: DataFrame, keys: Sequence[str], update: Sequence[str]) -> DataFrame:
-    """Upsert that changes only `update` columns of rows that are there."""
-    fresh = new.dropDuplicates(list(keys))
+def merged_columns(old: DataFrame, new: DataFrame, keys: Sequence[str], update: Sequence[str], order: Sequence[str] = ()) -> DataFrame:
+    """Upsert that changes only `update` columns of rows that are there; of repeated new rows the last counts."""
+    fresh = last_written(new, keys, order)
     renamed = fresh.select(*keys, *(F.col(c).alias(f"_{c}") for c in fresh.columns if c not in keys), F.lit(True).alias("_new"))
     joined = old.withColumn("_old", F.lit(True)).join(renamed, list(keys), "full_outer")
     pick = lambda c: F.when(F.col("_new") & (F.lit(c in update) | F.col("_old").isNull()), F.col(f"_{c}")).otherwise(F.col(c))
     return joined.select(*[F.col(c) if c in keys else pick(c).alias(c) for c in old.columns])
 
 
-def replaced(old: DataFrame, new: DataFrame, group: Sequence[str], keys: Sequence[str]) -> DataFrame:
-    """All old rows of the groups that new has go; new rows come once for each key."""
-    return old.join(new.select(*group).distinct(), list(group), "left_anti").unionByName(new.dropDuplicates(list(keys)))
+def replaced(old: DataFrame, new: DataFrame, group: Sequence[str], keys: Sequence[str], order: Sequence[str] = ()) -> DataFrame:
+    """All old rows of the groups that new has go; of new rows the last of each key comes."""
+    return old.join(new.select(*group).distinct(), list(group), "left_anti").unionByName(last_written(new, keys, order).select(*old.columns))
 
 
-def inserted(old: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Insert-ignore: old rows, and new rows of other keys."""
-    return old.unionByName(new.dropDuplicates(list(keys)).join(old.select(*keys), list(keys), "left_anti"))
+def inserted(old: DataFrame, new: DataFrame, keys: Sequence[str], order: Sequence[str] = ()) -> DataFrame:
+    """Insert-ignore: old rows, and the first of the new rows of each other key."""
+    return old.unionByName(last_written(new, keys, order, first=True).join(old.select(*keys), list(keys), "left_anti").select(*old.columns))
 
 
 def deleted(old: DataFrame, gone: DataFrame, keys: Sequence[str]) -> DataFrame:

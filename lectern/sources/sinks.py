@@ -21,16 +21,16 @@ def rewritten(df: DataFrame, path: str) -> str:
     return place
 
 
-def upsert(old: DataFrame, new: DataFrame, keys: Sequence[str], path: str) -> str:
-    return rewritten(merged(old, new, keys), path)
+def upsert(old: DataFrame, new: DataFrame, keys: Sequence[str], path: str, order: Sequence[str] = ()) -> str:
+    return rewritten(merged(old, new, keys, order), path)
 
 
-def replace_groups(old: DataFrame, new: DataFrame, group: Sequence[str], keys: Sequence[str], path: str) -> str:
-    return rewritten(replaced(old, new, group, keys), path)
+def replace_groups(old: DataFrame, new: DataFrame, group: Sequence[str], keys: Sequence[str], path: str, order: Sequence[str] = ()) -> str:
+    return rewritten(replaced(old, new, group, keys, order), path)
 
 
-def insert_ignore(old: DataFrame, new: DataFrame, keys: Sequence[str], path: str) -> str:
-    return rewritten(inserted(old, new, keys), path)
+def insert_ignore(old: DataFrame, new: DataFrame, keys: Sequence[str], path: str, order: Sequence[str] = ()) -> str:
+    return rewritten(inserted(old, new, keys, order), path)
 
 
 def append_log(rows: DataFrame, path: str) -> None:

@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 import time
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
+from pyspark import StorageLevel
 from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from lectern import schemas
+from lectern.sources.files import Folder
+from lectern.sources.segments import Segments
 
 
 def log_stream(spark: SparkSession, path: str, files_per_trigger: int | None = None) -> DataFrame:
@@ -53,23 +56,86 @@ def merge_sink(changed: DataFrame, apply, checkpoint: str, every: str | None = N
     return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
 
 
-def budgeted_run(changed: DataFrame, apply, checkpoint: str, seconds: float = 900, rows: int = 30_000, failures: int = 5) -> dict:
+class Retries:
+    """The rows of batches that failed, in a folder, until they work: each with its attempts and when it is due again.
+
+    A batch is known by its number. What it holds is written once, before its state, and its state is one small file, so a batch
+    that comes again after a crash finds what was done: one that worked isn't applied a second time.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, wait: float = 0.0, most: int = 5, now: Callable[[], float] = time.time):
+        self.spark, self.path, self.wait, self.most, self.now = spark, path.rstrip("/"), wait, most, now
+        self._folder = Folder(spark, path)
+
+    def state(self, number: int) -> dict:
+        return self._folder.read(f"state/{number:012d}.json") or {"attempts": 0, "done": False, "due": 0.0}
+
+    def known(self) -> dict[int, dict]:
+        return {int(n.removesuffix(".json")): self.state(int(n.removesuffix(".json"))) for n in self._folder.names("state") if n.endswith(".json") and not n.startswith(".")}
+
+    def due(self) -> list[int]:
+        """Numbers of the batches that failed, may be tried again, and are due, the oldest first."""
+        return [k for k, s in sorted(self.known().items()) if not s["done"] and s["attempts"] < self.most and s["due"] <= self.now()]
+
+    def rows(self, number: int) -> DataFrame:
+        return self.spark.read.parquet(f"{self.path}/rows/{number:012d}")
+
+    def succeeded(self, number: int) -> None:
+        self._folder.write(f"state/{number:012d}.json", self.state(number) | {"done": True}, overwrite=True)
+        self._folder.delete(f"rows/{number:012d}")
+
+    def failed(self, number: int, rows: DataFrame | None = None) -> None:
+        """Notes a failure; each makes the wait until the next attempt twice as long. rows: what the batch holds, when it fails for the first time."""
+        if rows is not None:
+            rows.write.mode("overwrite").parquet(f"{self.path}/rows/{number:012d}")
+        attempts = self.state(number)["attempts"] + 1
+        self._folder.write(f"state/{number:012d}.json", {"attempts": attempts, "done": False, "due": self.now() + self.wait * 2 ** (attempts - 1)}, overwrite=True)
+
+
+def budgeted_run(changed: DataFrame, apply, checkpoint: str, seconds: float = 900, rows: int = 30_000, failures: int = 5, retries: Retries | None = None) -> dict:
     """Handles what there is in micro-batches until time or rows are used up or apply(rows, batch_id) fails so often in a row; reports what was done.
 
-    apply says whether its batch worked. The run stops between batches, so the next one goes on where it ended.
+    apply says whether its batch worked; an exception ends the run, and the batch comes again. What earlier runs failed at and is due comes first. A batch that
+    fails is kept with its rows (retries, beside the checkpoint by default) and the stream goes on, so its rows come again in a later run; one that worked
+    isn't applied again. The run stops between batches, so the next one goes on where it ended.
     """
-    report = {"batches": 0, "rows": 0, "failed": 0, "truncated": False, "unreachable": False}
+    report = {"batches": 0, "rows": 0, "failed": 0, "retried": 0, "recovered": 0, "truncated": False, "unreachable": False}
     state = {"row": 0, "end": time.monotonic() + seconds}
+    kept = retries or Retries(changed.sparkSession, f"{checkpoint.rstrip('/')}-retries")
+    spent = lambda: report["unreachable"] or report["rows"] >= rows or time.monotonic() > state["end"]
+
+    def tried(batch: DataFrame, number: int, again: bool) -> None:
+        held = batch.persist(StorageLevel.MEMORY_AND_DISK)  # counted, applied, and kept if it fails: read once
+        try:
+            report["rows"] += held.count()
+            done = bool(apply(held, number))
+            if done:
+                kept.succeeded(number)
+            else:
+                kept.failed(number, None if again else held)
+        finally:
+            held.unpersist()
+        report["batches"] += 1
+        report["retried"] += again
+        report["recovered"] += again and done
+        report["failed"] += not done
+        state["row"] = 0 if done else state["row"] + 1
+        report["unreachable"] = state["row"] >= failures
+
+    for number in kept.due():
+        if spent():
+            report["truncated"] = True
+            return report
+        tried(kept.rows(number), number, True)
 
     def step(batch: DataFrame, number: int) -> None:
-        if report["unreachable"] or report["rows"] >= rows or time.monotonic() > state["end"]:
+        before = kept.state(number)
+        if before["done"] or before["attempts"]:
+            return  # applied, or kept for later, before the checkpoint knew of it
+        if spent():
             report["truncated"] = True
             raise _BudgetSpent
-        done = bool(apply(batch, number))
-        report["batches"], report["rows"] = report["batches"] + 1, report["rows"] + batch.count()
-        state["row"] = 0 if done else state["row"] + 1
-        report["failed"] += not done
-        report["unreachable"] = state["row"] >= failures
+        tried(batch, number, False)
 
     query = merge_sink(changed, step, checkpoint)
     try:
@@ -87,3 +153,19 @@ class _BudgetSpent(Exception):
 def refreshed_postings(posts: DataFrame, changed: DataFrame, ids: Sequence[str] = ("id",)) -> DataFrame:
     """Postings with those of changed passages replaced."""
     return posts.join(changed.select(*ids).distinct(), list(ids), "left_anti").unionByName(changed)
+
+
+def index_sink(changed: DataFrame, index: Segments, build: Callable[[DataFrame], DataFrame], checkpoint: str, ids: str = "id", name: str = "index", every: str | None = None) -> StreamingQuery:
+    """Keeps a versioned index up with changed passages: each micro-batch replaces the rows of its ids by what build makes of them.
+
+    A passage without words leaves the index. A micro-batch that comes again changes nothing, as the index knows its number.
+    """
+
+    def apply(batch: DataFrame, number: int) -> None:
+        held = batch.persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            index.replace(build(held), held.select(F.col(ids).alias(index.key)), (name, number))
+        finally:
+            held.unpersist()
+
+    return merge_sink(changed, apply, checkpoint, every)

@@ -127,4 +127,71 @@ def test_a_run_ends_with_its_budget(spark, tmp_path):
     rest = logs.budgeted_run(stream, lambda rows, batch: seen.append(rows.count()) or True, str(tmp_path / "c"))
     assert not rest["truncated"] and sum(seen) == events.count()  # it goes on where the first run ended
     failed = logs.budgeted_run(stream, lambda rows, batch: False, str(tmp_path / "d"), failures=2)
+    assert failed["failed"] == 2 and failed["retried"] == 0
     assert failed["unreachable"] and failed["truncated"] and failed["batches"] == 2
+
+
+def test_a_failed_batch_comes_again_and_none_is_applied_twice(spark, tmp_path):
+    events = spark.read.parquet(f"{SF}/events.parquet")
+    events.repartition(4).write.parquet(str(tmp_path / "in"))
+    stream, clock = logs.log_stream(spark, str(tmp_path / "in"), 1), [1000.0]
+    retries = logs.Retries(spark, f"file://{tmp_path}/retries", wait=60, most=3, now=lambda: clock[0])
+    applied, fails = [], {1, 2}
+
+    def apply(rows, number):
+        if number in fails:
+            return False
+        applied.append((number, sorted(r["event_id"] for r in rows.select("event_id").collect())))
+        return True
+
+    run = lambda: logs.budgeted_run(stream, apply, str(tmp_path / "c"), retries=retries)
+    first = run()
+    assert (first["batches"], first["failed"], first["retried"]) == (4, 2, 0) and [n for n, _ in applied] == [0, 3]
+    assert run()["batches"] == 0  # nothing new, and what failed isn't due yet
+    clock[0] += 61
+    fails.discard(1)
+    second = run()
+    assert (second["retried"], second["recovered"], second["failed"]) == (2, 1, 1)
+    clock[0] += 61
+    assert run()["retried"] == 0  # after two failures it waits twice as long
+    clock[0] += 61
+    fails.clear()
+    third = run()
+    assert (third["retried"], third["recovered"]) == (1, 1) and retries.due() == []
+    assert sorted(n for n, _ in applied) == [0, 1, 2, 3]
+    seen = sorted(e for _, ids in applied for e in ids)
+    assert seen == sorted(r["event_id"] for r in events.select("event_id").collect())
+    # a batch that the checkpoint doesn't know of yet isn't applied a second time
+    before = len(applied)
+    again = logs.budgeted_run(stream, apply, str(tmp_path / "other"), retries=retries)
+    assert again["batches"] == 0 and len(applied) == before
+
+
+def test_a_batch_that_always_fails_is_given_up(spark, tmp_path):
+    spark.range(5).select("id").write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("id long").parquet(str(tmp_path / "in"))
+    retries = logs.Retries(spark, f"file://{tmp_path}/retries", most=2)
+    runs = [logs.budgeted_run(stream, lambda rows, number: False, str(tmp_path / "c"), retries=retries)["batches"] for _ in range(3)]
+    assert runs == [1, 1, 0] and retries.state(0)["attempts"] == 2 and retries.rows(0).count() == 5
+
+
+ORDERED = [(1, "a", 3, "x"), (1, "b", 7, None), (1, "c", 7, "y"), (2, "d", None, "z"), (2, "e", 1, "z"), (3, "f", 1, "q"), (3, "f", 1, "q"), (None, "n", 1, "m"), (None, "o", 2, "m")]
+
+
+@pytest.mark.parametrize("parts", [1, 3, 7])
+def test_the_last_writer_wins(spark, parts):
+    """Repeated keys over several partitions: the result is the same however they are dealt."""
+    new = spark.createDataFrame(ORDERED, "k int, v string, at int, w string").repartition(parts, "v")
+    old = spark.createDataFrame([(1, "old", 0, "o"), (9, "kept", 0, "o")], new.schema)
+    got = lambda df: sorted((tuple(r) for r in df.collect()), key=str)
+    last = [(1, "c", 7, "y"), (2, "e", 1, "z"), (3, "f", 1, "q"), (None, "o", 2, "m")]
+    assert got(R.last_written(new, ["k"], ["at"])) == sorted(last, key=str)
+    assert got(R.merged(old, new, ["k"], ["at"])) == sorted([*last, (9, "kept", 0, "o")], key=str)
+    assert got(R.replaced(old, new, ["k"], ["k"], ["at"])) == sorted([*last, (9, "kept", 0, "o")], key=str)
+    first = [(2, "d", None, "z"), (3, "f", 1, "q")]
+    assert [r for r in got(R.inserted(old, new, ["k"], ["at"])) if r[0] in (2, 3)] == first
+    assert (1, "old", 0, "o") in got(R.inserted(old, new, ["k"], ["at"]))
+    told = {r["k"]: (r["v"], r["at"], r["w"]) for r in R.merged_columns(old, new.where("k is not null"), ["k"], ["v"], ["at"]).collect()}
+    assert told == {1: ("c", 0, "o"), 2: ("e", 1, "z"), 3: ("f", 1, "q"), 9: ("kept", 0, "o")}
+    assert got(R.last_written(new.where("k = 1"), ["k"])) == [(1, "c", 7, "y")]  # without an order the greatest row
+    assert got(R.last_written(new.select("k"), ["k"])) == sorted([(1,), (2,), (3,), (None,)], key=str)
