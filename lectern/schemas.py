@@ -15,6 +15,3 @@ BULK_JSON = "array<struct<abbrev:string,name:string,chapters:array<array<string>
 #: Chapters with a verse list for the original and one for the translation.
 PARALLEL_JSON = "book string, chapter int, original array<string>, translation array<string>"
 EDITION_JSON = "hadiths array<struct<hadithnumber:int,text:string,reference:struct<book:int,hadith:int>>>"
-
-#: Fixture tables in the place of the corpus: documents are passages, sources texts, languages languages.
-SCORE_SOURCES = ("jev", "local", "derived", "manual")

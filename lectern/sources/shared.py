@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,11 +27,11 @@ def _path(spark: SparkSession) -> str:
     return f"{shared_dir(spark)}/lectern-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame) -> DataFrame:
-    """The same rows, read back from Parquet in the shared folder: the lineage ends there."""
+def written(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """The same rows, read back from Parquet in the shared folder: the lineage ends there. `by` names columns that files are parted by."""
     spark = df.sparkSession
     path = _path(spark)
-    df.write.parquet(path)
+    df.write.partitionBy(*by).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -39,8 +39,8 @@ def discard(*tables: DataFrame) -> None:
     """Deletes the files of written() tables that nothing reads any more."""
     for df in tables:
         spark = df.sparkSession
-        for path in {f.rpartition("/")[0] for f in df.inputFiles()}:
-            if path.rpartition("/")[2].startswith("lectern-"):
+        for path in {f[: f.index("/", f.index("/lectern-") + 1)] for f in df.inputFiles() if "/lectern-" in f}:
+            if "/" not in path.rpartition("/lectern-")[2]:
                 place = spark._jvm.org.apache.hadoop.fs.Path(path)
                 place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
