@@ -3,15 +3,18 @@
 Spark counts, over every labelled training row, how often each class writes a byte after the five before it in the word.
 A class's probability is its own discounted count and, for the rest, the Kneser-Ney probability of both classes together,
 which backs off to shorter contexts by continuation counts. So rare words, and forms of a word never seen, lean on
-shared counts and on parts of words. A word's evidence is the difference of its two log-likelihoods; a document's is the
-mean over its words and, as a few clear expressions drown in a long neutral text, the mean and the sum of what words
-have beyond each of MARGINS. A logistic regression turns that into a score. It is cross-fitted: a model of one half of
-the training rows is measured on rows of the other half, and the model that scores counts both.
+shared counts and on parts of words. A word's evidence is the difference of its two log-likelihoods. A document's is
+normalised by length: the mean over all its words, the mean of what words have beyond each of MARGINS and, as a few clear
+expressions drown in a long neutral text, the greatest mean of that over a window of each of WINDOWS words. Windows run
+around the end of a text to its beginning, so how often a text repeats doesn't matter, and a text's length is no feature. A logistic regression turns them into a score.
+It is cross-fitted: a model of one half of the training rows is measured on rows of the other half, and the model that
+scores counts both.
 
 The model is two tables that grow with the counted strings: the difference of the log-probabilities of each six-byte
 string, and of an unseen byte by context (there the shared part cancels). Tables of MODEL_STRINGS rows or fewer are sent
 to the tasks; beyond that the distinct words of the documents are joined with them. Both give the same evidence: no
-counted string is left out, and none takes another's value.
+counted string is left out, none takes another's value, and values are multiples of 1 / SCALE, whose sums are exact in any
+order.
 """
 
 from __future__ import annotations
@@ -21,22 +24,27 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import Broadcast
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import checked_broadcast, joined_back, slices, split_words, word_codes, written
+from lectern.llm.common import bounds, checked_broadcast, joined_back, slices, split_words, word_codes, written
 
 ORDER = 6
 DISCOUNT = 0.75
 #: How far a word's difference goes beyond neutral: 1 is 2.7 times as likely in toxic texts, 4 is 55 times.
 MARGINS = (1.0, 2.0, 4.0)
+#: So many consecutive words have the greatest mean of what goes beyond a margin.
+WINDOWS = (8, 64, 512)
+#: Values are rounded to multiples of 1 / SCALE.
+SCALE = 65536.0
 #: At most so many labelled rows calibrate the score.
 CALIBRATION_ROWS = 20_000
 #: Rows of the tables that are sent to every executor, 12 bytes each.
 MODEL_STRINGS = 8_000_000
 
-_SUMS = ["words", "total", *(f"over{i}" for i in range(len(MARGINS)))]
+_FEATURES = ["mean", *(f"over{m:g}{w}" for m in MARGINS for w in ("", *(f"_{w}" for w in WINDOWS)))]
 
 
 def _strings(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -87,7 +95,7 @@ def _table(rows: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            k, value = batch.column("k").to_numpy(), batch.column("value").to_numpy().astype(np.float32)
+            k, value = batch.column("k").to_numpy(), (np.rint(batch.column("value").to_numpy() * SCALE) / SCALE).astype(np.float32)
             yield pa.RecordBatch.from_arrays([pa.array([k.tobytes()], pa.binary()), pa.array([value.tobytes()], pa.binary())], names=["k", "vals"])
 
     at = 0
@@ -152,46 +160,72 @@ def fit(grams: DataFrame, most: int = MODEL_STRINGS) -> Model | None:
     return Model(strings, unseen, sent)
 
 
-def _sums(tables: list[np.ndarray], texts: pa.Array) -> list[np.ndarray]:
-    """Per row the number of its words, the sum of their differences, and the sums of what is over each margin."""
-    n = len(texts)
-    words, rows = split_words(texts, alnum=True)
-    codes, distinct = word_codes(words)
-    if not len(codes):
-        return [np.zeros(n)] * len(_SUMS)
-    known, value, contexts, context_value = tables
-    keys, owner = _strings(distinct)
-    there, each = _looked_up(keys, known, value)
-    each = np.where(there, each, _looked_up(keys >> np.uint64(8), contexts, context_value)[1])
-    diff = np.bincount(owner, each, len(distinct))[codes]
-    return [np.bincount(rows, x, n) for x in (np.ones(len(rows)), diff, *(np.maximum(diff - m, 0) for m in MARGINS))]
+def _means(x: np.ndarray, rows: np.ndarray, n: int, windows: tuple[int, ...]) -> list[np.ndarray]:
+    """Per row of n the mean of its words' values, and the greatest mean of each number of consecutive ones; 0 without words. rows is sorted."""
+    out = [np.zeros(n) for _ in range(len(windows) + 1)]
+    if not len(rows):
+        return out
+    ends = bounds(rows, n)
+    some = np.flatnonzero(np.diff(ends))
+    first, size = ends[some], np.diff(ends)[some]
+    sums = np.concatenate([[0.0], np.cumsum(x)])
+    total = sums[first + size] - sums[first]
+    out[0][some] = total / size
+    at, begin, stop = np.arange(len(rows)), np.repeat(first, size), np.repeat(first + size, size)
+    for w, best in zip(windows, out[1:], strict=True):
+        # w words around the ring are some whole rounds and a stretch shorter than the text
+        rounds, rest = np.divmod(w, size)
+        to = at + np.repeat(rest, size)
+        behind = sums[np.minimum(to, stop)] - sums[at]
+        around = sums[begin + np.maximum(to - stop, 0)] - sums[begin]
+        best[some] = (rounds * total + np.maximum.reduceat(behind + around, first)) / w
+    return out
+
+
+def _features(diff: np.ndarray, rows: np.ndarray, n: int) -> list[np.ndarray]:
+    """_FEATURES per row of n, from the differences of its words in order: means, on scales that suit a linear score."""
+    out = _means(diff, rows, n, ())
+    for m in MARGINS:
+        whole, *best = _means(np.maximum(diff - m, 0), rows, n, WINDOWS)
+        out += [np.sqrt(whole), *(np.log1p(w * x) for w, x in zip(WINDOWS, best, strict=True))]
+    return out
 
 
 def _by_tables(model: Model, docs: DataFrame) -> DataFrame:
     kept, sent = [c for c in docs.columns if c != "text"], model.sent
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, value, contexts, context_value = sent.value
         for batch in batches:
             for part in slices(batch, "text"):
-                sums = _sums(sent.value, part.column("text"))
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), *map(pa.array, sums)], names=[*kept, *_SUMS])
+                words, rows = split_words(part.column("text"), alnum=True)
+                codes, distinct = word_codes(words)
+                keys, owner = _strings(distinct)
+                there, each = _looked_up(keys, known, value)
+                each = np.where(there, each, _looked_up(keys >> np.uint64(8), contexts, context_value)[1])
+                values = _features(np.bincount(owner, each, len(distinct))[codes], rows, part.num_rows)
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), *map(pa.array, values)], names=[*kept, *_FEATURES])
 
     kinds = [f"{c} {docs.schema[c].dataType.simpleString()}" for c in kept]
-    return docs.mapInArrow(add, ", ".join([*kinds, *(f"{c} double" for c in _SUMS)]))
+    return docs.mapInArrow(add, ", ".join([*kinds, *(f"{c} double" for c in _FEATURES)]))
 
 
 def _by_join(model: Model, docs: DataFrame) -> DataFrame:
-    """As _by_tables, for tables of any size: words get their differences by joins, documents by sums over their words."""
+    """As _by_tables, for tables of any size: words get their differences by joins, documents those of their words with their places."""
 
     def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
                 words, rows = split_words(part.column("text"), alnum=True)
                 codes, distinct = word_codes(words)
-                pair, times = np.unique(rows * max(1, len(distinct)) + codes, return_counts=True)
+                pair = rows * max(1, len(distinct)) + codes
+                order = np.argsort(pair, kind="stable")
+                pair, start = np.unique(pair[order], return_index=True)
                 row, word = (pa.array(x) for x in np.divmod(pair, max(1, len(distinct))))
+                place = order - bounds(rows, part.num_rows)[rows[order]]
+                places = pa.ListArray.from_arrays(pa.array(np.append(start, len(order)).astype(np.int32)), pa.array(place.astype(np.int32)))
                 columns = [part.column("id").take(row), part.column("h").take(row), distinct.take(word).cast(pa.string())]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(times)], names=["id", "h", "word", "times"])
+                yield pa.RecordBatch.from_arrays([*columns, places], names=["id", "h", "word", "places"])
 
     def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -199,36 +233,46 @@ def _by_join(model: Model, docs: DataFrame) -> DataFrame:
                 keys, owner = _strings(part.column("word"))
                 yield pa.RecordBatch.from_arrays([part.column("word").take(pa.array(owner)), pa.array(keys.astype(np.int64))], names=["word", "k"])
 
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):  # a document at a time
+                one = batch.slice(i, 1)
+                told = one.column("told").flatten()
+                diff, places = told.field("diff").to_numpy(zero_copy_only=False), told.field("places")
+                order = np.argsort(pc.list_flatten(places).to_numpy(zero_copy_only=False))
+                each = np.repeat(diff, pc.list_value_length(places).to_numpy(zero_copy_only=False))[order]
+                values = _features(each, np.zeros(len(each), np.int64), 1)
+                yield pa.RecordBatch.from_arrays([one.column("i"), one.column("g"), *map(pa.array, values)], names=["i", "g", *_FEATURES])
+
     rows = docs.withColumn("h", F.xxhash64("text"))
     kind = docs.schema["id"].dataType.simpleString()
     # rows of one id and text have the same words
-    told = written(rows.select("id", "h", "text").mapInArrow(tell, f"id {kind}, h long, word string, times long").dropDuplicates(["id", "h", "word"]))
+    told = written(rows.select("id", "h", "text").mapInArrow(tell, f"id {kind}, h long, word string, places array<int>").dropDuplicates(["id", "h", "word"]))
     words = told.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
-    letters = words.select("word").mapInArrow(spell, "word string, k long").withColumn("c", F.shiftright("k", 8))
-    context = model.unseen.select(F.col("k").alias("c"), F.col("value").alias("unseen"))
-    spelt = letters.join(model.strings, "k", "left").join(context, "c", "left")
-    value = spelt.groupBy("word").agg(F.sum(F.coalesce("value", "unseen", F.lit(0.0))).alias("diff"))
+    letters = written(words.select("word").mapInArrow(spell, "word string, k long").withColumn("c", F.shiftright("k", 8)))
+    fixed = lambda c: F.rint(F.col(c) * SCALE) / SCALE
+
+    def valued(rows: DataFrame, table: DataFrame, key: str, out: str) -> DataFrame:
+        """rows with the table's value of each key, 0 without; many words begin alike, so a hot key's rows stay where they are."""
+        keys = rows.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+        return joined_back(rows, written(keys.join(table.select(F.col("k").alias(key), fixed("value").alias(out)), key, "left")), [key])
+
+    spelt = valued(valued(letters, model.strings, "k", "own"), model.unseen, "c", "unseen")
+    value = spelt.groupBy("word").agg(F.sum(F.coalesce("own", "unseen", F.lit(0.0))).alias("diff"))
     each = joined_back(told, written(words.join(value, "word")), ["word"])
-    over = [F.sum(F.col("times") * F.greatest(F.col("diff") - m, F.lit(0.0))) for m in MARGINS]
-    sums = [F.sum("times").cast("double"), F.sum(F.col("times") * F.col("diff")), *over]
-    found = each.groupBy(F.col("id").alias("i"), F.col("h").alias("g")).agg(*(x.alias(c) for x, c in zip(sums, _SUMS, strict=True)))
+    found = each.groupBy(F.col("id").alias("i"), F.col("h").alias("g")).agg(F.collect_list(F.struct("diff", "places")).alias("told"))
+    found = found.mapInArrow(gather, f"i {kind}, g long, " + ", ".join(f"{c} double" for c in _FEATURES))
     whole = rows.drop("text").join(found, F.col("id").eqNullSafe(F.col("i")) & (F.col("h") == F.col("g")), "left")
-    return whole.select(*(c for c in docs.columns if c != "text"), *(F.coalesce(c, F.lit(0.0)).alias(c) for c in _SUMS))
+    return whole.select(*(c for c in docs.columns if c != "text"), *(F.coalesce(c, F.lit(0.0)).alias(c) for c in _FEATURES))
 
 
 def evidence(model: Model | None, docs: DataFrame) -> DataFrame:
-    """docs (id, text and others) with `words`, `total` and the sums over MARGINS in the place of the text; zeros without a model."""
+    """docs (id, text and others) with _FEATURES in the place of the text; zeros without a model."""
     if model is None:
-        return docs.drop("text").withColumns({c: F.lit(0.0) for c in _SUMS})
+        return docs.drop("text").withColumns({c: F.lit(0.0) for c in _FEATURES})
     return (_by_tables if model.sent else _by_join)(model, docs)
 
 
-def _features() -> list[Column]:
-    words = F.greatest(F.col("words"), F.lit(1.0))
-    over = [F.col(c) for c in _SUMS[2:]]
-    return [F.col("total") / words, *(F.sqrt(x / words) for x in over), *(F.log1p(x) for x in over), F.log1p("words")]
-
-
 def _logistic(x: np.ndarray, y: np.ndarray, rounds: int = 30, ridge: float = 1e-2) -> np.ndarray:
     """Weights and, last, the intercept, by Newton steps."""
     x = np.column_stack([x, np.ones(len(x))])
@@ -262,16 +306,15 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, id_col:
 
     order = (F.xxhash64("id"), "id", "toxic")
     some = marked.where("fold = 2").select("id", "toxic").orderBy(*order).limit(CALIBRATION_ROWS)
-    names = [f"x{i}" for i in range(len(_features()))]
-    told = evidence(half, texts.join(F.broadcast(some), "id")).select("id", "toxic", *(x.alias(c) for x, c in zip(_features(), names, strict=True)))
-    seen = told.orderBy(*order, *names).limit(CALIBRATION_ROWS).toPandas()  # an id may have several texts
+    told = evidence(half, texts.join(F.broadcast(some), "id"))
+    seen = told.orderBy(*order, *_FEATURES).limit(CALIBRATION_ROWS).toPandas()  # an id may have several texts
     if half is None or whole is None or seen["toxic"].nunique() < 2:
-        beta = [0.0] * (len(names) + 1)
+        beta = [0.0] * (len(_FEATURES) + 1)
     else:
-        beta = _logistic(seen[names].to_numpy(), seen["toxic"].to_numpy()).tolist()
+        beta = _logistic(seen[_FEATURES].to_numpy(), seen["toxic"].to_numpy()).tolist()
     z = F.lit(beta[-1])
-    for b, x in zip(beta, _features(), strict=False):
-        z = z + b * x
+    for b, x in zip(beta, _FEATURES, strict=False):
+        z = z + b * F.col(x)
     scored = evidence(whole, texts.withColumn("held_out", F.coalesce(F.crc32(F.col("id").cast("string")) % 3 == 1, F.lit(False))))
     scored = scored.select(F.col("id").alias(id_col), "held_out", (1 / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), z))))).alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))

@@ -3,6 +3,7 @@
 import hashlib
 import math
 import random
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -274,6 +275,68 @@ def test_large_models_score_alike(spark):
     assert told[0] == told[1] and len(told[0]) == len(rows) + 3
 
 
+def brute_features(diffs):
+    """Means of a text's differences around the ring, from definitions."""
+    n, out = len(diffs), [sum(diffs) / len(diffs) if diffs else 0.0]
+    for m in toxicity.MARGINS:
+        over = [max(d - m, 0.0) for d in diffs]
+        out.append(math.sqrt(sum(over) / n) if n else 0.0)
+        out += [math.log1p(max((sum(over[(i + j) % n] for j in range(w)) for i in range(n)), default=0.0)) for w in toxicity.WINDOWS]
+    return out
+
+
+def test_toxicity_features_are_brute_force():
+    rng = random.Random(5)
+    texts = [[rng.randint(-400_000, 400_000) / toxicity.SCALE for _ in range(n)] for n in (0, 1, 3, 8, 9, 0, 64, 200, 700, 0)]
+    flat, rows = np.array([d for t in texts for d in t]), np.repeat(np.arange(len(texts)), [len(t) for t in texts])
+    got = np.column_stack(toxicity._features(flat, rows, len(texts)))
+    assert got.shape[1] == len(toxicity._FEATURES) and np.allclose(got, [brute_features(t) for t in texts], rtol=0, atol=1e-9)
+    assert not np.column_stack(toxicity._features(flat[:0], rows[:0], 2)).any()
+
+
+def test_toxicity_scores_are_brute_force(spark):
+    """Every step from definitions: both models, words, features, calibration, score."""
+    rng = random.Random(8)
+    good, bad = ["lalo", "mebi", "dori", "nule"], ["grok", "gru"]
+    rows = [(i, " ".join(rng.choice(good + bad * (i % 3 == 0)) for _ in range(rng.randint(3, 12))), int(i % 3 == 0)) for i in range(60)]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows] + [(900, None), (901, "Grok! lalo-unseen")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, x) for i, _, x in rows], "doc_id long, toxic int")
+    fold = {i: zlib.crc32(str(i).encode()) % 3 for i, *_ in rows}
+
+    def described(text, model):
+        strings, unseen = model
+        value = lambda k: round((strings.get(k) if k in strings else unseen.get(k[:-1], 0.0)) * toxicity.SCALE) / toxicity.SCALE
+        words = "".join(c.lower() if c.isascii() and c.isalnum() else " " for c in text or "").split()
+        return brute_features([sum(map(value, strings_of(w))) for w in words])
+
+    half, whole = (brute_kneser_ney([(t, x) for i, t, x in rows if fold[i] in kept]) for kept in ((0,), (0, 2)))
+    measured = [(described(t, half), x) for i, t, x in rows if fold[i] == 2]
+    beta = toxicity._logistic(np.array([f for f, _ in measured]), np.array([x for _, x in measured]))
+    got = {r["doc_id"]: r["score"] for r in toxicity.toxicity(docs, labels).collect()}
+    for i, text in [(i, t) for i, t, _ in rows] + [(900, None), (901, "Grok! lalo-unseen")]:
+        z = float(np.dot(described(text, whole), beta[:-1]) + beta[-1])
+        assert abs(got[i] - 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))) < 1e-6
+
+
+def test_repeating_a_text_leaves_its_score_alone(spark):
+    rows = corpus(400, 4)
+    again = [(10_000 + 10 * i + k, " ".join([t] * n)) for i, t, *_ in rows[:40] for k, n in ((0, 1), (1, 4), (2, 30))] + [(20_000, "lalo"), (20_001, "lalo " * 900)]
+    docs = spark.createDataFrame([(i, t) for i, t, *_ in rows] + again, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, x) for i, _, x, _ in rows], "doc_id long, toxic int")
+    for most in (toxicity.MODEL_STRINGS, 10):
+        got = {r["doc_id"]: r["score"] for r in toxicity.toxicity(docs, labels, most=most).collect()}
+        assert all(abs(got[10_000 + 10 * i] - got[10_000 + 10 * i + k]) < 1e-9 for i in range(40) for k in (1, 2))
+        assert abs(got[20_000] - got[20_001]) < 1e-9
+
+
+def test_both_ways_of_scoring_are_equal(spark):
+    rows = corpus(300, 6)
+    docs = spark.createDataFrame([(i, t) for i, t, *_ in rows] + [(3, rows[4][1]), (None, rows[5][1]), (7000, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, x) for i, _, x, _ in rows], "doc_id long, toxic int")
+    told = [sorted((r["doc_id"] is None, r["doc_id"] or 0, r["score"]) for r in toxicity.toxicity(docs, labels, most=m).collect()) for m in (toxicity.MODEL_STRINGS, 10)]
+    assert len(told[0]) == len(rows) + 3 and all(a[:2] == b[:2] and abs(a[2] - b[2]) < 1e-12 for a, b in zip(*told, strict=True))
+
+
 def test_quality_grades(spark):
     rows = corpus(600, 2)
     docs = spark.createDataFrame([(i, t, "x") for i, t, *_ in rows] + [(7000, None, "x"), (7001, " \n", "x")], "doc_id long, text string, tail_prob string")
