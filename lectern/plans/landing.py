@@ -34,15 +34,17 @@ def paged_source(spark: SparkSession, sf: str) -> DataFrame:
     return readers.paged_verses(spark, _landed(told)).select("chapter", "verse", "original", F.col("translations")[0]["text"].alias("translation"))
 
 
-@query("""WITH v AS (SELECT item_id, item_id // 10 AS book, item_id % 10 AS i, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS text FROM benchmark WHERE item_id < 40)
-SELECT concat('book ', book) AS book, (book - 1)::INT AS position, (i // 5 + 1)::INT AS chapter, (i % 5 + 1)::INT AS verse, text, row_number() OVER (ORDER BY item_id)::INT AS verse_order FROM v WHERE book BETWEEN 1 AND 3 AND text <> ''""")
+@query("""WITH v AS (SELECT item_id, item_id // 10 % 4 AS book, item_id % 10 AS i, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS text FROM benchmark)
+SELECT concat('book ', book) AS book, (book - 1)::INT AS position, (i // 5 + 1)::INT AS chapter, (i % 5 + 1)::INT AS verse, text, row_number() OVER (PARTITION BY item_id // 40 ORDER BY item_id)::INT AS verse_order FROM v WHERE book BETWEEN 1 AND 3 AND text <> ''""")
 def bulk_source(spark: SparkSession, sf: str) -> DataFrame:
-    """Four books of two chapters in one nested file, three of them named by their places."""
-    items = table(spark, sf, "benchmark").where("item_id < 40").select("item_id", "text")
+    """Volumes of four nested books of two chapters, a line each, three of the books named by their places; what the last volume lacks is blank."""
+    items = table(spark, sf, "benchmark").select("item_id", "text")
+    last = items.agg(F.max("item_id")).first()[0]
+    items = spark.range(((-1 if last is None else last) // 40 + 1) * 40).withColumnRenamed("id", "item_id").join(items, "item_id", "left").withColumn("text", F.coalesce("text", F.lit("")))
     chapters = items.groupBy(F.floor(F.col("item_id") / 10).alias("book"), F.floor(F.col("item_id") % 10 / 5).alias("c")).agg(F.transform(F.array_sort(F.collect_list(F.struct("item_id", "text"))), lambda v: v["text"]).alias("verses"))
     books = chapters.groupBy("book").agg(F.transform(F.array_sort(F.collect_list(F.struct("c", "verses"))), lambda c: c["verses"]).alias("chapters"))
-    whole = books.groupBy().agg(F.transform(F.array_sort(F.collect_list(F.struct("book", "chapters"))), lambda b: F.struct(F.lit("x").alias("abbrev"), F.lit("x").alias("name"), b["chapters"].alias("chapters"))).alias("all"))  # 40 verses
-    return readers.books(spark, _landed(whole.select(F.to_json("all").alias("value"))), ["book 1", "book 2", "book 3"], offset=1, expected=4)
+    whole = books.groupBy(F.floor(F.col("book") / 4)).agg(F.transform(F.array_sort(F.collect_list(F.struct("book", "chapters"))), lambda b: F.struct(F.lit("x").alias("abbrev"), F.lit("x").alias("name"), b["chapters"].alias("chapters"))).alias("all"))  # 40 verses a volume
+    return readers.books(spark, _landed(whole.select(F.to_json("all").alias("value"))), ["book 1", "book 2", "book 3"], offset=1, expected=4, multi_line=False)
 
 
 @query("SELECT item_id // 10 AS chapter, item_id % 10 + 1 AS verse, text AS original, reverse(text) AS translation FROM benchmark WHERE length(trim(text)) > 0")
@@ -57,11 +59,11 @@ def parallel_source(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("SELECT item_id AS number, 1 AS book, text AS original, CASE WHEN item_id % 2 = 0 THEN reverse(text) ELSE '' END AS translation FROM benchmark")
 def edition_source(spark: SparkSession, sf: str) -> DataFrame:
-    """Two editions by number, the second with gaps."""
+    """Two editions by number, the second with gaps, landed as lines of a hundred records at most."""
 
     def edition(rows: DataFrame) -> DataFrame:
         record = F.struct(F.col("item_id").alias("hadithnumber"), "text", F.struct(F.lit(1).alias("book"), F.col("item_id").alias("hadith")).alias("reference"))
-        lines = rows.groupBy((F.col("item_id") % 5).alias("part")).agg(F.collect_list(record).alias("hadiths"))
+        lines = rows.groupBy(F.floor(F.col("item_id") / 100).alias("part")).agg(F.collect_list(record).alias("hadiths"))
         return readers.edition(spark, _landed(lines.select(F.to_json(F.struct("hadiths")).alias("value"))), multi_line=False)
 
     items = table(spark, sf, "benchmark")
@@ -90,11 +92,11 @@ def attached_originals(spark: SparkSession, sf: str) -> DataFrame:
 @query("""SELECT count(*) FILTER (b.text IS NOT NULL AND b.text <> upper(b.text)) AS applied, count(*) FILTER (b.text IS NOT NULL AND b.text = upper(b.text)) AS already_correct, count(*) FILTER (b.text IS NULL) AS missing
 FROM (SELECT item_id + 5 AS k FROM benchmark) p LEFT JOIN benchmark b ON b.item_id = p.k""")
 def patched_texts(spark: SparkSession, sf: str) -> DataFrame:
-    """A patch file read and applied: every item's text in capitals, and five keys too many."""
+    """Patches of a hundred keys at most read and applied: every item's text in capitals, and five keys too many."""
     items = table(spark, sf, "benchmark").select(F.col("item_id").cast("string").alias("passage_key"), "text")
-    shifted = table(spark, sf, "benchmark").select((F.col("item_id") + 5).cast("string").alias("k")).join(items.withColumnRenamed("passage_key", "k"), "k", "left")
-    whole = shifted.groupBy().agg(F.map_from_entries(F.collect_list(F.struct("k", F.coalesce(F.upper("text"), F.lit("none"))))).alias("m"))  # a patch file
-    return sinks.corrected(items, readers.patches(spark, _landed(whole.select(F.to_json("m").alias("value")))))[1]
+    shifted = table(spark, sf, "benchmark").select((F.col("item_id") + 5).cast("string").alias("k"), F.floor(F.col("item_id") / 100).alias("part")).join(items.withColumnRenamed("passage_key", "k"), "k", "left")
+    whole = shifted.groupBy("part").agg(F.map_from_entries(F.collect_list(F.struct("k", F.coalesce(F.upper("text"), F.lit("none"))))).alias("m"))  # a patch
+    return sinks.corrected(items, readers.patches(spark, _landed(whole.select(F.to_json("m").alias("value"))), multi_line=False))[1]
 
 
 @query(f"WITH {_CENTRES} SELECT label, term, round(weight, 4) AS weight FROM cen")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions import similarity as S
 from lectern.functions import text as X
+from lectern.operators import phrases as P
 from lectern.operators import quotations as Q
 from lectern.operators import relational as R
 from lectern.operators import relations as N
@@ -177,14 +178,27 @@ _ALIGNED = """CASE WHEN longest > 30 THEN 'direct_quote' WHEN jn > 0.2 THEN 'nar
 WHEN nt >= 2 THEN 'thematic_parallel' WHEN nt = 1 THEN 'theological_echo' WHEN longest > 0 THEN 'strong_allusion' ELSE 'none' END"""
 
 
+def _shared_with_source(spark: SparkSession, sf: str) -> DataFrame:
+    """(id, phrases) of the texts that share phrases with the source."""
+    docs = passages(spark, sf)
+    source = docs.where(F.col("doc_id") == _SOURCE).first()["text"]  # one passage
+    stored = shared(spark, sf, "word triples", lambda: P.triples(docs), sort="middle")
+    return P.phrases_of(stored, docs, source)
+
+
+@query(f"""WITH RECURSIVE pp AS (SELECT s.doc_id AS a, c.doc_id AS b, lower(s.text) AS ta, lower(c.text) AS tb
+FROM documents s, documents c WHERE s.doc_id = {_SOURCE} AND c.doc_id <> {_SOURCE}), {_phrases_sql()} SELECT b AS id, longest FROM pl WHERE longest > 0""")
+def phrases_in_corpus(spark: SparkSession, sf: str) -> DataFrame:
+    """Every text that shares a phrase with the source, and the length of the longest."""
+    told = _shared_with_source(spark, sf).where(F.col("id") != _SOURCE)
+    return told.select("id", F.array_max(F.transform("phrases", F.length)).cast("long").alias("longest"))
+
+
 @query(f"""{_AGAINST.replace("WITH ", "WITH RECURSIVE ", 1)}, pp AS (SELECT s.doc_id AS a, c.doc_id AS b, lower(s.text) AS ta, lower(c.text) AS tb
 FROM documents s, documents c WHERE s.doc_id = {_SOURCE} AND c.doc_id <> {_SOURCE}), {_phrases_sql()} SELECT id, {_ALIGNED} AS type FROM d JOIN pl ON pl.b = d.id""")
 def local_alignment(spark: SparkSession, sf: str) -> DataFrame:
-    docs = passages(spark, sf)
-    source = docs.where(F.col("doc_id") == _SOURCE).first()["text"]  # one passage
-    phrases = docs.select(F.col("doc_id").alias("id"), X.phrases_with(source, "text").alias("phrases"))
     longest = F.coalesce(F.array_max(F.transform("phrases", F.length)), F.lit(0))
-    both = _compared(spark, sf).join(phrases, "id")
+    both = _compared(spark, sf).join(_shared_with_source(spark, sf), "id", "left")
     return both.select("id", S.alignment(longest, F.col("j_names"), F.col("cognate"), F.col("n_themes"))["type"].alias("type"))
 
 

@@ -41,22 +41,23 @@ def paged_verses(spark: SparkSession, path: str) -> DataFrame:
     return told.join(whole.where("whole"), "chapter").drop("whole").where(F.size("translations") > 0)
 
 
-def books(spark: SparkSession, path: str, names: Sequence[str], offset: int = 0, expected: int | None = None) -> DataFrame:
-    """Nested books of one file as verses (book, position, chapter, verse, text, verse_order), named by their place in the file from `offset` on.
+def books(spark: SparkSession, path: str, names: Sequence[str], offset: int = 0, expected: int | None = None, multi_line: bool = True) -> DataFrame:
+    """Nested books of files as verses (book, position, chapter, verse, text, verse_order), named by their place in the file from `offset` on.
 
-    Fails unless the file has `expected` books and every book that is named has a chapter. Blank verses go, white space
-    inside verses is single; verse_order runs through all books.
+    Each file is a volume or, without multi_line, each line of them. Fails unless every volume has `expected` books and every
+    book that is named has a chapter. Blank verses go, white space inside verses is single; verse_order runs through all
+    books of a volume.
     """
-    file = spark.read.text(path, wholetext=True).select(F.from_json("value", schemas.BULK_JSON).alias("b"))
+    file = spark.read.text(path, wholetext=multi_line).select(F.monotonically_increasing_id().alias("volume"), F.from_json("value", schemas.BULK_JSON).alias("b"))
     size = expected if expected is not None else offset + len(names)
-    checked = file.select(F.when(F.size("b") == size, F.col("b")).otherwise(F.raise_error(F.concat(F.lit(f"expected {size} books, found "), F.size("b").cast("string"))).cast(schemas.BULK_JSON)).alias("b"))
+    checked = file.select("volume", F.when(F.size("b") == size, F.col("b")).otherwise(F.raise_error(F.concat(F.lit(f"expected {size} books, found "), F.size("b").cast("string"))).cast(schemas.BULK_JSON)).alias("b"))
     order = spark.createDataFrame([(i, n) for i, n in enumerate(names)], "position int, book string")
-    placed = checked.select(F.posexplode("b").alias("at", "s")).select((F.col("at") - offset).alias("position"), "s.chapters").join(F.broadcast(order), "position")  # names are an argument
-    filled = placed.select("book", "position", F.when(F.size("chapters") > 0, F.col("chapters")).otherwise(F.raise_error(F.concat(F.lit("no chapters for "), "book")).cast("array<array<string>>")).alias("chapters"))
-    chapters = filled.select("book", "position", F.posexplode("chapters").alias("c", "verses"))
-    verses = chapters.select("book", "position", (F.col("c") + 1).alias("chapter"), F.posexplode("verses").alias("v", "raw"))
-    told = verses.select("book", "position", "chapter", (F.col("v") + 1).alias("verse"), F.trim(F.regexp_replace("raw", r"\s+", " ")).alias("text")).where("text <> ''")
-    return told.withColumn("verse_order", F.row_number().over(Window.orderBy("position", "chapter", "verse")))  # one file, which one task reads
+    placed = checked.select("volume", F.posexplode("b").alias("at", "s")).select("volume", (F.col("at") - offset).alias("position"), "s.chapters").join(F.broadcast(order), "position")  # names are an argument
+    filled = placed.select("volume", "book", "position", F.when(F.size("chapters") > 0, F.col("chapters")).otherwise(F.raise_error(F.concat(F.lit("no chapters for "), "book")).cast("array<array<string>>")).alias("chapters"))
+    chapters = filled.select("volume", "book", "position", F.posexplode("chapters").alias("c", "verses"))
+    verses = chapters.select("volume", "book", "position", (F.col("c") + 1).alias("chapter"), F.posexplode("verses").alias("v", "raw"))
+    told = verses.select("volume", "book", "position", "chapter", (F.col("v") + 1).alias("verse"), F.trim(F.regexp_replace("raw", r"\s+", " ")).alias("text")).where("text <> ''")
+    return told.withColumn("verse_order", F.row_number().over(Window.partitionBy("volume").orderBy("position", "chapter", "verse"))).drop("volume")  # a volume is one row of its file
 
 
 def parallel_verses(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
@@ -118,9 +119,9 @@ def usfm_verses(files: DataFrame, text_col: str = "text", name_col: str = "name"
     return told.groupBy(name_col, "chapter", "verse").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "part"))), lambda p: p["part"]), " ").alias("text"))
 
 
-def patches(spark: SparkSession, path: str) -> DataFrame:
-    """(passage_key, correct) from a JSON object of texts by key."""
-    return spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", "map<string,string>")).alias("passage_key", "correct"))
+def patches(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """(passage_key, correct) from JSON objects of texts by key: each file is one or, without multi_line, each line of them."""
+    return spark.read.text(path, wholetext=multi_line).select(F.explode(F.from_json("value", "map<string,string>")).alias("passage_key", "correct"))
 
 
 # Words before a citation that say which texts it is from.
