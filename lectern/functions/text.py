@@ -9,7 +9,7 @@ from collections.abc import Callable, Iterable
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lectern.vocab import INTENT_KEYWORDS, STOP_WORDS, THEME_CATEGORIES
@@ -204,31 +204,73 @@ def matches_reading(texts: Column, queries: Column) -> Column:
     return F.exists(texts, lambda t: F.exists(queries, lambda q: F.contains(F.lower(t), F.lower(q)) & (F.length(q) > 0)))
 
 
-#: Inflections that a Greek word loses, by a rule of this library: endings of nouns, adjectives and verbs, final sigma written as sigma.
-GREEK_ENDINGS = (
-    "α ας ασ αν αι αις αισ η ησ ην ης ω ου ον οσ οι ων ουσ οισ ε ει εισ ες εσ εων εωσ ι ιν ισ υσ υν υι "
-    "ομεν ετε ουσι ουσιν ομαι εται ομεθα εσθε ονται σεν σαν σα σασ σατε θη θην θησ θησαν θεισ "
-    "ματοσ ματα ματων μα ματι εντοσ οντοσ οντα οντων ουντεσ αντεσ ειν ησεν ησαν"
+# Folded Greek words (final sigma written as sigma) whose forms no rule brings together, by stem.
+GREEK_IRREGULAR = {
+    "γυναικ": "γυνη γυναι γυναικοσ γυναικι γυναικα γυναικεσ γυναικων γυναιξι γυναιξιν γυναικασ",
+    "ανδρ": "ανηρ ανερ ανδροσ ανδρι ανδρα ανδρεσ ανδρων ανδρασι ανδρασιν ανδρασ",
+    "πατρ": "πατηρ πατερ πατροσ πατρι πατερα πατερεσ πατερων πατρασι πατρασιν πατερασ",
+    "μητρ": "μητηρ μητερ μητροσ μητρι μητερα μητερεσ μητερων μητρασι μητρασιν μητερασ",
+    "χειρ": "χειρ χειροσ χειρι χειρα χειρεσ χειρων χερσι χερσιν χειρασ",
+    "υδατ": "υδωρ υδατοσ υδατι υδατα υδατων υδασι υδασιν",
+    "φωτ": "φωσ φωτοσ φωτι φωτα φωτων",
+    "παντ": "πασ πασα παν παντοσ παντι παντα παντεσ παντων πασι πασιν παντασ πασησ παση πασαν πασαι πασων πασαισ πασασ",
+    "ειμ": "ειμι εστι εστιν εσμεν εστε εισι εισιν εσται εσονται ησαν",
+}
+#: Endings of adjectives of three genders, which middle participles have too.
+_THREE = "οσ ου ω ον οι ουσ ων οισ η ησ ην αι αισ ασ α ε"
+#: The stages that a Greek word goes through until one takes an ending off, by rules of this library: (what comes before the stem, endings).
+GREEK_STAGES = (
+    # participles: middle, then aorist passive and active by their stems in -nt, then feminine ones
+    ("", [m + e for m in "ομεν αμεν ουμεν ωμεν".split() for e in _THREE.split()]),
+    ("", [m + e for m in "θεντ σαντ οντ αντ ουντ ωντ εντ".split() for e in "οσ ι α εσ ων ασ".split()]),
+    ("", [m + e for m in "θεισ ουσ ωσ".split() for e in "α ησ η αν αι ων αισ ασ".split() if m + e not in ("ωσα", "ωση", "ωσαι", "ωσων")] + ["θεισ"]),
+    # infinitives
+    ("", "σασθαι εσθαι ασθαι ουσθαι θηναι εναι ειν".split()),
+    # past tenses, only behind an augment
+    ("ε(?=[^αεηιουω])", "σαμεν σατε σασ σαν σεν σα σε θημεν θητε θησαν θην θησ θη".split()),
+    # nouns in -ma, -is and -eus
+    ("", "ματοσ ματι ματα ματων μασι μασιν μα εωσ εων εσι εσιν εα εασ ευσ ευσι ευσιν ευ".split()),
+    # other nouns and adjectives, present tenses
+    ("", (_THREE + " αν ει εισ εσ ι ιν ισ υ υν υσ εν ομεν ετε ουσι ουσιν ομαι εται ομεθα εσθε ονται").split()),
 )
-_GREEK = "^(.{2,}?)(?:" + "|".join(sorted({e.replace("ς", "σ") for e in GREEK_ENDINGS.split()}, key=lambda e: (-len(e), e))) + ")$"
+#: What is left of a word has two letters, one of them a vowel; the longest ending goes.
+_GREEK = [f"^{before}(.*?(?:.[αεηιουω]|[αεηιουω].).*?)(?:{'|'.join(ends)})$" for before, ends in GREEK_STAGES]
 
 
 def greek_stemmed(word: str) -> str:
-    """A folded Greek word without its longest ending that leaves two letters; other words, and shorter ones, as they are."""
+    """The stem of a folded Greek word, by the first stage that takes an ending off it; other words, and shorter ones, as they are."""
     if len(word) < 3 or not re.search("[\u0370-\u03ff]", word):
         return word
-    return re.sub(_GREEK, r"\1", word.lower().replace("ς", "σ"))
+    plain = word.lower().replace("ς", "σ")
+    for stem, forms in GREEK_IRREGULAR.items():
+        if plain in forms.split():
+            return stem
+    return next((m[1] for m in (re.search(p, plain) for p in _GREEK) if m), plain)
 
 
 def greek_stem(word: Column) -> Column:
     """greek_stemmed() of a column."""
     plain = F.translate(F.lower(word), "ς", "σ")
-    return F.when((F.length(word) >= 3) & word.rlike("[\u0370-\u03ff]"), F.regexp_replace(plain, _GREEK, "$1")).otherwise(word)
+    told = plain
+    for pattern in reversed(_GREEK):
+        told = F.when(plain.rlike(pattern), F.regexp_extract(plain, pattern, 1)).otherwise(told)
+    for stem, forms in GREEK_IRREGULAR.items():
+        told = F.when(plain.isin(forms.split()), stem).otherwise(told)
+    return F.when((F.length(word) >= 3) & word.rlike("[\u0370-\u03ff]"), told).otherwise(word)
+
+
+def stem_table(words: DataFrame, word: str = "word") -> DataFrame:
+    """(word, stem) of each distinct word of a column, so that the stages run once a word: to be joined with postings."""
+    return words.select(F.col(word).alias("word")).where("word is not null").distinct().select("word", greek_stem(F.col("word")).alias("stem"))
+
+
+def greek_words(words: Column) -> Column:
+    return F.filter(words, lambda w: w.rlike("[\u0370-\u03ff]"))
 
 
 def stemmed_tokens(words: Column) -> Column:
     """The Greek words of an array, stemmed."""
-    return F.transform(F.filter(words, lambda w: w.rlike("[\u0370-\u03ff]")), greek_stem)
+    return F.transform(greek_words(words), greek_stem)
 
 
 def hebrew_word(word: Column | str) -> Column:

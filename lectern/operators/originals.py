@@ -11,22 +11,33 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lectern.functions.similarity import candidate_score, saturated
-from lectern.functions.text import folded, greek_stemmed, matches_reading, readings, search_readings, stemmed_tokens, strings
+from lectern.functions.text import folded, greek_stemmed, greek_words, matches_reading, readings, search_readings, stem_table, strings
 from lectern.operators.search import WEIGHTS, exact, tokens
 from lectern.sources.shared import written
 from lectern.vocab import STOP_WORDS
 
+#: Rows (word, stem) that may be sent to every executor; more are joined by a shuffle.
+SENT_WORDS = 1_000_000
 #: Hits below which a query is widened; the most rows that one search looks at; how far it looks behind the page.
 THIN, MOST_HITS, SLACK = 5, 100, 200
 
 
 def original_postings(passages: DataFrame, original: str, id_col: str = "doc_id") -> DataFrame:
-    """Postings (id, weight, term, tf, positions) of original texts: every reading at A, and stems of Greek words at D."""
+    """Postings (id, weight, term, tf, positions) of original texts: every reading at A, and stems of Greek words at D.
+
+    Stems are made once for each distinct word, and joined with a text's words after those are counted.
+    """
     read = passages.where(F.length(original) > 0).select(F.col(id_col).alias("id"), F.array_join(search_readings(original), " ").alias("read"))
     words = read.select("id", tokens("read").alias("words"))
-    each = F.array(F.struct(F.lit("A").alias("weight"), F.col("words")), F.struct(F.lit("D").alias("weight"), stemmed_tokens(F.col("words")).alias("words")))
-    fields = words.select("id", F.explode(each).alias("f")).select("id", "f.weight", F.posexplode("f.words").alias("at", "term"))
-    return fields.groupBy("id", "weight", "term").agg(F.count(F.lit(1)).alias("tf"), F.array_sort(F.collect_list("at")).alias("positions"))
+    each = F.array(F.struct(F.lit("A").alias("weight"), F.col("words")), F.struct(F.lit("D").alias("weight"), greek_words(F.col("words")).alias("words")))
+    fields = words.select("id", F.explode(each).alias("f")).select("id", "f.weight", F.posexplode("f.words").alias("at", "word"))
+    counted = written(fields.groupBy("id", "weight", "word").agg(F.collect_list("at").alias("places")))
+    stems = written(stem_table(counted.where("weight = 'D'")))
+    stems = F.broadcast(stems) if stems.count() <= SENT_WORDS else stems
+    plain = counted.where("weight = 'A'").withColumnRenamed("word", "term")
+    stemmed = counted.where("weight = 'D'").join(stems, "word").select("id", "weight", "places", F.col("stem").alias("term"))
+    whole = stemmed.groupBy("id", "weight", "term").agg(F.flatten(F.collect_list("places")).alias("places")).unionByName(plain.select("id", "weight", "term", "places"))
+    return whole.select("id", "weight", "term", F.size("places").cast("long").alias("tf"), F.array_sort("places").alias("positions"))
 
 
 def original_terms(query: str) -> list[list[str]]:

@@ -1,5 +1,6 @@
-"""English stems against published pairs."""
+"""English stems against published pairs, Greek forms that meet one stem."""
 
+from lectern.functions import text as X
 from lectern.functions.stems import ENGLISH_STOP, with_stems
 
 #: The published sample of the algorithm's vocabulary, and words that its description names.
@@ -28,3 +29,37 @@ def test_stems_are_columns_only(spark):
     plan = with_stems(spark.createDataFrame([("words",)], "word string"))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Eval" not in plan
     assert len(ENGLISH_STOP) == len(set(ENGLISH_STOP)) == 127
+
+
+# Forms of one word each, and the stem where they meet.
+GREEK_FORMS = {
+    "λογ": "λόγος λόγου λόγῳ λόγον λόγε λόγοι λόγων λόγοις λόγους",
+    "καρδι": "καρδία καρδίας καρδίᾳ καρδίαν καρδίαι καρδιῶν καρδίαις",
+    "θαλασσ": "θάλασσα θαλάσσης θαλάσσῃ θάλασσαν",
+    "πνευ": "πνεῦμα πνεύματος πνεύματι πνεύματα πνευμάτων πνεύμασιν",
+    "πολ": "πόλις πόλεως πόλει πόλιν πόλεις πόλεων πόλεσιν",
+    "βασιλ": "βασιλεύς βασιλέως βασιλεῖ βασιλέα βασιλεῖς βασιλέων βασιλεῦσιν βασιλέας βασιλεῦ",
+    "λυ": "λύω λύεις λύει λύομεν λύετε λύουσι λύουσιν λύομαι λύεται λύονται λύειν λύεσθαι λυόμενος λυομένου λυόμεναι λύοντος λύοντες λύουσα ἔλυσα ἔλυσεν ἔλυσαν ἐλύθη ἐλύθησαν",
+    "πιστευ": "πιστεύω πιστεύει πιστεύουσιν πιστεύοντες πιστεύειν ἐπίστευσα ἐπίστευσεν ἐπίστευσαν",
+    "γυναικ": "γυνή γυναικός γυναῖκες γυναιξίν",
+    "ανδρ": "ἀνήρ ἀνδρός ἄνδρα ἀνδράσιν",
+    "πατρ": "πατήρ πατρός πατέρα πατέρων",
+    "θε": "θεός θεοῦ θεῶν θεοῖς",
+}
+
+
+def test_greek_forms_meet_one_stem(spark):
+    forms = [(X.folded(w), stem) for stem, all_ in GREEK_FORMS.items() for w in all_.split()]
+    assert [(w, X.greek_stemmed(w)) for w, _ in forms] == forms
+    table = X.stem_table(spark.createDataFrame([*forms, *forms, ("word", "word"), ("το", "το"), (None, None)], "word string, stem string"))
+    assert sorted(map(tuple, table.collect())) == sorted({*forms, ("word", "word"), ("το", "το")})
+    # a stem keeps two letters and a vowel; endings of a past tense need its augment
+    assert [X.greek_stemmed(w) for w in ("ων", "νεα", "δοξα", "δοξησ", "ΛΟΓΟΣ", "")] == ["ων", "νε", "δοξ", "δοξ", "λογ", ""]
+
+
+def test_greek_columns_stem_like_python(spark):
+    from itertools import product
+
+    words = ["".join(w) for w in product(("ε", "λ", "επ"), ("υσ", "ογ", "θε", "κρ"), ("", "σ", "ομεν", "θησ", "οντ", "ματ"), ("α", "οσ", "εων", "σεν", "ευσ", "ουσα", "αι"))]
+    got = {r["word"]: r["stem"] for r in X.stem_table(spark.createDataFrame([(w,) for w in words], "word string")).collect()}
+    assert got == {w: X.greek_stemmed(w) for w in words}
