@@ -23,15 +23,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lectern.llm.common import BROADCAST_ROWS, joined_back, mixed, slices, written
+from lectern.llm.common import discard, joined_back, mixed, slices, written
 
 LENGTH, GRAM = 100, 32
 #: Neighbouring windows that one identifier of the second round stands for; a power of two.
 STEP = 8
 #: Window starts that are handled together: long texts go in parts.
 PART = 1 << 18
-#: A q-gram that is posted more often than this is hot; one that a slice posts fewer times than this isn't counted.
-HOT_POSTS, LEAST_POSTS = 10_000, 8
+#: A q-gram that is posted more often than this is hot, or, where that is more, than 2 / COUNTERS of all posts.
+HOT_POSTS = 10_000
+#: q-grams that a task counts at once; so counts are short by posts / COUNTERS at most, and fewer than COUNTERS q-grams are hot.
+COUNTERS = 1 << 17
 #: Strings that a task remembers because it has met them before; when there are more it starts anew.
 REMEMBERED = 200_000
 
@@ -163,17 +165,51 @@ def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(np.ascontiguousarray(x).view(np.int64))
 
 
-def _counted(length: int, gram: int):
-    """Posts of each q-gram that a slice posts LEAST_POSTS times or more: a hot one is, in most slices."""
+class _Frequent:
+    """Misra and Gries's counts of values: when there are more than `most`, all go down by the one that makes the rest fit.
+
+    That takes as much from more than `most` counts at once, so no count, nor a sum of counts of several tasks, is short by more
+    than the values added / most, however they are spread.
+    """
+
+    def __init__(self, most: int):
+        self.most, self.total = most, 0
+        self.values, self.counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.held: list[np.ndarray] = []
+        self.size = 0
+
+    def add(self, values: np.ndarray) -> None:
+        self.held.append(values)
+        self.size += len(values)
+        self.total += len(values)
+        if self.size >= self.most:
+            self.settle()
+
+    def settle(self) -> None:
+        weights = np.concatenate([self.counts, np.ones(self.size, np.int64)])
+        values, place = np.unique(np.concatenate([self.values, *self.held]), return_inverse=True)
+        counts = np.bincount(place, weights, len(values)).astype(np.int64)
+        if len(values) > self.most:
+            at = len(values) - self.most - 1
+            counts = counts - np.partition(counts, at)[at]
+            values, counts = values[counts > 0], counts[counts > 0]
+        self.values, self.counts, self.held, self.size = values, counts, [], 0
+
+
+def _counted(length: int, gram: int, most: int):
+    """A task's counts of the q-grams that it posts, and its number of posts, of no gram."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = _Frequent(most)
         for batch in batches:
             for part in slices(batch, "text"):
-                posted = [_grams(x[a:b], length, gram) for _, _, x, _ in _rows(part) for a, b in _parts(len(x), length)]
-                if posted:
-                    v, n = np.unique(np.concatenate(posted), return_counts=True)
-                    often = n >= LEAST_POSTS
-                    yield pa.RecordBatch.from_arrays([_signed(v[often]), pa.array(n[often].astype(np.int64))], names=["gram", "n"])
+                for _, _, x, _ in _rows(part):
+                    for a, b in _parts(len(x), length):
+                        own.add(_grams(x[a:b], length, gram))
+        own.settle()
+        for a in range(0, len(own.values), 1 << 16):
+            yield pa.RecordBatch.from_arrays([_signed(own.values[a : a + (1 << 16)]), pa.array(own.counts[a : a + (1 << 16)])], names=["gram", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([own.total], pa.int64())], names=["gram", "n"])
 
     return count
 
@@ -272,9 +308,17 @@ def _narrow(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _hot_grams(narrow: DataFrame, length: int, gram: int) -> np.ndarray:
-    """q-grams of more than HOT_POSTS posts, sorted; there are fewer than posts / HOT_POSTS, and of those at most BROADCAST_ROWS, the most frequent."""
-    counted = narrow.mapInArrow(_counted(length, gram), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
-    rows = counted.where(F.col("n") > HOT_POSTS).orderBy(F.desc("n"), "gram").limit(BROADCAST_ROWS).select("gram").toPandas()
+    """All q-grams of more than `often` posts, and none of less than half as many, sorted.
+
+    `often` is HOT_POSTS, or 2 / COUNTERS of all posts where that is more: then counts are short by half of it at most, and
+    fewer than COUNTERS of them can be above the other half.
+    """
+    counted = narrow.mapInArrow(_counted(length, gram, COUNTERS), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    counted = written(counted.where(F.col("gram").isNull() | (F.col("n") > HOT_POSTS // 2)))
+    total = counted.where("gram is null").agg(F.sum("n")).first()[0] or 0
+    least = max(HOT_POSTS, 2 * total // COUNTERS) - total // COUNTERS
+    rows = counted.where(F.col("gram").isNotNull() & (F.col("n") > least)).select("gram").toPandas()
+    discard(counted)
     return np.sort(rows["gram"].to_numpy(np.int64).view(np.uint64))
 
 
