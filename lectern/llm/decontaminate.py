@@ -1,7 +1,8 @@
 """Benchmark decontamination: training tokens stream through a generalised suffix automaton of the test items.
 
-Items go in blocks of a bounded number of words, each block one automaton that tasks receive, one after another; documents
-pass by each block, and what the blocks find is added to the document's row. A match is a run of `window` words of an item, or a whole item that is shorter.
+Items go in blocks of a bounded number of words, each block one automaton. A single block is sent to all tasks. Of several, hashes of their
+windows are sent, and one pass over the documents tells which blocks a text needs; only texts that need any go on, to tasks that have
+their blocks. A match is a run of `window` words of an item, or a whole item that is shorter.
 """
 
 from __future__ import annotations
@@ -14,14 +15,17 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import checked_broadcast, slices, split_words, unused, word_codes, written
+from lectern.llm.common import checked_broadcast, discard, hashed, mixed, slices, split_words, unused, word_codes, written
 
 #: Words of items in one automaton, so a broadcast is some 30 MB at most.
 BLOCK_WORDS = 1 << 17
+#: Hashes of windows that one pass over the documents looks for, of 12 bytes each.
+PASS_SEEDS = 1 << 22
+#: Bytes of texts that meet one automaton in one task.
+MEET_BYTES = 64 << 20
 _WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
 
@@ -189,7 +193,7 @@ def _pieces(items: DataFrame, window: int, item_id: str, text_col: str, block_wo
     return cut.withColumn("block", F.pmod(F.xxhash64("item", "words"), F.lit(n))), n
 
 
-def _passing(docs: DataFrame, block: list[tuple[str, list[str]]], window: int) -> tuple[DataFrame, Broadcast]:
+def _passing(docs: DataFrame, block: list[tuple[str, list[str]]], window: int) -> DataFrame:
     """docs (its columns, and text) with n_words, runs and items instead of the text, by one automaton, which is sent to tasks."""
     sent = docs.sparkSession.sparkContext.broadcast(Automaton.of(block, window))
     kept = [c for c in docs.columns if c != "text"]
@@ -206,36 +210,133 @@ def _passing(docs: DataFrame, block: list[tuple[str, list[str]]], window: int) -
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), *found], names=[*kept, "n_words", "runs", "items"])
 
     kinds = [f"{c} {docs.schema[c].dataType.simpleString()}" for c in kept]
-    return docs.mapInArrow(scan, ", ".join([*kinds, "n_words long, runs array<struct<lo:int,hi:int>>, items array<string>"])), sent
+    return docs.mapInArrow(scan, ", ".join([*kinds, "n_words long, runs array<struct<lo:int,hi:int>>, items array<string>"]))
+
+
+def _run_hashes(words: pa.Array, rows: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all runs of n words of one row, and the row of each."""
+    size = len(words) - n + 1
+    if size <= 0:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    codes, distinct = word_codes(words)
+    each = mixed(hashed(distinct))[codes]
+    total = np.full(size, n, np.uint64)
+    for i in range(n):
+        total = mixed(total) + each[i : i + size]
+    own = rows[n - 1 :] == rows[:size]
+    return mixed(total)[own], rows[:size][own]
+
+
+def _seeds(pieces: DataFrame, window: int) -> DataFrame:
+    """A written table (seed, n, block): hashes of the windows of each block, and of its items of n words, where those are fewer."""
+
+    def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists, blocks = batch.column("words"), batch.column("block").to_numpy(zero_copy_only=False)
+            words, rows = pc.list_flatten(lists).cast(pa.large_string()), pc.list_parent_indices(lists).to_numpy(zero_copy_only=False)
+            runs = np.minimum(pc.list_value_length(lists).to_numpy(zero_copy_only=False), window)
+            for n in np.unique(runs).tolist():
+                own = runs[rows] == n
+                seed, row = _run_hashes(words.filter(pa.array(own)), rows[own], n)
+                yield pa.RecordBatch.from_arrays([pa.array(seed.view(np.int64)), pa.array(np.full(len(seed), n, np.int32)), pa.array(blocks[row].astype(np.int32))], names=["seed", "n", "block"])
+
+    return written(pieces.select("words", "block").mapInArrow(hashes, "seed long, n int, block int").distinct())
+
+
+def _needing(docs: DataFrame, seeds: DataFrame, every: bool) -> DataFrame:
+    """Rows (id, h, n_words, text, blocks) of docs that hold seeds, which are sent to tasks; with `every`, also the others, without their texts."""
+    rows = seeds.toPandas()  # about PASS_SEEDS
+    table = {}
+    for n, own in rows.groupby("n"):
+        v = own["seed"].to_numpy(np.int64).view(np.uint64)
+        order = np.argsort(v, kind="stable")
+        table[int(n)] = v[order], own["block"].to_numpy(np.int32)[order]
+    sent = docs.sparkSession.sparkContext.broadcast(table)
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = sent.value
+        for batch in batches:
+            for part in slices(batch, "text"):
+                words, row = split_words(part.column("text"), alnum=True)
+                needs = [np.zeros((0, 2), np.int64)]
+                for n, (seed, block) in known.items():
+                    v, at = _run_hashes(words, row, n)
+                    lo, hi = np.searchsorted(seed, v), np.searchsorted(seed, v, "right")
+                    met = hi > lo
+                    lo, hi, at = lo[met], hi[met], at[met]
+                    each = np.repeat(lo - np.concatenate([[0], np.cumsum(hi - lo)[:-1]]), hi - lo) + np.arange((hi - lo).sum()) if len(lo) else lo
+                    needs.append(np.unique(np.stack([np.repeat(at, hi - lo), block[each].astype(np.int64)], 1), axis=0))
+                need = np.unique(np.concatenate(needs), axis=0)
+                offsets = np.searchsorted(need[:, 0], np.arange(part.num_rows + 1))
+                any_ = np.diff(offsets) > 0
+                text = pc.if_else(pa.array(any_), part.column("text"), pa.scalar(None, part.column("text").type))
+                blocks = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(need[:, 1], pa.int32()))
+                count = pa.array(np.bincount(row, minlength=part.num_rows).astype(np.int64))
+                out = pa.RecordBatch.from_arrays([part.column("id"), part.column("h"), count, text, blocks], names=["id", "h", "n_words", "text", "blocks"])
+                yield out if every else out.filter(pa.array(any_))
+
+    kind = docs.schema["id"].dataType.simpleString()
+    return docs.mapInArrow(look, f"id {kind}, h long, n_words long, text string, blocks array<int>")
+
+
+def _met(texts: DataFrame, pieces: DataFrame, window: int) -> DataFrame:
+    """(id, h, runs, items) for each of texts (id, h, text, block) in which its block finds any.
+
+    The texts of a block are dealt over tasks by MEET_BYTES, so a passage that many documents hold doesn't gather them in one.
+    """
+    sizes = texts.groupBy("block").agg(F.sum(F.octet_length("text")).alias("bytes"))
+    sizes = written(sizes.select("block", F.ceil(F.col("bytes") / MEET_BYTES).cast("int").alias("parts")))
+    sizes = checked_broadcast(sizes)
+    left = texts.join(sizes, "block").withColumn("part", F.pmod(F.xxhash64("id", "h"), F.col("parts").cast("long")))
+    right = pieces.join(sizes, "block").select("item", "words", "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts").cast("long") - 1)).alias("part"))
+    kind = texts.schema["id"].dataType.simpleString()
+    span = pa.list_(pa.struct([("lo", pa.int32()), ("hi", pa.int32())]))
+
+    def find(docs: pa.Table, items: pa.Table) -> pa.Table:
+        rows = sorted(zip(items.column("item").to_pylist(), items.column("words").to_pylist(), strict=True))
+        own = Automaton.of(rows, window)
+        vocabulary = pa.array(own.vocabulary, pa.large_string())
+        out = []
+        for batch in docs.to_batches():
+            for part in slices(batch, "text"):
+                _, runs, names = _found(own, part.column("text"), vocabulary)
+                spans = pa.array([[{"lo": a, "hi": b} for a, b in r] for r in runs], span)
+                out.append(pa.RecordBatch.from_arrays([part.column("id"), part.column("h"), spans, pa.array(names, pa.list_(pa.string()))], names=["id", "h", "runs", "items"]))
+        schema = pa.schema([docs.schema.field("id"), docs.schema.field("h"), pa.field("runs", span), pa.field("items", pa.list_(pa.string()))])
+        return pa.Table.from_batches(out, None if out else schema)
+
+    left = left.select("id", "h", "text", "block", "part").groupBy("block", "part")
+    met = left.cogroup(right.groupBy("block", "part")).applyInArrow(find, f"id {kind}, h long, runs array<struct<lo:int,hi:int>>, items array<string>")
+    return met.where(F.size("runs") > 0)
 
 
 def _matched(docs: DataFrame, items: DataFrame, window: int, id_col: str, item_id: str, text_col: str, block_words: int) -> DataFrame:
     """Rows (id, h, n_words, runs, items), one for each document; h is a hash of the text, so equal (id, h) have equal runs."""
     keyed = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("text"))
     pieces, blocks = _pieces(items, window, item_id, text_col, block_words)
-
-    def block(b: int) -> list[tuple[str, list[str]]]:
-        rows = pieces.where(F.col("block") == b).select("item", "words").orderBy("item", "words").collect()  # about block_words
-        return [(r["item"], r["words"]) for r in rows]
-
-    first, _ = _passing(keyed, block(0), window)
     if blocks == 1:
-        return first
-    # the other blocks' finds, of documents with any, are added by (id, h): rows of one id and text have the same
-    found = None
-    for b in range(1, blocks):
-        passed, sent = _passing(keyed, block(b), window)
-        some = passed.where(F.size("runs") > 0).groupBy("id", "h")
-        some = written(some.agg(F.first("runs").alias("runs"), F.first("items").alias("items")))
-        sent.destroy()
-        found = some if found is None else found.unionByName(some)
+        rows = pieces.select("item", "words").orderBy("item", "words").collect()  # about block_words
+        return _passing(keyed, [(r["item"], r["words"]) for r in rows], window)
+    pieces = written(pieces)
+    seeds = _seeds(pieces, window)
+    passes = max(1, -(-seeds.count() // PASS_SEEDS))
+    dealt = seeds.withColumn("pass", F.pmod(F.xxhash64("seed"), F.lit(passes)))
+    # the first pass keeps a row of every document, further ones only of documents that need more blocks
+    seen = [written(_needing(keyed, dealt.where(F.col("pass") == i), i == 0)) for i in range(passes)]
+    first = seen[0].select("id", "h", "n_words")
+    texts = None
+    for s in seen:
+        need = s.where(F.size("blocks") > 0).select("id", "h", "text", F.explode("blocks").alias("block"))
+        texts = need if texts is None else texts.unionByName(need)
+    # rows of one id and text need the same blocks, and get the same finds
+    texts = written(texts.dropDuplicates(["id", "h", "block"]))
     lists = lambda c: F.flatten(F.collect_list(c))
-    found = found.groupBy("id", "h").agg(lists("runs").alias("more_runs"), lists("items").alias("more_items"))
-    found = checked_broadcast(written(found.select(F.col("id").alias("i"), F.col("h").alias("g"), "more_runs", "more_items")), 100_000)
-    both = first.join(found, F.col("id").eqNullSafe(F.col("i")) & (F.col("h") == F.col("g")), "left")
-    spans = F.array_sort(F.concat("runs", F.coalesce("more_runs", F.array().cast("array<struct<lo:int,hi:int>>"))))
-    names = F.array_sort(F.array_distinct(F.concat("items", F.coalesce("more_items", F.array().cast("array<string>")))))
-    return both.select("id", "h", "n_words", _united(spans).alias("runs"), names.alias("items"))
+    found = _met(texts, pieces, window).groupBy("id", "h").agg(lists("runs").alias("runs"), lists("items").alias("items"))
+    found = written(found.select(F.col("id").alias("i"), F.col("h").alias("g"), _united(F.array_sort("runs")).alias("runs"), F.array_sort(F.array_distinct("items")).alias("items")))
+    discard(texts, seeds, pieces)
+    both = first.join(checked_broadcast(found, 100_000), F.col("id").eqNullSafe(F.col("i")) & (F.col("h") == F.col("g")), "left")
+    runs = F.coalesce("runs", F.array().cast("array<struct<lo:int,hi:int>>"))
+    return both.select("id", "h", "n_words", runs.alias("runs"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
 
 
 def _united(spans: Column) -> Column:
@@ -255,7 +356,7 @@ def matches(docs: DataFrame, items: DataFrame, window: int = 10, id_col: str = "
 
     Null and empty texts have no words and no runs. Items without an id or words match nothing; repeated items count once.
     Rows stay rows: ids may repeat, with equal or other texts, or be null. Other columns are left out; an empty
-    table gives no rows. Results don't depend on block_words, the words of items that one pass over docs looks for.
+    table gives no rows. Results don't depend on block_words, the words of items in one automaton. docs are read once for every PASS_SEEDS windows of items.
     """
     return _matched(docs, items, window, id_col, item_id, text_col, block_words).drop("h").withColumnRenamed("id", id_col)
 
