@@ -76,6 +76,28 @@ def test_decontamination_query_in_blocks(spark):
             assert (row.n_words, row.n_hit, row.n_items, row.items_sha256, row.contaminated) == (n, hit, len(names), sha, hit > 0)
 
 
+@pytest.mark.parametrize("seeds, passes", [(decontaminate.PASS_SEEDS, 1), (150, 3)])
+def test_many_blocks_read_documents_once(spark, monkeypatch, seeds, passes):
+    """Twenty blocks and more: one pass over documents for all that fit in it, and texts of a block dealt over several tasks."""
+    rng = random.Random(8)
+    monkeypatch.setattr(decontaminate, "PASS_SEEDS", seeds)
+    monkeypatch.setattr(decontaminate, "MEET_BYTES", 200)
+    calls, needing = [], decontaminate._needing
+    monkeypatch.setattr(decontaminate, "_needing", lambda *a: calls.append(a) or needing(*a))
+    items = [" ".join(rng.choice("abcdefghijklmnop") + str(rng.randrange(9)) for _ in range(n)) for n in [25] * 24 + [2, 4, 9]]
+    junk = lambda: " ".join(f"z{rng.randrange(99)}" for _ in range(30))
+    texts = [f"{junk()} {items[i % 27].upper()} {junk()} {items[(i * 7) % 27]}" for i in range(54)] + [None, "", junk(), items[3][:-3]] + [f"{items[5]} {junk()}" for _ in range(40)]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    named = [(str(i), t) for i, t in enumerate(items)]
+    assert decontaminate._pieces(bench, 10, "item_id", "text", 30)[1] >= 20
+    got = decontaminate.digest(decontaminate.matches(frame(spark, texts), bench, 10, block_words=30)).collect()
+    assert len(calls) == passes
+    for r in got:
+        n, hit, names, sha = decontaminate.brute(texts[r["doc_id"]], named)
+        assert (r["n_words"], r["n_hit"], r["n_items"], r["items_sha256"], r["contaminated"]) == (n, hit, len(names), sha, hit > 0)
+    assert sorted(r["doc_id"] for r in got) == list(range(len(texts)))
+
+
 def test_spans_are_cut_and_mostly_contaminated_documents_go(spark):
     item = " ".join(f"w{i}" for i in range(12))
     bench = spark.createDataFrame([(0, item)], "item_id long, text string")
@@ -176,6 +198,40 @@ def test_repeats_of_production_length(spark, monkeypatch, hot):
         assert (row.n_bytes, sum(s["hi"] - s["lo"] for s in row.spans), len(row.spans), hashlib.sha256(row.kept).hexdigest()) == (n, gone, runs, sha)
 
 
+def test_hot_grams_are_found_however_thinly_they_are_spread(spark, monkeypatch):
+    """A passage once in each of many texts is as hot as one in a single text: counts are of tasks, and short by a stated part at most."""
+    monkeypatch.setattr(suffix_dedup, "HOT_POSTS", 50)
+    rng = random.Random(21)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(9))
+    passage = " ".join(word() for _ in range(14))
+    texts = [f"{' '.join(word() for _ in range(20))} {passage}" for _ in range(80)] + [" ".join([passage] * 80)]
+    shared = set(suffix_dedup._grams(np.frombuffer(passage.encode(), np.uint8), 100, 32).tolist())
+    for some in (texts[:80], texts[80:]):
+        hot = suffix_dedup._hot_grams(suffix_dedup._narrow(frame(spark, some).repartition(16), "doc_id", "text"), 100, 32)
+        assert shared & set(hot.tolist()) and len(hot) < 60
+    # with few counters: what is more than 2 / COUNTERS of all posts is found
+    monkeypatch.setattr(suffix_dedup, "COUNTERS", 64)
+    hot = suffix_dedup._hot_grams(suffix_dedup._narrow(frame(spark, texts[:80]).repartition(16), "doc_id", "text"), 100, 32)
+    assert len(hot) <= 64
+
+
+@given(st.lists(st.lists(st.integers(0, 12), max_size=40), min_size=1, max_size=6), st.integers(1, 9))
+def test_counts_are_short_by_a_stated_part(tasks, most):
+    counts, total = {}, 0
+    for values in tasks:
+        own = suffix_dedup._Frequent(most)
+        for i in range(0, len(values), 3):
+            own.add(np.array(values[i : i + 3], np.uint64))
+        own.settle()
+        assert len(own.values) <= most and own.total == len(values)
+        total += own.total
+        for v, n in zip(own.values.tolist(), own.counts.tolist(), strict=True):
+            counts[v] = counts.get(v, 0) + n
+    for v in range(13):
+        true = sum(values.count(v) for values in tasks)
+        assert true - total // most <= counts.get(v, 0) <= true
+
+
 def test_no_documents_have_no_repeats(spark):
     assert suffix_dedup.without_repeats(frame(spark, [])).count() == 0
     assert suffix_dedup.without_repeats(frame(spark, [None, ""])).select("n_bytes").collect() == [(0,), (0,)]
