@@ -94,13 +94,14 @@ def conversations(messages: DataFrame, paths: int = 1) -> DataFrame:
     """Each chosen path as conv, leaf, rank (from 1), score (mean on the path), turns (array of role and text), formatted and mask.
 
     messages: conv, node (unique in conv), parent (null for a root), role, text, score. Branches rank by the mean score of their
-    path, then depth, the deeper first, then the smaller leaf. Null roles and texts are empty, null scores 0; rows with a
-    null conv or node are left out; of rows with one conv and node the least stays, by parent (null first), role, text and
+    path, then depth, the deeper first, then the smaller leaf. Null roles and texts are empty, null scores 0; rows
+    with a null conv are one conversation, rows with a null node are left out; of rows with one conv and node the least stays, by parent (null first), role, text and
     score. Other columns are left out; an empty table gives no rows. A path is one row, so it has to fit in one task.
     """
-    kept = messages.where("conv is not null and node is not null")
+    kept = messages.where("node is not null")
     empty = lambda c: F.coalesce(c, F.lit("")).alias(c)
-    rows = kept.select("conv", "node", "parent", empty("role"), empty("text"), F.col("score").cast("double").alias("score"))
+    # a struct equals another of null, so joins on it keep the conversation without an id
+    rows = kept.select(F.struct("conv").alias("conv"), "node", "parent", empty("role"), empty("text"), F.col("score").cast("double").alias("score"))
     least = rows.groupBy("conv", "node").agg(F.min(F.struct("parent", "role", "text", "score")).alias("m"))
     nodes = written(least.select("conv", "node", "m.*"))
     levels, reach = jumps(nodes.select("conv", "node", "parent", "score"))
@@ -115,7 +116,7 @@ def conversations(messages: DataFrame, paths: int = 1) -> DataFrame:
         steps = jump.select("conv", "leaf", "rank", "score", F.explode(both).alias("s")).select("conv", "leaf", "rank", "score", "s.node", "s.up")
     told = steps.join(nodes.select("conv", "node", "role", "text"), ["conv", "node"])
     whole = told.groupBy("conv", "leaf", "rank", "score").agg(F.sort_array(F.collect_list(F.struct((-F.col("up")).alias("at"), "role", "text"))).alias("turns"))
-    whole = whole.withColumn("turns", F.transform("turns", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))))
+    whole = whole.withColumns({"conv": F.col("conv.conv"), "turns": F.transform("turns", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text")))})
 
     def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         span = pa.list_(pa.struct([("lo", pa.int64()), ("hi", pa.int64())]))
@@ -153,7 +154,7 @@ def read_back(chats: DataFrame) -> DataFrame:
 def chains(rows: DataFrame) -> DataFrame:
     """Rows (conv, turn, role, text) as messages that each reply to the one before, by turn, then role and text.
 
-    Null turns, roles and texts come first; a null conv is one conversation here, which conversations() leaves out. Repeated
+    Null turns, roles and texts come first; rows with a null conv are one conversation. Repeated
     rows are turns of their own; other columns are left out; an empty table gives no rows.
     """
     by = Window.partitionBy("conv").orderBy("turn", "role", "text")

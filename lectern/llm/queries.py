@@ -181,7 +181,7 @@ ORACLE_SQL: dict[str, str] = {
     "op11_periodic_runs": _RUNS_SQL,
     "op12_url_filters": _URLS_SQL,
     "op13_importance_resampling": _RESAMPLED_SQL,
-    "op4_chat_formatting": f"""WITH m AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL UNION ALL SELECT -7, 0, 'user', '{CONTROL_TEXT}' UNION ALL SELECT -7, 1, 'assistant', '{CONTROL_TEXT}'),
+    "op4_chat_formatting": f"""WITH m AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations UNION ALL SELECT -7, 0, 'user', '{CONTROL_TEXT}' UNION ALL SELECT -7, 1, 'assistant', '{CONTROL_TEXT}'),
 e AS (SELECT *, length(text) + length(text) - length(replace(text, '\\', '')) + len(regexp_extract_all(text, '</?s>|\\[/?INST\\]')) AS escaped FROM m)
 SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256, coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
 sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256, sum(escaped + CASE WHEN role = 'assistant' THEN 7 ELSE 14 + length(role) END)::BIGINT AS formatted_chars FROM e GROUP BY conv_id""",

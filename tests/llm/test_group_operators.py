@@ -87,20 +87,22 @@ def test_template_reads_back(turns):
 
 def test_branches_of_a_tree(spark):
     rows = [("c", 1, None, "user", "q", 0.0), ("c", 2, 1, "assistant", "bad", 0.1), ("c", 3, 1, "assistant", "good", 0.9), ("c", 4, 3, "user", "more", 0.9), ("c", 5, 4, "assistant", None, 0.9), ("c", 6, 3, "user", "x", 0.2)]
-    rows += [("d", 1, 77, "user", "parent is gone", 0.0), ("loop", 1, 2, "user", "a", 0.0), ("loop", 2, 1, "user", "b", 0.0), (None, 1, None, "user", "no conv", 0.0)]
+    rows += [("d", 1, 77, "user", "parent is gone", 0.0), ("loop", 1, 2, "user", "a", 0.0), ("loop", 2, 1, "user", "b", 0.0), (None, 1, None, "user", "no conv", 0.0), (None, 2, 1, "assistant", "answer", 0.5), (None, 3, 1, "assistant", "less", 0.1)]
     rows += [("long", i, i - 1 if i else None, "user" if i % 2 == 0 else "assistant", f"t{i}", 0.0) for i in range(37)]
     messages = spark.createDataFrame([(*r, 1) for r in rows + rows[:2]], "conv string, node long, parent long, role string, text string, score double, formatted int")
     got = {(r["conv"], r["rank"]): r for r in chat.conversations(messages, 2).collect()}
     assert [t["text"] for t in got["c", 1]["turns"]] == ["q", "good", "more", ""] and [t["text"] for t in got["c", 2]["turns"]] == ["q", "good", "x"]
     assert [t["text"] for t in got["long", 1]["turns"]] == [f"t{i}" for i in range(37)]
-    assert set(got) == {("c", 1), ("c", 2), ("d", 1), ("long", 1)}
+    assert [t["text"] for t in got[None, 1]["turns"]] == ["no conv", "answer"] and [t["text"] for t in got[None, 2]["turns"]] == ["no conv", "less"]
+    assert set(got) == {("c", 1), ("c", 2), ("d", 1), ("long", 1), (None, 1), (None, 2)}
     assert chat.conversations(messages.limit(0)).count() == 0
 
 
 def test_chains_by_turn(spark):
-    rows = [(1, 2, "assistant", "two"), (1, 1, "user", "one"), (1, 2, "assistant", "two"), (2, None, None, None)]
+    rows = [(1, 2, "assistant", "two"), (1, 1, "user", "one"), (1, 2, "assistant", "two"), (2, None, None, None), (None, 2, "assistant", "b"), (None, 1, "user", "a"), (None, 3, "user", None)]
     got = {r["conv"]: r for r in chat.read_back(chat.conversations(chat.chains(spark.createDataFrame(rows, "conv long, turn long, role string, text string")))).collect()}
     assert got[1]["n_turns"] == 3 and got[1]["loss_chars"] == 6 and got[2]["n_turns"] == 1
+    assert (got[None]["n_turns"], got[None]["loss_chars"]) == (3, 1) and got[None]["turns_sha256"] == hashlib.sha256(b"user\na\nassistant\nb\nuser\n\n").hexdigest()
     assert got[1]["turns_sha256"] == hashlib.sha256(b"user\none\nassistant\ntwo\nassistant\ntwo\n").hexdigest()
 
 
