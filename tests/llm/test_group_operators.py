@@ -106,6 +106,20 @@ def test_chains_by_turn(spark):
     assert got[1]["turns_sha256"] == hashlib.sha256(b"user\none\nassistant\ntwo\nassistant\ntwo\n").hexdigest()
 
 
+def test_the_plan_of_long_conversations_stays_small(spark, capsys):
+    def told(turns):
+        rows = [(i, i - 1 if i else None, f"t{i}") for i in range(turns)]
+        messages = spark.createDataFrame(rows, "node long, parent long, text string").selectExpr("1L as conv", "*", "'user' as role", "0.0 as score")
+        chats = chat.conversations(messages)
+        capsys.readouterr()
+        chats.explain()
+        plan = capsys.readouterr().out
+        assert [t["text"] for t in chats.first()["turns"]] == [r[2] for r in rows]
+        return plan.count("Join"), plan.count("Exchange")
+
+    assert told(300) == told(2)
+
+
 # ---------------------------------------------------------------- shards
 
 
