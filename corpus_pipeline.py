@@ -57,10 +57,12 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every row's shard and its place there; equal texts stay together as far as even sizes allow.
 
-    Counts of shards are at most one apart. Null texts have no bytes and are linked with nothing; repeated rows are rows of
-    their own, and so are those with null ids. Other columns are left out; an empty table gives none.
+    Slots follow the order of docs, the mix, and rows without links are dealt to the shards in turns: the first slots of all shards
+    are the beginning of the mix, and each shard goes through all of it. Counts of shards are at most one apart. Null texts have no
+    bytes and are linked with nothing; repeated rows are rows of their own, and so are those with null ids. Other columns are left
+    out; an empty table gives none.
     """
-    return balanced_shards(docs, SHARDS)
+    return balanced_shards(docs, SHARDS, in_order=True)
 
 
 STAGES = [

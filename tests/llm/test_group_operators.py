@@ -154,6 +154,24 @@ def test_propagation_lowers_cut_groups(spark):
     assert cut[1] < cut[0] / 2
 
 
+@pytest.mark.parametrize("room", [[3, 0, 5, 1], [0, 0], [1], [7, 6, 7]])
+def test_room_is_dealt_in_turns(spark, room):
+    dealt = [r["shard"] for r in sorted(sharding._dealt(spark, room).collect(), key=lambda r: r["_rank"])]
+    assert [dealt.count(t) for t in range(len(room))] == room
+    ranks = sorted(r["_rank"] for r in sharding._dealt(spark, room).collect())
+    assert ranks == list(range(sum(room)))
+    for k in range(len(dealt) + 1):  # a prefix has each shard's part of it, within one row of each turn
+        assert all(abs(dealt[:k].count(t) - k * c / sum(room)) < 2 for t, c in enumerate(room) if sum(room))
+
+
+def test_linked_rows_keep_the_order_too(spark):
+    docs = spark.createDataFrame([(1000 - i, "same" if i % 10 == 0 else f"own {i}") for i in range(300)], "doc_id long, text string")
+    got = sharding.balanced_shards(docs, 7, in_order=True).toPandas().sort_values(["shard", "slot"])
+    sizes = got.groupby("shard").size()
+    assert len(got) == 300 and sizes.max() - sizes.min() <= 1 and got[(1000 - got.doc_id) % 10 == 0].shard.nunique() == 1
+    assert all(list(own.doc_id) == sorted(own.doc_id, reverse=True) for _, own in got.groupby("shard"))
+
+
 # ---------------------------------------------------------------- near duplicates
 
 

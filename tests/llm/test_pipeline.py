@@ -88,3 +88,20 @@ def test_small_sources_dont_end_the_mix(spark):
     assert sorted(r["doc_id"] for r in got) == list(range(1402))
     for k in range(0, 600, 100):  # in the order of the mix, of which the hot source has 8/13 at most
         assert 40 < sum(r["source"] == "hot" for r in got[k : k + 100]) < 75
+
+
+def test_shards_follow_the_mix(spark, tmp_path):
+    rows = [(f"s{i % 4}", i) for i in range(400)] + [("hot", i) for i in range(400, 1400)]
+    docs = spark.createDataFrame([(i, f"text {i} " + "x y z " * (i * 7919 % 500), "en", s) for s, i in rows], "doc_id long, text string, lang string, source string")
+    mix = corpus_pipeline.mixing(spark, docs, SF)
+    at = {r["doc_id"]: k for k, r in enumerate(mix.collect())}
+    mix.write.option("maxRecordsPerFile", 130).parquet(f"{tmp_path}/mix")  # scans take the largest of these files first
+    for given in (mix, spark.read.parquet(f"{tmp_path}/mix")):
+        out = corpus_pipeline.sharding(spark, given, SF).toPandas().sort_values(["shard", "slot"])
+        for _, own in out.groupby("shard"):
+            # texts differ, so each shard has one row of every 40 of the mix
+            assert [at[i] // 40 for i in own.doc_id] == list(range(35)) and list(own.slot) == list(range(35))
+        first = out[out.slot < 10]
+        assert {at[i] for i in first.doc_id} == set(range(400))
+    turned = corpus_pipeline.sharding(spark, docs.orderBy("doc_id"), SF).where("slot = 0").toPandas()
+    assert sorted(turned.doc_id) == list(range(40))
