@@ -114,7 +114,8 @@ def balanced_shards(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", t
     ends = list(accumulate(room))
     alone = ranked_by_hash(facts.join(linked, "uid", "left_anti").select("uid", "h").withColumn("_all", F.lit(0)), ["_all"], "h", "_rank", ["uid"])
     if in_order:
-        alone = alone.join(_dealt(docs.sparkSession, room), "_rank").select("uid", "shard")
+        # as many rows as alone; Spark takes them for a few, as their number isn't known before they are dealt
+        alone = alone.join(_dealt(docs.sparkSession, room).hint("merge"), "_rank").select("uid", "shard")
     else:
         alone = alone.select("uid", F.size(F.filter(F.array(*map(F.lit, ends)), lambda e: e <= F.col("_rank"))).alias("shard"))
     placed = facts.join(linked.select("uid", "shard").unionByName(alone), "uid")
