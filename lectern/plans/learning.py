@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lectern.operators import ml as M
+from lectern.operators import search as FT
 from lectern.plans.registry import query, words_sql
 from lectern.plans.retrieval import posts
 from lectern.sources.readers import passages, table
-from lectern.sources.shared import shared
+from lectern.sources.shared import shared, written
 from lectern.streaming import logs
 
 _COUNTS = f"counts AS (SELECT id, term, count(*) AS n FROM (SELECT doc_id AS id, unnest(list_filter({words_sql('text')}, lambda w: length(w) >= 3)) AS term FROM documents) GROUP BY 1, 2), vocab AS (SELECT term, count(*) AS df FROM counts GROUP BY term HAVING count(*) >= 5)"
@@ -22,12 +23,18 @@ def _counts(spark: SparkSession, sf: str) -> DataFrame:
     return M.term_counts(posts(spark, sf))
 
 
-def _vectors(spark: SparkSession, sf: str) -> DataFrame:
-    def build() -> DataFrame:
-        counts = _counts(spark, sf)
-        return M.tfidf(counts, M.vocabulary(counts, 5, None), table(spark, sf, "documents").count())
+def _weighed(spark: SparkSession, sf: str, ids: DataFrame | None = None) -> DataFrame:
+    """Vectors of all documents or of those with the given distinct ids; terms are counted over all."""
+    words = passages(spark, sf).select(F.col("doc_id").alias("id"), FT.tokens("text").alias("words"))
+    words = words.select("id", F.filter("words", lambda w: F.length(w) >= 3).alias("words"))
+    repeat = M.ids_repeat(words)
+    terms = shared(spark, sf, "terms", lambda: M.documents_with(words, 5, repeat))
+    own = words if ids is None else words.join(M.sent(ids), "id", "left_semi")
+    return M.vectors(own, terms, table(spark, sf, "documents").count(), repeat)
+
 
-    return shared(spark, sf, "vectors", build)
+def _vectors(spark: SparkSession, sf: str) -> DataFrame:
+    return shared(spark, sf, "vectors", lambda: _weighed(spark, sf))
 
 
 def _labels(spark: SparkSession, sf: str) -> DataFrame:
@@ -36,7 +43,15 @@ def _labels(spark: SparkSession, sf: str) -> DataFrame:
 
 def _scores(spark: SparkSession, sf: str) -> DataFrame:
     vectors = _vectors(spark, sf)
-    return M.cosine_scores(vectors, M.centroids(vectors, _labels(spark, sf)))
+    return M.cosine_scores(vectors, written(M.centroids(vectors, _labels(spark, sf))))
+
+
+def _scores_of_labelled(spark: SparkSession, sf: str) -> DataFrame:
+    """_scores() of the documents with a label, which make the centroids too: no others are weighed."""
+    labels = _labels(spark, sf)
+    build = lambda: _weighed(spark, sf, labels.select("id").distinct())
+    vectors = shared(spark, sf, "vectors of labelled", build, of=("documents", "labels"))
+    return M.cosine_scores(vectors, written(M.centroids(vectors, labels)))
 
 
 @query(f"WITH {_COUNTS} SELECT term, df FROM vocab")
@@ -46,7 +61,7 @@ def doc_frequency(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"WITH {_TFIDF} SELECT id, term, round(weight, 6) AS weight FROM vec")
 def tfidf(spark: SparkSession, sf: str) -> DataFrame:
-    return _vectors(spark, sf).withColumn("weight", F.round("weight", 6))
+    return _weighed(spark, sf).withColumn("weight", F.round("weight", 6))  # all rows are asked for once, so they aren't stored
 
 
 @query(f"WITH {_CENTRES} SELECT id, label, round(score, 6) AS score FROM pred")

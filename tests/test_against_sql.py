@@ -1,7 +1,10 @@
 """Queries against their SQL on small corpora with what the given tables at sf0.001 don't have."""
 
+import os
+
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 from test_queries import plain
 
 import __spark_entry__ as entry
@@ -36,3 +39,51 @@ def test_a_search_that_needs_no_widening_is_ranked_by_place(same):
     texts = [("thing " * (1 + i % 4) + "und der", "en") for i in range(9)] + [("die thing und", "de"), ("die und", "de"), ("nothing here", "en")]
     got = same("search_passages", documents=documents(texts))
     assert len(got) == 10 and set(got["total"]) == {10} and got["via"].isna().all() and "original" in set(got["matched_in"])
+
+
+WORDS = [(" ".join(["und", "thing", "of", "sein", "stone"][: 2 + i % 4] * (1 + i % 3)) + f" rare{i}", "en") for i in range(16)]
+
+
+@pytest.fixture
+def built(monkeypatch):
+    """The names of the tables that queries store."""
+    from lectern.plans import corpus, learning, ranked, retrieval, texts, views
+
+    names, real = [], learning.shared
+    for m in (corpus, learning, ranked, retrieval, texts, views):
+        if hasattr(m, "shared"):
+            monkeypatch.setattr(m, "shared", lambda s, d, name, *a, **k: names.append(name) or real(s, d, name, *a, **k))
+    return names
+
+
+@pytest.mark.parametrize("most", [1000, 1])
+@pytest.mark.parametrize("repeat", [False, True])
+def test_vectors_are_weighed_where_rows_are(same, built, monkeypatch, most, repeat):
+    from lectern.operators import ml as M
+
+    monkeypatch.setattr(M, "SENT_TERMS", most)
+    monkeypatch.setattr(M.vectors, "__defaults__", (most,))
+    rows, schema = documents(WORDS)
+    rows += [(40, None, "en", "src1", 0), (41, "", "en", "src1", 0), *([(3, "thing und more thing", "en", "src0", 20), (None, "und sein", "en", "src0", 8), (None, "und", "en", "src0", 3)] if repeat else [])]
+    got = same("tfidf", documents=(rows, schema))
+    assert len(got) > 20 and built == ["terms"]
+    assert len(same("tfidf", documents=([], schema))) == 0
+
+
+@pytest.mark.parametrize("query", ["threshold_sweep", "reliable_labels"])
+def test_only_documents_with_a_label_are_weighed(same, built, query):
+    rows = [(i, i % 2, i // 2 % 2) for i in range(16) if i % 5]
+    got = same(query, documents=documents(WORDS), labels=(rows, "doc_id long, quality int, toxic int"))
+    assert len(got) > 1 and sorted(built) == ["terms", "vectors of labelled"]
+
+
+def test_written_tables_leave_no_shuffle_files(spark):
+    from lectern.sources.shared import written
+
+    conf = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(conf, None)
+    own = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()
+    files = lambda: {f for d in own for _, _, names in os.walk(d.getPath()) for f in names if f.startswith("shuffle_")}
+    there = files()
+    told = written(spark.range(1000).groupBy(F.col("id") % 7).count())
+    assert not files() - there and spark.conf.get(conf, None) == before and told.count() == 7
