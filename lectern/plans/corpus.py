@@ -13,7 +13,7 @@ from lectern.operators import relational as R
 from lectern.operators import relations as N
 from lectern.operators import search as FT
 from lectern.operators import themes as T
-from lectern.plans.learning import _CENTRES, _labels, _scores
+from lectern.plans.learning import _CENTRES, _labels, _scores_of_labelled
 from lectern.plans.registry import query, word_list, words_sql
 from lectern.plans.retrieval import _SCORED, _edges, _exact_sql, posts
 from lectern.plans.texts import _themes_sql, scores
@@ -210,7 +210,7 @@ c AS (SELECT coalesce(a.label, b.label) AS label, count(*) FILTER (WHERE a.id IS
 SELECT label, tp + fn AS support, round(2 * tp / (2 * tp + fp + fn)::DOUBLE, 6) AS f1, 2 * tp / (2 * tp + fp + fn)::DOUBLE >= 0.55 AND tp + fn >= 100 AS reliable FROM c""")
 def reliable_labels(spark: SparkSession, sf: str) -> DataFrame:
     truth = _labels(spark, sf)
-    best = M.chosen_labels(_scores(spark, sf).join(truth.select("id"), "id", "left_semi").withColumn("score", F.round("score", 9)), 2.0, 1, 1)
+    best = M.chosen_labels(_scores_of_labelled(spark, sf).withColumn("score", F.round("score", 9)), 2.0, 1, 1)
     return M.reliable(M.confusion(truth, best)).select("label", "support", F.round("f1", 6).alias("f1"), "reliable")
 
 
