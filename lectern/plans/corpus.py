@@ -218,7 +218,7 @@ def reliable_labels(spark: SparkSession, sf: str) -> DataFrame:
 SELECT cut, tp, fp, fn, round(2 * tp / (2 * tp + fp + fn)::DOUBLE, 6) AS f1 FROM g""")
 def threshold_sweep(spark: SparkSession, sf: str) -> DataFrame:
     own = _labels(spark, sf).withColumnRenamed("label", "own")
-    told = _scores(spark, sf).join(own, "id").select(F.round("score", 9).alias("score"), (F.col("label") == F.col("own")).alias("truth"), F.explode(F.array(*map(F.lit, (0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9)))).alias("cut"))
+    told = _scores_of_labelled(spark, sf).join(own, "id").select(F.round("score", 9).alias("score"), (F.col("label") == F.col("own")).alias("truth"), F.explode(F.array(*map(F.lit, (0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9)))).alias("cut"))
     said = F.col("score") >= F.col("cut")
     counted = told.groupBy("cut").agg(F.count_if(said & F.col("truth")).alias("tp"), F.count_if(said & ~F.col("truth")).alias("fp"), F.count_if(~said & F.col("truth")).alias("fn"))
     return counted.withColumn("f1", F.round(M.f1(F.col("tp"), F.col("fp"), F.col("fn")), 6))
