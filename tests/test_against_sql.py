@@ -87,3 +87,18 @@ def test_written_tables_leave_no_shuffle_files(spark):
     there = files()
     told = written(spark.range(1000).groupBy(F.col("id") % 7).count())
     assert not files() - there and spark.conf.get(conf, None) == before and told.count() == 7
+
+
+FORMS = [("the tions of ering, eres and thonly thon " * (1 + i % 3) + ("und" if i % 4 == 0 else "with this that is"), "en" if i % 2 else "de") for i in range(12)]
+
+
+@pytest.mark.parametrize("query,repeat", [("stem_frequency", False), ("stem_frequency", True), ("search_ranked_density", False)])
+def test_stems_without_a_stored_index(same, built, monkeypatch, query, repeat):
+    from lectern.operators import ranking
+
+    monkeypatch.setattr(ranking, "BATCH_ROWS", 3)
+    rows, schema = documents([*FORMS, ("", "en"), ("of the", "fr"), ("tion src1", "en")])
+    rows += [(20, None, "en", "src1", 0), *([(1, "thonning tion eres for", "en", "src2", 9)] if repeat else [])]
+    # a stored index of all terms is for queries that ask it again, or for ids whose rows have to be brought together
+    assert len(same(query, documents=(rows, schema))) > 3
+    assert ("stemmed index" in built) == repeat and ("theme scores" in built) == repeat
