@@ -102,3 +102,12 @@ def test_stems_without_a_stored_index(same, built, monkeypatch, query, repeat):
     # a stored index of all terms is for queries that ask it again, or for ids whose rows have to be brought together
     assert len(same(query, documents=(rows, schema))) > 3
     assert ("stemmed index" in built) == repeat and ("theme scores" in built) == repeat
+
+
+def test_recommendations_without_a_stored_index(spark, built):
+    sf, con = "/root/testdata/sf0.001", duckdb.connect()
+    for t in ("documents", "embeddings"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{sf}/{t}.parquet')")
+    got = entry.QUERIES["recommend_candidates"](spark, sf).toPandas()
+    assert len(got) and plain(got) == plain(con.sql(entry.SQL["recommend_candidates"]).df())
+    assert not {"index", "signals"} & set(built)
